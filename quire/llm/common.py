@@ -74,3 +74,12 @@ def text_or_empty(text: str = "text") -> Column:
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once for each row.
+
+    A lambda's variable is bound once, where the optimizer would copy the
+    expression to each of its uses when it merges projections.
+    """
+    return F.element_at(F.transform(F.array(value), then), 1)

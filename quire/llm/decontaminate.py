@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import let
+
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 #: Sketch rows (16 bytes each) up to which the sketches are broadcast.
@@ -49,14 +51,14 @@ def needed(n: Column, threshold: float) -> Column:
 
 def item_sketches(items: DataFrame, shingle_words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(item, size class, matches asked for, sketch hash), a row for each hash of each sketch."""
-    h = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w")).select("item_id", shingle_hashes(F.col("w"), shingle_words).alias("h"))
+    h = items.select(F.col(id_col).alias("item_id"), let(words(F.col(text_col)), lambda w: shingle_hashes(w, shingle_words)).alias("h"))
     n = F.size("h")
     h = h.where(n > 0).select("item_id", "h", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("size_class"))
     # size classes: below 8 one match, 8 to 31 two, 32 to 127 four, then eight
     asked = F.when(F.col("size_class") < 3, 1).when(F.col("size_class") < 5, 2).when(F.col("size_class") < 7, 4).otherwise(8)
     k = F.least(F.col("n") - needed(F.col("n"), threshold) + asked, F.col("n"))
     h = h.withColumn("k", k).withColumn("asked", F.col("k") - (F.col("n") - needed(F.col("n"), threshold)))
-    return h.select("item_id", "size_class", "asked", F.explode(F.slice(F.array_sort("h"), F.lit(1), F.col("k"))).alias("h"))
+    return h.select("item_id", "size_class", "asked", F.explode_outer(F.slice(F.array_sort("h"), F.lit(1), F.col("k"))).alias("h"))
 
 
 def contained_items(
@@ -74,21 +76,22 @@ def contained_items(
     * empty tables give an empty result; further columns are ignored.
     """
     sketch = item_sketches(items, shingle_words, threshold, item_id, item_text)
-    d = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = sketch.count()
     if rows <= MAX_BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
-    probe = d.select("doc_id", shingle_hashes(F.col("w"), shingle_words).alias("hs"))
-    probe = probe.select("doc_id", F.size("hs").alias("n_doc"), F.explode("hs").alias("h"))
+    # explode_outer: explode would have its input computed a second time, to filter out empty arrays
+    sized = let(words(F.col("text")), lambda w: let(shingle_hashes(w, shingle_words), lambda h: F.transform(h, lambda x: F.struct(F.size(h).alias("n_doc"), x.alias("h")))))
+    probe = d.select("doc_id", F.explode_outer(sized).alias("s")).select("doc_id", "s.n_doc", "s.h")
     # a document needs threshold * 2^class shingles at least
     enough = F.col("n_doc") >= F.ceil(F.pow(F.lit(2.0), F.col("size_class")) * threshold - 1e-9)
     hits = probe.join(sketch, "h").where(enough)
     candidates = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.min("asked").alias("asked")).where("hits >= asked").select("doc_id", "item_id")
-    bench = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).select("item_id", shingle_strings(F.col("w"), shingle_words).alias("item_sh"))
+    bench = items.select(F.col(item_id).alias("item_id"), let(words(F.col(item_text)), lambda w: shingle_strings(w, shingle_words)).alias("item_sh"))
     c, b = candidates.alias("c"), bench.alias("b")
     pairs = c.join(b, F.col("c.item_id").eqNullSafe(F.col("b.item_id"))).select(F.col("c.doc_id").alias("c_doc"), "b.item_id", "item_sh")
     pairs = d.join(pairs, F.col("doc_id").eqNullSafe(F.col("c_doc")))
-    shared = F.size(F.array_intersect("item_sh", shingle_strings(F.col("w"), shingle_words)))
+    shared = F.size(F.array_intersect("item_sh", let(words(F.col("text")), lambda w: shingle_strings(w, shingle_words))))
     found = pairs.select("doc_id", "item_id", F.size("item_sh").alias("n_item"), shared.alias("n_shared"))
     found = found.where(F.col("n_shared") >= needed(F.col("n_item"), threshold))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_item", "n_shared")).alias("m"))
