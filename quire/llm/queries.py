@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, warc
+from quire.llm import decontaminate, jaccard_join, packing, token_store, warc
 from quire.llm.common import read_table
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_store.stored_tokens(read_table(spark, sf_dir, "documents"), tokenizer=TOKENIZER, end_id=1)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer=TOKENIZER, capacity=4096, end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(read_table(spark, sf_dir, "documents"), shingle_words=4, num=85, den=100)
 
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_token_binary": op3_token_binary,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_packing": op9_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 

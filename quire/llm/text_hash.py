@@ -47,7 +47,7 @@ class _Powers:
         return self.up, self.down
 
 
-_powers_of_base = _Powers()
+powers_of_base = _Powers()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def _hash_some(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     ends = np.flatnonzero(last) + 1
-    up, down = _powers_of_base.get(len(raw) + 1)
+    up, down = powers_of_base.get(len(raw) + 1)
     run = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=run[1:])
     h = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
