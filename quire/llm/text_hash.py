@@ -60,7 +60,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def _hash_some(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of each word, and word offsets by text."""
     low = _LOWER[raw]
     word = ~_SPACE[raw]
     first = word.copy()
@@ -75,7 +76,7 @@ def _hash_some(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     run = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=run[1:])
     h = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, offsets)
+    return starts, ends, h, np.searchsorted(starts, offsets)
 
 
 def word_hashes(texts: pa.Array, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ def word_hashes(texts: pa.Array, step: int = 1 << 18) -> tuple[np.ndarray, np.nd
     hashes, counts, i = [], [np.zeros(1, np.int64)], 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, "right")) - 1)
-        h, at = _hash_some(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        _, _, h, at = words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         hashes.append(h)
         counts.append(np.diff(at))
         i = j
