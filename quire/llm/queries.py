@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, packing, substring_dedup, token_store, warc, winnowing
-from quire.llm.common import read_table
+from quire.llm import decontaminate, jaccard_join, langid, packing, quality, substring_dedup, token_store, warc, winnowing
+from quire.llm.common import crc_bucket, read_table
 
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,18 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(crc_bucket("doc_id", 3) != 1), max_rows=20_000)
+    return quality.score(docs, model).select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_bucket("doc_id", 4) != 2), per_language=400)
+    return langid.predict(docs, model).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +59,8 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_token_binary": op3_token_binary,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op6_winnowing": op6_winnowing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_packing": op9_packing,
