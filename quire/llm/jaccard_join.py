@@ -12,11 +12,13 @@ reaches a threshold. The join is exact.
   its own ``l`` by the estimated cost of its candidates: a longer prefix is more to
   read, but asks for more matches before a pair is verified. A pair must share
   as many prefix shingles as the smaller ``l`` of the two asks for.
-* A group of thousands of near copies isn't expanded into pairs. First each
-  document is verified against one centre of each of its prefix shingles, and
-  what links is merged. Then pairs are formed only between documents that share
-  prefix shingles and are still in different components, and only those
-  remain to be verified. Two documents in one component need no check.
+* A group of thousands of near copies isn't expanded into pairs. In rounds, each
+  document is verified against one other: of the centres of its prefix shingles
+  (a document for each shingle, from its largest component) the one that it
+  shares most with. What links is merged. When this finds little more, pairs
+  are formed between documents that share prefix shingles and are still in
+  different components, and only those remain to be verified. Two documents in
+  one component need no check.
 """
 
 from __future__ import annotations
@@ -32,10 +34,15 @@ from quire.llm.common import drop_written, written
 from quire.llm.components import components
 from quire.llm.text_hash import mix, shingle_sets, slices
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 MAX_MATCHES = 4
+#: Rounds of verification against centres end after so many, or when a lesser share of the candidates links.
+MAX_ROUNDS = 6
+WORTHWHILE = 0.25
 #: Cost of verifying a candidate, in units of one index entry read.
 VERIFY_COST = 20.0
+#: Ids (8 bytes each) of documents to verify up to which they are broadcast.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -101,11 +108,13 @@ def _prefixes(size: int, num: int, den: int, sketch):
                     length, matches = choose_prefix(others[bucket[order]], n, -(-num * n // den))
                     head = order[:length]
                     head = head[seen[bucket[head]] > 1]  # a bucket seen once holds a shingle that no other document has
-                    rows.append((doc, n, matches, s[head].view(np.int64)))
+                    end = order[length - 1]
+                    rows.append((doc, n, matches, s[head].view(np.int64), n - length, int(seen[bucket[end]]), int(s[end]) - (1 << 63), int(1000 * seen[bucket].mean())))
                 if rows:
                     ends = np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32)
                     prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[3] for r in rows])))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), prefix], names=["node", "n", "matches", "prefix"])
+                    columns = {"node": 0, "n": 1, "matches": 2, "beyond": 4, "end_seen": 5, "end_hash": 6, "typical": 7}
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in columns.values()), prefix], names=[*columns, "prefix"])
 
     return run
 
@@ -138,7 +147,9 @@ def _links(num: int, den: int):
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """(a, b, linked) of the pairs, by the full sets of both. Sets are made of the documents in question only."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    if ids.count() <= MAX_BROADCAST_IDS:  # beyond that the texts are shuffled
+        ids = F.broadcast(ids)
     wanted = docs.join(ids, docs.doc_id == ids.id, "left_semi")
     sets = written(wanted.mapInArrow(_sets(size), "node long, items binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sx")), "a")
@@ -167,34 +178,68 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     counts = first.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     sketch[counts["bucket"].to_numpy()] = np.minimum(counts["seen"].to_numpy(), 0xFFFFFFFF)
-    shared_sketch = spark.sparkContext.broadcast(sketch.tobytes())  # 1 MB, whatever the input
+    shared_sketch = spark.sparkContext.broadcast(sketch.tobytes())  # 4 MB, whatever the input
     rows = first.where("bucket is null").select("doc_id", "n", "k1", "k2")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
 
-    prefixes = d.mapInArrow(_prefixes(shingle_words, num, den, shared_sketch), "node long, n long, matches int, prefix array<long>")
+    prefixes = d.mapInArrow(_prefixes(shingle_words, num, den, shared_sketch), "node long, n long, matches long, beyond long, end_seen long, end_hash long, typical long, prefix array<long>")
     prefixes = written(prefixes.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "prefixes")
-    entries = prefixes.select("node", "n", "matches", F.explode("prefix").alias("token"))
-    centres = entries.groupBy("token").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").select("token", "centre")
+    # The centre of a group of copies is the document whose shingles are the most frequent: the one without edits.
+    entries = prefixes.select("node", "typical", F.explode("prefix").alias("token"))
+    centres = entries.groupBy("token").agg(F.max_by("node", "typical").alias("centre"), F.count("*").alias("members")).where("members > 1").select("token", "centre")
     entries = written(entries.join(centres, "token"), "entries")  # entries of shared shingles
-    about = prefixes.select("node", "n", "matches")
+    own = entries.groupBy("node").agg(F.count("*").alias("own"))
+    most = F.floor(((F.col("own") + F.col("beyond")) * (num + den) - num * F.col("n")) / num)
+    about = written(prefixes.join(own, "node").select("node", F.struct("n", "matches", "beyond", most.alias("most"), F.struct("end_seen", "end_hash").alias("end")).alias("of")), "about")
 
     def asked(pairs: DataFrame) -> DataFrame:
-        """(a, b, shared) that have sizes that can link and share as many prefix shingles as asked for."""
-        p = pairs.join(about.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma")), "a")
-        p = p.join(about.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb")), "b")
-        return p.where((F.col("shared") >= F.least("ma", "mb")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))).select("a", "b")
-
-    stars = entries.where("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    tried = verify(written(asked(stars), "stars"), d, shingle_words, num, den)
+        """(a, b, shared) that have sizes that can link and share enough prefix shingles.
+
+        Of two prefixes, take the one that ends first. A shared shingle that
+        isn't in both prefixes lies beyond it, so the sets share ``shared +
+        beyond`` shingles at most.
+        """
+        p = pairs.join(about.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(about.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
+        beyond = F.when(F.col("x.end") < F.col("y.end"), F.col("x.beyond")).when(F.col("x.end") > F.col("y.end"), F.col("y.beyond")).otherwise(F.least("x.beyond", "y.beyond"))
+        enough = (F.col("shared") >= F.least("x.matches", "y.matches")) & ((num + den) * (F.col("shared") + beyond) >= num * (F.col("x.n") + F.col("y.n")))
+        return p.where(enough & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))).select("a", "b")
+
+    sizes = prefixes.select("node", "n")
+
+    def best_centre(pairs: DataFrame) -> DataFrame:
+        """Of the (a, b) pairs, the one for each b that shares most prefix shingles, if sizes allow a link."""
+        p = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+        p = p.groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("a"))
+        p = p.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        return p.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
+
+    tried = verify(written(best_centre(entries.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "stars"), d, shingle_words, num, den)
     links = tried.where("linked").select("a", "b")
     groups = written(components(links), "groups")
-
-    e = entries.join(groups, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    for turn in range(MAX_ROUNDS):
+        e = entries.join(groups, "node", "left").select("token", "node", "typical", F.coalesce("component", "node").alias("component"))
+        parts = e.groupBy("token", "component").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max_by("node", "typical").alias("high"))
+        mixed = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component", "low", "high")).alias("m")).where("parts > 1")
+        mixed = mixed.select("token", F.col("m.component").alias("major"), F.col("m.low" if turn % 2 else "m.high").alias("centre"))
+        e = written(e.join(mixed, "token"), "mixed")
+        stars = e.where("component <> major").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        stars = best_centre(stars.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+        found = verify(written(stars, "stars"), d, shingle_words, num, den)
+        tried = tried.unionByName(found)
+        links = tried.where("linked").select("a", "b")
+        groups = written(components(links), "groups")
+        if found.where("linked").count() < WORTHWHILE * found.count():
+            break
+    e = entries.join(groups, "node", "left").join(about, "node").select("token", "node", "of", F.coalesce("component", "node").alias("component"))
     mixed = e.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m")).where("parts > 1").select("token", F.col("m.component").alias("major"))
     e = written(e.join(mixed, "token"), "mixed")
     x, y = e.where("component <> major").alias("x"), e.alias("y")
     across = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, across).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared"))
+    # The prefix that ends first has ``own`` shingles that any other prefix holds, and ``beyond`` behind it:
+    # with a larger partner than ``most`` these can't reach the threshold.
+    fits = ((F.col("x.of.end") <= F.col("y.of.end")) & (F.col("y.of.n") <= F.col("x.of.most"))) | ((F.col("y.of.end") <= F.col("x.of.end")) & (F.col("x.of.n") <= F.col("y.of.most")))
+    across = across & fits & (den * F.least("x.of.n", "y.of.n") >= num * F.greatest("x.of.n", "y.of.n"))
+    pairs = written(x.join(y, across).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared")), "across")
     rest = written(asked(pairs).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = verify(rest, d, shingle_words, num, den).where("linked").select("a", "b")
     named = components(links.unionByName(more))

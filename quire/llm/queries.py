@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, langid, packing, quality, substring_dedup, token_store, warc, winnowing
+from quire.llm import decontaminate, jaccard_join, langid, packing, pii, quality, substring_dedup, token_store, warc, winnowing
 from quire.llm.common import crc_bucket, read_table
 
 
@@ -42,6 +42,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents")).drop("masked")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_winnowing": op6_winnowing,
+    "op7_pii": op7_pii,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
