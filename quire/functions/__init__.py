@@ -1 +1 @@
-"""See the package README."""
+"""Column expressions: predicates, classifiers and scalar functions."""

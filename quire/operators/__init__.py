@@ -1 +1 @@
-"""See the package README."""
+"""Joins, windows and aggregates over relational documents."""

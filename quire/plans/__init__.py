@@ -1 +1 @@
-"""See the package README."""
+"""Whole conversions put together from sources, operators and functions."""

@@ -1 +1 @@
-"""See the package README."""
+"""Decoders and encoders: bytes and grammars to flat rows and back."""

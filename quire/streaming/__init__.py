@@ -1 +1 @@
-"""See the package README."""
+"""The same decoders over a stream of arriving files."""
