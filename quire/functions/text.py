@@ -81,11 +81,12 @@ def comment_hint(language: Column) -> Column:
 
 
 def heading_level(level: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(6), level))
+    """The level within 1 to 6; null stays null."""
+    return F.when(level < 1, 1).when(level > 6, 6).otherwise(level)
 
 
 def heading_height(level: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, HEADING_HEIGHTS)), heading_level(level))
+    return F.when(level.isNotNull(), F.element_at(F.array(*map(F.lit, HEADING_HEIGHTS)), heading_level(level)))
 
 
 def local_name(tag: Column) -> Column:
