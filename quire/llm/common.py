@@ -63,6 +63,13 @@ def drop_written(df: DataFrame) -> None:
     _delete_quietly(df.sparkSession, df._quire_path)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, where the session doesn't say otherwise: texts are long and workers small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(8 << 20))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_written, written
+from quire.llm.common import drop_written, lean_batches, written
 from quire.llm.components import components
 from quire.llm.text_hash import mix, shingle_sets, slices
 
-SKETCH_BITS = 20
+SKETCH_BITS = 19
 MAX_MATCHES = 4
 #: Rounds of verification against centres end after so many, or when a lesser share of the candidates links.
 MAX_ROUNDS = 6
@@ -53,13 +53,14 @@ def _summaries(size: int):
     """Per document: set size and a 128-bit key of the set; per task: counts of shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for b in slices(batch, "text"):
                 sets = shingle_sets(b.column("text"), size)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                counts += np.bincount(_bucket(flat), minlength=len(counts))
+                buckets, times = np.unique(_bucket(flat), return_counts=True)
+                counts[buckets] += times.astype(np.int32)
                 keys = []
                 for salt in (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D):
                     run_sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ np.uint64(salt)))])
@@ -67,9 +68,11 @@ def _summaries(size: int):
                     keys.append(mix(run_sum[at[1:]] - run_sum[at[:-1]] + n.astype(np.uint64)).view(np.int64))
                 none = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), none, none], names=["doc_id", "n", "k1", "k2", "bucket", "seen"])
-        at = np.flatnonzero(counts)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(counts[at])], names=["doc_id", "n", "k1", "k2", "bucket", "seen"])
+        found = np.flatnonzero(counts)
+        for i in range(0, len(found), 1 << 15):
+            at = found[i : i + (1 << 15)]
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(counts[at].astype(np.int64))], names=["doc_id", "n", "k1", "k2", "bucket", "seen"])
 
     return run
 
@@ -107,14 +110,14 @@ def _prefixes(size: int, num: int, den: int, sketch):
                     order = np.argsort(seen[bucket], kind="stable")
                     length, matches = choose_prefix(others[bucket[order]], n, -(-num * n // den))
                     head = order[:length]
-                    head = head[seen[bucket[head]] > 1]  # a bucket seen once holds a shingle that no other document has
+                    place = np.flatnonzero(seen[bucket[head]] > 1)  # a bucket seen once holds a shingle that no other document has
                     end = order[length - 1]
-                    rows.append((doc, n, matches, s[head].view(np.int64), n - length, int(seen[bucket[end]]), int(s[end]) - (1 << 63), int(1000 * seen[bucket].mean())))
+                    rows.append((doc, n, matches, (s[head[place]].view(np.int64), place), n - length, int(seen[bucket[end]]), int(s[end]) - (1 << 63), int(1000 * seen[bucket].mean())))
                 if rows:
-                    ends = np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32)
-                    prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[3] for r in rows])))
+                    ends = pa.array(np.cumsum([0] + [len(r[3][0]) for r in rows]).astype(np.int32))
+                    prefix, places = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[3][k] for r in rows]).astype(t))) for k, t in ((0, np.int64), (1, np.int32)))
                     columns = {"node": 0, "n": 1, "matches": 2, "beyond": 4, "end_seen": 5, "end_hash": 6, "typical": 7}
-                    yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in columns.values()), prefix], names=[*columns, "prefix"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in columns.values()), prefix, places], names=[*columns, "prefix", "places"])
 
     return run
 
@@ -172,37 +175,26 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     * a row with a null id links with nothing and has a null component;
     * further columns are ignored; an empty table gives an empty result.
     """
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(d.mapInArrow(_summaries(shingle_words), "doc_id long, n long, k1 long, k2 long, bucket long, seen long"), "summaries")
     counts = first.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     sketch[counts["bucket"].to_numpy()] = np.minimum(counts["seen"].to_numpy(), 0xFFFFFFFF)
-    shared_sketch = spark.sparkContext.broadcast(sketch.tobytes())  # 4 MB, whatever the input
+    shared_sketch = spark.sparkContext.broadcast(sketch.tobytes())  # 2 MB, whatever the input
     rows = first.where("bucket is null").select("doc_id", "n", "k1", "k2")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
 
-    prefixes = d.mapInArrow(_prefixes(shingle_words, num, den, shared_sketch), "node long, n long, matches long, beyond long, end_seen long, end_hash long, typical long, prefix array<long>")
+    prefixes = d.mapInArrow(_prefixes(shingle_words, num, den, shared_sketch), "node long, n long, matches long, beyond long, end_seen long, end_hash long, typical long, prefix array<long>, places array<int>")
     prefixes = written(prefixes.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "prefixes")
     # The centre of a group of copies is the document whose shingles are the most frequent: the one without edits.
-    entries = prefixes.select("node", "typical", F.explode("prefix").alias("token"))
+    entries = prefixes.select("node", "typical", F.explode(F.arrays_zip("prefix", "places")).alias("e")).select("node", "typical", F.col("e.prefix").alias("token"), F.col("e.places").alias("place"))
     centres = entries.groupBy("token").agg(F.max_by("node", "typical").alias("centre"), F.count("*").alias("members")).where("members > 1").select("token", "centre")
     entries = written(entries.join(centres, "token"), "entries")  # entries of shared shingles
     own = entries.groupBy("node").agg(F.count("*").alias("own"))
     most = F.floor(((F.col("own") + F.col("beyond")) * (num + den) - num * F.col("n")) / num)
-    about = written(prefixes.join(own, "node").select("node", F.struct("n", "matches", "beyond", most.alias("most"), F.struct("end_seen", "end_hash").alias("end")).alias("of")), "about")
-
-    def asked(pairs: DataFrame) -> DataFrame:
-        """(a, b, shared) that have sizes that can link and share enough prefix shingles.
-
-        Of two prefixes, take the one that ends first. A shared shingle that
-        isn't in both prefixes lies beyond it, so the sets share ``shared +
-        beyond`` shingles at most.
-        """
-        p = pairs.join(about.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(about.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
-        beyond = F.when(F.col("x.end") < F.col("y.end"), F.col("x.beyond")).when(F.col("x.end") > F.col("y.end"), F.col("y.beyond")).otherwise(F.least("x.beyond", "y.beyond"))
-        enough = (F.col("shared") >= F.least("x.matches", "y.matches")) & ((num + den) * (F.col("shared") + beyond) >= num * (F.col("x.n") + F.col("y.n")))
-        return p.where(enough & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n"))).select("a", "b")
+    about = prefixes.join(own, "node").select("node", F.struct("n", "matches", most.alias("most"), F.struct("end_seen", "end_hash").alias("end")).alias("of"))
 
     sizes = prefixes.select("node", "n")
 
@@ -230,7 +222,7 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
         groups = written(components(links), "groups")
         if found.where("linked").count() < WORTHWHILE * found.count():
             break
-    e = entries.join(groups, "node", "left").join(about, "node").select("token", "node", "of", F.coalesce("component", "node").alias("component"))
+    e = entries.join(groups, "node", "left").join(about, "node").select("token", "node", "place", "of", F.coalesce("component", "node").alias("component"))
     mixed = e.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("m")).where("parts > 1").select("token", F.col("m.component").alias("major"))
     e = written(e.join(mixed, "token"), "mixed")
     x, y = e.where("component <> major").alias("x"), e.alias("y")
@@ -238,9 +230,13 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     # The prefix that ends first has ``own`` shingles that any other prefix holds, and ``beyond`` behind it:
     # with a larger partner than ``most`` these can't reach the threshold.
     fits = ((F.col("x.of.end") <= F.col("y.of.end")) & (F.col("y.of.n") <= F.col("x.of.most"))) | ((F.col("y.of.end") <= F.col("x.of.end")) & (F.col("x.of.n") <= F.col("y.of.most")))
-    across = across & fits & (den * F.least("x.of.n", "y.of.n") >= num * F.greatest("x.of.n", "y.of.n"))
-    pairs = written(x.join(y, across).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared")), "across")
-    rest = written(asked(pairs).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    nx, ny = F.col("x.of.n"), F.col("y.of.n")
+    # Sets of these sizes must share so many shingles, hence ``matches`` of them in prefixes of this pair's own length.
+    share, matches = F.ceil(num * (nx + ny) / (num + den)), F.least("x.of.matches", "y.of.matches")
+    within = (F.col("x.place") < nx - share + matches) & (F.col("y.place") < ny - share + matches)
+    across = across & fits & within & (den * F.least(nx, ny) >= num * F.greatest(nx, ny))
+    pairs = x.join(y, across).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared"), F.first(matches).alias("matches"))
+    rest = written(pairs.where("shared >= matches").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = verify(rest, d, shingle_words, num, den).where("linked").select("a", "b")
     named = components(links.unionByName(more))
 

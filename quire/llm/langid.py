@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import lean_batches
 from quire.llm.text_hash import slices, text_bytes
 
 BUCKET_BITS = 16
@@ -185,6 +186,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     * whole texts are read; equal texts have equal results; a null or repeated
       id is carried along; further columns are ignored.
     """
+    lean_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_path
+from quire.llm.common import lean_batches, new_path
 from quire.llm.text_hash import slices
 from quire.llm.tokens import word_tokenizer
 
@@ -186,6 +186,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, capacity: int = 4096, end
     number of documents. A length that a third of the documents have is dealt
     with by ranks within (task, length).
     """
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = new_path(spark, "ids")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import lean_batches
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 14
 
@@ -374,6 +376,7 @@ def find(docs: DataFrame, *, weights: dict[str, float] | None = None, id_col: st
     Null texts are empty (and stay null in ``masked``); whole texts are read, also
     very long ones; repeated rows and null ids are carried along.
     """
+    lean_batches(docs.sparkSession)
     weights = weights or train()
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -395,6 +398,7 @@ def find(docs: DataFrame, *, weights: dict[str, float] | None = None, id_col: st
 
 def mask_texts(docs: DataFrame, *, weights: dict[str, float] | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind; rows and columns stay."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights or train())
     at = docs.columns.index(text_col)
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import lean_batches
 from quire.llm.text_hash import mix, powers_of_base, slices, text_bytes, words_of
 
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -132,6 +133,7 @@ def remove_repeated_spans(docs: DataFrame, *, run_sentences: int = 3, min_words:
     counted with partial aggregation, then joined to one row for the hash, a
     join whose large side AQE splits.
     """
+    lean_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     runs = d.mapInArrow(_runs(run_sentences, min_words), "doc_id long, h1 long, h2 long")
     firsts = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")

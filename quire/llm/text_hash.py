@@ -121,7 +121,7 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     """The batch in runs of rows of about ``max_bytes`` of text each."""
     _, offsets = text_bytes(batch.column(column))
     i = 0

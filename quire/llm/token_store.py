@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import id_codec
-from quire.llm.common import new_path, written
+from quire.llm.common import lean_batches, new_path, written
 from quire.llm.text_hash import slices
 from quire.llm.tokens import word_tokenizer
 from quire.llm.warc import open_store
@@ -110,6 +110,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
     first, rows that repeat an id stand side by side. Each task writes one file
     (under a temporary name, then renamed); file order is id order.
     """
+    lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from quire.llm.text_hash import mix, powers_of_base, text_bytes
 
 #: Words whose ids a worker keeps from batch to batch.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 200_000
 _WORDS_A_CALL = 400
 
 
@@ -130,7 +130,7 @@ class WordTokenizer:
         take += np.arange(len(take))
         return store[take], upto[np.searchsorted(starts, offsets)]
 
-    def encode(self, texts: pa.Array, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, step: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, offsets by text); null is empty."""
         raw, offsets = text_bytes(texts)
         out, counts, i = [], [np.zeros(1, np.int64)], 0

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_path, written
+from quire.llm.common import lean_batches, new_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a member that are inflated to see whether a WARC header begins there.
@@ -111,6 +111,7 @@ def write_archives(rows: DataFrame, folder: str, *, scheme: str = "page", date:
     one. An archive is written under a temporary name and renamed, so a task
     that runs twice leaves one file.
     """
+    lean_batches(rows.sparkSession)
     ready = with_revisits(rows, min_bytes).select("record_id", "uri", "payload", "digest", "refers_to")
     return written(ready.mapInArrow(_writer(folder, scheme, date, level), "archive string, records long, bytes long"), "warc-manifest")
 
