@@ -29,6 +29,8 @@ from quire.llm.text_hash import slices, text_bytes
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
+#: Steps of gradient descent at least.
+MIN_STEPS = 500
 
 
 @dataclass
@@ -107,6 +109,7 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 3,
     out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
     weight = len(labels) / (len(languages) * np.maximum(np.bincount(labels, minlength=len(languages)), 1))
+    epochs = max(epochs, -(-MIN_STEPS * batch // max(1, len(fit))))  # small samples are gone through more often
     steps = epochs * -(-len(fit) // batch)
     done = 0
     for _ in range(epochs):
