@@ -143,6 +143,17 @@ def test_records(spark):
     assert bytes(got) == bytes.fromhex("00112233445566778899aabbccddeeff") + b"rest"
 
 
+def test_headers_and_salvage(spark):
+    head = b"HWP Document File".ljust(32, b"\0") + bytes([1, 2, 0, 5]) + bytes([0b10001, 0, 0, 0])
+    rows = spark.createDataFrame([(head,), (head[:36],), (b"other" * 10,), (b"",), (None,)], "d binary").select(records.file_header(F.col("d")).alias("h")).collect()
+    assert rows[0].h.version == "5.0.2.1" and rows[0].h.compressed and rows[0].h.drm and not rows[0].h.encrypted
+    assert rows[1].h.version == "5.0.2.1" and not rows[1].h.compressed and [r.h for r in rows[2:]] == [None] * 3
+    assert records.keystream(1, 3) == [41, 18467, 6334]  # the numbers this generator is known for
+    text = "found text".encode("utf-16le")
+    damaged = b"\xff" * 600 + (len(text) << 20 | 67).to_bytes(4, "little") + text + b"\xff" * 9
+    assert records.salvaged_texts(damaged) == ["found text"]
+
+
 def test_groups(spark):
     rows = spark.createDataFrame([(1, i, d) for i, d in enumerate([1, 0, 1, 1, 0])], "doc long, ord int, depth int")
     assert [r.parent_item for r in group.nested_items(rows, ["doc"], ["ord"], "depth").orderBy("ord").collect()] == [None, None, 2, 2, None]
