@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import classify, text
+from quire.functions import classify, equation, text
 from quire.operators import group, lookups, stats
 from quire.plans import render
 from quire.sources import html_table, markdown, package, records
@@ -436,3 +436,14 @@ def footnote_orphans(spark, sf_dir):
     refs = c.where("role = 'user'").select("conv_id", "turn", (F.col("turn") + 1).alias("note"))
     notes = c.where("role <> 'user'").select("conv_id", F.col("turn").alias("note"))
     return lookups.orphans(refs, notes, ["conv_id", "note"]).select("conv_id", "turn")
+
+
+_EQUATIONS = [
+    ("a over b", "\\frac{a}{b}"), ("{a+b} over {c}", "\\frac{a + b}{c}"), ("sqrt {x^2 + 1}", "\\sqrt{x^{2} + 1}"), ("root 3 of x", "\\sqrt[3]{x}"), ("alpha _ i <= inf", "\\alpha_{i} \\leq \\infty"),
+    ("sum _{i=0} ^n x", "\\sum_{i = 0}^{n} x"), ("LEFT ( a RIGHT )", "\\left ( a \\right )"), ("{a", "{a}"), ("a } b", "a b"), ("", ""), (None, None),
+]
+
+
+@query(f"SELECT script, tex FROM {sql_values(_EQUATIONS, 'script, tex')}")
+def equation_tex(spark, sf_dir):
+    return values(spark, [(a,) for a, _ in _EQUATIONS], "script string").select("script", equation.equation_tex("script").alias("tex"))
