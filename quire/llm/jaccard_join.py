@@ -231,11 +231,18 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     # with a larger partner than ``most`` these can't reach the threshold.
     fits = ((F.col("x.of.end") <= F.col("y.of.end")) & (F.col("y.of.n") <= F.col("x.of.most"))) | ((F.col("y.of.end") <= F.col("x.of.end")) & (F.col("x.of.n") <= F.col("y.of.most")))
     nx, ny = F.col("x.of.n"), F.col("y.of.n")
-    # Sets of these sizes must share so many shingles, hence ``matches`` of them in prefixes of this pair's own length.
-    share, matches = F.ceil(num * (nx + ny) / (num + den)), F.least("x.of.matches", "y.of.matches")
-    within = (F.col("x.place") < nx - share + matches) & (F.col("y.place") < ny - share + matches)
+    # Sets of these sizes must share so many shingles, hence one of them in prefixes of this pair's own length,
+    share = lambda a, b: F.ceil(num * (a + b) / (num + den))
+    within = (F.col("x.place") < nx - share(nx, ny) + 1) & (F.col("y.place") < ny - share(nx, ny) + 1)
     across = across & fits & within & (den * F.least(nx, ny) >= num * F.greatest(nx, ny))
-    pairs = x.join(y, across).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("shared"), F.first(matches).alias("matches"))
+    pairs = x.join(y, across).groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count("*").alias("c"))
+    # and ``matches`` of them in prefixes that are longer by as much.
+    heads = prefixes.select("node", F.struct("n", "matches", F.arrays_zip("prefix", "places").alias("e")).alias("head"))
+    pairs = pairs.join(heads.select(F.col("node").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("node").alias("b"), F.col("head").alias("y")), "b")
+    matches = F.least("x.matches", "y.matches")
+    limit = share(F.col("x.n"), F.col("y.n")) - matches
+    part = lambda h: F.transform(F.filter(F.col(f"{h}.e"), lambda t: t.places < F.col(f"{h}.n") - limit), lambda t: t.prefix)
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect(part("x"), part("y")))).withColumn("matches", matches)
     rest = written(pairs.where("shared >= matches").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = verify(rest, d, shingle_words, num, den).where("linked").select("a", "b")
     named = components(links.unionByName(more))
