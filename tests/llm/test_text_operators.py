@@ -143,6 +143,58 @@ def test_substring_dedup(make_docs):
     assert substring_dedup.remove_repeated_spans(make_docs([])).count() == 0
 
 
+def test_substring_dedup_of_passages_cut_in_sentences(make_docs):
+    rng = random.Random(11)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    dotted = lambda words, every: [w + "." if i % every == every - 1 else w for i, w in enumerate(words)]
+    low = ["na" if rng.random() < 0.9 else "no" for _ in range(70)]
+    passages = [new(51), dotted(new(86), 43), dotted(new(60), 30), dotted(new(130), 100), dotted(new(55), 1), low]
+    rows, kept = [], {}
+    for i, p in enumerate(passages):
+        rows.append((i, " ".join([*new(rng.randint(0, 30)), *p, *new(rng.randint(0, 30))])))
+        before, after = new(rng.randint(1, 40)), new(rng.randint(1, 40))
+        rows.append((100 + i, " ".join([*before, *p, *after])))
+        kept[100 + i] = (before, p, after)
+    short = " ".join(new(20))
+    rows += [(50, short), (150, short.upper()), (160, " ".join(new(40))), (None, rows[0][1])]
+    out = {r.doc_id: r for r in substring_dedup.remove_repeated_spans(make_docs(rows)).collect()}
+    for i, (before, p, after) in kept.items():
+        got = out[i].text.split()
+        assert got[: len(before)] == before and got[-len(after) :] == after and out[i].n_removed > 0
+        assert len(got) - len(before) - len(after) <= 2 * (substring_dedup.WINDOW - 1), (i, got)
+    assert (out[150].text, out[150].n_removed) == ("", 1)
+    texts = dict(rows)
+    low_kept = out[5].text.split()
+    assert all(out[i].text == texts[i] and out[i].n_removed == 0 for i in (0, 1, 2, 3, 4, 50, 160, None)) and low_kept[0] == texts[5].split()[0]
+
+
+def test_word_runs_by_brute_force():
+    rng = random.Random(5)
+    for size in (17, 20, 51):
+        texts = [[rng.choice("ab") if rng.random() < 0.5 else str(rng.randint(0, 99)) for _ in range(rng.choice([0, 1, 9, size - 1, size, size + 1, 300]))] for _ in range(30)] + [["a"] * 200]
+        h, at = text_hash.word_hashes(pa.array([" ".join(t) for t in texts]))
+        lo, hi, g1, g2, part = substring_dedup.word_runs(h, at, size, 10)
+        k = size - substring_dedup.WINDOW + 1
+        for i, t in enumerate(texts):
+            got = list(zip((lo[part[i] : part[i + 1]] - at[i]).tolist(), (hi[part[i] : part[i + 1]] - at[i]).tolist(), strict=True))
+            if len(t) < size:
+                assert got == ([(0, len(t))] if len(t) >= 10 else [])
+                continue
+            assert all(b == a + k for a, b in got)
+            at_run = {a for a, _ in got}
+            assert all(any(j <= a < j + substring_dedup.WINDOW for a in at_run) for j in range(len(t) - size + 1))
+            chosen = {tuple(t[a : a + k]) for a in at_run}
+            for u in texts[:i]:  # what is taken of a passage doesn't depend on the text around it
+                shared = {tuple(u[j : j + size]) for j in range(len(u) - size + 1)} & {tuple(t[j : j + size]) for j in range(len(t) - size + 1)}
+                assert all(any(p[j : j + k] in chosen for j in range(substring_dedup.WINDOW)) for p in shared)
+        by_hash = {}
+        for a, b, x, y in zip(lo.tolist(), hi.tolist(), g1.tolist(), g2.tolist(), strict=True):
+            i = int(np.searchsorted(at, a, "right")) - 1
+            by_hash.setdefault((x, y), set()).add(tuple(texts[i][a - at[i] : b - at[i]]))
+        assert all(len(v) == 1 for v in by_hash.values()) and len(by_hash) == len(set().union(*by_hash.values()))
+
+
 # --- winnowing ---------------------------------------------------------------------
 
 
