@@ -96,13 +96,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 3, batch: int = 32, rate: float = 0.5, piece: int = 240, pieces_a_text: int = 3, precision: float = 0.98, seed: int = 7) -> Model:
-    """Fit on the texts; a fifth of them calibrates."""
+    """Fit on the texts; a fifth of them calibrates, but never all texts of a language."""
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
     if len(languages) < 2:
         return Model(languages, np.zeros((1 << BUCKET_BITS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0, 0.0)
     y = np.array([languages.index(x) for x in langs])
     apart = rng.random(len(y)) < 0.2
+    for k in range(len(languages)):
+        apart[np.flatnonzero(y == k)[0]] &= not apart[y == k].all()
     fit, labels = _examples([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], piece, pieces_a_text, rng)
     held, held_y = _examples([t for t, a in zip(texts, apart, strict=True) if a], y[apart], piece, pieces_a_text, rng)
     emb = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype(np.float32)
@@ -146,13 +148,16 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 3,
 
 
 def sample(docs: DataFrame, per_language: int, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the text."""
+    """At most ``per_language`` different labelled texts of each language, those with the smallest hashes.
+
+    Copies are brought to one row of their hash before any are counted, so a
+    language of few texts in many rows keeps all of them. Hashes, not texts, are ranked.
+    """
     d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = d.groupBy("lang").count().withColumnRenamed("count", "c")
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    d = d.join(F.broadcast(counts), "lang").withColumn("place", place).where(F.col("place") * F.col("c") < 3 * per_language)
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).where(F.col("k") <= per_language)
-    got = d.select("text", "lang").orderBy("lang", "k").toArrow()
+    d = d.withColumn("place", F.xxhash64("text"))
+    places = d.select("lang", "place").distinct()
+    places = places.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("k") <= per_language)
+    got = d.join(F.broadcast(places), ["lang", "place"]).select("lang", "k", "text").distinct().orderBy("lang", "k", "text").toArrow()
     return got["text"].to_pylist(), got["lang"].to_pylist()
 
 

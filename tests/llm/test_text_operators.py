@@ -391,6 +391,23 @@ def test_language(spark, sf, make_docs):
     assert {r.lang_pred for r in langid.predict(make_docs(odd), empty).collect()} == {"und"}
 
 
+def test_language_sample_of_copies(spark):
+    few = [f"zwo drei vier funf sechs {a}" for a in ("eins", "acht")]
+    many = [f"the cat and the dog number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(300)]
+    copied = min(many, key=lambda t: xxhash.xxh64(t, seed=42).intdigest())
+    rows = [(few[i % 2], "xx") for i in range(6000)] + [(t, "yy") for t in many] + [(copied, "yy")] * 600 + [("solo palabra rara", "zz"), (None, "zz"), ("12 3", "zz"), ("no label", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = sorted(zip(*langid.sample(docs, 30, "text", "lang"), strict=True))
+    assert len(set(got)) == len(got)
+    assert {k: sum(x == k for _, x in got) for k in ("xx", "yy", "zz")} == {"xx": 2, "yy": 30, "zz": 1}
+    texts, langs = zip(*got, strict=True)
+    at = texts.index("solo palabra rara")
+    seed = next(s for s in range(100) if np.random.default_rng(s).random(len(texts))[at] < 0.2)
+    for s in (7, seed):  # a language of one text is learned, not kept for calibration
+        model = langid.train(list(texts), list(langs), seed=s)
+        assert langid.predict_texts(model, pa.array([few[0], "the cat and the dog", "solo palabra rara"]))[0] == ["xx", "yy", "zz"]
+
+
 def test_quality(spark, sf, make_docs):
     from quire.llm.queries import op4_quality_classifier
 
