@@ -324,7 +324,16 @@ def package_paragraph_roundtrip(spark, sf_dir):
 @query("""SELECT o_orderkey::BIGINT AS o_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, (1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INTEGER AS item, 1::INTEGER AS parent_item
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0""")
 def package_list_nesting(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    return _order_lists(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query("""SELECT o_orderkey::BIGINT AS o_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, (1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INTEGER AS item, 1::INTEGER AS parent_item
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def package_list_nesting_whole(spark, sf_dir):
+    return _order_lists(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _order_lists(spark, sf_dir, o):
     k = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     top = o.select("o_orderkey", F.lit(2).alias("prop"), *(F.lit(None).alias(c) for c in k))
     low = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.lit(3).alias("prop"), *k)

@@ -41,6 +41,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=str) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=str)
 
 
+def test_lists_of_all_orders_are_nested(spark):
+    orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem"))
+    want = {}
+    for r in lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey").collect():
+        want[r.l_orderkey] = want.get(r.l_orderkey, 0) + 1
+    got = {}
+    for r in queries.QUERIES["package_list_nesting_whole"](spark, SF).collect():
+        assert r.parent_item == 1
+        got.setdefault(r.o_orderkey, []).append(r.item)
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(2, n + 2)) for k, n in want.items()}
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 
