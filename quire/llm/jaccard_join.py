@@ -253,11 +253,21 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names it. Rows with a null id stay.
+    """``docs`` with one row of each group: the one whose id names it. Rows with a null id stay.
 
-    Of rows that repeat an id, each stays if its own text's group has that name.
+    Of rows that repeat an id and a text one is kept; rows that repeat an id with
+    another text are documents of their own.
     """
-    id_col = options.get("id_col", "doc_id")
-    groups = jaccard_groups(docs, **options)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_c")).where("_c > 1").select(id_col)
+    if again.isEmpty():
+        gone = jaccard_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    repeated = docs.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    rows = written(docs.join(again, id_col, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns)), "rows")
+    # Numbers in the order of the ids stand for them, so that each row has its own.
+    keys = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t")).distinct().orderBy("_id", "_t")
+    keys = written(keys.withColumn("_row", F.monotonically_increasing_id()), "keys")
+    rows = rows.join(keys, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_t")), "left")
+    gone = jaccard_groups(rows, **options | {"id_col": "_row"}).where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

@@ -74,6 +74,16 @@ def test_jaccard_groups_of_nothing_and_keep_first(make_docs):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 3), (False, 9), (True, 0)]
 
 
+def test_keep_first_of_repeated_ids(make_docs):
+    copy, own, other, twice = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x", "one two three four five six"
+    rows = [(3, copy), (5, own), (5, copy), (7, other), (7, other), (7, other), (8, twice), (8, twice.upper()), (9, twice), (2, None), (2, None), (None, copy), (None, copy)]
+    docs = make_docs(rows)
+    kept = jaccard_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()))
+    assert got == [(0, copy), (0, copy), (2, ""), (3, copy), (5, own), (7, other), (8, twice)]
+
+
 def test_prefix_grows_with_the_cost_of_candidates():
     assert jaccard_join.choose_prefix(np.zeros(100), 100, 85) == (16, 1)
     length, matches = jaccard_join.choose_prefix(np.full(100, 50.0), 100, 85)
