@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,18 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A folder for this application's tables under ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, one machine) a local folder stands in.
-    The folder is removed when the driver's interpreter ends.
+    Where that setting is absent a local folder stands in if the session runs on
+    one machine; on a cluster its absence is an error, as executors would each
+    write to a disk of their own. The folder is removed when the driver's
+    interpreter ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-")
         _scratch[app] = f"{base.rstrip('/')}/quire-{app}"
         atexit.register(_delete_quietly, spark, _scratch[app])
     return _scratch[app]
@@ -90,3 +97,11 @@ def let(value: Column, then) -> Column:
     expression to each of its uses when it merges projections.
     """
     return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -1,28 +1,38 @@
 """Benchmark decontamination: find short test items inside long documents.
 
-Size-partitioned MinHash containment search. An item is its set of word
-shingles. One permutation (a 64-bit hash) orders shingles; an item's sketch is
-its ``k`` smallest hash values (bottom-k MinHash). A document that holds at least
-``ceil(t * n)`` of the item's ``n`` shingles misses at most ``n - ceil(t * n)`` of
-them, so with ``k = n - ceil(t * n) + m`` it must hold ``m`` values of the sketch.
-Items are partitioned by size (powers of two), and the partition fixes ``m``:
-larger items ask for more matches, so a common phrase alone brings no candidate.
-Documents too short for a partition aren't searched in it. Nothing is missed at
-any size, and each candidate is verified by exact shingle containment.
+Size-partitioned MinHash containment search. Items and documents are sets of word
+shingles; one permutation (a 64-bit hash) orders these, and both sides are
+sketched by their smallest hash values.
+
+* Items are partitioned by size (powers of two). An item's sketch is its ``k``
+  smallest values. A document that holds at least ``ceil(t * n)`` of the item's
+  ``n`` shingles misses at most ``n - ceil(t * n)`` of them, so with
+  ``k = n - ceil(t * n) + m`` it must hold ``m`` values of the sketch. The partition
+  fixes ``m``: larger items ask for more matches, so a common phrase alone brings
+  no candidate.
+* A document has a signature for each partition: its values up to the largest
+  that any sketch of the partition holds. As sizes differ widely, the signature
+  is cut by value and not by number: one of fixed length would say nothing about
+  40 words in 20,000. Documents too short for a partition have none in it.
+
+Nothing is missed at any size, and each candidate is verified by exact shingle
+containment. Only candidates' texts are shuffled.
 
 Everything is DataFrame functions; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import let
+from quire.llm.common import let, written
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
-#: Sketch rows (16 bytes each) up to which the sketches are broadcast.
+#: Sketch rows, or ids of candidates (16 bytes each), up to which they are broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -75,18 +85,30 @@ def contained_items(
     * a null document or item id is a value like any other;
     * empty tables give an empty result; further columns are ignored.
     """
-    sketch = item_sketches(items, shingle_words, threshold, item_id, item_text)
+    sketch = written(item_sketches(items, shingle_words, threshold, item_id, item_text), "sketches")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = sketch.count()
-    if rows <= MAX_BROADCAST_ROWS:
+    # by partition: the shingles that a document needs at least, and the largest value of its sketches; a row for each power of two
+    sizes = sketch.groupBy("size_class").agg(F.max("h").alias("top")).orderBy("size_class").collect()
+    least = [(math.ceil(2 ** r["size_class"] * threshold - 1e-9), r["top"]) for r in sizes]
+    if sketch.count() <= MAX_BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
+
+    def signature(h: Column) -> Column:
+        """The values of all of the document's signatures, each once."""
+        top = F.greatest(*[F.when(F.size(h) >= n, F.lit(top)) for n, top in least], F.lit(None).cast("long"), F.lit(None).cast("long"))
+        return F.transform(F.filter(h, lambda x: x <= top), lambda x: F.struct(F.size(h).alias("n_doc"), x.alias("h")))
+
     # explode_outer: explode would have its input computed a second time, to filter out empty arrays
-    sized = let(words(F.col("text")), lambda w: let(shingle_hashes(w, shingle_words), lambda h: F.transform(h, lambda x: F.struct(F.size(h).alias("n_doc"), x.alias("h")))))
+    sized = let(words(F.col("text")), lambda w: let(shingle_hashes(w, shingle_words), signature))
     probe = d.select("doc_id", F.explode_outer(sized).alias("s")).select("doc_id", "s.n_doc", "s.h")
-    # a document needs threshold * 2^class shingles at least
     enough = F.col("n_doc") >= F.ceil(F.pow(F.lit(2.0), F.col("size_class")) * threshold - 1e-9)
     hits = probe.join(sketch, "h").where(enough)
     candidates = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.min("asked").alias("asked")).where("hits >= asked").select("doc_id", "item_id")
+    candidates = written(candidates, "candidates")
+    ids = candidates.select(F.col("doc_id").alias("found")).distinct()
+    if candidates.count() <= MAX_BROADCAST_ROWS:  # beyond that the texts are shuffled
+        ids = F.broadcast(ids)
+    d = d.join(ids, F.col("doc_id").eqNullSafe(F.col("found")), "left_semi")
     bench = items.select(F.col(item_id).alias("item_id"), let(words(F.col(item_text)), lambda w: shingle_strings(w, shingle_words)).alias("item_sh"))
     c, b = candidates.alias("c"), bench.alias("b")
     pairs = c.join(b, F.col("c.item_id").eqNullSafe(F.col("b.item_id"))).select(F.col("c.doc_id").alias("c_doc"), "b.item_id", "item_sh")
@@ -101,5 +123,5 @@ def contained_items(
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item; all their columns stay."""
     id_col = options.get("id_col", "doc_id")
-    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contained_items(docs, items, **options).select("doc_id").distinct().alias("found")
+    return docs.alias("kept").join(bad, F.col(f"kept.{id_col}").eqNullSafe(F.col("found.doc_id")), "left_anti")

@@ -1,13 +1,17 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks. Each block starts from the same initial state, carries
-a checksum and decodes on its own. Within a block an id is predicted three ways:
-the id that last followed the two ids before it (order 2), the id that last
-followed the one before it (order 1), and an adaptive distribution of ids
-(order 0). The predictions are mixed: in each state of the two predictions'
-confidence the block learns with which probability either is right, and the
-range coder codes which one holds; if none does, the id is coded by order 0, as
-the bucket of its rank (adaptive) and its place in the bucket.
+a checksum and decodes on its own. An id's probability is a mixture of three:
+
+* order 2: all on the id that last followed the two ids before it;
+* order 1: all on the id that last followed the id before it;
+* order 0: the share of each id among all ids of the call, sent beside the blocks.
+
+The mixture's weights depend on how often either prediction has been right (its
+confidence) and on whether both name the same id. They are learned within the
+block: after each id a weight moves towards the share that its order had in the
+probability of that id. The range coder codes the id in one step: the two
+predicted ids have the first intervals, the others follow in rank order.
 
 Blocks are coded side by side: step ``t`` codes id ``t`` of every block, so one
 numpy operation serves all of them.
@@ -19,223 +23,270 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-_BITS = 15
-_ONE = 1 << _BITS
-_SLOTS = 1 << 12
-#: Least probability of a choice and of a bucket, in 2**-15.
-_FLOOR = 32
-_RATE, _RATE0 = 4, 5
+BLOCK = 2048
+#: Blocks that are coded side by side.
+LANES = 2048
+#: Contexts that a block keeps of each order.
+_SLOTS = 1 << 11
+#: Bits of a weight, and of a share of order 0.
+_W, _F = 12, 18
+_S = 1 << _F
+_STATES = 32
+#: Steps between two updates of the weights.
+_TURN = 32
+#: Ids after which a state's evidence counts half.
+_MEMORY = 256.0
+_LOW, _TOP = 32, 48
+
 
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Counts scaled to a sum of ``2**_F``, each at least 1."""
+    total = int(counts.sum())
+    out = np.maximum(counts * _S // max(1, total), 1)
+    excess = int(out.sum()) - _S
+    while excess:  # taken from, or given to, the largest
+        if excess < 0:
+            out[0] -= excess
+            break
+        room = out - 1
+        cut = np.minimum(room, -(-room * excess // max(1, int(room.sum()))))
+        over = np.cumsum(cut)
+        cut = np.where(over <= excess, cut, np.maximum(cut - (over - excess), 0))
+        out -= cut
+        excess = int(out.sum()) - _S
+    return out
 
-def _bucket_of(ranks: int) -> tuple[np.ndarray, int]:
-    """Bucket of each rank: floor(log2(rank + 1)); and the number of buckets."""
-    b = np.floor(np.log2(np.arange(1, ranks + 1) + 0.5)).astype(np.int64)
-    return b, int(b[-1]) + 1 if ranks else 1
+
+def _first_weights() -> tuple[np.ndarray, np.ndarray]:
+    """Weights of order 2 and 1 by state: 16 * (same id) + 4 * (confidence of order 2) + confidence of order 1."""
+    same, rest = np.divmod(np.arange(_STATES), 16)
+    c2, c1 = np.divmod(rest, 4)
+    w2 = np.array([0.0, 0.3, 0.6, 0.8])[c2]
+    w1 = np.array([0.0, 0.1, 0.25, 0.4])[c1] * (1 - w2)
+    return np.where(same == 1, w2 + w1, w2), np.where(same == 1, 0.0, w1)
 
 
 class _Model:
     """State of the blocks that are coded side by side."""
 
-    def __init__(self, lanes: int, buckets: int) -> None:
-        self.buckets = buckets
-        self.lane = np.arange(lanes)
-        self.t1 = np.zeros(lanes * _SLOTS, np.int32)  # (id + 1) * 4 + confidence; 0: nothing yet
-        self.t2 = np.zeros(lanes * _SLOTS, np.int32)
-        # cumulative probabilities of "order 2", "order 2 or order 1", by lane and confidences
-        c2, c1 = np.divmod(np.arange(16), 4)
-        p2 = np.array([0, 8192, 20480, 26624])[c2]
-        p1 = p2 + (_ONE - p2) * np.array([0, 2, 4, 6])[c1] // 16
-        self.h2, self.h1 = (np.tile(x.astype(np.int32), lanes) for x in (p2, p1))
-        self.g = np.tile((np.arange(1, buckets) * _ONE // buckets).astype(np.int32), (lanes, 1))
-        self.floor0 = (np.arange(1, buckets) * _FLOOR).astype(np.int32)
-        self.span0 = _ONE - buckets * _FLOOR
-        self.base = self.lane * _SLOTS
-        self.steps = np.arange(1, buckets, dtype=np.int32)
-
-    def predict(self, one: np.ndarray, two: np.ndarray):
-        n = len(one)
-        s1 = self.base[:n] + (one & (_SLOTS - 1))
-        s2 = self.base[:n] + ((one * 2531 + two * 709) & (_SLOTS - 1))
-        v1, v2 = self.t1.take(s1), self.t2.take(s2)
-        at = (self.lane[:n] << 4) + ((v2 & 3) << 2) + (v1 & 3)
-        h2, h1 = self.h2.take(at), self.h1.take(at)
-        e2 = ((h2 * (_ONE - 3 * _FLOOR)) >> _BITS) + _FLOOR
-        e1 = ((h1 * (_ONE - 3 * _FLOOR)) >> _BITS) + 2 * _FLOOR
-        return s1, s2, v1, v2, at, h2, h1, e2, e1
-
-    def learn(self, ids, s1, s2, v1, v2, at, h2, h1, kind) -> None:
-        self.h2[at] = h2 + ((((kind == 0) << _BITS) - h2) >> _RATE)
-        self.h1[at] = h1 + ((((kind < 2) << _BITS) - h1) >> _RATE)
-        code = (ids + 1) << 2
-        for table, slot, v in ((self.t1, s1, v1), (self.t2, s2, v2)):
-            held = v & 3
-            same = (v >> 2) == ids + 1
-            # right: more confident; wrong: less, or replaced
-            table[slot] = np.where(same, code + np.minimum(held + 1, 3), np.where(held > 1, v - 1, code + 1))
-
-    def learn_bucket(self, who, rows, bucket) -> None:
-        rows += (((bucket[:, None] < self.steps) << _BITS) - rows) >> _RATE0
-        self.g[who] = rows
-
-
-def _lanes(total: int, block: int) -> tuple[int, int]:
-    lanes = -(-total // block)
-    return lanes, total - (lanes - 1) * block
+    def __init__(self, lanes: int, share: np.ndarray) -> None:
+        self.none = len(share)  # stands for "no prediction"; has no share
+        self.share = np.append(share, 0).astype(np.int32)
+        self.below = np.concatenate([np.zeros(1, np.int64), np.cumsum(share)]).astype(np.int32)  # [none]: all
+        # by slot: 16 * the id that came last + 4 * confidence
+        self.t1, self.t2 = (np.full(lanes * _SLOTS, self.none << 4, np.int32) for _ in range(2))
+        self.base, self.state = np.arange(lanes) * _SLOTS, np.arange(lanes) * _STATES
+        w2, w1 = _first_weights()
+        # evidence: ids seen, and the orders' part in them
+        self.seen = np.full(lanes * _STATES, 4.0)
+        self.part2, self.part1 = np.tile(4 * w2, lanes), np.tile(4 * w1, lanes)
+        self.kept_at = np.zeros((_TURN, lanes), np.int64)
+        self.kept2, self.kept1 = (np.zeros((_TURN, lanes), bool) for _ in range(2))
+        self.kept_size = np.zeros((_TURN, lanes), np.int32)
+        self.turn = 0
+        self._weigh()
+
+    def _weigh(self) -> None:
+        top = (1 << _W) - 64  # order 0 keeps a weight of 1/64
+        i2, i1 = (self.part2 / self.seen * top).astype(np.int32), (self.part1 / self.seen * top).astype(np.int32)
+        self.i2, self.i1, self.i0 = i2 << _F, i1 << _F, (1 << _W) - i2 - i1
+
+    def slots(self, one: np.ndarray, two: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return base + (one & (_SLOTS - 1)), base + ((one * 2531 + two * 709 >> 2) & (_SLOTS - 1))
+
+    def predict(self, s1: np.ndarray, s2: np.ndarray) -> None:
+        self.s1, self.s2 = s1, s2
+        n = len(s1)
+        v1, v2 = self.t1[s1], self.t2[s2]
+        c1, c2 = (v1 >> 4).astype(np.int64), (v2 >> 4).astype(np.int64)
+        same = c1 == c2
+        at = np.add(self.state[:n], (v2 & 12) + (v1 >> 2 & 3) + (same.view(np.int8) << 4), out=self.kept_at[self.turn, :n])
+        i0 = self.i0[at]
+        f2, f1 = self.share[c2], self.share[c1] * ~same
+        # the two predicted ids' intervals; the others' begin at e1
+        e2, d1 = self.i2[at] + i0 * f2, self.i1[at] + i0 * f1
+        self.v1, self.v2, self.c1, self.c2, self.i, self.f2, self.f1, self.e2, self.d1, self.e1 = v1, v2, c1, c2, i0, f2, f1, e2, d1, e2 + d1
+
+    def interval(self, x: np.ndarray, f: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low end, size) of ids with the shares ``f`` and the sums of shares ``below``; notes which order named them."""
+        n = len(x)
+        is2 = np.equal(self.c2, x, out=self.kept2[self.turn, :n])
+        is1 = self.c1 == x
+        before = below - (self.c2 < x) * self.f2 - (self.c1 < x) * self.f1
+        lo = np.where(is2, 0, np.where(is1, self.e2, self.e1 + self.i * before))
+        size = np.where(is2, self.e2, np.where(is1, self.d1, self.i * f))
+        self.is1, self.is2 = is1, is2
+        np.greater(is1, is2, out=self.kept1[self.turn, :n])
+        self.kept_size[self.turn, :n] = size
+        return lo, size
+
+    def learn(self, x: np.ndarray) -> None:
+        n = len(x)
+        new = (x.astype(np.int32) << 4) + 4
+        most = new + 8
+        self.t1[self.s1] = np.where(self.is1, np.minimum(self.v1 + 4, most), new)
+        self.t2[self.s2] = np.where(self.is2, np.minimum(self.v2 + 4, most), new)
+        self.turn += 1
+        if self.turn == _TURN:  # a shorter last block that is done has no use for its evidence
+            at = self.kept_at[: self.turn, :n].reshape(-1)
+            inv = 1.0 / np.maximum(self.kept_size[: self.turn, :n].reshape(-1), 1)
+            k = len(self.seen)
+            self.seen += np.bincount(at, minlength=k)
+            self.part2 += np.bincount(at, self.i2.take(at) * self.kept2[: self.turn, :n].reshape(-1) * inv, k)
+            self.part1 += np.bincount(at, self.i1.take(at) * self.kept1[: self.turn, :n].reshape(-1) * inv, k)
+            full = self.seen > _MEMORY
+            for x in (self.seen, self.part2, self.part1):
+                x[full] *= 0.5
+            self._weigh()
+            self.turn = 0
+
+
+def _encode(grid: np.ndarray, last: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the blocks in turn, words a block) of the ranks in ``grid`` (step, block); the last block has ``last`` ids."""
+    block, lanes = grid.shape
+    m = _Model(lanes, share)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOP, np.int64)
+    at = np.arange(lanes)  # where each block's next word goes
+    out = np.zeros((block * 2 + 8, lanes), np.uint32)
+    flat = out.reshape(-1)
+    share_of, below = m.share.take(grid), m.below.take(grid)
+    before = np.zeros((2, lanes), np.int64)
+    slots1, slots2 = m.slots(np.vstack([before[:1], grid[:-1]]), np.vstack([before, grid[:-2]])[:block], m.base)
+    for t in range(block):
+        n = lanes if t < last else lanes - 1
+        if not n:
+            break
+        if n < len(low):
+            done = low[n:], at[n:]
+            low, rng, at = low[:n], rng[:n], at[:n]
+        x = grid[t, :n]
+        m.predict(slots1[t, :n], slots2[t, :n])
+        lo, size = m.interval(x, share_of[t, :n], below[t, :n])
+        r = rng >> (_W + _F)
+        low += r * lo
+        rng = r * size
+        who = np.flatnonzero(rng < 1 << _LOW)
+        while len(who):
+            head, place = low[who], at[who]
+            flat[place] = head >> _LOW
+            low[who] = (head & ((1 << _LOW) - 1)) << 16
+            at[who] = place + lanes
+            rng[who] <<= 16
+            who = who[rng[who] < 1 << _LOW]
+        m.learn(x)
+    if len(low) < lanes:
+        low, at = np.concatenate([low, done[0]]), np.concatenate([at, done[1]])
+    for _ in range(3):
+        flat[at] = low >> _LOW
+        low = (low & ((1 << _LOW) - 1)) << 16
+        at = at + lanes
+    pos = at // lanes
+    for p in range(int(pos.max()) - 1, 0, -1):  # carries, from the last word to the first
+        out[p - 1] += out[p] >> 16
+    words = out[: int(pos.max())].astype("<u2").T
+    return words[np.arange(words.shape[1])[None, :] < pos[:, None]], pos
+
+
+def _decode(stream: np.ndarray, words: np.ndarray, block: int, last: int, share: np.ndarray) -> np.ndarray:
+    """The ranks (step, block) of blocks whose words lie in ``stream`` in turn."""
+    lanes = len(words)
+    m = _Model(lanes, share)
+    rank_at = np.repeat(np.arange(m.none), share)  # by place on the line of order 0
+    end = len(stream) - 1
+    pos = np.cumsum(words) - words
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = (code << 16) | stream.take(pos, mode="clip")
+        pos += 1
+    rng = np.full(lanes, 1 << _TOP, np.int64)
+    grid = np.zeros((block, lanes), np.int64)
+    before = np.zeros(lanes, np.int64)
+    for t in range(block):
+        n = lanes if t < last else lanes - 1
+        if not n:
+            break
+        code, rng, pos = code[:n], rng[:n], pos[:n]
+        one, two = (grid[t - k, :n] if t >= k else before[:n] for k in (1, 2))
+        m.predict(*m.slots(one, two, m.base[:n]))
+        r = rng >> (_W + _F)
+        v = (code / r).astype(np.int32)  # below 2**48 and 2**30: the quotient's floor is exact
+        # the place on the line of order 0, with the predicted ids' shares put back, the lower one's first
+        u = (np.maximum(v - m.e1, 0) / m.i).astype(np.int32)
+        swap = m.c1 < m.c2
+        a, b = np.where(swap, m.c1, m.c2), np.where(swap, m.c2, m.c1)
+        u += (u >= m.below[a]) * np.where(swap, m.f1, m.f2)
+        u += (u >= m.below[b]) * np.where(swap, m.f2, m.f1)
+        x = np.where(v < m.e2, m.c2, np.where(v < m.e1, m.c1, rank_at.take(u, mode="clip")))
+        lo, size = m.interval(x, m.share[x], m.below[x])
+        code -= r * lo
+        rng = r * size
+        who = np.flatnonzero(rng < 1 << _LOW)
+        while len(who):
+            place = pos[who]
+            code[who] = (code[who] << 16 | stream.take(place, mode="clip")) & ((1 << 50) - 1)
+            pos[who] = place + 1
+            rng[who] = np.maximum(rng[who] << 16, 1)  # 0 only if damaged
+            who = who[rng[who] < 1 << _LOW]
+        m.learn(x)
+        grid[t, :n] = x
+    return grid
+
+
+def _checksum(ids: np.ndarray, coded: bytes) -> int:
+    """CRC-32 of a block's ids and of its coded words."""
+    return zlib.crc32(coded, zlib.crc32(ids.tobytes()))
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> dict:
-    """The coded blocks of ``ids`` and what decoding needs: ids by rank, blocks' sizes and checksums."""
+    """The coded blocks of ``ids`` and what decoding needs: ids by rank, their shares, blocks' sizes and checksums."""
     ids = np.ascontiguousarray(ids, np.int64)
     total = len(ids)
+    none = np.zeros(0, np.uint32)
     if not total:
-        return {"total": 0, "block": block, "ids": np.zeros(0, np.uint32), "words": np.zeros(0, np.uint32), "crc": np.zeros(0, np.uint32), "data": b""}
+        return {"total": 0, "block": block, "ids": none, "shares": none, "words": none, "crc": none, "data": b""}
     seen = np.bincount(ids)
     order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
     rank_of = np.zeros(len(seen), np.int64)
     rank_of[order] = np.arange(len(order))
-    bucket_of, buckets = _bucket_of(len(order))
-    lanes, last = _lanes(total, block)
-    grid = np.zeros(lanes * block, np.int64)
-    grid[:total] = rank_of[ids]
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    m = _Model(lanes, buckets)
-    low, rng = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-    pos = np.zeros(lanes, np.int64)
-    out = np.zeros((block * 2 + 4, lanes), np.uint32)
-    flat = out.reshape(-1)
-
-    def shift(who) -> None:
-        flat[pos[who] * lanes + who] = low[who] >> 16
-        low[who] = (low[who] & 0xFFFF) << 16
-        rng[who] <<= 16
-        pos[who] += 1
-
-    one = two = np.zeros(lanes, np.int64)
-    for t in range(min(block, total)):
-        n = lanes if t < last else lanes - 1
-        x, one, two = grid[t, :n], one[:n], two[:n]
-        s1, s2, v1, v2, at, h2, h1, e2, e1 = m.predict(one, two)
-        kind = np.where((v2 >> 2) == x + 1, 0, np.where((v1 >> 2) == x + 1, 1, 2))
-        lo = np.where(kind == 0, 0, np.where(kind == 1, e2, e1))
-        hi = np.where(kind == 0, e2, np.where(kind == 1, e1, _ONE))
-        r = rng[:n] >> _BITS
-        low[:n] += r * lo
-        rng[:n] = r * (hi - lo)
-        small = np.flatnonzero(rng[:n] < 65536)
-        if len(small):
-            shift(small)
-        m.learn(x, s1, s2, v1, v2, at, h2, h1, kind)
-        who = np.flatnonzero(kind == 2)
-        if len(who):
-            y = x[who]
-            b = bucket_of[y]
-            rows = m.g[who]
-            edge = np.zeros((len(who), buckets + 1), np.int32)
-            np.add((rows * m.span0) >> _BITS, m.floor0, out=edge[:, 1:buckets])
-            edge[:, buckets] = _ONE
-            i = np.arange(len(who))
-            lo, hi = edge[i, b], edge[i, b + 1]
-            r = rng[who] >> _BITS
-            low[who] += r * lo
-            rng[who] = r * (hi - lo)
-            small = who[rng[who] < 65536]
-            if len(small):
-                shift(small)
-            m.learn_bucket(who, rows, b)
-            r = rng[who] >> b
-            low[who] += r * (y + 1 - (1 << b))
-            rng[who] = r
-            small = who[r < 65536]
-            if len(small):
-                shift(small)
-        one, two = x, one
-    every = np.arange(lanes)
-    for _ in range(2):
-        shift(every)
-    for p in range(int(pos.max()) - 1, 0, -1):  # carries, from the last word to the first
-        out[p - 1] += out[p] >> 16
-    words = out[: int(pos.max())].astype("<u2").T
-    used = np.arange(words.shape[1])[None, :] < pos[:, None]
-    raw = ids.astype("<u4")
-    crc = [zlib.crc32(raw[i : i + block].tobytes()) for i in range(0, total, block)]
-    return {"total": total, "block": block, "ids": order.astype(np.uint32), "words": pos.astype(np.uint32), "crc": np.array(crc, np.uint32), "data": words[used].tobytes()}
+    share, ranks = shares(seen[order]), rank_of[ids]
+    words, sizes = [], []
+    for at in range(0, total, block * LANES):
+        part = ranks[at : at + block * LANES]
+        lanes = -(-len(part) // block)
+        grid = np.zeros(lanes * block, np.int64)
+        grid[: len(part)] = part
+        steps = min(block, len(part))
+        w, n = _encode(np.ascontiguousarray(grid.reshape(lanes, block).T)[:steps], len(part) - (lanes - 1) * block, share)
+        words.append(w)
+        sizes.append(n)
+    raw, data, sizes = ids.astype("<u4"), np.concatenate(words).tobytes(), np.concatenate(sizes)
+    end = (2 * np.cumsum(sizes)).tolist()
+    crc = [_checksum(raw[k * block : (k + 1) * block], data[b - 2 * n : b]) for k, (b, n) in enumerate(zip(end, sizes.tolist(), strict=True))]
+    return {"total": total, "block": block, "ids": order.astype(np.uint32), "shares": share.astype(np.uint32), "words": sizes.astype(np.uint32), "crc": np.array(crc, np.uint32), "data": data}
 
 
 def decode(c: dict, first: int = 0, count: int | None = None) -> np.ndarray:
     """Ids of ``count`` blocks from block ``first`` on; raises ValueError if a checksum differs."""
-    block, total = c["block"], c["total"]
-    words_all = c["words"].astype(np.int64)
+    block, total, words_all = c["block"], c["total"], c["words"].astype(np.int64)
     count = len(words_all) - first if count is None else count
     if not total or not count:
         return np.zeros(0, np.uint32)
-    order = np.append(c["ids"].astype(np.int64), 0)
-    buckets = _bucket_of(len(order) - 1)[1]
-    skip = int(words_all[:first].sum())
-    words = words_all[first : first + count]
-    stream = np.frombuffer(c["data"], "<u2", int(words.sum()), 2 * skip).astype(np.int64)
-    n_ids = min(total, (first + count) * block) - first * block
-    lanes, last = _lanes(n_ids, block)
-    stream = np.append(stream, np.zeros(4, np.int64))
-    pos = np.cumsum(words) - words
-    code = (stream[pos] << 16) | stream[pos + 1]
-    pos += 2
-    rng = np.full(lanes, 0xFFFFFFFF, np.int64)
-    m = _Model(lanes, buckets)
-    grid = np.zeros((block, lanes), np.int64)
-
-    def shift(who) -> None:
-        code[who] = (code[who] << 16) | stream[np.minimum(pos[who], len(stream) - 1)]  # past the end only if damaged
-        rng[who] <<= 16
-        pos[who] += 1
-
-    one = two = np.zeros(lanes, np.int64)
-    for t in range(min(block, n_ids)):
-        n = lanes if t < last else lanes - 1
-        one, two = one[:n], two[:n]
-        s1, s2, v1, v2, at, h2, h1, e2, e1 = m.predict(one, two)
-        r = rng[:n] >> _BITS
-        v = (code[:n] / r).astype(np.int64)  # both below 2**32: the quotient's floor is exact
-        kind = (v >= e2).astype(np.int64) + (v >= e1)
-        lo = np.where(kind == 0, 0, np.where(kind == 1, e2, e1))
-        hi = np.where(kind == 0, e2, np.where(kind == 1, e1, _ONE))
-        code[:n] -= r * lo
-        rng[:n] = r * (hi - lo)
-        small = np.flatnonzero(rng[:n] < 65536)
-        if len(small):
-            shift(small)
-        x = np.where(kind == 0, v2 >> 2, v1 >> 2).astype(np.int64) - 1
-        who = np.flatnonzero(kind == 2)
-        if len(who):
-            rows = m.g[who]
-            edge = np.zeros((len(who), buckets + 1), np.int32)
-            np.add((rows * m.span0) >> _BITS, m.floor0, out=edge[:, 1:buckets])
-            edge[:, buckets] = _ONE
-            r = rng[who] >> _BITS
-            v = (code[who] / r).astype(np.int64)
-            b = (edge[:, 1:buckets] <= v[:, None]).sum(1)
-            i = np.arange(len(who))
-            lo, hi = edge[i, b], edge[i, b + 1]
-            code[who] -= r * lo
-            rng[who] = r * (hi - lo)
-            small = who[rng[who] < 65536]
-            if len(small):
-                shift(small)
-            m.learn_bucket(who, rows, b)
-            r = rng[who] >> b
-            v = (code[who] / r).astype(np.int64)
-            code[who] -= r * v
-            rng[who] = r
-            small = who[r < 65536]
-            if len(small):
-                shift(small)
-            x[who] = v + (1 << b) - 1
-        m.learn(x, s1, s2, v1, v2, at, h2, h1, kind)
-        grid[t, :n] = x
-        one, two = x, one
-    np.clip(grid, 0, len(order) - 1, out=grid)
-    ids = order[grid.T.reshape(-1)[:n_ids]].astype("<u4")
-    for k in range(lanes):
-        if zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) != int(c["crc"][first + k]):
-            raise ValueError(f"checksum of block {first + k}")
-    return ids
+    order = np.append(c["ids"], 0).astype("<u4")
+    share = c["shares"].astype(np.int64)
+    if len(share) != len(c["ids"]) or int(share.sum()) != _S:
+        raise ValueError("shares of the ids")
+    skip, out = int(words_all[:first].sum()), []
+    for a in range(first, first + count, LANES):
+        b = min(first + count, a + LANES)
+        words = words_all[a:b]
+        n_ids = min(total, b * block) - a * block
+        stream = np.append(np.frombuffer(c["data"], "<u2", int(words.sum()), 2 * skip), 0).astype(np.int64)
+        end = 2 * (skip + np.cumsum(words))
+        skip += int(words.sum())
+        grid = _decode(stream, words, min(block, n_ids), n_ids - (b - a - 1) * block, share)
+        ids = order[grid.T.reshape(-1)[:n_ids] if b - a > 1 else grid[:n_ids, 0]]
+        for k in range(b - a):
+            if _checksum(ids[k * block : (k + 1) * block], c["data"][end[k] - 2 * words[k] : end[k]]) != int(c["crc"][a + k]):
+                raise ValueError(f"checksum of block {a + k}")
+        out.append(ids)
+    return np.concatenate(out)

@@ -1,7 +1,9 @@
 """N-gram Jaccard join: which documents link, and the groups that links form.
 
 Two documents link if the Jaccard similarity of their sets of word shingles
-reaches a threshold. The join is exact.
+reaches a threshold. No candidate is left out, and each is verified on whole sets.
+Shingles are compared by 64-bit hashes and sets by 128 bits: two different
+shingles count as one with a chance of 2**-64 a pair.
 
 * Documents with equal sets are one class; only classes are compared.
 * Shingles are put in one global order, rare ones first. How frequent a shingle
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_written, lean_batches, written
+from quire.llm.common import drop_written, lean_batches, unused, written
 from quire.llm.components import components
 from quire.llm.text_hash import mix, shingle_sets, slices
 
@@ -41,6 +43,8 @@ MAX_ROUNDS = 6
 WORTHWHILE = 0.25
 #: Cost of verifying a candidate, in units of one index entry read.
 VERIFY_COST = 20.0
+#: A set that one row in so many has is hot; there are no more hot ones than that.
+HOT_SHARE = 1000
 #: Ids (8 bytes each) of documents to verify up to which they are broadcast.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -148,20 +152,43 @@ def _links(num: int, den: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of the pairs, by the full sets of both. Sets are made of the documents in question only."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    if ids.count() <= MAX_BROADCAST_IDS:  # beyond that the texts are shuffled
+def _only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is among ``ids`` (a written table of one column, id)."""
+    if ids.count() <= MAX_BROADCAST_IDS:  # beyond that the rows are shuffled
         ids = F.broadcast(ids)
-    wanted = docs.join(ids, docs.doc_id == ids.id, "left_semi")
-    sets = written(wanted.mapInArrow(_sets(size), "node long, items binary"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sx")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sy")), "b").select("a", "b", "sx", "sy")
+    return rows.join(ids, rows[key] == ids["id"], "left_semi")
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, items): the whole sets of the documents that ``nodes`` names, made once for all rounds."""
+    ids = written(nodes.select(F.col("node").alias("id")).distinct(), "ids")
+    return written(_only(docs, "doc_id", ids).mapInArrow(_sets(size), "node long, items binary"), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of the pairs, by the full sets of both. Only the sets in question are shuffled."""
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    wanted = _only(sets, "node", ids)
+    both = pairs.join(wanted.select(F.col("node").alias("a"), F.col("items").alias("sx")), "a")
+    both = both.join(wanted.select(F.col("node").alias("b"), F.col("items").alias("sy")), "b").select("a", "b", "sx", "sy")
     out = written(both.mapInArrow(_links(num, den), "a long, b long, linked boolean"), "links")
-    drop_written(sets)
+    drop_written(ids)
     return out
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the component of the class of their set.
+
+    A set that a large share of the rows has would bring them all to one task:
+    such classes, ``HOT_SHARE`` at most, are broadcast, the others are shuffled.
+    """
+    total = rows.count()
+    hot = F.broadcast(classes.where(F.col("c") * HOT_SHARE >= total).select("k1", "k2", F.col("component").alias("hot")))
+    rows = rows.join(hot, ["k1", "k2"], "left")
+    rest = rows.where("hot is null").join(classes.where(F.col("c") * HOT_SHARE < total).select("k1", "k2", "component"), ["k1", "k2"], "left")
+    return rows.where("hot is not null").select("doc_id", "n", F.col("hot").alias("component")).unionByName(rest.select("doc_id", "n", "component"))
+
+
 def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: links where ``den * intersection >= num * union``.
 
@@ -184,7 +211,7 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     sketch[counts["bucket"].to_numpy()] = np.minimum(counts["seen"].to_numpy(), 0xFFFFFFFF)
     shared_sketch = spark.sparkContext.broadcast(sketch.tobytes())  # 2 MB, whatever the input
     rows = first.where("bucket is null").select("doc_id", "n", "k1", "k2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
 
     prefixes = d.mapInArrow(_prefixes(shingle_words, num, den, shared_sketch), "node long, n long, matches long, beyond long, end_seen long, end_hash long, typical long, prefix array<long>, places array<int>")
     prefixes = written(prefixes.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"), "prefixes")
@@ -196,7 +223,7 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     most = F.floor(((F.col("own") + F.col("beyond")) * (num + den) - num * F.col("n")) / num)
     about = prefixes.join(own, "node").select("node", F.struct("n", "matches", most.alias("most"), F.struct("end_seen", "end_hash").alias("end")).alias("of"))
 
-    sizes = prefixes.select("node", "n")
+    sizes, sets = prefixes.select("node", "n"), full_sets(d, entries, shingle_words)
 
     def best_centre(pairs: DataFrame) -> DataFrame:
         """Of the (a, b) pairs, the one for each b that shares most prefix shingles, if sizes allow a link."""
@@ -205,7 +232,7 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
         p = p.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         return p.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
 
-    tried = verify(written(best_centre(entries.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "stars"), d, shingle_words, num, den)
+    tried = verify(written(best_centre(entries.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "stars"), sets, num, den)
     links = tried.where("linked").select("a", "b")
     groups = written(components(links), "groups")
     for turn in range(MAX_ROUNDS):
@@ -216,7 +243,7 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
         e = written(e.join(mixed, "token"), "mixed")
         stars = e.where("component <> major").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         stars = best_centre(stars.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti"))
-        found = verify(written(stars, "stars"), d, shingle_words, num, den)
+        found = verify(written(stars, "stars"), sets, num, den)
         tried = tried.unionByName(found)
         links = tried.where("linked").select("a", "b")
         groups = written(components(links), "groups")
@@ -244,11 +271,13 @@ def jaccard_groups(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, de
     part = lambda h: F.transform(F.filter(F.col(f"{h}.e"), lambda t: t.places < F.col(f"{h}.n") - limit), lambda t: t.prefix)
     pairs = pairs.withColumn("shared", F.size(F.array_intersect(part("x"), part("y")))).withColumn("matches", matches)
     rest = written(pairs.where("shared >= matches").select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = verify(rest, d, shingle_words, num, den).where("linked").select("a", "b")
+    more = verify(rest, sets, num, den).where("linked").select("a", "b")
     named = components(links.unionByName(more))
 
-    out = rows.join(classes, ["k1", "k2"], "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    classes = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "c", F.coalesce("component", "rep").alias("component"))
+    out = _with_class(rows, written(classes, "classes"))
+    drop_written(sets)
+    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
@@ -259,15 +288,17 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     another text are documents of their own.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_c")).where("_c > 1").select(id_col)
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("times")).where("times > 1").select(id_col)
     if again.isEmpty():
-        gone = jaccard_groups(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+        gone = jaccard_groups(docs, **options).where("doc_id <> component_id").select("doc_id").distinct().alias("gone")
+        return docs.alias("kept").join(gone, F.col(f"kept.{id_col}") == F.col("gone.doc_id"), "left_anti")
     repeated = docs.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
     rows = written(docs.join(again, id_col, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns)), "rows")
     # Numbers in the order of the ids stand for them, so that each row has its own.
-    keys = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t")).distinct().orderBy("_id", "_t")
-    keys = written(keys.withColumn("_row", F.monotonically_increasing_id()), "keys")
-    rows = rows.join(keys, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_t")), "left")
-    gone = jaccard_groups(rows, **options | {"id_col": "_row"}).where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    row, text_hash = unused(rows, "row"), F.xxhash64(text_col)
+    keys = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("key_id"), text_hash.alias("key_hash")).distinct().orderBy("key_id", "key_hash")
+    keys = written(keys.withColumn(row, F.monotonically_increasing_id()), "keys").alias("keys")
+    rows = rows.alias("rows").join(keys, (F.col(f"rows.{id_col}") == F.col("keys.key_id")) & (F.xxhash64(f"rows.{text_col}") == F.col("keys.key_hash")), "left")
+    rows = rows.select("rows.*", F.col(f"keys.{row}"))
+    gone = jaccard_groups(rows, **options | {"id_col": row}).where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)

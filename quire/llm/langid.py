@@ -72,16 +72,17 @@ def subwords(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out)[order], np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
 
 
-def _examples(texts: list[str], labels: np.ndarray, piece: int, a_text: int, rng) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of pieces of the texts: some of each text, so that short texts are learned too."""
+def _examples(texts: list[str], labels: np.ndarray, piece: int, rng) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets of the pieces that the texts are cut into: whole texts, in pieces of all lengths up to ``piece`` bytes, so that short texts are learned too."""
     raw, offsets = text_bytes(cleaned(pa.array(texts, pa.string())))
     data, out, ys = raw.tobytes(), [], []
     for i, y in enumerate(labels):
         t = data[offsets[i] : offsets[i + 1]]
-        for _ in range(a_text):
+        at = 0
+        while at < len(t):
             size = int(rng.integers(piece // 8, piece + 1))
-            at = int(rng.integers(0, max(1, len(t) - size)))
             part = b" " + t[at : at + size].strip() + b" "
+            at += size
             if len(part) > 3:
                 out.append(np.frombuffer(part, np.uint8))
                 ys.append(y)
@@ -95,7 +96,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 3, batch: int = 32, rate: float = 0.5, piece: int = 240, pieces_a_text: int = 3, precision: float = 0.98, seed: int = 7) -> Model:
+def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 1, batch: int = 32, rate: float = 0.5, piece: int = 240, precision: float = 0.98, seed: int = 7) -> Model:
     """Fit on the texts; a fifth of them calibrates, but never all texts of a language."""
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -105,8 +106,8 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 3,
     apart = rng.random(len(y)) < 0.2
     for k in range(len(languages)):
         apart[np.flatnonzero(y == k)[0]] &= not apart[y == k].all()
-    fit, labels = _examples([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], piece, pieces_a_text, rng)
-    held, held_y = _examples([t for t, a in zip(texts, apart, strict=True) if a], y[apart], piece, pieces_a_text, rng)
+    fit, labels = _examples([t for t, a in zip(texts, apart, strict=True) if not a], y[~apart], piece, rng)
+    held, held_y = _examples([t for t, a in zip(texts, apart, strict=True) if a], y[apart], piece, rng)
     emb = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
@@ -147,23 +148,31 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 3,
     return Model(languages, table.astype(np.float32), bias, float(temperature), threshold)
 
 
-def sample(docs: DataFrame, per_language: int, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, per_language: int, text_col: str, lang_col: str, max_rows: int = 20_000) -> tuple[list[str], list[str]]:
     """At most ``per_language`` different labelled texts of each language, those with the smallest hashes.
 
+    Where that many of each language are more than ``max_rows``, all have an equal
+    part of these (one text at least).
+
     Copies are brought to one row of their hash before any are counted, so a
     language of few texts in many rows keeps all of them. Hashes, not texts, are ranked.
     """
     d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.withColumn("place", F.xxhash64("text"))
+    per_language = max(1, min(per_language, max_rows // max(1, d.select("lang").distinct().count())))
     places = d.select("lang", "place").distinct()
     places = places.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("k") <= per_language)
     got = d.join(F.broadcast(places), ["lang", "place"]).select("lang", "k", "text").distinct().orderBy("lang", "k", "text").toArrow()
     return got["text"].to_pylist(), got["lang"].to_pylist()
 
 
-def fit(docs: DataFrame, *, per_language: int = 400, text_col: str = "text", lang_col: str = "lang", **options) -> Model:
-    """Train on at most ``per_language`` documents of each language of ``docs``, the sample's documented bound."""
-    return train(*sample(docs, per_language, text_col, lang_col), **options)
+def fit(docs: DataFrame, *, per_language: int = 400, max_rows: int = 20_000, text_col: str = "text", lang_col: str = "lang", **options) -> Model:
+    """Train on at most ``per_language`` texts of each language of ``docs`` and ``max_rows`` in all, the sample's documented bounds.
+
+    Null languages and texts without letters are left out; an empty table, or
+    one without labelled texts, gives a model that knows no language.
+    """
+    return train(*sample(docs, per_language, text_col, lang_col, max_rows), **options)
 
 
 def predict_texts(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -191,8 +200,10 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     * ``und`` with score 0 where the text is null or has no letter, or nothing was
       learned; ``accepted`` is false there and where the score is below the
       model's threshold;
-    * whole texts are read; equal texts have equal results; a null or repeated
-      id is carried along; further columns are ignored.
+    * whole texts are read; equal texts have equal results; of equally likely
+      languages the first in alphabetical order is taken; a null or repeated id
+      is carried along; further columns are ignored; an empty table gives an
+      empty result.
     """
     lean_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -20,7 +20,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,7 +75,8 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p) < 400 and int(p) <= 255 for p in m.group().split(".")):
+        parts = (p.lstrip("0") for p in m.group().split("."))
+        if all(len(p) < 4 and int(p or "0") <= 255 for p in parts):
             out.append((m.start(), m.end(), 1))
     for m in _CARD.finditer(text):
         d = _digits(m.group())
@@ -328,8 +331,9 @@ def training_sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int
     return text, gold
 
 
+@lru_cache(maxsize=4)
 def train(sentences: int = 500, epochs: int = 2, seed: int = 11, rate: float = 0.4, decay: float = 1e-3) -> dict[str, float]:
-    """Weights by name. Deterministic for a seed."""
+    """Weights by name. Deterministic for a seed; made once for each set of arguments in an application."""
     rng = random.Random(seed)
     data = [training_sentence(rng) for _ in range(sentences)]
     w: dict[str, float] = {}
@@ -346,12 +350,16 @@ def all_spans(text: str | None, weights: dict[str, float]) -> tuple[list[tuple[i
     """(pattern matches, spans added by the CRF), each sorted by start, then kind."""
     text = text or ""
     base = sorted(pattern_spans(text), key=lambda x: (x[0], x[2]))
-    added = []
-    taken = sorted((s, e) for s, e, _ in base)
-    for lo, hi in _windows(text):
-        near = [t for t in taken if t[1] > lo and t[0] < hi]
-        added += [x for x in decode(weights, text, lo, hi) if not any(x[0] < e and x[1] > s for s, e in near)]
-    return base, added
+    found = [x for lo, hi in _windows(text) for x in decode(weights, text, lo, hi)]
+    # stretches that matches cover: in order and apart, so one search tells whether a span meets any
+    starts, ends = [], []
+    for s, e, _ in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return base, [x for x in found if not (i := bisect_left(starts, x[1])) or ends[i - 1] <= x[0]]
 
 
 def span_string(spans: list[tuple[int, int, int]]) -> str:
@@ -374,7 +382,9 @@ def find(docs: DataFrame, *, weights: dict[str, float] | None = None, id_col: st
     Counts and ``base_sha256`` are of the patterns' matches; ``spans`` are all spans
     as ``kind:start:end`` in code points; ``masked`` is the text without them.
     Null texts are empty (and stay null in ``masked``); whole texts are read, also
-    very long ones; repeated rows and null ids are carried along.
+    very long ones; repeated rows and null ids are carried along; of spans that
+    start together the one of the kind listed first comes first. Further columns
+    are ignored; an empty table gives an empty result.
     """
     lean_batches(docs.sparkSession)
     weights = weights or train()
@@ -397,7 +407,10 @@ def find(docs: DataFrame, *, weights: dict[str, float] | None = None, id_col: st
 
 
 def mask_texts(docs: DataFrame, *, weights: dict[str, float] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in the text replaced by its kind; rows and columns stay."""
+    """``docs`` with personal data in the text replaced by its kind; rows and all other columns stay as they are.
+
+    Null and empty texts stay; an empty table gives an empty result.
+    """
     lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights or train())
     at = docs.columns.index(text_col)

@@ -177,12 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, id_col: s
     """Train on at most ``max_rows`` labelled rows, the sample's documented bound.
 
     They are chosen by a hash of their ids. Null ids and labels are left out; an
-    id that is labelled twice counts with the smaller label. Only the statistics
-    of the sample come to the driver.
+    id that is labelled twice counts with the smaller label; of rows that repeat
+    an id one counts, that with the smallest statistics. Only the statistics of
+    the sample come to the driver. Further columns are ignored; without labelled
+    rows, or with one label only, the model is a constant.
     """
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"))
-    marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.join(F.broadcast(marks), docs[id_col] == F.col("_id")).select(statistics(F.col(text_col)).alias("s"), "y", "_id").orderBy("_id", "s").select("s.*", "y").toArrow()
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+    marks = marks.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id")
+    rows = rows.groupBy("id", "y").agg(F.min(statistics(F.col("text"))).alias("s")).orderBy("id").select("s.*", "y").toArrow()
     names = [n for n in rows.column_names if n != "y"]
     return train(np.column_stack([rows[n].to_numpy() for n in names]), rows["y"].to_numpy(), names, **options)
 
@@ -191,12 +194,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """``doc_id, score, predicted`` of each row: predicted is 1 where the score is 0.5 at least.
 
     Null and empty texts have the score that their statistics (all zero) give;
-    very long texts are read whole; repeated rows and null ids are carried along.
+    very long texts are read whole; repeated rows and null ids are carried along;
+    further columns are ignored; an empty table gives an empty result.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), let(statistics(F.col(text_col)), lambda s: compile_score(model, s)).alias("score"))
     return d.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score below the threshold; all their columns stay."""
+    """``docs`` without those that score below the threshold; all their columns stay.
+
+    A null text is judged as an empty one. Each row is judged by its text alone,
+    so repeated rows stay or go together, whatever their ids and other columns.
+    """
     return docs.where(let(statistics(F.col(text_col)), lambda s: compile_score(model, s)) >= threshold)

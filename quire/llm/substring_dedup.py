@@ -1,8 +1,8 @@
 """Substring dedup by sliding spans of sentences and of words.
 
-Every run of ``run_sentences`` consecutive sentences is hashed (128 bits), and
-so are runs of words, which needn't begin or end with a sentence; equal hashes
-are brought together over all documents; words that lie in a run which isn't the
+Every run of ``run_sentences`` consecutive sentences is hashed (128 bits, over
+64-bit hashes of its words), and so are runs of words, which needn't begin or end
+with a sentence; equal hashes are brought together over all documents; words that lie in a run which isn't the
 first of its kind are removed. The first is the one in the document with the
 smallest id, and there the one that comes first.
 
@@ -52,10 +52,9 @@ def sentences_of(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
     stop[at[1:][at[1:] > 0] - 1] = True
     last = np.flatnonzero(stop)
     first = np.concatenate([np.zeros(1, np.int64), last[:-1] + 1])
-    up, down = powers_of_base.get(len(h) + 1)
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=run[1:])
-    s = mix((run[last + 1] - run[first]) * down[first])
+    # a sum over words, each mixed with its place in the sentence
+    place = (np.arange(len(h)) - np.repeat(first, last + 1 - first)).astype(np.uint64)
+    s = mix(np.add.reduceat(mix(h ^ (place * _STEP)), first))
     return starts[first], s, last + 1 - first, np.searchsorted(first, at)
 
 
@@ -132,7 +131,11 @@ def _runs(n: int, min_words: int, passage_words: int):
 
 
 def covered(s: np.ndarray, words: np.ndarray, repeated: np.ndarray, n: int, min_words: int) -> np.ndarray:
-    """Which of a document's sentences lie in a run that is repeated elsewhere or occurs before in it."""
+    """Which of a document's sentences lie in a run that is repeated elsewhere or occurs before in it.
+
+    ``repeated`` are first halves of the hashes of this document's own runs, which
+    the join found by both halves; among these alone the first half tells them apart.
+    """
     out = np.zeros(len(s), bool)
     h, _, w = run_hashes(s, words, n)
     if len(h):
@@ -181,10 +184,10 @@ def _cleaned(n: int, min_words: int, passage_words: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, *, run_sentences: int = 3, min_words: int = 10, passage_words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, *, run_sentences: int = 3, min_words: int = 0, passage_words: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_sentences, n_removed`` of each row, with repeated runs of sentences and words removed.
 
-    * runs of fewer than ``min_words`` words aren't looked at;
+    * every run is looked at; with ``min_words``, only those of so many words;
     * of a repeated passage of ``passage_words`` words or more (more than
       ``WINDOW``) all but ``WINDOW - 1`` words at either end are removed,
       wherever its ends cut sentences; texts of fewer words are compared whole;

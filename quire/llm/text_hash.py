@@ -2,12 +2,15 @@
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form
 feed and carriage return; A to Z count as a to z. Both concern single bytes in
-UTF-8, so no text is decoded. Word hashes are polynomials modulo 2**64 taken
-from one running sum over all bytes of a batch, then mixed.
+UTF-8, so no text is decoded. A word is hashed eight bytes at a time, each step
+mixed into the next, so equal hashes of different words are left to chance
+(2**-64 a pair); very long words are hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -60,9 +63,33 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+_MASK = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
+
+
+def span_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span. ``code`` has eight bytes more than the last span's end."""
+    eight = np.ndarray(len(code) - 7, "<u8", code, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = size.astype(np.uint64) * _SEED + np.uint64(salt)
+    h = mix(h ^ (eight[starts] & _MASK[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(at):
+        left = size[at] - done
+        h[at] = mix((h[at] ^ (eight[starts[at] + done] & _MASK[np.minimum(left, 8)])) + _SEED)
+        at, done = at[left > 8], done + 8
+    key = salt.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(code[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+    return h
+
+
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end, hash) of each word, and word offsets by text."""
-    low = _LOWER[raw]
+    low = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_LOWER, raw, out=low[: len(raw)])
     word = ~_SPACE[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -72,11 +99,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     ends = np.flatnonzero(last) + 1
-    up, down = powers_of_base.get(len(raw) + 1)
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=run[1:])
-    h = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, h, np.searchsorted(starts, offsets)
+    return starts, ends, span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 def word_hashes(texts: pa.Array, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:

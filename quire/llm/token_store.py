@@ -1,9 +1,9 @@
 """Token ids as binary files: documents in id order, coded in chunks of whole documents.
 
-A file is a row of chunks. A chunk is ``QTC1``, the length of its head (u32), the
-head (deflated), and the coded blocks (:mod:`quire.llm.id_codec`). The head holds
-document ids, their token counts, the ids by rank, and each block's size and
-CRC-32. A chunk decodes by itself, so files are read in parallel within.
+A file is a row of chunks. A chunk is ``QTC2``, the length and CRC-32 of its head
+(u32 each), the head (deflated), and the coded blocks (:mod:`quire.llm.id_codec`).
+The head holds document ids, their token counts, the ids by rank with their
+shares, and each block's size and CRC-32. A chunk decodes by itself, so files are read in parallel within.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from quire.llm.text_hash import slices
 from quire.llm.tokens import word_tokenizer
 from quire.llm.warc import open_store
 
-MAGIC = b"QTC1"
+MAGIC = b"QTC2"
 CHUNK_IDS = 1 << 22
+#: Rows that a file holds at most, on average.
+ROWS_A_FILE = 50_000
 _NULL_ID = -(1 << 63)
 _MANIFEST = "part long, chunk long, file string, position long, bytes long, docs long, ids long"
 
@@ -32,7 +34,7 @@ _MANIFEST = "part long, chunk long, file string, position long, bytes long, docs
 def pack_chunk(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int) -> bytes:
     c = id_codec.encode(ids, block)
     sizes = struct.pack("<QQQQQ", len(doc_ids), c["total"], block, len(c["ids"]), len(c["words"]))
-    head = zlib.compress(sizes + b"".join(np.asarray(x, t).tobytes() for x, t in ((doc_ids, "<i8"), (counts, "<u8"), (c["ids"], "<u4"), (c["words"], "<u4"), (c["crc"], "<u4"))))
+    head = zlib.compress(sizes + b"".join(np.asarray(x, t).tobytes() for x, t in ((doc_ids, "<i8"), (counts, "<u8"), (c["ids"], "<u4"), (c["shares"], "<u4"), (c["words"], "<u4"), (c["crc"], "<u4"))))
     return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + c["data"]
 
 
@@ -46,10 +48,10 @@ def unpack_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = zlib.decompress(data[12 : 12 + n])
     docs, total, block, distinct, blocks = struct.unpack_from("<QQQQQ", head)
     at, parts = 40, []
-    for k, t in ((docs, "<i8"), (docs, "<u8"), (distinct, "<u4"), (blocks, "<u4"), (blocks, "<u4")):
+    for k, t in ((docs, "<i8"), (docs, "<u8"), (distinct, "<u4"), (distinct, "<u4"), (blocks, "<u4"), (blocks, "<u4")):
         parts.append(np.frombuffer(head, t, k, at))
         at += parts[-1].nbytes
-    ids = id_codec.decode({"total": total, "block": block, "ids": parts[2], "words": parts[3], "crc": parts[4], "data": data[12 + n :]})
+    ids = id_codec.decode({"total": total, "block": block, "ids": parts[2], "shares": parts[3], "words": parts[4], "crc": parts[5], "data": data[12 + n :]})
     return parts[0], parts[1].astype(np.int64), ids
 
 
@@ -106,14 +108,20 @@ def _writer(folder: str, tokenizer: str, end_id: int, block: int, chunk_ids: int
 def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 1, block: int = id_codec.BLOCK, chunk_ids: int = CHUNK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts, write them in ascending id order, and return the manifest, a row a chunk.
 
-    Null texts are empty; a document's ids end with ``end_id``; null ids come
-    first, rows that repeat an id stand side by side. Each task writes one file
-    (under a temporary name, then renamed); file order is id order.
+    * null and empty texts are a document of just ``end_id``, which ends each one's ids;
+    * null ids come first, rows that repeat an id stand side by side;
+    * a very long text lies whole in one chunk, which is larger then;
+    * an empty table gives no file and an empty manifest; further columns are ignored.
+
+    Each task writes one file (under a temporary name, then renamed); file order
+    is id order. There are as many files as shuffle partitions, and more where
+    they would hold over ``ROWS_A_FILE`` rows each.
     """
     lean_batches(docs.sparkSession)
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_A_FILE))
+    d = d.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     return written(d.mapInArrow(_writer(folder, tokenizer, end_id, block, chunk_ids), _MANIFEST), "token-manifest")
 
 
@@ -132,7 +140,7 @@ def list_chunks(spark: SparkSession, folder: str) -> DataFrame:
                         n, _ = struct.unpack("<II", f.read(12)[4:])
                         head = zlib.decompress(f.read(n))
                         docs, total, _, distinct, blocks = struct.unpack_from("<QQQQQ", head)
-                        words = np.frombuffer(head, "<u4", blocks, 40 + 16 * docs + 4 * distinct)
+                        words = np.frombuffer(head, "<u4", blocks, 40 + 16 * docs + 8 * distinct)
                         size = 12 + n + 2 * int(words.sum())
                         rows.append({"part": int(root.rsplit("-", 1)[1].split(".")[0]), "chunk": len(rows), "file": path, "position": at, "bytes": size, "docs": docs, "ids": total})
                         at += size
@@ -163,7 +171,8 @@ def read_tokens(chunks: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of each document in the chunks of a manifest.
 
     ``start`` counts the ids of all documents before it, ``ids`` are little-endian
-    32-bit. Chunks are dealt to tasks; a checksum that differs fails the task.
+    32-bit. Chunks are dealt to tasks; a checksum that differs fails the task. An
+    empty manifest gives an empty result; its further columns are ignored.
     """
     spark = chunks.sparkSession
     parts = chunks.groupBy("part").agg(F.sum("ids").alias("n"))

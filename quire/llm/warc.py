@@ -2,14 +2,22 @@
 
 An archive is a ``.warc.gz`` whose every record is its own gzip member. Reading
 does not need an index: a task takes a byte range, looks for the gzip magic in
-it, accepts a candidate if what it inflates to begins with a WARC header, and
-owns the records that start inside its range (it reads past the end to finish
-the last one). Once a record is accepted the next member starts where it ends.
+it, validates a candidate by inflating it and decoding its header (version line,
+record id, a content length that fits), and owns the records that start inside
+its range (it reads past the end to finish the last one). Once a record is
+accepted the next member starts where it ends.
+
+Bytes that look like a record may lie inside one, as when an archive is the
+payload of a record that is stored and not deflated. So the first record of a
+range, unless it begins the file, is accepted only if members follow one another
+from it to the end of the range; a chain that ends in other bytes lay inside a
+record, and the search goes on behind its first byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
@@ -22,9 +30,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import lean_batches, new_path, written
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a member that are inflated to see whether a WARC header begins there.
+#: Bytes of a member that are inflated at first, to see whether a version line begins there.
 PROBE = 512
 READ = 1 << 20
+_VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 
 RECORD_SCHEMA = (
     "archive string, start long, record_id string, record_type string, target_uri string, refers_to string, "
@@ -50,7 +59,8 @@ def with_revisits(rows: DataFrame, min_bytes: int = 1000) -> DataFrame:
     long = F.length("payload") >= min_bytes
     groups = rows.select("record_id", F.coalesce(F.encode("content", "UTF-8"), F.lit(b"")).alias("payload")).where(long)
     groups = groups.select("record_id", F.sha1("payload").alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.max("record_id").alias("kept")).where("n > 1")
-    p = p.withColumn("key", F.when(long, F.col("digest")))
+    # short payloads have a key that no group has, and not all the same one
+    p = p.withColumn("key", F.when(long, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("record_id").cast("string"), F.col("digest")))))
     p = p.join(groups.select(F.col("digest").alias("key"), "kept"), "key", "left")
     return p.withColumn("refers_to", F.when(F.col("record_id") < F.col("kept"), F.col("kept"))).drop("key", "kept")
 
@@ -165,38 +175,82 @@ class _Range:
         return self.buf[pos - self.base : pos - self.base + n]
 
 
-def begins_record(data: bytes) -> bool:
-    """Whether a gzip member that inflates to a WARC header begins here."""
+def is_record(data: bytes) -> bool:
+    """Whether an inflated member is one whole record: version line, record id, and the length that the header says."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0 or not _VERSION.match(data):
+        return False
+    head, at = _headers(data)
+    length = head.get("content-length", "")
+    return "warc-record-id" in head and length.isdecimal() and len(data) == at + int(length) + 4 and data.endswith(b"\r\n\r\n")
+
+
+def _member(src: _Range, pos: int) -> tuple[bytes | None, int]:
+    """(inflated bytes, end) of the gzip member at ``pos``; (None, 0) if none is whole there."""
+    inflate, parts, at = zlib.decompressobj(31), [], pos
+    while not inflate.eof and at < src.size:
+        piece = src.at(at, min(1 << 16, src.size - at))
+        try:
+            parts.append(inflate.decompress(piece))
+        except zlib.error:
+            return None, 0
+        at += len(piece)
+    return (b"".join(parts), at - len(inflate.unused_data)) if inflate.eof else (None, 0)
+
+
+def _looks_like_record(src: _Range, pos: int) -> bool:
     try:
-        return zlib.decompressobj(31).decompress(data, 16).startswith(b"WARC/")
+        return zlib.decompressobj(31).decompress(src.at(pos, min(PROBE, src.size - pos)), 16).startswith(b"WARC/")
     except zlib.error:
         return False
 
 
-def records_of_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of the records whose first byte lies in [start, end)."""
-    src, pos = _Range(file, size), start
+def first_record(src: _Range, start: int, end: int) -> int | None:
+    """Where the first record of [start, end) begins. Raises ValueError for a chain of records that is damaged."""
+    pos, damaged = start, None
     while pos < end:
-        chunk = src.at(pos, min(READ, size - pos))
+        chunk = src.at(pos, min(READ, src.size - pos))
         hit = chunk.find(MAGIC)
         if hit < 0:
             pos += max(1, len(chunk) - len(MAGIC) + 1)
             continue
         pos += hit
         if pos >= end:
-            return
-        if not begins_record(src.at(pos, PROBE)):
-            pos += 1
+            break
+        if _looks_like_record(src, pos):
+            data, at = _member(src, pos)
+            if data is not None and is_record(data):
+                while data is not None and at < end and src.at(at, 3) == MAGIC:
+                    data, at = _member(src, at)
+                if data is None:
+                    damaged = pos if damaged is None else damaged
+                elif at >= src.size or src.at(at, 3) == MAGIC:
+                    return pos
+        pos += 1
+    if damaged is not None:
+        raise ValueError(f"a record behind byte {damaged} is cut off or damaged")
+    return None
+
+
+def records_of_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, inflated bytes) of the records whose first byte lies in [start, end).
+
+    Members that are no records are passed over. A member that is cut off or
+    damaged raises ValueError.
+    """
+    src = _Range(file, size)
+    # A file that begins with a member is a chain from there on; others are searched, as a range's beginning is.
+    pos = 0 if start == 0 and src.at(0, 3) == MAGIC else first_record(src, start, end)
+    while pos is not None and pos < min(end, size):
+        if src.at(pos, 3) != MAGIC:
+            pos = first_record(src, pos, end)
             continue
-        inflate, parts, at = zlib.decompressobj(31), [], pos
-        while not inflate.eof and at < size:
-            piece = src.at(at, min(1 << 16, size - at))
-            parts.append(inflate.decompress(piece))
-            at += len(piece)
-        if not inflate.eof:
-            raise ValueError(f"the record at byte {pos} is cut off")
-        yield pos, b"".join(parts)
-        pos = at - len(inflate.unused_data)
+        data, at = _member(src, pos)
+        if data is None:
+            raise ValueError(f"the record at byte {pos} is cut off or damaged")
+        if is_record(data):
+            yield pos, data
+        pos = at
 
 
 def _reader(with_payload: bool):
@@ -229,7 +283,9 @@ def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20, payload: bool
     Each archive is cut into ranges of ``split_bytes``; a range is a unit of
     work, so one large archive is read by many tasks. The digest of a response
     is computed from its payload and must agree with its header; a revisit's
-    comes from its header. Archives without records give no rows.
+    comes from its header. Archives without records and an empty table give no
+    rows; further columns are ignored. A record of any length is read whole by
+    the task that owns it.
     """
     ranges = files.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("bytes")))
@@ -239,7 +295,15 @@ def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20, payload: bool
 
 
 def page_records(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Archive (page_id, url, html) rows and read the archives back, a row a page."""
+    """Archive (page_id, url, html) rows and read the archives back, a row a page.
+
+    * a null html is an empty payload, a null url an empty one;
+    * a null id stays null; rows that repeat an id and a payload are all
+      responses, each with its own row;
+    * of equal payloads that with the largest id is the response; very long ones
+      are read whole;
+    * further columns are ignored; an empty table gives an empty result.
+    """
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").alias("content"))
     records = read_archives(write_archives(rows, folder), payload=False)

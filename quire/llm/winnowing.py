@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing.
 
-Words are hashed, and a polynomial modulo the prime 2**31 - 1 rolls over ``k`` of
+Words are hashed (in scripts that are written without spaces, each character is
+a word), and a polynomial modulo the prime 2**31 - 1 rolls over ``k`` of
 them in a row. Of every ``w`` hashes in a row the smallest is kept, of equal ones
 the rightmost, with its position. Texts that share ``k + w - 1`` words in a row
 share a fingerprint entry; matches of fewer than ``k`` words are never seen.
@@ -20,9 +21,13 @@ PRIME = (1 << 31) - 1
 BASE = 1_000_003
 _LOW = (1 << 32) - 1
 
-#: Ranges of ids that rows are dealt to, at most. A range is sorted by one task.
-MAX_RANGES = 8192
-ROWS_A_RANGE = 200
+#: Where words end: at white space, and around characters of scripts that are written without spaces.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_BREAK = rf"[ \t\n\x0B\f\r]+|(?<={_UNSPACED})|(?={_UNSPACED})"
+
+#: Rows in a range of ids, which one task sorts: few in small tables, for the sake of many ranges, and never more than the second.
+ROWS_A_RANGE = (200, 20_000)
+_MANY_RANGES = 8192
 
 
 def _beside(a: Column, b: Column, distance: Column | int, then) -> Column:
@@ -61,7 +66,7 @@ def winnow(text: Column, k: int = 5, w: int = 16) -> Column:
     smallest entry. A text of fewer than ``k`` words is one entry, for the whole
     sequence; one without words has none.
     """
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), "")
 
     def of(x: Column) -> Column:
         short = F.array((F.abs(F.xxhash64(x) % PRIME) * (1 << 32)) + PRIME)
@@ -91,7 +96,7 @@ def likeness(a: Column, b: Column) -> Column:
 def _range_of(docs: DataFrame) -> Column:
     """The range of ids that a row is in: 0 for null ids, then ascending. Ranges hold about as many rows each."""
     n = docs.count()
-    ranges = max(1, min(MAX_RANGES, n // ROWS_A_RANGE))
+    ranges = max(1, min(_MANY_RANGES, n // ROWS_A_RANGE[0]), n // ROWS_A_RANGE[1])
     found = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 4 * ranges)).alias("p")).first()
     bounds = sorted(set(found["p"] or []))
     side = max(1, round(len(bounds) ** 0.5))
@@ -111,8 +116,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
     After the last comes the first. Rows that share an id are ordered by text;
     null ids come last. Texts are shuffled once, by range of ids; the first
-    row of each range, of which there are ``MAX_RANGES`` at most, is added to the
-    range before it.
+    row of each range is added to the range before it.
     """
     d = docs.withColumn("range", _range_of(docs))
     tops = d.groupBy("range").agg(F.max("doc_id").alias("top"))

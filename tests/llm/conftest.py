@@ -1,14 +1,14 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h long, y long, _id long, _bad long, _gone long, row long, component long, k1 long, item_id long, `range` long, rest long, part long"
 
 
 @pytest.fixture(scope="session")
 def make_docs(spark):
-    """Documents with two further columns whose names the operators use themselves."""
+    """Documents with further columns, of names that the operators use themselves."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", None, None, 7, 7) for i, t in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, "en", None, None, *[7] * 13) for i, t in rows], SCHEMA)
 
     return make
 

@@ -84,6 +84,14 @@ def test_keep_first_of_repeated_ids(make_docs):
     assert got == [(0, copy), (0, copy), (2, ""), (3, copy), (5, own), (7, other), (8, twice)]
 
 
+def test_jaccard_groups_beyond_what_is_broadcast(make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 3)  # a set of every third row is hot
+    rows = near_texts(4) + [(9000 + i, "a hot set of words that many rows have") for i in range(60)]
+    out = jaccard_join.jaccard_groups(make_docs(rows), shingle_words=4, num=85, den=100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == components_by_brute_force(rows, 4, 85, 100)
+
+
 def test_prefix_grows_with_the_cost_of_candidates():
     assert jaccard_join.choose_prefix(np.zeros(100), 100, 85) == (16, 1)
     length, matches = jaccard_join.choose_prefix(np.full(100, 50.0), 100, 85)
@@ -235,6 +243,27 @@ def fingerprint(text, k=5, w=16):
     return kept
 
 
+def test_winnowing_of_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("春夏秋冬山川草木日月") for _ in range(300))
+    spaced = " ".join(text[:40]) + " abc " + " ".join(text[40:])
+    other = text[:150] + "".join(rng.choice("春夏秋冬山川草木日月") for _ in range(150))
+    rows = spark.createDataFrame([(text[:40] + "abc" + text[40:], spaced, text, other)], "a string, b string, c string, d string")
+    a, b, c, d = rows.select(*[winnowing.as_string(winnowing.winnow(x)).alias(x) for x in "abcd"]).first()
+    assert a == b == ",".join(f"{v:X}:{p}" for v, p in fingerprint(spaced))
+    shared = {x.split(":")[0] for x in c.split(",")} & {x.split(":")[0] for x in d.split(",")}
+    assert len(shared) >= 10
+
+
+def test_winnowing_over_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([i, i, 7]), " ".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.next_text for r in winnowing.beside_next(docs).collect()}
+    ordered = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert got == {r: ordered[(i + 1) % len(ordered)][1] for i, r in enumerate(ordered)}
+
+
 def test_winnowing(make_docs):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["la", "Le", "é", "x1", "ho"]) for _ in range(rng.randint(0, 70))) for _ in range(25)]
@@ -303,6 +332,10 @@ def test_decontamination(spark, make_docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.contained_items(make_docs(docs), bench)
     assert {(r.doc_id, r.item_id, r.n_shared) for r in out.collect()} == containment_by_brute_force(docs, items, 5, 0.8)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "MAX_BROADCAST_ROWS", 0)
+        out = decontaminate.contained_items(make_docs(docs), bench)
+        assert {(r.doc_id, r.item_id, r.n_shared) for r in out.collect()} == containment_by_brute_force(docs, items, 5, 0.8)
     clean = decontaminate.remove_contaminated(make_docs(docs), bench)
     bad = {d for d, _, _ in containment_by_brute_force(docs, items, 5, 0.8)}
     assert sorted((str(r.doc_id) for r in clean.collect())) == sorted(str(d) for d, _ in docs if d not in bad)
@@ -331,6 +364,8 @@ def test_patterns():
         assert pii.pattern_spans(t) == spans_by_brute_force(t)
     for t in ("4" * 50_000, "a" * 50_000, "1." * 30_000, "+1 " * 20_000, "a@" * 20_000):
         pii.pattern_spans(t)
+    for t in ("0" * 401 + "1.2.3.4", "0" * 40 + "1.2.3.4", "1.2.3.0256", "0.0.0." + "0" * 500):
+        assert pii.pattern_spans(t) == spans_by_brute_force(t)
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
@@ -410,6 +445,7 @@ def test_language_sample_of_copies(spark):
     got = sorted(zip(*langid.sample(docs, 30, "text", "lang"), strict=True))
     assert len(set(got)) == len(got)
     assert {k: sum(x == k for _, x in got) for k in ("xx", "yy", "zz")} == {"xx": 2, "yy": 30, "zz": 1}
+    assert len(langid.sample(docs, 30, "text", "lang", 15)[0]) == 2 + 5 + 1
     texts, langs = zip(*got, strict=True)
     at = texts.index("solo palabra rara")
     seed = next(s for s in range(100) if np.random.default_rng(s).random(len(texts))[at] < 0.2)

@@ -7,8 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import id_codec, packing, token_store
+from quire.llm import id_codec, packing, substring_dedup, token_store, tokens
 from quire.llm.common import new_path
+from quire.llm.text_hash import shingle_sets, text_bytes
 from quire.llm.tokens import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -125,3 +126,50 @@ def test_chunk_checksum():
     assert [x.tolist() for x in token_store.unpack_chunk(data)] == [[1, 2], [2, 1], [5, 1, 1]]
     with pytest.raises((ValueError, zlib.error)):
         token_store.unpack_chunk(data[:14] + bytes([data[14] ^ 255]) + data[15:])
+
+
+def thue_morse(k):
+    """A word of 2**k letters and its complement: equal under every polynomial hash modulo 2**64 with an odd base, if k is large."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [4, 10, 12])
+def test_long_words_that_differ_keep_their_own_ids(k):
+    pair = thue_morse(k)
+    tok = WordTokenizer(PATH)
+    ids, at = tok.encode(pa.array(pair))
+    for i, word in enumerate(pair):
+        assert ids[at[i] : at[i + 1]].tolist() == tok.model.encode(word, add_special_tokens=False).ids
+    a, b = shingle_sets(pa.array(pair), 4)
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+    sentence = [" ".join("yes" if c == "a" else "no" for c in word) for word in pair]
+    raw, offsets = text_bytes(pa.array(sentence))
+    assert len(set(substring_dedup.sentences(raw, offsets)[1].tolist())) == 2
+
+
+def test_cache_of_words_is_cut_back(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_CACHED_WORDS", 50)
+    tok = WordTokenizer(PATH)
+    for i in range(12):
+        text = "common words stay here " + " ".join(f"w{chr(97 + j % 26)}{'abcdef'[i % 6]}{'xyz'[j // 26]}" for j in range(70))
+        ids, _ = tok.encode(pa.array([text]))
+        assert ids.tolist() == tok.model.encode(text, add_special_tokens=False).ids
+        assert tok.words <= 50 + 80
+
+
+def test_blocks_decode_alone_and_start_alike():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 60, 1037)
+    c = id_codec.encode(ids, 100)
+    for first, count in ((0, 1), (3, 2), (10, 1), (0, 11)):
+        assert id_codec.decode(c, first, count).tolist() == ids[first * 100 : (first + count) * 100].tolist()
+
+
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=300))
+@settings(deadline=None, max_examples=50)
+def test_shares_sum_up(counts):
+    got = id_codec.shares(np.sort(np.array(counts))[::-1])
+    assert got.sum() == 1 << 18 and got.min() >= 1
