@@ -2,16 +2,18 @@
 
 An archive is a ``.warc.gz`` whose every record is its own gzip member. Reading
 does not need an index: a task takes a byte range, looks for the gzip magic in
-it, validates a candidate by inflating it and decoding its header (version line,
-record id, a content length that fits), and owns the records that start inside
-its range (it reads past the end to finish the last one). Once a record is
-accepted the next member starts where it ends.
+it, inflates candidates, and owns the records that start inside its range (it
+reads past the end to finish the last one). A member is a record if its decoded
+header says so: version line, record id, a content length that fits. The next
+member starts where one ends.
 
 Bytes that look like a record may lie inside one, as when an archive is the
-payload of a record that is stored and not deflated. So the first record of a
-range, unless it begins the file, is accepted only if members follow one another
-from it to the end of the range; a chain that ends in other bytes lay inside a
-record, and the search goes on behind its first byte.
+payload of a record that is stored and not deflated. So ranges are gone through
+twice. First each task finds a chain of members from its range to the end of it
+or beyond, and reports where that chain leaves the range. A chain inside a record
+ends before that record does, so the farthest end of the chains of all ranges
+before is where the first record at or behind a range's beginning starts. From
+there the records are read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import lean_batches, new_path, written
@@ -205,8 +207,11 @@ def _looks_like_record(src: _Range, pos: int) -> bool:
         return False
 
 
-def first_record(src: _Range, start: int, end: int) -> int | None:
-    """Where the first record of [start, end) begins. Raises ValueError for a chain of records that is damaged."""
+def first_member(src: _Range, start: int, end: int, strict: bool = False) -> int | None:
+    """The first gzip member in [start, end) from which members follow one another up to ``end``, the end of the file, or a damaged one.
+
+    With ``strict``, raises ValueError if there is none but a record that is damaged.
+    """
     pos, damaged = start, None
     while pos < end:
         chunk = src.at(pos, min(READ, src.size - pos))
@@ -217,33 +222,51 @@ def first_record(src: _Range, start: int, end: int) -> int | None:
         pos += hit
         if pos >= end:
             break
-        if _looks_like_record(src, pos):
-            data, at = _member(src, pos)
-            if data is not None and is_record(data):
-                while data is not None and at < end and src.at(at, 3) == MAGIC:
-                    data, at = _member(src, at)
-                if data is None:
-                    damaged = pos if damaged is None else damaged
-                elif at >= src.size or src.at(at, 3) == MAGIC:
-                    return pos
+        data, at = _member(src, pos)
+        if data is not None:
+            while data is not None and at < end and src.at(at, 3) == MAGIC:
+                data, at = _member(src, at)
+            if data is None or at >= src.size or src.at(at, 3) == MAGIC:
+                return pos
+        elif strict and _looks_like_record(src, pos):
+            damaged = pos if damaged is None else damaged
         pos += 1
     if damaged is not None:
-        raise ValueError(f"a record behind byte {damaged} is cut off or damaged")
+        raise ValueError(f"the record at byte {damaged} is cut off or damaged")
     return None
 
 
-def records_of_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def chain_end(file, size: int, start: int, end: int) -> int:
+    """Where the chain of members that begins in [start, end) ends at or behind ``end``; 0 without such a chain."""
+    src = _Range(file, size)
+    pos = 0 if start == 0 and src.at(0, 3) == MAGIC else first_member(src, start, end)
+    if pos is None:
+        return 0
+    while pos < end and src.at(pos, 3) == MAGIC:
+        data, at = _member(src, pos)
+        if data is None:
+            break
+        pos = at
+    return pos
+
+
+def records_of_range(file, size: int, start: int, end: int, entry: int | None = None) -> Iterator[tuple[int, bytes]]:
     """(offset, inflated bytes) of the records whose first byte lies in [start, end).
 
-    Members that are no records are passed over. A member that is cut off or
-    damaged raises ValueError.
+    ``entry`` is where the chain of members of the ranges before ends (0 for the
+    first range); without it, or if no member begins there, the first record is
+    searched. Members are validated as records by their decoded headers; what
+    is none is passed over. A member that is cut
+    off or damaged raises ValueError.
     """
     src = _Range(file, size)
-    # A file that begins with a member is a chain from there on; others are searched, as a range's beginning is.
-    pos = 0 if start == 0 and src.at(0, 3) == MAGIC else first_record(src, start, end)
+    pos = max(start, entry or 0)
+    known = (entry is not None and entry >= start) or start == 0
+    if not (known and src.at(pos, 3) == MAGIC):
+        pos = first_member(src, pos, end, strict=True)
     while pos is not None and pos < min(end, size):
         if src.at(pos, 3) != MAGIC:
-            pos = first_record(src, pos, end)
+            pos = first_member(src, pos, end, strict=True)
             continue
         data, at = _member(src, pos)
         if data is None:
@@ -253,16 +276,26 @@ def records_of_range(file, size: int, start: int, end: int) -> Iterator[tuple[in
         pos = at
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ends = []
+        for path, size, lo, hi in zip(*(b.column(c).to_pylist() for c in ("archive", "bytes", "lo", "hi")), strict=True):
+            store, root = open_store(path)
+            with store.open_input_file(root) as file:
+                ends.append(chain_end(file, size, lo, hi))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("archive", "bytes", "lo", "hi")), pa.array(ends, pa.int64())], names=["archive", "bytes", "lo", "hi", "end"])
+
+
 def _reader(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
         schema = pa.schema([(n, pa.int64() if n in ("start", "payload_bytes") else pa.binary() if n == "payload" else pa.string()) for n in names])
         for b in batches:
-            for path, size, lo, hi in zip(*(b.column(c).to_pylist() for c in ("archive", "bytes", "lo", "hi")), strict=True):
+            for path, size, lo, hi, entry in zip(*(b.column(c).to_pylist() for c in ("archive", "bytes", "lo", "hi", "entry")), strict=True):
                 store, root = open_store(path)
                 rows, held = [], 0
                 with store.open_input_file(root) as file:
-                    for start, data in records_of_range(file, size, lo, hi):
+                    for start, data in records_of_range(file, size, lo, hi, entry):
                         rec = parse_record(data) | {"archive": path, "start": start}
                         if not with_payload:
                             rec["payload"] = None
@@ -290,8 +323,11 @@ def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20, payload: bool
     ranges = files.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("bytes")))
     spark = files.sparkSession
-    ranges = ranges.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive", "lo")
-    return ranges.mapInArrow(_reader(payload), RECORD_SCHEMA)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges.repartition(tasks, "archive", "lo").mapInArrow(_ends, "archive string, bytes long, lo long, hi long, end long")
+    before = Window.partitionBy("archive").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = ranges.withColumn("entry", F.coalesce(F.max("end").over(before), F.lit(0))).where("entry < hi")
+    return ranges.repartition(tasks, "archive", "lo").mapInArrow(_reader(payload), RECORD_SCHEMA)
 
 
 def page_records(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def record(i, block):
     return f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def test_records_inside_records_are_not_records():
+def test_records_inside_records_are_not_records(spark, tmp_path):
     inner = b"".join(gzip.compress(record(100 + i, b"inner " * 60)) for i in range(12))
     talk = gzip.compress(b"WARC/ is a nice format, and WARC/1.1\r\n a line of its header")
     members = [gzip.compress(record(0, b"first")), gzip.compress(record(1, b"x" * 50 + inner + b"y" * 50), 0), talk, gzip.compress(record(2, b"last" * 2000), 0), gzip.compress(record(3, b""))]
@@ -68,15 +68,20 @@ def test_records_inside_records_are_not_records():
     for m in members:
         at.append(at[-1] + len(m))
     want = [at[0], at[1], at[3], at[4]]
+
+    def read(content, name, split):
+        (tmp_path / name).write_bytes(content)
+        files = spark.createDataFrame([(str(tmp_path / name), len(content))], "archive string, bytes long")
+        return sorted(r.start for r in warc.read_archives(files, split_bytes=split).collect())
+
     for split in (50, 333, 1000, 4096, len(data)):
-        ranges = [(lo, min(len(data), lo + split)) for lo in range(0, len(data), split)]
-        assert [p for lo, hi in ranges for p, _ in warc.records_of_range(io.BytesIO(data), len(data), lo, hi)] == want
-    lead = b"no member here" + data  # nor does the file have to begin with one
-    assert [p - 14 for p, _ in warc.records_of_range(io.BytesIO(lead), len(lead), 0, len(lead))] == want
+        assert read(data, f"{split}.warc.gz", split) == want
+    assert [x - 14 for x in read(b"no member here" + data, "lead.warc.gz", 200)] == want  # a file doesn't have to begin with one
     damaged = bytearray(data)
     damaged[at[3] + 30] ^= 255
-    with pytest.raises(ValueError, match="damaged"):
-        list(warc.records_of_range(io.BytesIO(bytes(damaged)), len(data), 1, len(data)))
+    for split in (100, len(data)):
+        with pytest.raises(Exception, match="damaged"):
+            read(bytes(damaged), "damaged.warc.gz", split)
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
