@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ORDERED_PREFIX = r"^ *([0-9]{1,3}|[A-Za-z])[.)]([ \t]|$)"
 BULLET_PREFIX = r"^[●■▶▷◆◇•·*-]([ \t]|$)"
+TERMINATORS = r"()\[\]「『<《〈」』>》〉（）:：.．,，~·ㆍ；…-"
 STYLE_HEADING = r"^(outline|heading|개요|제목)\s*0*([1-6])\s*$"
 SAFE_URL = r"^(https?://|mailto:|tel:|ftps?://)"
 LINE_START = r"^(#|>|- |\* |\+ |---|\*\*\*|___|[0-9]+\. )"
 MARKER = r"^\s*<!--\s*(\S+)\s*-->\s*$"
+CODE_HINT = r"^\s*\w+:lang:(\S*)\s*$"
 PAGE_BREAKS = ("newPage", "pageBreak", "cnpb")
 READER_MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "wmf": "image/x-wmf", "emf": "image/x-emf"}
 WRITER_MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp"}
@@ -65,11 +67,16 @@ def font_heading(text: Column, bold: Column, height: Column) -> Column:
 
 
 def regulation_heading(text: Column) -> Column:
-    """1 for parts and chapters, 2 for sections and articles of a regulation; else null."""
-    behind = rf"({SPACE}|[().:,]|의[0-9]|$)"
-    t = F.trim(text)
-    level = F.when(t.rlike(rf"^제{SPACE}*[0-9]+{SPACE}*[편장]{behind}"), 1).when(t.rlike(rf"^제{SPACE}*[0-9]+{SPACE}*[절조]{behind}"), 2)
-    return F.when(F.char_length(t) < 100, level)
+    """1 for parts and chapters, 2 for sections and articles of a regulation; else null.
+
+    A number stands right behind the first letter, and the name of the level
+    right behind the number; then the text ends, or a terminator follows, or the
+    mark of an inserted article with its number.
+    """
+    behind = rf"({SPACE}|[{TERMINATORS}]|의[0-9]|$)"
+    t = F.regexp_replace(text, rf"^{SPACE}+", "")
+    level = F.when(t.rlike(rf"^제[0-9]+[편장]{behind}"), 1).when(t.rlike(rf"^제[0-9]+[절조]{behind}"), 2)
+    return F.when(F.char_length(text) < 100, level)
 
 
 def list_kind(text: Column) -> Column:
@@ -122,6 +129,21 @@ def comment_marker(html: Column) -> Column:
     return F.when(word.isin("pagebreak", "header", "/header", "footer", "/footer"), word)
 
 
+def code_language(comment: Column) -> Column:
+    """The language that a comment ``tool:lang:LANGUAGE`` gives the next paragraph (empty: none named); null for other comments."""
+    return F.when(comment.rlike(CODE_HINT), F.regexp_extract(comment, CODE_HINT, 1))
+
+
+def heading_of(style: Column, text: Column, bold: Column, height: Column, nested: Column) -> Column:
+    """Heading level of a package's paragraph: by its style, else by font, else by the wording of regulations; none in a nested scope."""
+    return F.when(~nested, F.coalesce(style_reference(style), font_heading(text, bold, height), regulation_heading(text)))
+
+
+def has_spans(cells: Column) -> Column:
+    """Whether a table has cells over several rows or columns, which only HTML can show."""
+    return F.exists(cells, lambda c: (c.colspan > 1) | (c.rowspan > 1))
+
+
 def is_page_break(control: Column) -> Column:
     return control.isin(*PAGE_BREAKS)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.classify import is_output_colour, is_safe_url, needs_line_escape
 
 # Device names that no file may have, and heading heights in hundredths of a point.
-DEVICES = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])([.].*)?$"
+DEVICES = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
 HEADING_HEIGHTS = (2400, 2000, 1600, 1400, 1200, 1000)
 
 
@@ -18,6 +18,11 @@ def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return c
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` written and computed once: what is used often isn't copied to each use."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def escape_inline(t: Column) -> Column:
     """A backslash before each Markdown metacharacter."""
     return F.regexp_replace(t, r"([\\`*_~\[\]])", r"\\$1")
@@ -46,10 +51,16 @@ def cell_text(t: Column) -> Column:
 
 
 def asset_name(name: Column) -> Column:
-    """A file name that is safe on every system; ``asset`` if nothing is left."""
-    n = F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r'[\x00-\x1F\x7F<>:"|?*]', "_")
+    """A file name without its folders that is safe on every system; ``asset`` if nothing is left.
+
+    Control characters and backslashes become ``_``, dots and spaces at the end
+    go, and a name whose part before the last dot is a device's gets a ``_``.
+    """
+    base = F.regexp_extract(F.regexp_replace(name, r"(/[.]?)+$", ""), r"(?s)([^/]*)$", 1)
+    n = F.regexp_replace(F.when(base.isin(".", ".."), "").otherwise(base), r"[\x00-\x1F\x7F\\]", "_")
     n = F.regexp_replace(n, r"[. ]+$", "")
-    return F.when(n.isin("", ".", ".."), "asset").when(n.rlike(DEVICES), F.concat(F.lit("_"), n)).otherwise(n)
+    stem = F.regexp_replace(n, r"[.][^.]*$", "")
+    return F.when(n == "", "asset").when(stem.rlike(DEVICES), F.concat(F.lit("_"), n)).otherwise(n)
 
 
 def colour_hex(value: Column) -> Column:
@@ -73,7 +84,15 @@ def base64_bytes(t: Column) -> Column:
 
 
 def utf16_text(data: Column) -> Column:
-    return F.decode(data, "UTF-16LE")
+    """Text of UTF-16LE bytes; halves of pairs that stand alone become replacement characters."""
+    digits = F.hex(data)
+    first = lambda x: x.rlike("^..D[89AB]")
+    second = lambda x: x.rlike("^..D[C-F]")
+    units = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(data) / 2).cast("int") - 1), lambda i: F.substring(digits, (4 * i + 1).cast("int"), F.lit(4)))
+    beside = lambda u, i, is_other: F.coalesce(is_other(F.get(u, i)), F.lit(False))
+    whole = lambda u: F.transform(u, lambda x, i: F.when((first(x) & ~beside(u, i + 1, second)) | (second(x) & ~beside(u, i - 1, first)), "FDFF").otherwise(x))
+    mended = F.element_at(F.transform(F.array(units), lambda u: F.unhex(F.array_join(whole(u), ""))), 1)
+    return F.decode(F.when(digits.rlike("^(....)*..D[89A-F]"), mended).otherwise(data), "UTF-16LE")
 
 
 def comment_hint(language: Column) -> Column:
@@ -115,18 +134,25 @@ def run_markdown(r: Column) -> Column:
     subscript, colour, ruby, link, note. Code ignores all else; empty text has
     no emphasis.
     """
-    f = lambda name: F.coalesce(r.getField(name), F.lit(False))
-    wrap = lambda t, on, a, b: F.when(on, F.concat(F.lit(a), t, F.lit(b))).otherwise(t)
+    on = lambda name: F.coalesce(r.getField(name), F.lit(False))
     raw = F.coalesce(r.getField("text"), F.lit(""))
+    colour, ruby, url = r.getField("colour"), r.getField("ruby"), r.getField("link")
+    coloured = is_output_colour(colour)
+    linked = is_safe_url(url)
+    # from the outside in: what stands before the text, and behind it in the opposite order
+    marks = [
+        (linked, F.lit("["), F.concat(F.lit("]("), F.when(F.contains(url, F.lit(")")), F.concat(F.lit("<"), url, F.lit(">"))).otherwise(url), F.lit(")")), False),
+        (ruby.isNotNull(), F.lit("<ruby>"), F.concat(F.lit("<rt>"), escape_html(ruby), F.lit("</rt></ruby>")), False),
+        (coloured, F.concat(F.lit('<span style="color:'), colour, F.lit('">')), F.lit("</span>"), True),
+        (on("subscript"), F.lit("<sub>"), F.lit("</sub>"), True),
+        (on("superscript"), F.lit("<sup>"), F.lit("</sup>"), True),
+        (on("underline"), F.lit("<u>"), F.lit("</u>"), True),
+        (on("strike"), F.lit("~~"), F.lit("~~"), True),
+        (on("bold"), F.lit("**"), F.lit("**"), True),
+        (on("italic"), F.lit("*"), F.lit("*"), True),
+    ]
     some = raw != ""
-    t = escape_inline(raw)
-    t = wrap(wrap(wrap(t, some & f("bold") & f("italic"), "***", "***"), some & f("bold") & ~f("italic"), "**", "**"), some & ~f("bold") & f("italic"), "*", "*")
-    t = wrap(t, some & f("strike"), "~~", "~~")
-    t = wrap(wrap(wrap(t, some & f("underline"), "<u>", "</u>"), some & f("superscript"), "<sup>", "</sup>"), some & f("subscript"), "<sub>", "</sub>")
-    colour = r.getField("colour")
-    t = F.when(some & is_output_colour(colour), F.concat(F.lit('<span style="color:'), colour, F.lit('">'), t, F.lit("</span>"))).otherwise(t)
-    ruby = r.getField("ruby")
-    t = F.when(ruby.isNotNull(), F.concat(F.lit("<ruby>"), t, F.lit("<rt>"), escape_html(ruby), F.lit("</rt></ruby>"))).otherwise(t)
-    t = F.when(r.getField("link").isNotNull(), link(t, r.getField("link"))).otherwise(t)
-    t = F.when(f("code"), F.concat(F.lit("`"), raw, F.lit("`"))).otherwise(t)
+    shown = lambda m, k: F.when(m[0] & some if m[3] else m[0], m[k]).otherwise("")
+    t = F.concat(*(shown(m, 1) for m in marks), escape_inline(raw), *(shown(m, 2) for m in reversed(marks)))
+    t = F.when(on("code"), F.concat(F.lit("`"), raw, F.lit("`"))).otherwise(t)
     return F.concat(t, F.coalesce(F.concat(F.lit("[^"), r.getField("note"), F.lit("]")), F.lit("")))

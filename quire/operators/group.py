@@ -7,6 +7,9 @@ come as one text, islands are found inside the row and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +48,11 @@ def nested_items(rows: DataFrame, by: list[str], order: list[str], depth: str) -
     A first row is taken for depth 0 whatever it says. ``item`` numbers the rows.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    d = rows.withColumn("item", F.row_number().over(w)).withColumn("_top", (F.col("item") == 1) | (F.col(depth) == 0))
-    return d.withColumn("parent_item", F.when(~F.col("_top"), F.last_value(F.when(F.col("_top"), F.col("item")), ignoreNulls=True).over(w))).drop("_top")
+    number = F.row_number().over(w)
+    top = (number == 1) | (F.col(depth) == 0)
+    last = F.last_value(F.when(F.col("top"), F.col("number")), ignoreNulls=True).over(Window.partitionBy(*(F.col(f"r.{k}") for k in by)).orderBy("number"))
+    d = rows.select(F.struct("*").alias("r"), number.alias("number"), top.alias("top"))
+    return d.select("r.*", F.col("number").alias("item"), F.when(~F.col("top"), last).alias("parent_item"))
 
 
 def interval_value(rows: DataFrame, by: list[str], order: list[str], opens: Column, closes: Column, value: Column, name: str) -> DataFrame:
@@ -99,9 +105,54 @@ def dictionary(rows: DataFrame, by: list[str], order: str, key: list[str]) -> Da
 def enclosing(rows: DataFrame, by: list[str], order: str, level: str) -> DataFrame:
     """``subtree_end`` of each row of a level sequence: the first later row that isn't deeper (null: none).
 
-    In place of a self-join on order, the rows of a sequence are gathered in an
-    array and each looks ahead in it; a sequence is one document's.
+    One pass over sorted partitions: open rows are on a stack, and a row closes
+    those it isn't deeper than. What is held is as much as rows are nested,
+    however long a sequence is.
+    """
+    d = rows.select(*by, order, level)
+    names = d.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, here = [], None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:-2] != here:
+                    out += [(*x, None) for x in stack]
+                    stack, here = [], row[:-2]
+                while stack and stack[-1][-1] >= row[-1]:
+                    out.append((*stack.pop(), row[-2]))
+                stack.append(row)
+            if out:
+                yield made(b.schema, out)
+            schema = b.schema
+        if stack:
+            yield made(schema, [(*x, None) for x in stack])
+
+    def made(schema: pa.Schema, out: list[tuple]) -> pa.RecordBatch:
+        kinds = [*schema.types, schema.field(order).type]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*names, "subtree_end"])
+
+    schema = d.withColumn("subtree_end", F.when(F.lit(True), F.col(order))).schema
+    schema["subtree_end"].nullable = True
+    return d.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
+
+
+def duplicate_entries(names: DataFrame, by: list[str], order: str, name: str, out: str = "entry") -> DataFrame:
+    """Names of a package's entries that collide get ``_N`` before their extension, N from 2, until they are free.
+
+    A document's names are gone through in order, as each may take a name that a later one has.
     """
-    d = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, level))).alias("all"))
-    ends = F.transform("all", lambda x, i: F.struct(x[order].alias(order), x[level].alias(level), F.get(F.filter(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: y[level] <= x[level]), F.lit(0))[order].alias("subtree_end")))
-    return d.select(*by, F.inline(ends))
+    kinds = names.select(*by, F.struct(order, name).alias("n"))
+    g = kinds.groupBy(*by).agg(F.array_sort(F.collect_list("n")).alias("n"))
+
+    def free(found: Column, x: Column) -> Column:
+        stem, ext = F.regexp_extract(x[name], r"^(.*?)([.][^.]*)?$", 1), F.regexp_extract(x[name], r"^.*?([.][^.]*)?$", 1)
+        taken = F.transform(found, lambda y: y.entry)
+        tries = F.transform(F.sequence(F.lit(2), F.size(found) + 2), lambda i: F.concat(stem, F.lit("_"), i.cast("string"), ext))
+        entry = F.when(~F.array_contains(taken, x[name]), x[name]).otherwise(F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0)))
+        return F.concat(found, F.array(F.struct(x[order].alias("at"), entry.alias("entry"))))
+
+    at = names.schema[order].dataType.simpleString()
+    filled = F.aggregate("n", F.array().cast(f"array<struct<at:{at},entry:string>>"), free)
+    return g.select(*by, F.inline(filled)).withColumnsRenamed({"at": order, "entry": out})

@@ -15,20 +15,26 @@ def lookup(rows: DataFrame, values: DataFrame, on: list[str], take: dict[str, st
 
     Keys match null-safely, so a format key with an unset part finds its entry.
     """
-    r, v = rows.alias("r"), values.select(*on, *(F.col(a).alias(f"_{b}") for a, b in take.items())).alias("v")
+    r, v = rows.alias("r"), values.select(*on, *(F.col(a).alias(f"found_{b}") for a, b in take.items())).alias("v")
     condition = None
     for k in on:
         c = F.col(f"r.{k}").eqNullSafe(F.col(f"v.{k}"))
         condition = c if condition is None else condition & c
-    found = {b: F.coalesce(F.col(f"_{b}"), F.lit(missing[b])) if b in (missing or {}) else F.col(f"_{b}") for b in take.values()}
+    value = lambda b: F.col(f"v.found_{b}")
+    found = {b: F.coalesce(value(b), F.lit(missing[b])) if b in (missing or {}) else value(b) for b in take.values()}
     return r.join(v, condition, "left").select("r.*", *(c.alias(b) for b, c in found.items()))
 
 
-def resolve_images(images: DataFrame, entries: DataFrame, by: list[str]) -> DataFrame:
-    """Image references replaced by the entry whose file name has their stem; the last of several; unchanged without one."""
-    stem = F.regexp_extract("path", r"([^/]+?)(?:[.][^./]*)?$", 1)
-    last = entries.groupBy(*by, stem.alias("src")).agg(F.max_by("path", "ord").alias("path"))
-    return lookup(images, last, [*by, "src"], {"path": "entry"}).withColumn("src", F.coalesce("entry", "src")).drop("entry")
+def resolve_images(images: DataFrame, entries: DataFrame, by: list[str], entry: str = "path") -> DataFrame:
+    """Image references (``src``) replaced by the entry whose file name has their stem; the last of several; unchanged without one."""
+    stem = F.regexp_extract(entry, r"([^/]+?)(?:[.][^./]*)?$", 1)
+    last = entries.groupBy(*by, stem.alias("src")).agg(F.max_by(entry, "ord").alias("last_entry"))
+    r, v = images.alias("r"), last.alias("v")
+    condition = F.col("r.src") == F.col("v.src")
+    for k in by:
+        condition &= F.col(f"r.{k}") == F.col(f"v.{k}")
+    kept = [F.coalesce("v.last_entry", "r.src").alias("src") if c == "src" else F.col(f"r.{c}") for c in images.columns]
+    return r.join(v, condition, "left").select(*kept)
 
 
 def grid(cells: DataFrame, by: list[str], most_rows: int = 10_000) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import cell_text, escape_html, escape_inline, escape_line_starts, escape_yaml
+from quire.functions.classify import has_spans
+from quire.functions.text import cell_text, escape_html, escape_inline, escape_line_starts, escape_yaml, let, run_markdown
 
 _JOIN = "\n\n"
 
@@ -50,17 +51,67 @@ def block_markdown(kind: Column, text: Column, level: Column, language: Column)
     """Markdown of a heading, paragraph, code block, quote, rule, page break, image or formula."""
     lines = lambda t, f: F.array_join(F.transform(F.split(t, "\n", -1), f), "\n")
     safe = escape_line_starts(escape_inline(text))
+    held = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`{3,}"), 0), lambda x: F.length(x)))
+    fence = F.repeat(F.lit("`"), F.coalesce(held + 1, F.lit(3)))  # longer than any in the code
     return (
         F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.regexp_replace(escape_inline(text), r"\n+", " ")))
-        .when(kind == "code", F.concat(F.lit("```"), F.coalesce(language, F.lit("")), F.lit("\n"), lines(text, lambda x: F.rtrim(x)), F.lit("\n```")))
+        .when(kind == "code", F.concat(fence, F.coalesce(language, F.lit("")), F.lit("\n"), lines(text, lambda x: F.rtrim(x)), F.lit("\n"), fence))
         .when(kind == "quote", lines(safe, lambda x: F.concat(F.lit("> "), x)))
         .when(kind == "rule", "---")
         .when(kind == "page_break", "<!-- pagebreak -->")
-        .when(kind == "math", F.concat(F.lit("$$"), text, F.lit("$$")))
+        .when(kind == "math", F.concat(F.lit("$$\n"), text, F.lit("\n$$")))
         .otherwise(safe)
     )
 
 
+def cells_markdown(cells: Column) -> Column:
+    """A table of an array of cells: with pipes, or as HTML where cells have spans."""
+    rows = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c.row)))
+    row = lambda n: F.filter(cells, lambda c: c.row == n)
+    texts = F.transform(rows, lambda n: F.transform(row(n), lambda c: escape_inline(c.text)))
+    return F.when(has_spans(cells), html_table(F.transform(rows, row))).otherwise(table_markdown(texts))
+
+
+def node_markdown(b: Column) -> Column:
+    """Markdown of a block, a struct of its columns."""
+    inline = lambda x: F.when(F.size(x.runs) > 0, F.array_join(F.transform(x.runs, run_markdown), "")).otherwise(escape_inline(F.coalesce(x.text, F.lit(""))))
+    return let(b, lambda x: let(inline(x), lambda t: _node_markdown(x, t)))
+
+
+def _node_markdown(b: Column, runs: Column) -> Column:
+    k = b.kind
+    mark = F.when(b.ordered, F.concat(F.coalesce(b.number, F.lit(1)).cast("string"), F.lit("."))).otherwise("-")
+    task = F.when(b.checked, "[x] ").when(~b.checked, "[ ] ").otherwise("")
+    return (
+        F.when(k == "heading", F.concat(F.repeat(F.lit("#"), b.level), F.lit(" "), F.regexp_replace(runs, r"\n+", " ")))
+        .when(k == "item", F.concat(F.repeat(F.lit("  "), b.depth), mark, F.lit(" "), task, F.regexp_replace(escape_line_starts(runs), r"\n+", " ")))
+        .when(k == "table", cells_markdown(b.cells))
+        .when(k == "image", F.concat(F.lit("!["), F.coalesce(b.alt, F.lit("")), F.lit("]("), F.coalesce(b.src, F.lit("")), F.lit(")")))
+        .when(k == "footnote", F.concat(F.lit("[^"), F.coalesce(b.note_id, F.lit("")), F.lit("]: "), F.regexp_replace(escape_line_starts(runs), r"\n+", " ")))
+        .when(k == "quote", F.array_join(F.transform(F.split(escape_line_starts(runs), "\n", -1), lambda x: F.concat(F.lit("> "), x)), "\n"))
+        .when(k.isin("code", "rule", "page_break", "math"), block_markdown(k, F.coalesce(b.text, F.lit("")), b.level, b.language))
+        .otherwise(escape_line_starts(runs))
+    )
+
+
+def markdown(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., markdown`` of documents in the common form (:mod:`quire.plans.nodes`).
+
+    Header and footer come first, within their markers; blank paragraphs go;
+    items of a list stand line below line; sections are kept apart by a rule.
+    """
+    n = nodes.where((F.col("kind") != "paragraph") | (F.trim("text") != ""))
+    n = n.withColumn("piece", node_markdown(F.struct(*n.columns))).select(*by, "section", "region", "ord", "piece", F.when(F.col("kind") == "item", F.col("list_no")).alias("list_no"))
+    outer = n.where("region <> 'body'").select(*by, "section", "region").distinct()
+    edge = lambda at, sign: outer.select(*by, "section", "region", F.lit(at).cast("bigint").alias("ord"), F.concat(F.lit(f"<!-- {sign}"), "region", F.lit(" -->")).alias("piece"), F.lit(None).cast("int").alias("list_no"))
+    n = n.unionByName(edge(-1, "")).unionByName(edge(1 << 62, "/")).withColumn("rank", F.when(F.col("region") == "header", 0).when(F.col("region") == "footer", 1).otherwise(2))
+    w = Window.partitionBy(*by).orderBy("section", "rank", "ord")
+    same = (F.lag("list_no").over(w) == F.col("list_no")) & (F.lag("section").over(w) == F.col("section")) & (F.lag("rank").over(w) == F.col("rank"))
+    gap = F.when(F.row_number().over(w) == 1, "").when(same, "\n").when(F.lag("section").over(w) != F.col("section"), "\n\n---\n\n").otherwise("\n\n")
+    n = n.withColumn("piece", F.concat(gap, "piece"))
+    return n.groupBy(*by).agg(in_order(F.struct("section", "rank", "ord"), "piece", "").alias("markdown"))
+
+
 def documents(nodes: DataFrame) -> DataFrame:
     """``doc_id, markdown`` of (doc_id, ord, kind, level, language, text) blocks; blank paragraphs go."""
     shown = nodes.where((F.col("kind") != "paragraph") | (F.trim("text") != ""))

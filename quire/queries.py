@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire import store
 from quire.functions import classify, equation, text
 from quire.operators import group, lookups, stats
-from quire.plans import render
-from quire.sources import html_table, markdown, package, records
+from quire.plans import binary_documents, convert, nodes, package_documents, package_xml, render
+from quire.sources import compound, html_table, markdown, package, records
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -146,13 +147,15 @@ def heading_style_name(spark, sf_dir):
     return values(spark, _STYLES, "style string").select("style", classify.style_heading(F.col("style")).alias("level"))
 
 
-_RULES = [("제1장 총칙",), ("제 2 편",), ("제3조(목적)",), ("제4조의2 정의",), ("제5절",), ("제6조가 나",), ("본문 제7조",), ("제십조",), ("제8장. 끝",), ("제9조 " + "가" * 120,), ("",)]
-_RULE_SQL = [(1,), (1,), (2,), (2,), (2,), (None,), (None,), (None,), (1,), (None,), (None,)]
+_UNITS, _TAILS = "편장절조과호", ("", " 총칙", "(목적)", "[목적]", "」", "의2 특례", "의", "가나", ";", "-1", "…")
 
 
-@query(f"SELECT line, level::INTEGER AS level FROM {sql_values([a + b for a, b in zip(_RULES, _RULE_SQL, strict=True)], 'line, level')}")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 11 NOT IN (6, 7, 8) AND p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 6 IN (0, 1) THEN 1 WHEN p_partkey % 6 IN (2, 3) THEN 2 END END AS level FROM part""")
 def heading_regulation(spark, sf_dir):
-    return values(spark, _RULES, "line string").select("line", classify.regulation_heading(F.col("line")).alias("level"))
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    line = F.concat(F.when(k % 4 == 0, "  ").otherwise(""), F.lit("제"), F.when(k % 9 == 0, " ").otherwise(""), k.cast("string"), pick(list(_UNITS)), pick(_TAILS), F.when(k % 13 == 0, F.repeat(F.lit(" 가"), 60)).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", classify.regulation_heading(line).alias("level"))
 
 
 @query("""SELECT p_partkey, CASE WHEN length(p_name) < 100 AND p_size % 2 = 0 THEN CASE WHEN p_size * 40 >= 1600 THEN 1 WHEN p_size * 40 >= 1400 THEN 2 WHEN p_size * 40 >= 1200 THEN 3 END END AS level FROM part""")
@@ -185,12 +188,14 @@ def mime_ext_writer(spark, sf_dir):
     return values(spark, _NAMES, "name string").select("name", classify.writer_mime(F.col("name")).alias("mime"))
 
 
-_ASSETS = [("../x/photo.png", "photo.png"), ("a\\b\\c.bmp", "c.bmp"), ("con.txt", "_con.txt"), ("LPT1", "_LPT1"), ("bad:name?.gif", "bad_name_.gif"), ("trail. . ", "trail"), ("...", "asset"), ("", "asset"), ("ok.jpg", "ok.jpg"), ("x\ty.png", "x_y.png")]
-
-
-@query(f"SELECT name, safe FROM {sql_values(_ASSETS, 'name, safe')}")
+@query("""SELECT s_suppkey, CASE s_suppkey % 10 WHEN 0 THEN 'photo' || s_suppkey || '.png' WHEN 1 THEN 'a_b' || s_suppkey WHEN 2 THEN '_CON.txt' WHEN 3 THEN 'con.tar.gz' WHEN 4 THEN '_LPT' || (s_suppkey % 9 + 1)
+WHEN 5 THEN 'asset' WHEN 6 THEN 'x_' || s_suppkey WHEN 7 THEN 'trail' || s_suppkey WHEN 8 THEN 'bad:name?' || s_suppkey ELSE 'sub' END AS safe FROM supplier""")
 def asset_name_sanitize(spark, sf_dir):
-    return values(spark, [(a,) for a, _ in _ASSETS], "name string").select("name", text.asset_name(F.col("name")).alias("safe"))
+    k = F.col("s_suppkey")
+    t = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    kinds = [t("../dir/photo", k, ".png"), t("a\\b", k), F.lit("CON.txt"), F.lit("con.tar.gz"), t("LPT", k % 9 + 1), F.lit("dir/.."), t("x\t", k), t("trail", k, ". ."), t("bad:name?", k), F.lit("dir/sub/.")]
+    name = F.element_at(F.array(*kinds), (k % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.asset_name(name).alias("safe"))
 
 
 @query("""SELECT s_suppkey, name, CASE WHEN n = 1 THEN name ELSE 'pic' || (s_nationkey % 5) || ' (' || n || ').png' END AS unique_name
@@ -221,13 +226,14 @@ def span_attribute(spark, sf_dir):
     return values(spark, _SPANS, "a string").select("a", text.span_of(F.col("a")).alias("span"))
 
 
-_KINDS = [("1. a", None, None, "ordered"), ("plain", None, None, None), ("plain", 1, True, "ordered"), ("plain", 2, False, "bullet"), ("a) b", 9, None, "ordered"), ("plain", 9, None, "bullet"), ("• b", None, None, "bullet"), ("1234. a", None, None, None), ("- x", 3, True, "ordered")]
-
-
-@query(f"SELECT i, kind FROM {sql_values([(i, r[3]) for i, r in enumerate(_KINDS)], 'i, kind')}")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'ordered' WHEN p_partkey % 4 = 2 THEN 'bullet' WHEN p_partkey % 5 IN (0, 1) THEN 'ordered' WHEN p_partkey % 5 = 2 OR p_partkey % 4 = 3 THEN 'bullet' END AS kind FROM part""")
 def list_kind_numbered(spark, sf_dir):
-    d = values(spark, [(i, *r[:3]) for i, r in enumerate(_KINDS)], "i int, line string, numbering int, ordered boolean")
-    return d.select("i", classify.numbered_kind(F.col("line"), F.col("numbering"), F.col("ordered")).alias("kind"))
+    k = F.col("p_partkey")
+    line = F.concat(F.element_at(F.array(*map(F.lit, ("12. ", "b) ", "• ", "1234. ", "-"))), (k % 5 + 1).cast("int")), "p_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", line.alias("line"), F.when(k % 4 > 0, (k % 4).cast("int")).alias("numbering"))
+    known = values(spark, [(1, True), (2, False)], "numbering int, ordered boolean")
+    d = lookups.lookup(p, known, ["numbering"], {"ordered": "ordered"})
+    return d.select("p_partkey", classify.numbered_kind(F.col("line"), F.col("numbering"), F.col("ordered")).alias("kind"))
 
 
 # --- rendering and reading back ------------------------------------------------
@@ -322,9 +328,9 @@ def package_paragraph_roundtrip(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey::BIGINT AS o_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, (1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INTEGER AS item, 1::INTEGER AS parent_item
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0""")
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def package_list_nesting(spark, sf_dir):
-    return _order_lists(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"))
+    return _order_lists(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
 @query("""SELECT o_orderkey::BIGINT AS o_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, (1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INTEGER AS item, 1::INTEGER AS parent_item
@@ -447,12 +453,246 @@ def footnote_orphans(spark, sf_dir):
     return lookups.orphans(refs, notes, ["conv_id", "note"]).select("conv_id", "turn")
 
 
-_EQUATIONS = [
-    ("a over b", "\\frac{a}{b}"), ("{a+b} over {c}", "\\frac{a + b}{c}"), ("sqrt {x^2 + 1}", "\\sqrt{x^{2} + 1}"), ("root 3 of x", "\\sqrt[3]{x}"), ("alpha _ i <= inf", "\\alpha_{i} \\leq \\infty"),
-    ("sum _{i=0} ^n x", "\\sum_{i = 0}^{n} x"), ("LEFT ( a RIGHT )", "\\left ( a \\right )"), ("{a", "{a}"), ("a } b", "a b"), ("", ""), (None, None),
-]
+@query(r"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '\frac{' || p_size || '}{' || p_partkey || '} + \alpha_{' || p_size || '}' WHEN 1 THEN '\sqrt[' || p_size || ']{x^{' || p_partkey || '}}'
+WHEN 2 THEN '\sum_{i=1}^{' || p_size || '} \left( i \le ' || p_partkey || ' \right)' WHEN 3 THEN '\begin{matrix}' || p_size || ' \\ ' || p_partkey || '\end{matrix}' ELSE p_size || ' over ' || p_partkey END AS tex FROM part""")
+def equation_tex(spark, sf_dir):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    t = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    kinds = [t("{", n, "} over {", k, "}  +  alpha_{", n, "}"), t("root {", n, "} {x^{", k, "}}"), t("sum_{i=1}^{", n, "} left( i le ", k, " right)"), t("matrix{", n, " # ", k, "}"), t(n, " over ", k)]
+    d = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*kinds), (F.col("p_partkey") % 5 + 1).cast("int")).alias("script"))
+    return d.select("p_partkey", equation.equation_tex("script").alias("tex"))
 
 
-@query(f"SELECT script, tex FROM {sql_values(_EQUATIONS, 'script, tex')}")
-def equation_tex(spark, sf_dir):
-    return values(spark, [(a,) for a, _ in _EQUATIONS], "script string").select("script", equation.equation_tex("script").alias("tex"))
+# --- packages ---------------------------------------------------------------------
+
+
+def _part(number, value: str = "string"):
+    return F.col(number).cast(value)
+
+
+@query("""SELECT n_regionkey::BIGINT AS doc, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INTEGER AS row, n_nationkey::VARCHAR AS key, n_name AS name FROM nation""")
+def hwpx_roundtrip_table(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    cell = lambda row, col, t, head: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), t.alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), F.lit(head).alias("is_header"))
+    body = F.array_sort(F.flatten(F.collect_list(F.array(cell(F.col("row"), 0, _part("n_nationkey"), False), cell(F.col("row"), 1, F.col("n_name"), False)))))
+    t = n.groupBy(_part("n_regionkey").alias("path")).agg(F.concat(F.array(cell(F.lit(0), 0, F.lit("key <&>"), True), cell(F.lit(0), 1, F.lit("name"), True)), body).alias("cells"))
+    blocks = t.select("path", *nodes.block(ord=F.lit(0), kind=F.lit("table"), cells=F.col("cells")))
+    files = package_xml.write(blocks, t.select("path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("author")))
+    out = package_documents.read(files)["blocks"].select("path", F.inline("cells")).where("row > 0")
+    text_of = lambda c: F.max(F.when(F.col("col") == c, F.col("text")))
+    return out.groupBy(F.col("path").cast("bigint").alias("doc"), "row").agg(text_of(0).alias("key"), text_of(1).alias("name"))
+
+
+_BOOK = """WITH l AS (SELECT s_nationkey AS doc, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n FROM supplier)"""
+
+
+def _book(spark, sf_dir):
+    """Blocks of a document a nation: its suppliers as headings, code, list items, linked and annotated paragraphs, notes and pictures."""
+    k, name = F.col("s_suppkey") % 7, F.col("s_name")
+    d = table(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
+    kind = F.element_at(F.array(*map(F.lit, ("heading", "paragraph", "item", "code", "footnote", "image", "paragraph"))), (k + 1).cast("int"))
+    linked = F.array(nodes.run(text=name, link=F.concat(F.lit("http://x/?a=1&n="), _part("s_suppkey")), bold=F.lit(True)), nodes.run(text=F.lit(""), note=F.lit("r1")))
+    ruby = F.array(nodes.run(text=name, ruby=F.lit("above"), italic=F.lit(True)))
+    runs = F.when(k == 1, linked).when(k == 6, ruby).when(k.isin(0, 2, 4), nodes.plain_runs(name))
+    blocks = d.select(
+        _part("s_nationkey").alias("path"),
+        *nodes.block(ord=F.col("n"), kind=kind, level=F.when(k == 0, F.col("s_suppkey") % 6 + 1), text=F.when(k != 5, name), runs=runs, language=F.when(k == 3, "sql"), note_id=F.when(k == 4, F.concat(F.lit("n"), _part("s_suppkey"))), src=F.when(k == 5, F.concat(F.lit("pics/p"), (F.col("s_suppkey") % 3).cast("string"), F.lit(".png"))), alt=F.when(k == 5, name), ordered=F.when(k == 2, F.lit(True))),
+    )
+    pictures = d.select(_part("s_nationkey").alias("path"), (F.col("s_suppkey") % 3).cast("int").alias("ord")).distinct().select("path", "ord", F.concat(F.lit("pics/p"), _part("ord"), F.lit(".png")).alias("name"), F.lit(b"\x89PNG").alias("data"))
+    documents = d.select(_part("s_nationkey").alias("path")).distinct().select("path", F.concat(F.lit("Nation & "), "path").alias("title"), F.lit("me").alias("author"))
+    return blocks, documents, pictures
+
+
+@query(_BOOK + """SELECT doc::BIGINT AS doc, n::BIGINT AS n, CASE s_suppkey % 7 WHEN 0 THEN 'heading' WHEN 2 THEN 'item' WHEN 3 THEN 'code' WHEN 4 THEN 'footnote' WHEN 5 THEN 'image' ELSE 'paragraph' END AS kind,
+CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey % 6 + 1 END::INTEGER AS level, CASE WHEN s_suppkey % 7 <> 5 THEN s_name END AS text, CASE WHEN s_suppkey % 7 = 3 THEN 'sql' END AS language, CASE WHEN s_suppkey % 7 = 5 THEN 'p' || (s_suppkey % 3) || '.png' END AS src,
+CASE WHEN s_suppkey % 7 = 4 THEN 'n' || s_suppkey END AS note_id, CASE WHEN s_suppkey % 7 = 1 THEN 'http://x/?a=1&n=' || s_suppkey END AS link, CASE WHEN s_suppkey % 7 = 6 THEN 'above' END AS ruby FROM l""")
+def package_blocks_roundtrip(spark, sf_dir):
+    out = package_documents.read(package_xml.write(*_book(spark, sf_dir)))["blocks"]
+    n = F.row_number().over(Window.partitionBy("path").orderBy("ord")) - 1
+    first = F.get("runs", F.lit(0))
+    return out.select(F.col("path").cast("bigint").alias("doc"), n.cast("bigint").alias("n"), "kind", "level", "text", "language", "src", "note_id", first.link.alias("link"), first.ruby.alias("ruby"))
+
+
+@query("""SELECT s_nationkey::BIGINT AS doc, count(*) FILTER (s_suppkey % 7 <> 5)::BIGINT AS n_texts, count(DISTINCT CASE WHEN s_suppkey % 7 = 5 THEN s_suppkey % 3 END)::BIGINT AS n_assets, sum(CASE WHEN s_suppkey % 7 <> 5 THEN length(s_name) ELSE 0 END)::BIGINT AS n_chars FROM supplier GROUP BY 1""")
+def block_statistics(spark, sf_dir):
+    blocks = _book(spark, sf_dir)[0]
+    out = nodes.statistics(nodes.number_lists(blocks, ["path"], same_kind=False), ["path"])
+    texts = blocks.groupBy("path").agg(F.count("text").alias("n_texts"))
+    return out.join(texts, "path").select(F.col("path").cast("bigint").alias("doc"), "n_texts", "n_assets", "n_chars")
+
+
+@query("""SELECT doc_id, 'T & ' || doc_id AS title, lang AS author, source AS subject, doc_id % 2 = 0 AS keep_with_next, ['F' || (doc_id % 3), 'Other'] AS faces FROM documents""")
+def package_metadata(spark, sf_dir):
+    t = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    number = _part("doc_id")
+    head = t("<hh:head><hh:title>first</hh:title><hh:title>T &amp; ", number, "</hh:title>", F.coalesce(t("<dc:creator>", text.escape_xml(F.col("lang")), "</dc:creator>"), F.lit("")), F.coalesce(t("<hh:subject>", text.escape_xml(F.col("source")), "</hh:subject>"), F.lit("")), '<hh:fontface lang="A"><hh:font id="0" face="F', (F.col("doc_id") % 3).cast("string"), '"/><hh:font id="1" face="Other"/></hh:fontface><hh:fontface lang="B"><hh:font id="0" face="no"/></hh:fontface><hh:paraPr id="0"><hh:breakSetting keepWithNext="', (F.col("doc_id") % 2 == 0).cast("string"), '"/></hh:paraPr></hh:head>')
+    parts = table(spark, sf_dir, "documents").select(number.alias("path"), F.lit(0).alias("ord"), F.lit("Contents/header.xml").alias("name"), head.cast("binary").alias("data"))
+    out = package.header_parts(package.entries(package.packages(parts)).where("error is null"))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "title", "author", "subject", F.col("breaks.keep_with_next").alias("keep_with_next"), "faces")
+
+
+@query("""SELECT conv_id, role, count(*) AS n FROM (SELECT conv_id, CASE role WHEN 'user' THEN 'header' WHEN 'system' THEN 'footer' ELSE 'body' END AS role FROM conversations WHERE text IS NOT NULL AND trim(text) <> '') GROUP BY ALL""")
+def package_regions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null and trim(text) <> ''")
+    region = F.when(F.col("role") == "user", "header").when(F.col("role") == "system", "footer").otherwise("body")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    blocks = c.select(_part("conv_id").alias("path"), *nodes.block(region=region, ord=F.row_number().over(order), kind=F.lit("paragraph"), text=F.lit("said"), runs=nodes.plain_runs(F.lit("said"))))
+    none = F.lit(None).cast("string")
+    files = package_xml.write(blocks, c.select(_part("conv_id").alias("path")).distinct().select("path", none.alias("title"), none.alias("author")))
+    out = package_documents.read(files)["blocks"]
+    return out.groupBy(F.col("path").cast("bigint").alias("conv_id"), F.col("region").alias("role")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN n = 1 THEN 'pic' || (s_suppkey % 5) || '.png' ELSE 'pic' || (s_suppkey % 5) || '_' || n || '.png' END AS entry FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 ORDER BY s_suppkey) AS n FROM supplier)""")
+def package_entry_names(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.concat(F.lit("pic"), (F.col("s_suppkey") % 5).cast("string"), F.lit(".png")).alias("name"))
+    return group.duplicate_entries(d, ["s_nationkey"], "s_suppkey", "name").select("s_suppkey", "entry")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 1 + p_partkey % 6 WHEN p_size % 2 = 0 AND p_size * 40 >= 1600 THEN 1 WHEN p_size % 2 = 0 AND p_size * 40 >= 1400 THEN 2 WHEN p_size % 2 = 0 AND p_size * 40 >= 1200 THEN 3 WHEN p_partkey % 4 = 0 THEN 2 END AS level FROM part""")
+def heading_priority(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    style = F.when(k % 3 == 0, F.when(k % 2 == 0, F.concat(F.lit("Heading "), (1 + k % 6).cast("string"))).otherwise((1 + k % 6).cast("string"))).otherwise("Body")
+    line = F.when(k % 4 == 0, F.concat(F.lit("제"), k.cast("string"), F.lit("조 "))).otherwise(F.lit("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", classify.heading_of(style, line, n % 2 == 0, n * 40, k % 5 == 0).cast("int").alias("level"))
+
+
+# --- binary documents -----------------------------------------------------------------
+
+
+def _short(v, size: int):
+    """Little-endian bytes of a number."""
+    digits = F.lpad(F.hex(v.cast("bigint")), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))))
+
+
+def _counted(t):
+    data = F.encode(t, "UTF-16LE")
+    return F.concat(_short(F.octet_length(data) / 2, 2), data)
+
+
+def _paragraph(t, style=None, level: int = 0):
+    """Records of a paragraph: header, text, shapes."""
+    head = F.concat(F.lit(bytes(6)), _short(F.lit(0) if style is None else style, 1), F.lit(bytes(15)))
+    r = records.record_bytes
+    return F.concat(r(F.lit(records.PARA_HEADER), F.lit(level), head), r(F.lit(records.PARA_TEXT), F.lit(level + 1), F.encode(t, "UTF-16LE")), r(F.lit(records.PARA_CHAR_SHAPE), F.lit(level + 1), F.lit(bytes(6))))
+
+
+def _bytes_in_order(order, value):
+    return F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.hex(value).alias("v")))), lambda x: x.v), ""))
+
+
+def _binary_files(sections, info, flags: int):
+    """Compound files of (path, body) sections that are deflated, with a dictionary of ``info``."""
+    name = "ViewText/Section0" if flags & 4 else "BodyText/Section0"
+    d = sections.select("path", records.deflated("body").alias("body"), records.deflated(info).alias("info"))
+    stream = lambda n, c: F.struct(F.lit(n).alias("name"), c.alias("data"))
+    return d, lambda body: compound.files(d.select("path", F.array(stream("FileHeader", F.lit(records.header_bytes(flags))), stream("DocInfo", F.col("info")), stream(name, body)).alias("streams")))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::BIGINT AS ord, CASE WHEN n % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN n % 3 = 0 THEN 2 END::INTEGER AS level, md5(text) AS text
+FROM l WHERE trim(text, ' ') <> '' AND (n % 3 = 0 OR NOT regexp_matches(trim(text, ' '), '^( *([0-9]{1,3}|[A-Za-z])[.)]|[●■▶▷◆◇•·*-])([ \t]|$)'))""")
+def binary_document_roundtrip(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
+    is_item = (F.col("n") % 3 != 0) & classify.list_kind(F.trim("t")).isNotNull()
+    d = d.where((F.trim("t") != "") & ~is_item)
+    r = records.record_bytes
+    style = lambda name: r(F.lit(records.STYLE), F.lit(0), F.concat(_counted(F.lit("local")), _counted(F.lit(name))))
+    info = F.concat(r(F.lit(records.CHAR_SHAPE), F.lit(0), F.lit(bytes(58))), r(F.lit(records.PARA_SHAPE), F.lit(0), F.lit(bytes(30))), style("Normal"), style("Outline 2"))
+    body = d.groupBy(_part("doc_id").alias("path")).agg(_bytes_in_order(F.col("n"), _paragraph(F.col("t"), (F.col("n") % 3 == 0).cast("int"))).alias("body"))
+    _, made = _binary_files(body, info, 1)
+    out = binary_documents.read(made(F.col("body")))["blocks"]
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "ord", "kind", "level", F.md5("text").alias("text"))
+
+
+@query("""SELECT n_regionkey::BIGINT AS doc, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row, n_nationkey::VARCHAR AS key, n_name AS name FROM nation""")
+def binary_table(spark, sf_dir):
+    r = records.record_bytes
+    n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    cell = lambda col, t: F.concat(r(F.lit(records.LIST_HEADER), F.lit(2), F.concat(_short(F.lit(1), 2), _short(F.lit(col), 2), _short(F.col("row"), 2), _short(F.lit(1), 2), _short(F.lit(1), 2))), _paragraph(t, None, 3))
+    rows = n.groupBy(_part("n_regionkey").alias("path")).agg(_bytes_in_order(F.col("row"), F.concat(cell(0, _part("n_nationkey")), cell(1, F.col("n_name")))).alias("cells"))
+    body = F.concat(_paragraph(F.lit("before")), r(F.lit(records.CTRL_HEADER), F.lit(1), F.lit(b"tbl ")), r(F.lit(records.TABLE), F.lit(2), F.lit(bytes(8))), F.col("cells"))
+    _, made = _binary_files(rows.select("path", body.alias("body")), F.lit(b""), 1)
+    out = binary_documents.read(made(F.col("body")))["blocks"].where("kind = 'table'").select("path", F.inline("cells"))
+    text_of = lambda c: F.max(F.when(F.col("col") == c, F.col("text")))
+    return out.groupBy(F.col("path").cast("bigint").alias("doc"), "row").agg(text_of(0).alias("key"), text_of(1).alias("name"))
+
+
+@query("""SELECT p_partkey::BIGINT AS p_partkey, p_name AS text FROM part""")
+def distributed_document(spark, sf_dir):
+    seed = bytes(i * 7 % 256 for i in range(252))
+    key = F.lit(records.hidden_key(seed))
+    info = records.record_bytes(F.lit(records.DISTRIBUTION), F.lit(0), F.lit(bytes(4) + seed))
+    d, made = _binary_files(table(spark, sf_dir, "part").select(_part("p_partkey").alias("path"), _paragraph(F.col("p_name")).alias("body")), info, 5)
+    whole = F.octet_length("body") - F.octet_length("body") % 16
+    sealed = F.concat(F.substring(F.aes_encrypt(F.substring("body", F.lit(1), whole), key, F.lit("ECB"), F.lit("PKCS")), F.lit(1), whole), F.substring("body", whole + 1, F.octet_length("body")))
+    out = binary_documents.read(made(sealed))["blocks"]
+    return out.select(F.col("path").cast("bigint").alias("p_partkey"), "text")
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents WHERE text <> ''")
+def salvaged_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text <> ''")
+    damaged = F.concat(F.lit(bytes(600)), records.record_bytes(F.lit(records.PARA_TEXT), F.lit(1), F.encode("text", "UTF-16LE")), F.lit(bytes(3)))
+    out = records.salvage(d.select(_part("doc_id").alias("path"), damaged.alias("content")))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), F.md5("text").alias("text"))
+
+
+# --- Markdown of runs and nested lists ------------------------------------------------------
+
+
+@query("""SELECT p_partkey::BIGINT AS p_partkey, 'a*b_' || p_name AS text, p_partkey % 2 = 0 AS bold, p_partkey % 3 = 0 AS italic, p_partkey % 5 = 0 AS strike, CASE WHEN p_partkey % 7 = 0 THEN 'http://h/(' || p_partkey || ')' END AS link FROM part""")
+def md_inline_roundtrip(spark, sf_dir):
+    k = F.col("p_partkey")
+    run = nodes.run(text=F.concat(F.lit("a*b_"), "p_name"), bold=k % 2 == 0, italic=k % 3 == 0, strike=k % 5 == 0, link=F.when(k % 7 == 0, F.concat(F.lit("http://h/("), k.cast("string"), F.lit(")"))))
+    d = table(spark, sf_dir, "part").select(k.alias("doc"), *nodes.block(ord=F.lit(0), kind=F.lit("paragraph"), text=F.col("p_name"), runs=F.array(nodes.run(text=F.lit("see ")), run, nodes.run(text=F.lit(" tail")))))
+    md = store.kept(render.markdown(d, ["doc"]))
+    first = F.get("runs", F.least(F.size("runs") - 1, F.lit(1)))  # a plain one is joined to those beside it
+    shown = F.when(F.size("runs") == 1, F.regexp_replace(first.text, "^see | tail$", "")).otherwise(first.text)
+    return markdown.nodes(md, "doc", "markdown").select(F.col("doc_id").cast("bigint").alias("p_partkey"), shown.alias("text"), first.bold.alias("bold"), first.italic.alias("italic"), first.strike.alias("strike"), first.link.alias("link"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders), t AS (SELECT *, n % 3 = 0 AS top, n // 3 + 1 AS number FROM o)
+SELECT o_custkey::BIGINT AS o_custkey, n::BIGINT AS n, (NOT top)::INTEGER AS depth, CASE WHEN top THEN number ELSE n % 3 END::INTEGER AS number, o_orderpriority AS text FROM t""")
+def md_nested_list_roundtrip(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    blocks = o.select(F.col("o_custkey").alias("doc"), *nodes.block(ord=F.col("n"), kind=F.lit("item"), depth=(F.col("n") % 3 > 0).cast("int"), ordered=F.lit(True), text=F.col("o_orderpriority"), runs=nodes.plain_runs(F.col("o_orderpriority"))))
+    md = store.kept(render.markdown(nodes.number_lists(blocks, ["doc"], same_kind=False), ["doc"]))
+    out = markdown.nodes(md, "doc", "markdown")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    return out.select(F.col("doc_id").cast("bigint").alias("o_custkey"), n.cast("bigint").alias("n"), "depth", "number", "text")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT o_orderkey::BIGINT AS o_orderkey, a.l_linenumber::INTEGER AS l_linenumber, true AS reached FROM orders JOIN l a ON a.l_orderkey = o_orderkey
+WHERE o_orderpriority <> '1-URGENT' AND (a.l_linenumber = 1 OR a.l_linenumber = 2 AND EXISTS (SELECT 1 FROM l b WHERE b.l_orderkey = o_orderkey AND b.l_linenumber = 1))""")
+def node_walk(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("node"), F.lit(None).cast("int").alias("up"), (F.col("o_orderpriority") == "1-URGENT").alias("shut"))
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("node"), (F.col("l_linenumber") - 1).cast("int").alias("up")).distinct()
+    out = nodes.descend(o.unionByName(one.withColumn("shut", F.col("node") >= 2)), ["doc"], "node", "up", F.col("shut"))
+    return out.where("depth > 0").select(F.col("doc").cast("bigint").alias("o_orderkey"), F.col("node").alias("l_linenumber"), F.lit(True).alias("reached"))
+
+
+@query("""WITH f AS (SELECT doc_id, 'd/' || (doc_id // 2) || CASE WHEN doc_id % 2 = 0 THEN '.hwp' ELSE '.hwpx' END AS path, 'd/' || (doc_id // 2) || '.md' AS target FROM documents)
+SELECT path, target, CASE WHEN row_number() OVER (PARTITION BY target ORDER BY path) > 1 OR doc_id // 2 % 5 = 0 THEN 'skipped' ELSE 'convert' END AS status FROM f""")
+def convert_targets(spark, sf_dir):
+    half = F.floor(F.col("doc_id") / 2).cast("bigint")
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("d/"), half.cast("string"), F.when(F.col("doc_id") % 2 == 0, ".hwp").otherwise(".hwpx")).alias("path"), F.lit("package").alias("kind"))
+    there = d.where(half % 5 == 0).select(F.concat(F.lit("d/"), half.cast("string"), F.lit(".md")).alias("path"))
+    return convert.targets(files, there)
+
+
+@query("""SELECT s_suppkey::BIGINT AS s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN 'Zip' WHEN 2 THEN 'DrmProtected' END AS error, s_suppkey % 4 = 3 AS recovered FROM supplier""")
+def check_files(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").withColumn("path", _part("s_suppkey"))
+    k = F.col("s_suppkey") % 4
+    good = package.packages(d.where(k == 0).select("path", F.lit(0).alias("ord"), F.lit("Contents/section0.xml").alias("name"), package.section_xml(package.paragraph_xml(package.run_xml(F.col("s_name")))).alias("data")))
+    head = F.struct(F.lit("FileHeader").alias("name"), F.lit(records.header_bytes(2)).alias("data"))
+    sealed = compound.files(d.where(k == 2).select("path", F.array(head).alias("streams")))
+    other = d.where(k.isin(1, 3)).select("path", F.encode("s_name", "UTF-8").alias("content"))
+    kind = F.when(F.col("path").cast("bigint") % 4 < 2, "package").otherwise("records")
+    files = good.unionByName(sealed).unionByName(other).withColumn("kind", kind)
+    out = convert.blocks(files)["documents"]
+    return out.select(F.col("path").cast("bigint").alias("s_suppkey"), "error", "recovered")

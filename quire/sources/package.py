@@ -7,6 +7,7 @@ emits flat rows; resolving, grouping and counting them is left to Spark.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -16,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.classify import CODE_HINT, PAGE_BREAKS, reader_mime
 from quire.functions.text import escape_xml
 
 MAX_ENTRY = 256 << 20
 
 # The parts of a package.
 MIMETYPE = "application/hwp+zip"
-CONTAINER = '<?xml version="1.0" encoding="UTF-8"?><container><rootfiles><rootfile full-path="Contents/content.hpf"/></rootfiles></container>'
+CONTAINER = '<?xml version="1.0" encoding="UTF-8"?><container version="1.0"><rootfiles><rootfile full-path="Contents/content.hpf" media-type="application/hwp+xml"/></rootfiles></container>'
+VERSION = '<?xml version="1.0" encoding="UTF-8"?><hh:HWPCompatibleDocument xmlns:hh="http://www.hancom.co.kr/hwpml/2011/head" version="1.1"><hh:DocInfo><hh:HWPVersion Major="5" Minor="1" Micro="0" Build="0"/></hh:DocInfo></hh:HWPCompatibleDocument>'
+SECTION_SPACE = "http://www.hancom.co.kr/hwpml/2011/section"
+PARAGRAPH_SPACE = "http://www.hancom.co.kr/hwpml/2011/paragraph"
 
 
 def entries(files: DataFrame) -> DataFrame:
@@ -49,19 +54,21 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def packages(parts: DataFrame) -> DataFrame:
-    """``path, content`` of archives made of ``parts`` (path, ord, name, data); the mimetype is stored first."""
+    """``path, content`` of archives made of ``parts`` (path, ord, name, data); the mimetype is stored first, pictures are stored."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["ord"].to_pylist(), table["name"].to_pylist(), table["data"].to_pylist(), strict=True))
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data in [("mimetype", MIMETYPE.encode()), ("META-INF/container.xml", CONTAINER.encode()), *((n, d) for _, n, d in rows)]:
-                info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-                info.compress_type = zipfile.ZIP_STORED if name == "mimetype" or name.startswith("BinData/") else zipfile.ZIP_DEFLATED
-                z.writestr(info, data or b"")
-        return pa.table({"path": [table["path"][0].as_py()], "content": [out.getvalue()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, held in zip(b.column("path").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+                    for name, data in [("mimetype", MIMETYPE.encode()), ("META-INF/container.xml", CONTAINER.encode()), ("version.xml", VERSION.encode()), *((p["name"], p["data"]) for p in held)]:
+                        info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                        info.compress_type = zipfile.ZIP_STORED if name == "mimetype" or name.startswith("BinData/") else zipfile.ZIP_DEFLATED
+                        z.writestr(info, data or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
 
-    return parts.groupBy("path").applyInArrow(run, "path string, content binary")
+    whole = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "data"))).alias("parts"))
+    return whole.mapInArrow(run, "path string, content binary")
 
 
 def section_numbers(parts: DataFrame) -> DataFrame:
@@ -72,71 +79,311 @@ def section_numbers(parts: DataFrame) -> DataFrame:
     return found.join(known, "path").where(F.size(F.filter("_all", lambda x: x < F.col("section"))) == F.col("section")).drop("_all")
 
 
-_FIELDS = [("kind", pa.string()), ("para", pa.int32()), ("text", pa.string()), ("style", pa.string()), ("property", pa.int32()), ("numbering", pa.int32()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("height", pa.int32()), ("colour", pa.string()), ("link", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("ref", pa.string())]
-EVENT_SCHEMA = "kind string, para int, text string, style string, property int, numbering int, bold boolean, italic boolean, height int, colour string, link string, row int, col int, colspan int, rowspan int, ref string"
+def manifest_sections(parts: DataFrame) -> DataFrame:
+    """The sections among entries in the order of the manifest; of packages whose manifest names none, those numbered without a gap."""
+    manifest = parts.where("name = 'Contents/content.hpf'").select("path", F.regexp_extract_all(F.make_valid_utf8(F.col("data").cast("string")), F.lit(r"<(?:\w+:)?item\b[^>]*?\bhref=\"([^\"]*)\""), 1).alias("hrefs"))
+    named = manifest.select("path", F.filter("hrefs", lambda h: h.rlike("[sS]ection")).alias("hrefs")).where(F.size("hrefs") > 0)
+    named = named.select("path", F.posexplode("hrefs").alias("section", "href"))
+    at = F.when(F.startswith("href", F.lit("Contents/")), F.col("href")).otherwise(F.concat(F.lit("Contents/"), F.col("href")))
+    listed = parts.join(named.select("path", "section", at.alias("name")), ["path", "name"])
+    found = section_numbers(parts).join(named.select("path").distinct(), "path", "left_anti")
+    return listed.select(*parts.columns, "section").unionByName(found.select(*parts.columns, "section"))
 
 
-def section_events(xml: bytes) -> list[dict]:
-    """Runs, pictures, breaks and notes of a section in document order, with where they stand."""
-    out, stack, now, cells = [], [], {"style": None, "property": None, "numbering": None}, {"row": None, "col": None, "colspan": 1, "rowspan": 1}
-    run: dict = {}
-    state = {"para": -1, "text": None, "link": None}
-    number = lambda v: int(v) if v is not None and v.lstrip("-").isdigit() else None
-
-    def put(kind: str, **more) -> None:
-        where = {k: cells[k] for k in cells} if "tc" in stack else {}
-        out.append({"kind": kind, "para": state["para"], **now, **where, "link": state["link"], **more})
-
-    def start(name: str, a: dict) -> None:
-        name = name.rpartition(":")[2]
-        stack.append(name)
-        if name == "p":
-            state["para"] += 1
-            now.update(style=a.get("styleIDRef"), property=number(a.get("paraPrIDRef")), numbering=number(a.get("numPrIDRef")))
-            put("paragraph")
-        elif name == "run":
-            run.clear()
-        elif name == "charPr":
-            run.update(bold=a.get("bold") in ("1", "true"), italic=a.get("italic") in ("1", "true"), height=number(a.get("height")), colour=a.get("color"))
-        elif name == "t":
-            state["text"] = []
-        elif name == "lineBreak" and state["text"] is not None:
-            state["text"].append("\n")
-        elif name == "tbl":
-            cells.update(row=-1, col=-1)
-            put("table")
-        elif name == "tr":
-            cells.update(row=(cells["row"] if cells["row"] is not None else -1) + 1, col=-1)
-        elif name == "tc":
-            cells.update(col=(cells["col"] or 0) + 1 if cells["col"] is not None and cells["col"] >= 0 else 0, colspan=1, rowspan=1)
-        elif name == "cellSpan":
-            cells.update(colspan=max(1, number(a.get("colSpan")) or 1), rowspan=max(1, number(a.get("rowSpan")) or 1))
-        elif name == "fieldBegin" and a.get("type") == "HYPERLINK":
-            state["link"] = a.get("command") or a.get("href")
-        elif name == "fieldEnd":
-            state["link"] = None
-        elif name in ("img", "picture"):
-            put("image", ref=a.get("binaryItemIDRef") or a.get("src") or a.get("href"), text=a.get("alt"))
-        elif name == "noteRef":
-            put("note", ref=a.get("noteId") or a.get("idRef"))
-        elif name == "ctrl" and a.get("id") in ("newPage", "pageBreak", "cnpb"):
-            put("page_break")
-
-    def end(name: str) -> None:
-        name = name.rpartition(":")[2]
-        stack.pop()
-        if name == "t" and state["text"] is not None:
-            put("run", text="".join(state["text"]), **run)
-            state["text"] = None
-        elif name == "tbl":
-            cells.update(row=None, col=None, colspan=1, rowspan=1)
+def unescape_xml(t: Column) -> Column:
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    return t
+
+
+def header_parts(parts: DataFrame) -> DataFrame:
+    """``path`` and, from the header entry, title, author, subject, description, faces and break settings.
+
+    Of several titles the last one counts; faces are those of the first list; break
+    settings are those of the paragraph property with the number 0.
+    """
+    x = F.make_valid_utf8(F.col("data").cast("string"))
+    last = lambda tags: F.nullif(unescape_xml(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(x, F.lit(rf"<(?:\w+:)?(?:{tags})\b[^>]*>([^<]+)<"), 1)), -1)), F.lit(""))
+    first_faces = F.regexp_extract(x, r"(?s)<(?:\w+:)?fontface\b.*?(?:</(?:\w+:)?fontface>|$)", 0)
+    faces = F.transform(F.regexp_extract_all(first_faces, F.lit(r"<(?:\w+:)?font\b[^>]*?\bface=\"([^\"]*)\""), 1), unescape_xml)
+    plain = F.regexp_extract(x, r"(?s)<(?:\w+:)?paraPr\b[^>]*?\bid=\"0\"[^>/]*>(.*?)</(?:\w+:)?paraPr>", 1)
+    breaks = F.regexp_extract(plain, r"<(?:\w+:)?breakSetting\b([^>]*)>", 1)
+    flag = lambda k: F.regexp_extract(breaks, rf"\b{k}=\"([^\"]*)\"", 1).isin("1", "true")
+    setting = F.struct(flag("widowOrphan").alias("widow_orphan"), flag("keepWithNext").alias("keep_with_next"), flag("keepLines").alias("keep_lines"), flag("pageBreakBefore").alias("page_break_before"))
+    return parts.where("name = 'Contents/header.xml'").select("path", last("title").alias("title"), last("creator|author").alias("author"), last("subject").alias("subject"), last("description").alias("description"), faces.alias("faces"), setting.alias("breaks"))
+
+
+def binaries(parts: DataFrame) -> DataFrame:
+    """``path, ord, entry, name, mime, data`` of the binary entries, named by their base names."""
+    held = parts.where(F.col("name").rlike("^(Contents/)?BinData/"))
+    base = F.regexp_extract("name", "([^/]+)$", 1)
+    return held.select("path", "ord", F.col("name").alias("entry"), base.alias("name"), reader_mime(base).alias("mime"), "data")
+
+
+_FIELDS = [
+    ("kind", pa.string()), ("para", pa.int32()), ("region", pa.string()), ("note", pa.string()), ("tbl", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("lst", pa.int32()), ("item", pa.int32()), ("ordered", pa.bool_()),
+    ("text", pa.string()), ("style", pa.string()), ("property", pa.int32()), ("numbering", pa.int32()), ("language", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("underline", pa.bool_()), ("strike", pa.bool_()), ("script", pa.string()), ("height", pa.int32()), ("colour", pa.string()), ("font", pa.int32()),
+    ("link", pa.string()), ("ruby", pa.string()), ("ref", pa.string()), ("extra", pa.map_(pa.string(), pa.string())),
+]
+EVENT_SCHEMA = (
+    "kind string, para int, region string, note string, tbl int, row int, col int, colspan int, rowspan int, lst int, item int, ordered boolean, "
+    "text string, style string, property int, numbering int, language string, bold boolean, italic boolean, underline boolean, strike boolean, script string, height int, colour string, font int, "
+    "link string, ruby string, ref string, extra map<string,string>"
+)
+_RUN = {"bold": False, "italic": False, "underline": False, "strike": False, "script": None, "height": None, "colour": None, "font": None}
+_NOTES = ("fn", "footnote", "en", "endnote")
+_HINT = re.compile(CODE_HINT)
+
+
+def _number(v: str | None) -> int | None:
+    return int(v) if v is not None and v.removeprefix("-").isdecimal() and v.isascii() and len(v) < 10 else None
+
+
+class _Section:
+    """What is known while a section's elements go by. Events are dictionaries in ``out``."""
+
+    def __init__(self) -> None:
+        self.out: list[dict] = []
+        self.para, self.paras, self.tables, self.lists = -1, 0, 0, 0
+        self.outer: list[tuple] = []  # open paragraphs
+        self.paragraph: dict = {"style": None, "property": None, "numbering": None}
+        self.run = dict(_RUN)
+        self.in_run = self.in_text = self.equation = False
+        self.buffer: list[str] | None = None
+        self.link = self.language = self.note = self.ruby_part = None
+        self.ruby: dict | None = None
+        self.region, self.header_footer = "body", False
+        self.grid: list[dict] = []  # open tables
+        self.open_lists: list[dict] = []
+
+    def put(self, kind: str, **more) -> None:
+        g, x = self.grid[-1] if self.grid else {}, self.open_lists[-1] if self.open_lists else {}
+        inside = g if g.get("in_cell") else {}
+        self.out.append(
+            {"kind": kind, "para": self.para, "region": self.region, "note": self.note, "tbl": g.get("tbl"), "row": inside.get("row"), "col": inside.get("col"), "colspan": inside.get("colspan", 1), "rowspan": inside.get("rowspan", 1), "lst": x.get("lst"), "item": x.get("item"), "ordered": x.get("ordered"), **self.paragraph, "link": self.link} | more
+        )
+
+    def text(self, t: str) -> None:
+        if self.ruby is not None:
+            if self.ruby_part:
+                self.ruby[self.ruby_part] += t
+        elif self.buffer is not None:
+            self.buffer.append(t)
+
+    def comment(self, t: str) -> None:
+        hint = _HINT.match(t)
+        if hint:
+            self.language = hint[1]
+
+    def start(self, tag: str, attributes: dict) -> None:
+        name = tag.rpartition(":")[2]
+        a = {k.rpartition(":")[2]: v for k, v in attributes.items()}
+        handler = getattr(self, f"start_{name}", None)
+        if handler:
+            handler(a)
+        elif name in _NOTES:
+            self.note = a.get("id") or a.get("noteId") or ""
+
+    def end(self, tag: str) -> None:
+        name = tag.rpartition(":")[2]
+        handler = getattr(self, f"end_{name}", None)
+        if handler:
+            handler()
+        elif name in _NOTES:
+            self.note = None
+
+    def start_p(self, a: dict) -> None:
+        self.outer.append((self.para, self.paragraph))
+        self.para, self.paras = self.paras, self.paras + 1
+        self.paragraph = {"style": a.get("styleIDRef"), "property": _number(a.get("paraPrIDRef")), "numbering": _number(a.get("numPrIDRef"))}
+        self.put("paragraph", language=self.language)
+        self.language = None
+
+    def end_p(self) -> None:
+        if self.outer:
+            self.para, self.paragraph = self.outer.pop()
+
+    def start_run(self, a: dict) -> None:
+        self.run, self.in_run = dict(_RUN), True
+
+    def end_run(self) -> None:
+        self.in_run = False
+
+    def start_charPr(self, a: dict) -> None:  # noqa: N802
+        r = self.run
+        for k in ("bold", "italic"):
+            r[k] = {"1": True, "true": True, "0": False, "false": False}.get(a.get(k), r[k])
+        for k, to in (("underline", "underline"), ("strikeout", "strike")):
+            if k in a:
+                r[to] = a[k] not in ("", "none", "0")
+        if "supscript" in a:
+            r["script"] = a["supscript"] if a["supscript"] in ("superscript", "subscript") else None
+        if "color" in a:
+            c = a["color"].lstrip("#").upper()
+            r["colour"] = f"#{c}" if c not in ("", "000000") else None
+        for k in ("faceNameIDRef", "hangulIDRef"):
+            r["font"] = _number(a.get(k)) if _number(a.get(k)) is not None else r["font"]
+        r["height"] = _number(a.get("height")) if _number(a.get("height")) is not None else r["height"]
+
+    def start_t(self, a: dict) -> None:
+        if self.ruby is None and self.in_run:
+            self.buffer = []
+
+    def end_t(self) -> None:
+        if self.ruby is None and self.buffer is not None:
+            if "".join(self.buffer):
+                self.put("run", text="".join(self.buffer), **self.run)
+            self.buffer = None
+
+    def start_lineBreak(self, a: dict) -> None:  # noqa: N802
+        if self.buffer is not None:
+            self.buffer.append("\n")
+
+    def start_tbl(self, a: dict) -> None:
+        self.tables += 1
+        self.grid.append({"tbl": self.tables, "row": -1, "col": -1, "in_cell": False})
+        self.put("table", extra={k: v for k, v in a.items() if k in ("rowCnt", "colCnt")})
+
+    def end_tbl(self) -> None:
+        if self.grid:
+            self.grid.pop()
+
+    def start_inMargin(self, a: dict) -> None:  # noqa: N802
+        if self.grid:
+            self.put("margin", extra={k: a.get(k, "141") for k in ("left", "right", "top", "bottom")})
+
+    def start_tr(self, a: dict) -> None:
+        if self.grid:
+            self.grid[-1].update(row=self.grid[-1]["row"] + 1, col=-1)
+
+    def start_tc(self, a: dict) -> None:
+        if self.grid:
+            self.grid[-1].update(col=self.grid[-1]["col"] + 1, colspan=1, rowspan=1, in_cell=True)
+
+    def end_tc(self) -> None:
+        if self.grid:
+            self.put("cell")
+            self.grid[-1]["in_cell"] = False
+
+    def start_cellSpan(self, a: dict) -> None:  # noqa: N802
+        if self.grid:
+            for k, to in (("colSpan", "colspan"), ("rowSpan", "rowspan")):
+                if (_number(a.get(k)) or 0) >= 1:
+                    self.grid[-1][to] = _number(a[k])
+
+    start_cellAddr = start_cellSpan  # noqa: N815
+
+    def start_ol(self, a: dict, ordered: bool = True) -> None:
+        self.lists += 1
+        self.open_lists.append({"lst": self.lists, "item": -1, "ordered": ordered})
+
+    def start_ul(self, a: dict) -> None:
+        self.start_ol(a, False)
+
+    def end_ol(self) -> None:
+        if self.open_lists:
+            self.open_lists.pop()
+
+    end_ul = end_ol
+
+    def start_li(self, a: dict) -> None:
+        if self.open_lists:
+            self.open_lists[-1]["item"] += 1
+
+    def start_equation(self, a: dict) -> None:
+        self.buffer = []
+
+    def end_equation(self) -> None:
+        if "".join(self.buffer or []):
+            self.put("math", text="".join(self.buffer))
+        self.buffer = None
+
+    start_eqEdit, end_eqEdit = start_equation, end_equation  # noqa: N815
+
+    def start_fieldBegin(self, a: dict) -> None:  # noqa: N802
+        if a.get("type") == "HYPERLINK" and a.get("command"):
+            self.link = a["command"]
+
+    def start_fieldEnd(self, a: dict) -> None:  # noqa: N802
+        self.link = None
+
+    def start_ruby(self, a: dict) -> None:
+        self.ruby = {"base": "", "annotation": ""}
+
+    def start_baseText(self, a: dict) -> None:  # noqa: N802
+        self.ruby_part = "base"
+
+    def start_rubyText(self, a: dict) -> None:  # noqa: N802
+        self.ruby_part = "annotation"
+
+    def end_baseText(self) -> None:  # noqa: N802
+        self.ruby_part = None
 
+    end_rubyText = end_baseText  # noqa: N815
+
+    def end_ruby(self) -> None:
+        held, self.ruby, self.ruby_part = self.ruby or {"base": "", "annotation": ""}, None, None
+        if held["base"] or held["annotation"]:
+            self.put("run", text=held["base"], ruby=held["annotation"] or None, **self.run)
+
+    def start_img(self, a: dict) -> None:
+        ref = a.get("binaryItemIDRef") or a.get("href") or a.get("src")
+        if ref:
+            self.put("image", ref=ref, text=a.get("alt", ""))
+
+    start_picture = start_img
+
+    def start_noteRef(self, a: dict) -> None:  # noqa: N802
+        if a.get("noteId") or a.get("id"):
+            self.put("reference", ref=a.get("noteId") or a.get("id"))
+
+    def start_ctrl(self, a: dict) -> None:
+        if a.get("id") in ("fn", "en") and a.get("idRef"):
+            self.put("reference", ref=a["idRef"])
+        elif a.get("id") in PAGE_BREAKS:
+            self.put("page_break")
+
+    def start_headerFooter(self, a: dict) -> None:  # noqa: N802
+        self.header_footer = True
+        self.put("header_footer", ref=a.get("type"))
+
+    def end_headerFooter(self) -> None:  # noqa: N802
+        self.header_footer, self.region = False, "body"
+
+    def start_header(self, a: dict) -> None:
+        if self.header_footer:
+            self.region = "header"
+
+    def start_footer(self, a: dict) -> None:
+        if self.header_footer:
+            self.region = "footer"
+
+    def end_header(self) -> None:
+        self.region = "body"
+
+    end_footer = end_header
+
+    def start_secPr(self, a: dict) -> None:  # noqa: N802
+        self.put("layout", extra={})
+
+    def start_pagePr(self, a: dict) -> None:  # noqa: N802
+        self.put("layout", extra={"landscape": str(a.get("landscape") in ("1", "true")).lower()})
+
+    def start_pageSize(self, a: dict) -> None:  # noqa: N802
+        self.put("layout", extra={k: a[k] for k in ("width", "height") if _number(a.get(k)) is not None})
+
+    def start_margin(self, a: dict) -> None:
+        self.put("layout", extra={k: a[k] for k in ("left", "right", "top", "bottom") if _number(a.get(k)) is not None})
+
+
+def section_events(xml: bytes) -> list[dict]:
+    """Paragraphs, runs, pictures, breaks, tables, cells, notes and layout of a section in document order, with where they stand."""
+    s = _Section()
     p = expat.ParserCreate()
     p.buffer_text = True
-    p.StartElementHandler, p.EndElementHandler = start, end
-    p.CharacterDataHandler = lambda t: state["text"].append(t) if state["text"] is not None else None
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler, p.CommentHandler = s.start, s.end, s.text, s.comment
     p.Parse(xml, True)
-    return out
+    return s.out
 
 
 def events(sections: DataFrame) -> DataFrame:
@@ -173,4 +420,4 @@ def run_xml(text: Column, bold: Column | None = None, italic: Column | None = No
 
 
 def section_xml(body: Column) -> Column:
-    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="urn:section" xmlns:hp="urn:paragraph">'), body, F.lit("</hs:sec>")).cast("binary")
+    return F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="{SECTION_SPACE}" xmlns:hp="{PARAGRAPH_SPACE}">'), body, F.lit("</hs:sec>")).cast("binary")
