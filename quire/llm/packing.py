@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import lean_batches, new_path
+from quire.llm.common import give_back_memory, lean_batches, new_path
 from quire.llm.text_hash import slices
 from quire.llm.tokens import word_tokenizer
 
@@ -113,6 +113,7 @@ def _encoded(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back_memory()
         part, tok = TaskContext.get().partitionId(), word_tokenizer(path)
         seen, windows = np.zeros(capacity, np.int64), 0
         for batch in batches:

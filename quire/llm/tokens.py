@@ -20,7 +20,7 @@ import pyarrow as pa
 from quire.llm.text_hash import span_hashes, text_bytes
 
 #: Words whose ids a worker keeps from batch to batch.
-MAX_CACHED_WORDS = 1 << 20
+MAX_CACHED_WORDS = 300_000
 _WORDS_A_CALL = 400
 _SECOND = 0x2545F4914F6CDD1D
 
@@ -85,7 +85,7 @@ class _Slots:
         if 2 * (self.n + len(keys)) > len(self.keys):
             held = np.flatnonzero(self.slots >= 0)
             old = self.keys[held], self.slots[held]
-            self.__init__(max(12, int(4 * (self.n + len(keys))).bit_length()))
+            self.__init__(max(12, int(2 * (self.n + len(keys))).bit_length()))
             self._put(*old)
         self._put(keys, slots)
 
@@ -122,7 +122,7 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.table, self.words, self.used = _Slots(), 0, 0
-        self.starts, self.store = np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint32)
+        self.starts, self.store = np.zeros(1 << 12, np.int32), np.zeros(1 << 16, np.uint32)
         self.second, self.hits = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
 
     def _room(self, words: int, ids: int) -> None:
@@ -149,7 +149,7 @@ class WordTokenizer:
         keys = np.zeros(self.words, np.uint64)
         held = self.table.slots >= 0
         keys[self.table.slots[held]] = self.table.keys[held]
-        size = self.starts[kept + 1] - self.starts[kept]
+        size = (self.starts[kept + 1] - self.starts[kept]).astype(np.int64)
         ends = np.cumsum(size)
         ids = self.store[np.repeat(self.starts[kept] - (ends - size), size) + np.arange(int(size.sum()))]
         second = self.second[kept]
@@ -205,14 +205,14 @@ class WordTokenizer:
         seen = np.zeros(self.words, bool)
         seen[slot] = True
         self.hits[: self.words] += seen & (self.hits[: self.words] < 255)
-        first = self.starts[slot]
+        first = self.starts[slot].astype(np.int64)
         size = self.starts[slot + 1] - first
         upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         take = np.repeat(first - upto[:-1], size)
         take += np.arange(len(take))
         return self.store[take], upto[np.searchsorted(starts, offsets)]
 
-    def encode(self, texts: pa.Array, step: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, offsets by text); null is empty."""
         raw, offsets = text_bytes(texts)
         out, counts, i = [], [np.zeros(1, np.int64)], 0
