@@ -7,6 +7,7 @@ and doesn't stop the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,23 +32,40 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocks(files: DataFrame) -> dict[str, DataFrame]:
-    """``blocks``, ``documents`` (path, title, ..., error) and ``assets`` of (path, kind, content) files of all formats."""
-    none = F.lit(None).cast("string")
-    binary = binary_documents.read(files.where("kind = 'records'").select("path", "content"))
-    packed = package_documents.read(files.where("kind = 'package'").select("path", "content"))
-    texts = files.where("kind = 'markdown'").select("path", F.octet_length("content").alias("n"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    short = texts.where(F.col("n") <= MAX_MARKDOWN)
+    """``blocks``, ``documents`` (path, title, ..., error) and ``assets`` of (path, kind, content) files of all formats.
+
+    Which formats there are is asked first, as only their readers run.
+    """
+    kinds = {r.kind for r in files.select("kind").distinct().collect()}  # three at most
+    readers = {"records": _binary, "package": _packed, "markdown": _marked}
+    found = [read(files.where(F.col("kind") == kind)) for kind, read in readers.items() if kind in kinds] or [_marked(files.where("false"))]
+    return {name: reduce(DataFrame.unionByName, (f[name] for f in found)) for name in ("blocks", "documents", "assets")}
+
+
+_ASSETS = "path string, ord int, name string, mime string, data binary"
+
+
+def _binary(files: DataFrame) -> dict[str, DataFrame]:
+    b = binary_documents.read(files.select("path", "content"))
+    documents = b["documents"].select("path", "title", "author", "subject", F.lit(None).cast("string").alias("description"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "recovered", "error")
+    return {"blocks": b["blocks"], "documents": documents, "assets": b["assets"].select("path", F.col("id").alias("ord"), "name", "mime", "data")}
+
+
+def _packed(files: DataFrame) -> dict[str, DataFrame]:
+    p = package_documents.read(files.select("path", "content"))
+    documents = p["documents"].select("path", *_META, F.array().cast("array<string>").alias("keywords"), F.lit(False).alias("recovered"), "error")
+    return {"blocks": p["blocks"], "documents": documents, "assets": p["assets"].select("path", "ord", "name", "mime", "data")}
+
+
+def _marked(files: DataFrame) -> dict[str, DataFrame]:
+    texts = files.select("path", F.octet_length("content").alias("n"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     front = markdown.front_matter(F.col("text"))
     body = F.regexp_replace("text", r"(?s)^---\n.*?\n---(\n|$)", "")
-    marked = markdown.nodes(short.select("path", body.alias("text")), "path").withColumnRenamed("doc_id", "path")
-    words = F.array().cast("array<string>")
-    documents = (
-        binary["documents"].select("path", "title", "author", "subject", none.alias("description"), F.coalesce("keywords", words).alias("keywords"), "recovered", "error")
-        .unionByName(packed["documents"].select("path", *_META, words.alias("keywords"), F.lit(False).alias("recovered"), "error"))
-        .unionByName(texts.select("path", *(F.when(F.col("n") <= MAX_MARKDOWN, front.getField(k)).alias(k) for k in _META), F.coalesce(front.getField("keywords"), words).alias("keywords"), F.lit(False).alias("recovered"), F.when(F.col("n") > MAX_MARKDOWN, "FileTooLarge").alias("error")))
-    )
-    assets = binary["assets"].select("path", F.col("id").alias("ord"), "name", "mime", "data").unionByName(packed["assets"].select("path", "ord", "name", "mime", "data"))
-    return {"blocks": binary["blocks"].unionByName(packed["blocks"]).unionByName(marked), "documents": documents, "assets": assets}
+    short = F.col("n") <= MAX_MARKDOWN
+    blocks = markdown.nodes(texts.where(short).select("path", body.alias("text")), "path").withColumnRenamed("doc_id", "path")
+    meta = [F.when(short, front.getField(k)).alias(k) for k in _META]
+    documents = texts.select("path", *meta, F.coalesce(front.getField("keywords"), F.array().cast("array<string>")).alias("keywords"), F.lit(False).alias("recovered"), F.when(~short, "FileTooLarge").alias("error"))
+    return {"blocks": blocks, "documents": documents, "assets": files.sparkSession.createDataFrame([], _ASSETS)}
 
 
 def to_markdown(files: DataFrame, front_matter: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ def paragraphs(events: DataFrame, headers: DataFrame) -> DataFrame:
     e = e.select(*_PLACE, "splits", "ord", "kind", "style", "property", "numbering", "language", "ordered", "bold", "height", F.when(is_run, F.struct("ord", as_run.alias("run"), "font")).alias("placed"))
     tall = F.when(F.col("height") > 0, F.struct("height", -F.col("ord")))
     p = e.groupBy(*_PLACE).agg(
-        F.min("ord").alias("ord"), F.first("style", True).alias("style"), F.first("property", True).alias("property"), F.first("numbering", True).alias("numbering"), F.max("language").alias("language"), F.first("ordered", True).alias("ordered"),
+        F.min(F.when(F.col("kind") != "page_break", F.col("ord"))).alias("ord"), F.first("style", True).alias("style"), F.first("property", True).alias("property"), F.first("numbering", True).alias("numbering"), F.max("language").alias("language"), F.first("ordered", True).alias("ordered"),
         F.max("splits").alias("splits"), F.max("height").alias("height"), F.max_by(F.coalesce("bold", F.lit(False)), tall).alias("tall_bold"), F.array_sort(F.collect_list("placed")).alias("placed"),
     )
     p = p.join(headers.select("path", "faces"), "path", "left")

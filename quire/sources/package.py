@@ -193,7 +193,7 @@ class _Section:
             self.note = None
 
     def start_p(self, a: dict) -> None:
-        self.outer.append((self.para, self.paragraph))
+        self.outer.append((self.para, self.paragraph, self.run, self.in_run))
         self.para, self.paras = self.paras, self.paras + 1
         self.paragraph = {"style": a.get("styleIDRef"), "property": _number(a.get("paraPrIDRef")), "numbering": _number(a.get("numPrIDRef"))}
         self.put("paragraph", language=self.language)
@@ -201,7 +201,7 @@ class _Section:
 
     def end_p(self) -> None:
         if self.outer:
-            self.para, self.paragraph = self.outer.pop()
+            self.para, self.paragraph, self.run, self.in_run = self.outer.pop()
 
     def start_run(self, a: dict) -> None:
         self.run, self.in_run = dict(_RUN), True

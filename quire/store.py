@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import re
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: dict[str, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may have ended before the interpreter
+        pass
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed once.
 
-    With ``spark.checkpoint.dir`` it is written there, so lost executors cost
-    nothing; without it (one machine) it is persisted, and computed again where
-    a part is lost.
+def folder(spark: SparkSession) -> str:
+    """A folder for this application's tables under ``spark.checkpoint.dir``, deleted when the interpreter ends.
+
+    Where that is unset, a local folder stands in if the session runs on one
+    machine; on a cluster its absence is an error.
     """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-")
+        _folders[sc.applicationId] = f"{base.rstrip('/')}/quire-kept-{sc.applicationId}"
+        atexit.register(_delete, spark, _folders[sc.applicationId])
+    return _folders[sc.applicationId]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once, written to the shared folder and read from there: lost executors cost nothing, and later plans begin here."""
+    if df.isStreaming:
+        return df
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
