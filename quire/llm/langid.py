@@ -29,6 +29,8 @@ from quire.llm.text_hash import slices, text_bytes
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
+#: Parts of a language whose texts are ranked apart.
+RANKED_APART = 32
 #: Steps of gradient descent at least.
 MIN_STEPS = 500
 
@@ -161,7 +163,9 @@ def sample(docs: DataFrame, per_language: int, text_col: str, lang_col: str, max
     d = d.withColumn("place", F.xxhash64("text"))
     per_language = max(1, min(per_language, max_rows // max(1, d.select("lang").distinct().count())))
     places = d.select("lang", "place").distinct()
-    places = places.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("k") <= per_language)
+    for part in (F.pmod("place", F.lit(RANKED_APART)), F.lit(0)):  # first within parts of a language, so none is ranked by one task
+        ranked = Window.partitionBy("lang", part).orderBy("place")
+        places = places.select("lang", "place").withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= per_language)
     got = d.join(F.broadcast(places), ["lang", "place"]).select("lang", "k", "text").distinct().orderBy("lang", "k", "text").toArrow()
     return got["text"].to_pylist(), got["lang"].to_pylist()
 
