@@ -47,6 +47,11 @@ def html_table(rows: Column) -> Column:
     return F.concat(F.lit("<table>\n"), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, cell), ""), F.lit("</tr>"))), "\n"), F.lit("\n</table>"))
 
 
+def _heading_line(t: Column) -> Column:
+    """A heading's text on one line; signs at its end that would be taken for its closing ones are escaped."""
+    return F.regexp_replace(F.regexp_replace(t, r"\n+", " "), r"(^|[ \t])(#+[ \t]*)$", r"$1\\$2")
+
+
 def block_markdown(kind: Column, text: Column, level: Column, language: Column) -> Column:
     """Markdown of a heading, paragraph, code block, quote, rule, page break, image or formula."""
     lines = lambda t, f: F.array_join(F.transform(F.split(t, "\n", -1), f), "\n")
@@ -54,7 +59,7 @@ def block_markdown(kind: Column, text: Column, level: Column, language: Column)
     held = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`{3,}"), 0), lambda x: F.length(x)))
     fence = F.repeat(F.lit("`"), F.coalesce(held + 1, F.lit(3)))  # longer than any in the code
     return (
-        F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.regexp_replace(escape_inline(text), r"\n+", " ")))
+        F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), _heading_line(escape_inline(text))))
         .when(kind == "code", F.concat(fence, F.coalesce(language, F.lit("")), F.lit("\n"), lines(text, lambda x: F.rtrim(x)), F.lit("\n"), fence))
         .when(kind == "quote", lines(safe, lambda x: F.concat(F.lit("> "), x)))
         .when(kind == "rule", "---")
@@ -83,7 +88,7 @@ def _node_markdown(b: Column, runs: Column) -> Column:
     mark = F.when(b.ordered, F.concat(F.coalesce(b.number, F.lit(1)).cast("string"), F.lit("."))).otherwise("-")
     task = F.when(b.checked, "[x] ").when(~b.checked, "[ ] ").otherwise("")
     return (
-        F.when(k == "heading", F.concat(F.repeat(F.lit("#"), b.level), F.lit(" "), F.regexp_replace(runs, r"\n+", " ")))
+        F.when(k == "heading", F.concat(F.repeat(F.lit("#"), b.level), F.lit(" "), _heading_line(runs)))
         .when(k == "item", F.concat(F.repeat(F.lit("  "), b.depth), mark, F.lit(" "), task, F.regexp_replace(escape_line_starts(runs), r"\n+", " ")))
         .when(k == "table", cells_markdown(b.cells))
         .when(k == "image", F.concat(F.lit("!["), F.coalesce(b.alt, F.lit("")), F.lit("]("), F.coalesce(b.src, F.lit("")), F.lit(")")))
