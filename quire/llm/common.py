@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _scratch: dict[str, str] = {}
@@ -116,3 +116,24 @@ def unused(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def numbered(rows: DataFrame, group: str, *order: str | Column) -> DataFrame:
+    """``rows`` with ``pos`` (0, 1, ... within its group by ``order``) and ``total`` (rows of the group).
+
+    Rows are dealt by range over (group, order), so that a group may fill any number
+    of tasks; what a task's numbers begin with comes from counts by task and group.
+    ``group`` has no nulls. Rows that ``order`` doesn't tell apart are numbered as
+    they come, once: the numbers are written.
+    """
+    mark = F.monotonically_increasing_id()
+    own = unused(rows, "own")
+    laid = written(rows.withColumn(own, mark).repartitionByRange(group, *order, own).sortWithinPartitions(group, *order, own).drop(own).withColumn("mark", mark), "laid")
+    task = F.shiftright("mark", 33)
+    counts = laid.groupBy(task.alias("task"), group).agg(F.min("mark").alias("first"), F.count("*").alias("n"))
+    by = Window.partitionBy(group)
+    before = F.sum("n").over(by.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("task", group, (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"), F.sum("n").over(by).alias("total"))
+    counts = written(counts, "counts")
+    out = laid.withColumn("task", task).join(counts, ["task", group]).withColumn("pos", F.col("mark") + F.col("base"))
+    return out.select(*rows.columns, "pos", "total")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, langid, packing, pii, quality, substring_dedup, token_store, warc, winnowing
+from quire.llm import decontaminate, jaccard_join, langid, merkle, packing, pii, quality, substring_dedup, token_store, warc, winnowing
 from quire.llm.common import crc_bucket, read_table
 
 
@@ -59,6 +59,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(read_table(spark, sf_dir, "documents"), shingle_words=4, num=85, den=100)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampering(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -70,8 +74,13 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
+#: Unsigned crc32 of the ASCII text ``{}`` (bit by bit; a DuckDB expression).
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
 SQL = {
     "op2_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -103,5 +112,28 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id
 FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY ALL
+""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+       coalesce({_CRC32.format("doc_id::VARCHAR")} % 7 = 0, false) AS bad FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+       CASE WHEN bad THEN sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total FROM l),
+t(lang, lv, i, h, total) AS (SELECT lang, 0, pos, leaf, total FROM b
+  UNION ALL SELECT lang, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(total) + 1) // 2 FROM t WHERE total > 1 GROUP BY lang, lv, i // 2),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot FROM t WHERE total = 1),
+u(lv, i, h, total) AS (SELECT 0, spot, subroot, (SELECT count(*) FROM s) FROM s
+  UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(total) + 1) // 2 FROM u WHERE total > 1 GROUP BY lv, i // 2),
+d AS (SELECT b.*, s.subroot, s.spot, (SELECT h FROM u WHERE total = 1) AS root FROM b JOIN s ON b.lang IS NOT DISTINCT FROM s.lang),
+p AS (SELECT d.lang, d.pos, t.lv, (d.pos >> t.lv) & 1 AS place, o.h FROM d JOIN t ON d.lang IS NOT DISTINCT FROM t.lang AND t.i = d.pos >> t.lv AND t.total > 1
+        LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM t.lang AND o.lv = t.lv AND o.i = xor(t.i, 1)
+  UNION ALL SELECT d.lang, d.pos, 1000 + u.lv, (d.spot >> u.lv) & 1, o.h FROM d JOIN u ON u.i = d.spot >> u.lv AND u.total > 1 LEFT JOIN u o ON o.lv = u.lv AND o.i = xor(u.i, 1)),
+q AS (SELECT lang, pos, list(place ORDER BY lv) AS places, list(coalesce(h, '') ORDER BY lv) AS hs FROM p GROUP BY lang, pos),
+w AS (SELECT d.doc_id, d.leaf, d.subroot, d.root, coalesce(d.changed, d.leaf) AS start, coalesce(q.places, []) AS places, coalesce(q.hs, []) AS hs
+      FROM d LEFT JOIN q ON d.lang IS NOT DISTINCT FROM q.lang AND d.pos = q.pos),
+r(doc_id, leaf, subroot, root, places, hs, k, v) AS (SELECT doc_id, leaf, subroot, root, places, hs, 1, start FROM w
+  UNION ALL SELECT doc_id, leaf, subroot, root, places, hs, k + 1, sha256(CASE WHEN places[k] = 1 THEN hs[k] || v ELSE v || hs[k] END) FROM r WHERE k <= len(hs))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(hs, '')) AS proof_sha256, v AS folded_root, v = root AS verified FROM r WHERE k > len(hs)
 """,
 }
