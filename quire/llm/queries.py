@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, langid, merkle, packing, pii, quality, substring_dedup, token_store, warc, winnowing
+from quire.llm import conversations, decontaminate, jaccard_join, langid, merkle, packing, pii, quality, substring_dedup, token_store, warc, winnowing
 from quire.llm.common import crc_bucket, read_table
 
 
@@ -59,6 +59,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(read_table(spark, sf_dir, "documents"), shingle_words=4, num=85, den=100)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.summary(conversations.damaged(rows), rows)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering(read_table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -112,6 +118,39 @@ links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id
 FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY ALL
+""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT *, {_CRC32.format("k")} % 20 AS f FROM given),
+damage AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hit, range(2) r(copy) WHERE f <> 0 AND (copy = 0 OR f = 3)),
+told AS (SELECT *, sha256(octet_length(encode(role)) || ':' || role || ':' || text) AS h, left(role, 1) AS init FROM damage),
+laid AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h) AS k FROM told),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, lag(init) OVER (PARTITION BY conv_id ORDER BY k) || init AS pair,
+         NOT regexp_matches(text, '[^ 	-]') AS blank, regexp_matches(text, '[.!?][ 	-]*\z') AS ended FROM laid),
+t AS (SELECT conv_id, turn, role, text, k, init, pair, blank, NOT blank AND again AS dup, NOT blank AND NOT again AND NOT ended AS cut FROM seen),
+faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY conv_id),
+g(x, sign, y) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+one AS (SELECT x, y FROM g WHERE sign <> 's'),
+ins AS (SELECT DISTINCT x, x AS y, 0 AS c, '' AS a FROM g UNION ALL SELECT x, y, 3, 'I' FROM one UNION ALL SELECT p.x, q.y, 6, 'II' FROM one p JOIN one q ON p.y = q.x),
+ways AS (SELECT conv_id, k, i.x, i.y, i.c + 4 AS c, i.a || 'D' AS a FROM t, ins i
+  UNION ALL SELECT conv_id, k, i.x, g.y, i.c + (CASE WHEN cut THEN 3 ELSE 0 END), i.a || 'K' FROM t, ins i, g WHERE NOT blank AND NOT dup AND g.x = i.y AND g.sign = init
+  UNION ALL SELECT conv_id, k, i.x, g.y, i.c + 3 + (CASE WHEN cut THEN 3 ELSE 0 END), i.a || 'R' FROM t, ins i, g WHERE NOT blank AND NOT dup AND g.x = i.y AND g.sign <> 's'),
+dp(conv_id, k, x, b) AS (SELECT conv_id, 0::BIGINT, '', {{'c': 0, 'a': ''}} FROM faults
+  UNION ALL SELECT dp.conv_id, dp.k + 1, w.y, min({{'c': dp.b.c + w.c, 'a': dp.b.a || w.a}}) FROM dp JOIN ways w ON w.conv_id IS NOT DISTINCT FROM dp.conv_id AND w.k = dp.k + 1 AND w.x = dp.x
+            GROUP BY dp.conv_id, dp.k, w.y),
+best AS (SELECT dp.conv_id, min({{'c': dp.b.c + i.c, 'a': dp.b.a || i.a}}) AS b FROM dp JOIN faults f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.k JOIN ins i ON i.x = dp.x
+         WHERE i.y IN ('', 'a') GROUP BY dp.conv_id),
+signs AS (SELECT conv_id, unnest(string_split(b.a, '')) AS sign, unnest(range(length(b.a))) AS i, length(replace(b.a, 'D', '')) % 2 AS odd FROM best WHERE b.a <> ''),
+spots AS (SELECT *, count(*) FILTER (sign <> 'I') OVER w AS k, count(*) FILTER (sign <> 'D') OVER w - odd AS place FROM signs WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+mended AS (SELECT s.conv_id, sha256(string_agg(CASE WHEN sign = 'K' THEN t.role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN sign = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY i)) AS h
+           FROM spots s LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.k = s.k WHERE sign <> 'D' GROUP BY s.conv_id)
+SELECT c.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+       coalesce(best.b.c, 0)::BIGINT AS cost, coalesce(best.b.a, '') AS audit, coalesce(mended.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
     "op12_merkle_manifest": rf"""
 WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
