@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import conversations, decontaminate, jaccard_join, langid, merkle, packing, pii, quality, substring_dedup, token_store, warc, winnowing
+from quire.llm import conversations, decontaminate, jaccard_join, langid, merkle, minmax_dedup, packing, pii, quality, substring_dedup, token_store, warc, winnowing
 from quire.llm.common import crc_bucket, read_table
 
 
@@ -68,6 +68,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampering(read_table(spark, sf_dir, "documents"))
 
 
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2, num=80, den=100)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_minmax_dedup": op13_minmax_dedup,
 }
 
 #: Unsigned crc32 of the ASCII text ``{}`` (bit by bit; a DuckDB expression).
@@ -128,7 +133,9 @@ damage AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS ro
 told AS (SELECT *, sha256(octet_length(encode(role)) || ':' || role || ':' || text) AS h, left(role, 1) AS init FROM damage),
 laid AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h) AS k FROM told),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, lag(init) OVER (PARTITION BY conv_id ORDER BY k) || init AS pair,
-         NOT regexp_matches(text, '[^ 	-]') AS blank, regexp_matches(text, '[.!?][ 	-]*\z') AS ended FROM laid),
+         NOT regexp_matches(text, '[^ 	-
+]') AS blank, regexp_matches(text, '[.!?][ 	-
+]*\z') AS ended FROM laid),
 t AS (SELECT conv_id, turn, role, text, k, init, pair, blank, NOT blank AND again AS dup, NOT blank AND NOT again AND NOT ended AS cut FROM seen),
 faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
          count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY conv_id),
@@ -174,5 +181,21 @@ w AS (SELECT d.doc_id, d.leaf, d.subroot, d.root, coalesce(d.changed, d.leaf) AS
 r(doc_id, leaf, subroot, root, places, hs, k, v) AS (SELECT doc_id, leaf, subroot, root, places, hs, 1, start FROM w
   UNION ALL SELECT doc_id, leaf, subroot, root, places, hs, k + 1, sha256(CASE WHEN places[k] = 1 THEN hs[k] || v ELSE v || hs[k] END) FROM r WHERE k <= len(hs))
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(hs, '')) AS proof_sha256, v AS folded_root, v = root AS verified FROM r WHERE k > len(hs)
+""",
+    "op13_minmax_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 2 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+often AS (SELECT s, count(*) AS f FROM sh GROUP BY s HAVING count(*) > 1),
+ranked AS (SELECT doc_id, n, sh.s, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(f, 1), sh.s) AS r FROM sh JOIN n USING (doc_id) LEFT JOIN often USING (s)),
+heads AS (SELECT doc_id, n, s FROM ranked WHERE r <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM heads a JOIN heads b USING (s) WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (SELECT a, b, count(*) AS k FROM pairs JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.s = x.s GROUP BY a, b),
+half AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.other) AS component_id, d.doc_id = min(r.other) AS kept
+FROM documents d JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
 """,
 }
