@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import drop_written, lean_batches, written
@@ -112,6 +112,40 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return written(both.mapInArrow(_links(num, den), "a long, b long, linked boolean"), "compared")
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b.column("items").to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["node", "items"])
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs among ``nodes`` (node, n, component) of different components that can link at all.
+
+    Sets of sizes x and y that link share ``s = ceil(num * (x + y) / (num + den))``
+    items, so in an order of all items, rare ones first, one of the ``x - s + 1`` first
+    items of the one is among the ``y - s + 1`` first of the other. Near copies of one
+    text that differ in other places have their own items there, and make no pair.
+    """
+    ids = written(nodes.select(F.col("node").alias("id")), "ids")
+    rows = _only(sets, "node", ids).mapInArrow(_items, "node long, items array<long>").select("node", F.explode("items").alias("item"))
+    rows = written(rows, "items")
+    often = rows.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    rows = rows.join(often, "item", "left").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("f", F.lit(1)), "item")) - 1)
+    rows = rows.where("f > 1").join(nodes, "node")
+    share = lambda x, y: F.ceil(num * (x + y) / (num + den))
+    n = F.col("n")
+    longer = rows.where(F.col("place") <= n - F.ceil(num * n / den))  # against the shortest set that it can link with
+    rows = written(longer, "prefixes")
+    x, y = rows.alias("x"), rows.where(F.col("place") <= n - share(n, n)).alias("y")
+    nx, ny = F.col("x.n"), F.col("y.n")
+    apart = (F.col("x.item") == F.col("y.item")) & (F.col("x.component") != F.col("y.component"))
+    order = (ny < nx) | ((ny == nx) & (F.col("y.node") < F.col("x.node")))
+    within = (F.col("x.place") <= nx - share(nx, ny)) & (F.col("y.place") <= ny - share(nx, ny)) & (den * ny >= num * nx)
+    pairs = x.join(y, apart & order & within)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, den: int = 100, rows: int = 7, bands: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row: links where ``den * intersection >= num * union``.
 
@@ -136,47 +170,49 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, num: int = 80, d
     entries = reps.select("node", "n", F.explode("tokens").alias("token"))
     full = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members")).where("low < high").select("token", "members")
     entries = written(entries.join(full, "token"), "entries")  # of buckets with several classes
-    degrees = entries.groupBy("node").agg(F.sum("members").alias("degree"))
+    degrees = written(entries.groupBy("node").agg(F.sum("members").alias("degree")), "degrees")
     wanted = written(degrees.join(classes, "node").select("node", "rep", "k1", "k2"), "wanted")
     of = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_CLASSES else wanted
     sets = written(d.join(of, d["doc_id"] == of["rep"]).select("text", "node", "k1", "k2").mapInArrow(_sets(shingle_words), "node long, items binary").dropDuplicates(["node"]), "sets")
     sizes = classes.select("node", "n")
 
-    def laid(groups: DataFrame | None) -> DataFrame:
+    def mixed(e: DataFrame) -> DataFrame:
         """Entries of the buckets that reach across components, with the bucket's largest component and its centre."""
-        e = entries.join(degrees, "node")
-        e = e.withColumn("component", F.col("node")) if groups is None else e.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = e.groupBy("token", "component").agg(F.count("*").alias("c"), F.max(F.struct("degree", F.bitwise_not("node").alias("no"))).alias("m"))
-        mixed = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "m", "component")).alias("m")).where("parts > 1")
-        mixed = mixed.select("token", F.col("m.component").alias("major"), F.bitwise_not("m.m.no").alias("centre"))
-        return written(e.select("token", "node", "n", "component").join(mixed, "token"), "mixed")
+        heads = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("c", "m", "component")).alias("m")).where("parts > 1")
+        heads = heads.select("token", F.col("m.component").alias("major"), F.bitwise_not("m.m.no").alias("centre"))
+        return written(e.select("token", "node", "n", "degree", "component").join(heads, "token"), "mixed")
 
     def fits(x: str, y: str) -> Column:
         return den * F.least(x, y) >= num * F.greatest(x, y)
 
-    tried, groups, links = None, None, None
+    e, tried = entries.join(degrees, "node").withColumn("component", F.col("node")), None
     for _ in range(MAX_ROUNDS):
-        e = laid(groups)
-        stars = e.where("component <> major").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.max("n").alias("nb"))
+        e = mixed(e)
+        stars = e.where("component <> major").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.max("n").alias("nb"), F.max("component").alias("from"), F.max("major").alias("to"))
         stars = stars.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(fits("na", "nb"))
         if tried is not None:
             stars = stars.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        stars = written(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("a")).select("a", "b"), "stars")
-        found = _compared(stars, sets, num, den)
+        stars = stars.groupBy("b").agg(F.max_by(F.struct("a", "from", "to"), F.struct("shared", F.bitwise_not("a"))).alias("s"))
+        stars = written(stars.select("s.a", "b", "s.from", "s.to"), "stars")
+        found = _compared(stars.select("a", "b"), sets, num, den)
         tried = found if tried is None else tried.unionByName(found)
-        links = tried.where("linked").select("a", "b")
-        groups = written(components(links), "groups")
-        drop_written(e)
+        # Each component that links takes the name of one it links to, and that of the one which that takes: what bears a name is connected.
+        hooks = stars.join(found.where("linked"), ["a", "b"]).groupBy("from").agg(F.max("to").alias("to"))
+        further = hooks.select(F.col("from").alias("to"), F.col("to").alias("then"))
+        hooks = hooks.join(further, "to", "left").select(F.col("from").alias("component"), F.coalesce("then", "to").alias("name"))
+        e = e.join(hooks, "component", "left").withColumn("component", F.coalesce("name", "component"))
         if found.where("linked").count() <= WORTHWHILE * found.count():
             break
-    e = laid(groups)
-    x, y = e.where("component <> major").alias("x"), e.alias("y")
-    across = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & fits("x.n", "y.n")
-    pairs = x.join(y, across).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    links = tried.where("linked").select("a", "b")
+    named = written(components(links), "components")
+    e = mixed(e.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    pairs = _prefix_pairs(e.select("node", "n", "component").distinct(), sets, num, den)
     met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
     more = _compared(rest, sets, num, den).where("linked").select("a", "b")
-    named = components(links.unionByName(more))
+    if not more.isEmpty():
+        named = components(links.unionByName(more))
 
     c = classes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = c.groupBy("component").agg(F.min("rep").alias("name"))
