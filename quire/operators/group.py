@@ -35,11 +35,20 @@ def _islands(kinds: Column) -> Column:
     return F.filter(runs, lambda r: r.kind != "")
 
 
+def unused(rows: DataFrame, stem: str) -> str:
+    """A column name that ``rows`` doesn't have."""
+    taken = {c.lower() for c in rows.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def islands(rows: DataFrame, by: list[str], order: list[str], key: Column, name: str = "island") -> DataFrame:
     """Number the runs of equal ``key`` (nulls equal) within ``by`` from 0."""
     w = Window.partitionBy(*by).orderBy(*order)
     change = F.when(F.row_number().over(w) == 1, 0).otherwise((~key.eqNullSafe(F.lag(key).over(w))).cast("int"))
-    return rows.withColumn("_change", change).withColumn(name, F.sum("_change").over(w)).drop("_change")
+    mark = unused(rows, "change")
+    return rows.withColumn(mark, change).withColumn(name, F.sum(mark).over(w)).drop(mark)
 
 
 def nested_items(rows: DataFrame, by: list[str], order: list[str], depth: str) -> DataFrame:
@@ -65,12 +74,19 @@ def interval_value(rows: DataFrame, by: list[str], order: list[str], opens: Colu
 def regions(rows: DataFrame, by: list[str], order: list[str], marker: Column, name: str = "region") -> DataFrame:
     """``header``, ``footer`` or ``body`` of each row by the markers before it; marker rows go.
 
-    An end marker of either kind returns to the body.
+    An end marker of either kind returns to the body. Where a region is still open
+    at the end, all rows are the body's; ``moved`` then ranks those of headers (1)
+    and footers (2), which come behind the others (0).
     """
-    w = Window.partitionBy(*by).orderBy(*order)
+    w, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
     state = F.when(marker.isin("header", "footer"), marker).when(marker.isin("/header", "/footer"), "body")
-    d = rows.withColumn("_marker", marker).withColumn(name, F.coalesce(F.last_value(state, ignoreNulls=True).over(w), F.lit("body")))
-    return d.where("_marker is null").drop("_marker")
+    sign, last, at = (unused(rows, x) for x in ("sign", "last", "at"))
+    d = rows.withColumn(sign, marker).withColumn(name, F.coalesce(F.last_value(state, ignoreNulls=True).over(w), F.lit("body")))
+    d = d.withColumn(at, F.when(state.isNotNull(), F.struct(*order))).withColumn(last, F.coalesce(F.max_by(state, at).over(whole), F.lit("body")))
+    open_end = F.col(last) != "body"
+    d = d.withColumn("moved", F.when(open_end & (F.col(name) == "header"), 1).when(open_end & (F.col(name) == "footer"), 2).otherwise(0))
+    d = d.withColumn(name, F.when(open_end, "body").otherwise(F.col(name)))
+    return d.where(F.col(sign).isNull()).drop(sign, last, at)
 
 
 def run_ends(runs: DataFrame, by: list[str], order: str, total: str) -> DataFrame:

@@ -11,74 +11,62 @@ from pyspark.sql import functions as F
 
 from quire.functions.classify import heading_of, list_depth
 from quire.operators.lookups import resolve_images
-from quire.plans.nodes import CELL, RUN, block, number_lists, run, runs_text
+from quire.plans.nodes import RUN, block, number_lists, run, runs_text, spoken, with_cells
 from quire.sources import package
 from quire.store import kept
 
-_PLACE = ["path", "section", "para", "split", "region", "note", "tbl", "row", "col", "lst", "item"]
+_PLACE = ["path", "section", "para", "split", "region", "parent", "cell", "nest", "via"]
 
 
 def paragraphs(events: DataFrame, headers: DataFrame) -> DataFrame:
-    """The parts of paragraphs between page breaks, with their runs, scopes and heading levels."""
+    """The parts of paragraphs between page breaks, with their runs, owners and heading levels."""
     w = Window.partitionBy("path", "section", "para").orderBy("ord")
     broken = (F.col("kind") == "page_break").cast("int")
-    e = events.where("kind in ('paragraph', 'run', 'reference', 'page_break')").withColumn("split", F.sum(broken).over(w))
+    e = events.where("kind in ('paragraph', 'run', 'reference', 'page_break') and para >= 0").withColumn("split", F.sum(broken).over(w))
     e = e.withColumn("splits", F.max("split").over(Window.partitionBy("path", "section", "para")))
     as_run = run(
         text=F.coalesce("text", F.lit("")), bold=F.coalesce("bold", F.lit(False)), italic=F.coalesce("italic", F.lit(False)), underline=F.coalesce("underline", F.lit(False)), strike=F.coalesce("strike", F.lit(False)),
         superscript=F.coalesce(F.col("script") == "superscript", F.lit(False)), subscript=F.coalesce(F.col("script") == "subscript", F.lit(False)), colour=F.col("colour"), link=F.when(F.col("kind") == "run", F.col("link")), ruby=F.col("ruby"), note=F.col("ref"),
     )
     is_run = F.col("kind").isin("run", "reference")
-    e = e.select(*_PLACE, "splits", "ord", "kind", "style", "property", "numbering", "language", "ordered", "bold", "height", F.when(is_run, F.struct("ord", as_run.alias("run"), "font")).alias("placed"))
+    e = e.select(*_PLACE, "splits", "ord", "kind", "style", "property", "numbering", "language", "bold", "height", F.when(is_run, F.struct("ord", as_run.alias("run"), "font")).alias("placed"))
     tall = F.when(F.col("height") > 0, F.struct("height", -F.col("ord")))
     p = e.groupBy(*_PLACE).agg(
-        F.min(F.when(F.col("kind") != "page_break", F.col("ord"))).alias("ord"), F.first("style", True).alias("style"), F.first("property", True).alias("property"), F.first("numbering", True).alias("numbering"), F.max("language").alias("language"), F.first("ordered", True).alias("ordered"),
+        F.min(F.when(F.col("kind") != "page_break", F.col("ord"))).alias("ord"), F.first("style", True).alias("style"), F.first("property", True).alias("property"), F.first("numbering", True).alias("numbering"), F.max("language").alias("language"),
         F.max("splits").alias("splits"), F.max("height").alias("height"), F.max_by(F.coalesce("bold", F.lit(False)), tall).alias("tall_bold"), F.array_sort(F.collect_list("placed")).alias("placed"),
     )
     p = p.join(headers.select("path", "faces"), "path", "left")
     runs = F.transform("placed", lambda x: x.run.withField("font", F.get("faces", x.font)))
     p = p.withColumn("runs", runs.cast(f"array<{RUN}>")).drop("placed", "faces")
     p = p.withColumn("text", runs_text(F.col("runs")))
-    nested = F.col("note").isNotNull() | F.col("tbl").isNotNull() | F.col("lst").isNotNull() | (F.col("region") != "body") | (F.col("split") < F.col("splits"))
+    nested = F.col("parent").isNotNull() | (F.col("region") != "body") | (F.col("split") < F.col("splits"))
     return p.withColumn("level", heading_of(F.col("style"), F.col("text"), F.coalesce("tall_bold", F.lit(False)), F.coalesce("height", F.lit(0)), nested))
 
 
-def _joined(p: DataFrame, by: list[str]) -> DataFrame:
-    """``by..., text, first``: the texts of the paragraphs of a cell, note or item, and where it begins."""
-    g = p.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "runs"))), lambda x: x.runs)).alias("runs"), F.min("ord").alias("first"))
-    return g.withColumn("text", F.array_join(F.filter(F.transform("t", lambda x: x.text), lambda x: x != ""), " ")).drop("t")
-
-
 def blocks(events: DataFrame, headers: DataFrame, binaries: DataFrame) -> DataFrame:
-    """The documents' blocks (:mod:`quire.plans.nodes`) in order of their events."""
-    p = kept(paragraphs(events, headers))
-    free = F.col("note").isNull() & F.col("tbl").isNull() & F.col("lst").isNull()
-    some = F.trim("text") != ""
+    """The documents' blocks (:mod:`quire.plans.nodes`) in order of their events.
+
+    Blank paragraphs go, but for those with a note's reference.
+    """
+    p = paragraphs(events, headers)
+    says = (F.trim("text") != "") | F.exists("runs", lambda r: r.note.isNotNull())
     is_code = F.col("language").isNotNull()
-    is_item = ~is_code & F.col("level").isNull() & (F.col("property") >= 2) & (F.col("region") == "body")
+    is_item = ~is_code & F.col("level").isNull() & (F.col("property") >= 2) & (F.col("region") == "body") & F.col("parent").isNull()
     kind = F.when(is_code, "code").when(F.col("level").isNotNull(), "heading").when(is_item, "item").otherwise("paragraph")
-    place = ["path", F.col("lst")]
-
-    def out(d: DataFrame, **columns: Column) -> DataFrame:
-        return d.select(*(place if "lst" in d.columns else ["path", F.lit(None).cast("int").alias("lst")]), *block(**columns))
-
-    where = {"section": F.col("section"), "region": F.col("region")}
-    plain = out(p.where(free & some), **where, ord=F.col("ord"), kind=kind, level=F.col("level"), language=F.nullif(F.col("language"), F.lit("")), text=F.col("text"), runs=F.col("runs"), depth=F.when(is_item, list_depth(F.col("property"))).otherwise(0), ordered=F.when(is_item, F.coalesce(F.col("numbering") == 1, F.lit(False))))
-    items = _joined(p.where("lst is not null and tbl is null and note is null"), ["path", "section", "region", "lst", "item", "ordered"])
-    items = out(items, **where, ord=F.col("first"), kind=F.lit("item"), ordered=F.col("ordered"), text=F.col("text"), runs=F.col("runs"))
-    notes = _joined(p.where("note is not null and tbl is null").where(some), ["path", "section", "region", "note"])
-    notes = out(notes, **where, ord=F.col("first"), kind=F.lit("footnote"), note_id=F.col("note"), text=F.col("text"), runs=F.col("runs"))
-    at = ["path", "section", "tbl", "row", "col"]
-    cells = events.where("kind = 'cell'").select(*at, "colspan", "rowspan").join(_joined(p.where("tbl is not null and row is not null"), at).select(*at, "text"), at, "left")
-    cell = F.struct("row", "col", F.coalesce("text", F.lit("")).alias("text"), "colspan", "rowspan", (F.col("row") == 0).alias("is_header"))
-    cells = cells.groupBy("path", "section", "tbl").agg(F.array_sort(F.collect_list(cell)).cast(f"array<{CELL}>").alias("cells"))
-    tables = events.where("kind = 'table'").select("path", "section", "region", "ord", "tbl").join(cells, ["path", "section", "tbl"])
-    tables = out(tables, **where, ord=F.col("ord"), kind=F.lit("table"), cells=F.col("cells"))
-    loose = events.where(F.col("kind").isin("image", "math", "page_break") & F.col("tbl").isNull() & F.col("note").isNull())
-    loose = out(loose.drop("lst"), **where, ord=F.col("ord"), kind=F.col("kind"), src=F.when(F.col("kind") == "image", F.col("ref")), alt=F.when(F.col("kind") == "image", F.coalesce("text", F.lit(""))), text=F.when(F.col("kind") == "math", F.col("text")))
-    every = plain.unionByName(items).unionByName(notes).unionByName(tables).unionByName(loose)
+    where = {k: F.col(k) for k in ("section", "region", "ord", "parent", "cell", "nest")}
+
+    def out(d: DataFrame, lst: Column | None = None, **columns: Column) -> DataFrame:
+        return d.select("path", (F.lit(None) if lst is None else lst).cast("int").alias("lst"), *block(**where, **columns))
+
+    plain = out(p.where(says), kind=kind, via=F.when(F.col("nest") > 0, F.col("via")), level=F.col("level"), language=F.nullif(F.col("language"), F.lit("")), text=F.col("text"), runs=F.col("runs"), depth=F.when(is_item, list_depth(F.col("property"))).otherwise(0), ordered=F.when(is_item, F.coalesce(F.col("numbering") == 1, F.lit(False))))
+    seen = F.col("kind").isin("image", "math", "page_break")
+    loose = out(events.where(seen), kind=F.col("kind"), via=F.when(F.col("nest") > 0, F.col("via")), src=F.when(F.col("kind") == "image", F.col("ref")), alt=F.when(F.col("kind") == "image", F.coalesce("text", F.lit(""))), text=F.when(F.col("kind") == "math", F.col("text")))
+    boxes = events.where("kind in ('item', 'note', 'table')")
+    boxed = out(boxes, lst=F.col("lst"), kind=F.when(F.col("kind") == "note", "footnote").otherwise(F.col("kind")), via=F.when((F.col("nest") > 0) | (F.col("via") == "children"), F.coalesce("via", F.lit("blocks"))), note_id=F.when(F.col("kind") == "note", F.col("ref")), ordered=F.col("ordered"), depth=F.coalesce("depth", F.lit(0)))
+    every = kept(plain.unionByName(loose).unionByName(boxed))
+    every = spoken(with_cells(every, events.where("kind = 'cell'"), ["path", "section"]), ["path", "section"])
     every = resolve_images(every, binaries.select("path", F.col("entry").alias("entry_path"), "ord"), ["path"], "entry_path")
-    return number_lists(every, ["path"], same_kind=False, apart="lst")
+    return number_lists(every.withColumn("via", F.when((F.col("kind") == "item") & (F.col("nest") == 0) & F.col("lst").isNotNull(), "blocks").otherwise(F.col("via"))), ["path"], same_kind=False, apart="lst")
 
 
 def layouts(events: DataFrame) -> DataFrame:
@@ -92,15 +80,20 @@ def layouts(events: DataFrame) -> DataFrame:
 def read(files: DataFrame) -> dict[str, DataFrame]:
     """``blocks``, ``documents``, ``assets``, ``sections`` and ``diagnostics`` of (path, content) packages.
 
-    A section that isn't well-formed is left out and named in ``diagnostics``;
-    what isn't an archive has its error in ``documents``.
+    A section that isn't well-formed, or that the manifest names and the package
+    doesn't have, is left out and named in ``diagnostics``. What isn't an archive,
+    and a package without a readable section, has its error in ``documents``.
     """
     parts = kept(package.entries(files))
     good = parts.where("error is null")
-    events = kept(package.events(package.manifest_sections(good)))
+    listed = kept(package.manifest_sections(good))
+    events = kept(package.events(listed.where("data is not null")))
     headers, binaries = package.header_parts(good), package.binaries(good)
     bad = parts.groupBy("path").agg(F.max(F.when(F.col("name").isNull(), F.col("error"))).alias("error"))
-    documents = bad.join(headers, "path", "left").select("path", "title", "author", "subject", "description", "error")
+    lost = listed.where("data is null").select("path", "section", F.lit("SectionMissing").alias("error")).unionByName(events.where("kind = 'error'").select("path", "section", F.lit("Xml").alias("error")))
+    read = listed.where("data is not null").select("path").distinct().withColumn("found", F.lit(True))
+    documents = bad.join(headers, "path", "left").join(read, "path", "left")
+    documents = documents.select("path", "title", "author", "subject", "description", F.coalesce("error", F.when(F.col("found").isNull(), "NoSections")).alias("error"))
     kinds = events.where("kind = 'header_footer'").groupBy("path", "section").agg(F.max_by("ref", "ord").alias("header_footer_type"))
     sections = events.select("path", "section").distinct().join(layouts(events), ["path", "section"], "left").join(kinds, ["path", "section"], "left").join(headers.select("path", "breaks"), "path", "left")
-    return {"blocks": blocks(events.where("kind <> 'error'"), headers, binaries), "documents": documents, "assets": binaries, "sections": sections, "diagnostics": events.where("kind = 'error'").select("path", "section")}
+    return {"blocks": blocks(events.where("kind <> 'error'"), headers, binaries), "documents": documents, "assets": binaries, "sections": sections, "diagnostics": lost}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import HEADING_HEIGHTS, comment_hint, escape_xml, heading_level, let
 from quire.operators.group import duplicate_entries
-from quire.plans.nodes import adjacent_links, plain_runs
+from quire.plans.nodes import FORMAT, adjacent_links, cell_key, fold, is_plain, plain_runs
 from quire.plans.render import in_order
 from quire.sources.package import PARAGRAPH_SPACE, SECTION_SPACE, packages
 
@@ -24,9 +24,6 @@ STYLES = ("Normal", *(f"Heading {i}" for i in range(1, 7)))
 CELL_WIDTH, CELL_HEIGHT = 8000, 1000
 DEFAULT_FONT = "Batang"
 RULE = "─" * 20
-#: Parts of a run that make its format.
-FORMAT = ("bold", "italic", "underline", "strike", "superscript", "subscript", "code", "colour", "font")
-
 
 def _text(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
@@ -42,10 +39,6 @@ def format_of(r: Column) -> Column:
     return F.struct(*(r[k].alias(k) for k in FORMAT))
 
 
-def is_plain(r: Column) -> Column:
-    return ~(r.bold | r.italic | r.underline | r.strike | r.superscript | r.subscript | r.code) & r.colour.isNull() & r.font.isNull()
-
-
 def references(blocks: DataFrame, by: list[str]) -> DataFrame:
     """``formats, fonts`` of each document: distinct formats and fonts of its runs in the order they are first seen."""
     r = blocks.where(F.col("region") == "body").select(*by, "section", "ord", F.posexplode("runs").alias("place", "r"))
@@ -83,7 +76,7 @@ def _paragraph(number: Column, inner: Column, shape: Column | str = "0", style:
     return _text('<hp:p id="', number.cast("string"), '"', more("hp:styleIDRef", style), ' paraPrIDRef="', F.lit(shape) if isinstance(shape, str) else shape, '"', more("numPrIDRef", numbering), ">", inner, "</hp:p>")
 
 
-def _table(number: Column, cells: Column) -> Column:
+def _table(number: Column, cells: Column, in_cells: Column) -> Column:
     width = F.greatest(F.array_max(F.transform(cells, lambda c: c.col)) + 1, F.lit(1))
     rows = F.array_distinct(F.transform(cells, lambda c: c.row))
     placed = F.transform(cells, lambda c, i: F.struct(c.alias("of"), (number + 1 + i).alias("id")))
@@ -92,7 +85,8 @@ def _table(number: Column, cells: Column) -> Column:
         c = x.of
         span = _text('<hp:cellAddr colAddr="', c.col.cast("string"), '" rowAddr="', c.row.cast("string"), '"/><hp:cellSpan colSpan="', c.colspan.cast("string"), '" rowSpan="', c.rowspan.cast("string"), '"/>')
         size = _text('<hp:cellSz width="', (c.colspan * CELL_WIDTH).cast("string"), '" height="', (c.rowspan * CELL_HEIGHT).cast("string"), '"/><hp:cellMargin left="510" right="510" top="141" bottom="141"/>')
-        return _text("<hp:tc>", span, size, "<hp:subList>", _paragraph(x["id"], _text('<hp:run charPrIDRef="0"><hp:t>', xml_text(c.text), "</hp:t></hp:run>")), "</hp:subList></hp:tc>")
+        own = _paragraph(x["id"], _text('<hp:run charPrIDRef="0"><hp:t>', xml_text(c.text), "</hp:t></hp:run>"))
+        return _text("<hp:tc>", span, size, "<hp:subList>", F.coalesce(F.try_element_at(in_cells, cell_key(c.row, c.col)), own), "</hp:subList></hp:tc>")
 
     line = lambda n: _text(f'<hp:tr><hp:trHeight value="{CELL_HEIGHT}"/>', F.array_join(F.transform(F.filter(placed, lambda x: x.of.row == n), cell), ""), "</hp:tr>")
     head = _text('<hp:tbl rowCnt="', F.size(rows).cast("string"), '" colCnt="', width.cast("string"), '" borderFillIDRef="2" noAdjust="0"><hp:tblPr><hp:inMargin left="141" right="141" top="141" bottom="141"/></hp:tblPr>', '<hp:sz width="', (width * CELL_WIDTH).cast("string"), '" height="', (F.size(rows) * CELL_HEIGHT).cast("string"), '"/><hp:pos treatAsChar="1"/>')
@@ -100,7 +94,10 @@ def _table(number: Column, cells: Column) -> Column:
 
 
 def block_element(b: Column) -> Column:
-    """XML of a block: a struct of its columns, its first paragraph's number, the picture's entry and the document's tables."""
+    """XML of a block: a struct of its columns, its first paragraph's number, the picture's entry, the document's tables, and the XML of its blocks.
+
+    Lists are paragraphs with a property, so what an item or quote holds follows its paragraph.
+    """
     runs = lambda x: F.when(F.size(x.runs) > 0, x.runs).otherwise(plain_runs(F.coalesce(x.text, F.lit(""))))
     return let(b, lambda x: let(runs_element(runs(x), x.formats, x.fonts), lambda inner: _block_element(x, inner)))
 
@@ -113,13 +110,16 @@ def _block_element(b: Column, inner: Column) -> Column:
     code = _text("<!-- quire:lang:", comment_hint(F.coalesce(b.language, F.lit(""))), " -->", _paragraph(number, _text('<hp:run charPrIDRef="', code_format, '"><hp:t>', xml_text(b.text), "</hp:t></hp:run>")))
     task = F.when(b.checked, "☑ ").when(~b.checked, "☐ ").otherwise("")
     item = _paragraph(number, F.concat(F.when(task != "", bare(_text("<hp:t>", task, "</hp:t>"))).otherwise(""), inner), F.when(b.depth > 0, "3").otherwise("2"), None, F.when(b.ordered, F.lit("1")))
+    below = F.coalesce(b.inner, F.lit(""))
+    silent = (below != "") & (F.coalesce(b.text, F.lit("")) == "")
+    said = lambda x: F.concat(F.when(silent, "").otherwise(x), below)
     return (
-        F.when(k == "heading", _paragraph(number, inner, "4", level)).when(k == "code", code).when(k == "item", item).when(k == "quote", _paragraph(number, inner, "1"))
-        .when((k == "table") & (F.size(b.cells) > 0), _table(number, b.cells))
+        F.when(k == "heading", _paragraph(number, inner, "4", level)).when(k == "code", code).when(k == "item", F.concat(item, below)).when(k == "quote", said(_paragraph(number, inner, "1")))
+        .when((k == "table") & (F.size(b.cells) > 0), _table(number, b.cells, b.in_cells))
         .when(k == "image", _paragraph(number, bare(_text('<hp:pic><hp:img hp:binaryItemIDRef="', escape_xml(F.coalesce(b.entry, b.src, F.lit(""))), '" alt="', escape_xml(F.coalesce(b.alt, F.lit(""))), '"/></hp:pic>'))))
         .when(k == "rule", _paragraph(number, bare(_text("<hp:t>", RULE, "</hp:t>")))).when(k == "page_break", _paragraph(number, bare(F.lit('<hp:ctrl id="newPage"/>'))))
         .when(k == "math", _paragraph(number, bare(_text("<hp:equation>", xml_text(b.text), "</hp:equation>"))))
-        .when(k == "footnote", _text('<hp:fn noteId="', escape_xml(F.coalesce(b.note_id, F.lit(""))), '">', _paragraph(number, inner), "</hp:fn>"))
+        .when(k == "footnote", _text('<hp:fn noteId="', escape_xml(F.coalesce(b.note_id, F.lit(""))), '">', said(_paragraph(number, inner)), "</hp:fn>"))
         .otherwise(_paragraph(number, inner))
     )
 
@@ -141,13 +141,20 @@ def page_properties(layout: Column) -> Column:
     )
 
 
-def sections(blocks: DataFrame, by: list[str], refs: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+def _owned(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., section, parent, inner, in_cells``: the XML of the blocks of each owner, one behind the other."""
+    g = pieces.groupBy(*by, "section", "parent", "cell").agg(in_order("ord", "piece", "").alias("xml"))
+    cells = F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "xml"))))
+    return g.groupBy(*by, "section", "parent").agg(F.max(F.when(F.col("cell").isNull(), F.col("xml"))).alias("inner"), cells.alias("in_cells"))
+
+
+def sections(blocks: DataFrame, by: list[str], refs: DataFrame, layouts: DataFrame | None = None, nest: int | None = None) -> DataFrame:
     """``by..., section, data``: the XML of each section. ``layouts`` may give page sizes and margins by section, and the type of headers."""
     b = paragraph_numbers(blocks, by).join(refs, by, "left")
     for c in ("formats", "fonts"):
         b = b.withColumn(c, F.coalesce(c, F.array().cast(refs.schema[c].dataType)))
     b = b if "entry" in b.columns else b.withColumn("entry", F.lit(None).cast("string"))
-    x = b.withColumn("xml", block_element(F.struct(*b.columns)))
+    x = fold(b, by, block_element, _owned, nest).withColumnRenamed("piece", "xml")
     part = lambda region: in_order(F.when(F.col("region") == region, F.col("ord")), F.when(F.col("region") == region, F.col("xml")), "")
     s = x.groupBy(*by, "section").agg(part("header").alias("header"), part("footer").alias("footer"), part("body").alias("body"))
     if layouts is not None:
@@ -195,23 +202,23 @@ def manifest_xml(n_sections: Column, title: Column, author: Column, entries: Col
     return _text(f'<?xml version="1.0" encoding="UTF-8"?><hp:HWPMLPackage xmlns:hp="{MANIFEST_SPACE}"><hp:compatibledocument version="1.1"/>', info, "<hp:contents>", items, "</hp:contents>", held, "</hp:HWPMLPackage>")
 
 
-def write(blocks: DataFrame, documents: DataFrame, assets: DataFrame | None = None, layouts: DataFrame | None = None) -> DataFrame:
+def write(blocks: DataFrame, documents: DataFrame, assets: DataFrame | None = None, layouts: DataFrame | None = None, nest: int | None = None) -> DataFrame:
     """``path, content`` of a package for each row of ``documents`` (path, title, author).
 
     ``blocks`` are theirs (path and the columns of :mod:`quire.plans.nodes`),
     ``assets`` (path, ord, name, data) their pictures, ``layouts`` (path, section, ...)
-    their page properties. Pictures are entries by base name, numbered where these
+    their page properties; ``nest`` is how deep blocks are (null: looked up). Pictures are entries by base name, numbered where these
     collide; a document without blocks has one empty section.
     """
     by = ["path"]
     refs = references(blocks, by)
     b = blocks
     if assets is not None:
-        base = assets.withColumn("base", F.regexp_extract("name", "([^/]+)$", 1))
+        base = assets.select(*by, "ord", "name", "data").withColumn("base", F.regexp_extract("name", "([^/]+)$", 1))
         placed = base.join(duplicate_entries(base, by, "ord", "base"), [*by, "ord"])
         first = placed.groupBy(*by, F.col("name").alias("src")).agg(F.min_by("entry", "ord").alias("entry"))
         b = b.join(first, [*by, "src"], "left")
-    s = sections(b, by, refs, layouts)
+    s = sections(b, by, refs, layouts, nest)
     parts = s.select("path", (F.col("section") + 2).alias("ord"), _text("Contents/section", F.col("section").cast("string"), ".xml").alias("name"), "data")
     count = s.groupBy("path").agg(F.count("*").cast("int").alias("n_sections"))
     d = documents.select("path", "title", "author").join(count, by, "left").join(refs, by, "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.classify import has_spans
 from quire.functions.text import cell_text, escape_html, escape_inline, escape_line_starts, escape_yaml, let, run_markdown
+from quire.plans.nodes import cell_key, fold
 
 _JOIN = "\n\n"
 
@@ -69,16 +70,26 @@ def block_markdown(kind: Column, text: Column, level: Column, language: Column)
     )
 
 
-def cells_markdown(cells: Column) -> Column:
-    """A table of an array of cells: with pipes, or as HTML where cells have spans."""
+def cells_markdown(cells: Column, inner: Column) -> Column:
+    """A table of an array of cells: with pipes, or as HTML where cells have spans.
+
+    ``inner`` is the Markdown of the blocks of cells that own some, by cell.
+    """
     rows = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c.row)))
     row = lambda n: F.filter(cells, lambda c: c.row == n)
-    texts = F.transform(rows, lambda n: F.transform(row(n), lambda c: escape_inline(c.text)))
-    return F.when(has_spans(cells), html_table(F.transform(rows, row))).otherwise(table_markdown(texts))
+    shown = lambda c, plain: F.coalesce(F.try_element_at(inner, cell_key(c.row, c.col)), plain)
+    texts = F.transform(rows, lambda n: F.transform(row(n), lambda c: shown(c, escape_inline(c.text))))
+    tagged = F.transform(rows, lambda n: F.transform(row(n), lambda c: c.withField("text", F.regexp_replace(shown(c, c.text), r"\n+", " "))))
+    return F.when(has_spans(cells), html_table(tagged)).otherwise(table_markdown(texts))
+
+
+def indented(t: Column, spaces: Column) -> Column:
+    """``t`` with spaces before each line that isn't empty but the first."""
+    return F.regexp_replace(t, F.lit(r"\n(?=[^\n])"), F.concat(F.lit("\n"), spaces))
 
 
 def node_markdown(b: Column) -> Column:
-    """Markdown of a block, a struct of its columns."""
+    """Markdown of a block, a struct of its columns, ``inner`` (its blocks' Markdown) and ``in_cells`` (that of its cells' blocks)."""
     inline = lambda x: F.when(F.size(x.runs) > 0, F.array_join(F.transform(x.runs, run_markdown), "")).otherwise(escape_inline(F.coalesce(x.text, F.lit(""))))
     return let(b, lambda x: let(inline(x), lambda t: _node_markdown(x, t)))
 
@@ -87,26 +98,55 @@ def _node_markdown(b: Column, runs: Column) -> Column:
     k = b.kind
     mark = F.when(b.ordered, F.concat(F.coalesce(b.number, F.lit(1)).cast("string"), F.lit("."))).otherwise("-")
     task = F.when(b.checked, "[x] ").when(~b.checked, "[ ] ").otherwise("")
+    # lines of text that would be indented code, and blank ones within a text, aren't kept as they are
+    safe = F.regexp_replace(escape_line_starts(runs), r"^(?: {4,}| {0,3}\t\s*)(?=\S)", "")
+    lines = F.regexp_replace(safe, r"\n+", "\n")
+    blocks = F.coalesce(b.inner, F.lit(""))
+    bare = F.regexp_replace(blocks, r"^\n+", "")
+    own = F.when(lines == "", bare).when(blocks == "", lines).otherwise(F.concat(lines, blocks))
+    width = F.when(b.via == "children", F.lit(2)).otherwise(F.length(mark) + 1)
+    item = F.concat(F.repeat(F.lit("  "), F.when(b.via.isNull(), b.depth).otherwise(0)), mark, F.lit(" "), task, indented(own, F.repeat(F.lit(" "), width + F.when(b.via.isNull(), 2 * b.depth).otherwise(0))))
     return (
         F.when(k == "heading", F.concat(F.repeat(F.lit("#"), b.level), F.lit(" "), _heading_line(runs)))
-        .when(k == "item", F.concat(F.repeat(F.lit("  "), b.depth), mark, F.lit(" "), task, F.regexp_replace(escape_line_starts(runs), r"\n+", " ")))
-        .when(k == "table", cells_markdown(b.cells))
+        .when(k == "item", item)
+        .when(k == "table", cells_markdown(b.cells, b.in_cells))
         .when(k == "image", F.concat(F.lit("!["), F.coalesce(b.alt, F.lit("")), F.lit("]("), F.coalesce(b.src, F.lit("")), F.lit(")")))
-        .when(k == "footnote", F.concat(F.lit("[^"), F.coalesce(b.note_id, F.lit("")), F.lit("]: "), F.regexp_replace(escape_line_starts(runs), r"\n+", " ")))
-        .when(k == "quote", F.array_join(F.transform(F.split(escape_line_starts(runs), "\n", -1), lambda x: F.concat(F.lit("> "), x)), "\n"))
+        .when(k == "footnote", F.concat(F.lit("[^"), F.coalesce(b.note_id, F.lit("")), F.lit("]: "), indented(own, F.lit("    "))))
+        .when(k == "quote", F.array_join(F.transform(F.split(F.when(blocks == "", safe).otherwise(own), "\n", -1), lambda x: F.concat(F.lit("> "), x)), "\n"))
         .when(k.isin("code", "rule", "page_break", "math"), block_markdown(k, F.coalesce(b.text, F.lit("")), b.level, b.language))
-        .otherwise(escape_line_starts(runs))
+        .when(b.cell.isNotNull(), runs)
+        .otherwise(safe)
     )
 
 
-def markdown(nodes: DataFrame, by: list[str]) -> DataFrame:
+def _owned(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., section, parent, inner, in_cells``: the Markdown of the blocks of each owner, from theirs.
+
+    Items of a list stand line below line, other blocks a blank line apart; the
+    blocks of a cell stand side by side. An item's blocks begin with the line end
+    that keeps them from its text.
+    """
+    kid = F.struct("ord", F.when(F.col("kind") == "item", F.col("list_no")).alias("list_no"), "piece")
+    g = pieces.groupBy(*by, "section", "parent", "cell").agg(F.array_sort(F.collect_list(kid)).alias("k"))
+    gap = lambda x, i: F.when((i == 0) & x.list_no.isNotNull(), "\n").when((i > 0) & (x.list_no == F.get("k", i - 1).list_no), "\n").otherwise("\n\n")
+    below = F.array_join(F.transform("k", lambda x, i: F.concat(gap(x, i), x.piece)), "")
+    beside = F.array_join(F.transform("k", lambda x: F.trim(x.piece)), " ")
+    g = g.select(*by, "section", "parent", "cell", F.when(F.col("cell").isNull(), below).alias("below"), beside.alias("beside"))
+    cells = F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "beside"))))
+    return g.groupBy(*by, "section", "parent").agg(F.max("below").alias("inner"), cells.alias("in_cells"))
+
+
+def markdown(nodes: DataFrame, by: list[str], nest: int | None = None) -> DataFrame:
     """``by..., markdown`` of documents in the common form (:mod:`quire.plans.nodes`).
 
-    Header and footer come first, within their markers; blank paragraphs go;
-    items of a list stand line below line; sections are kept apart by a rule.
+    Header and footer come first, within their markers; blank paragraphs go, but for
+    those with a note's reference; sections are kept apart by a rule. Blocks are
+    rendered from the innermost to the top, a join to the owners for each of ``nest``
+    levels (null: as many as there are, which is looked up).
     """
-    n = nodes.where((F.col("kind") != "paragraph") | (F.trim("text") != ""))
-    n = n.withColumn("piece", node_markdown(F.struct(*n.columns))).select(*by, "section", "region", "ord", "piece", F.when(F.col("kind") == "item", F.col("list_no")).alias("list_no"))
+    n = nodes.where((F.col("kind") != "paragraph") | (F.trim("text") != "") | F.exists("runs", lambda r: r.note.isNotNull()))
+    n = fold(n, by, node_markdown, _owned, nest)
+    n = n.select(*by, "section", "region", "ord", "piece", F.when(F.col("kind") == "item", F.col("list_no")).alias("list_no"))
     outer = n.where("region <> 'body'").select(*by, "section", "region").distinct()
     edge = lambda at, sign: outer.select(*by, "section", "region", F.lit(at).cast("bigint").alias("ord"), F.concat(F.lit(f"<!-- {sign}"), "region", F.lit(" -->")).alias("piece"), F.lit(None).cast("int").alias("list_no"))
     n = n.unionByName(edge(-1, "")).unionByName(edge(1 << 62, "/")).withColumn("rank", F.when(F.col("region") == "header", 0).when(F.col("region") == "footer", 1).otherwise(2))

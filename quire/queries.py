@@ -297,7 +297,8 @@ def doc_front_matter(spark, sf_dir):
     return d.select("doc_id", "m.title", "m.author", "m.subject", "m.keywords")
 
 
-@query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN 'header' WHEN 'system' THEN 'footer' ELSE 'body' END AS region FROM conversations""")
+@query("""WITH c AS (SELECT *, last_value(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM conversations)
+SELECT conv_id, turn, CASE WHEN last IN ('user', 'system') THEN 'body' WHEN role = 'user' THEN 'header' WHEN role = 'system' THEN 'footer' ELSE 'body' END AS region FROM c""")
 def md_header_footer_regions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     mark = F.when(F.col("role") == "user", "header").when(F.col("role") == "system", "footer").otherwise("/header")
@@ -473,7 +474,7 @@ def _part(number, value: str = "string"):
 @query("""SELECT n_regionkey::BIGINT AS doc, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INTEGER AS row, n_nationkey::VARCHAR AS key, n_name AS name FROM nation""")
 def hwpx_roundtrip_table(spark, sf_dir):
     n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
-    cell = lambda row, col, t, head: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), t.alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), F.lit(head).alias("is_header"))
+    cell = lambda row, col, t, head: nodes.cell(row, F.lit(col), t, is_header=F.lit(head))
     body = F.array_sort(F.flatten(F.collect_list(F.array(cell(F.col("row"), 0, _part("n_nationkey"), False), cell(F.col("row"), 1, F.col("n_name"), False)))))
     t = n.groupBy(_part("n_regionkey").alias("path")).agg(F.concat(F.array(cell(F.lit(0), 0, F.lit("key <&>"), True), cell(F.lit(0), 1, F.lit("name"), True)), body).alias("cells"))
     blocks = t.select("path", *nodes.block(ord=F.lit(0), kind=F.lit("table"), cells=F.col("cells")))
@@ -513,10 +514,10 @@ def package_blocks_roundtrip(spark, sf_dir):
     return out.select(F.col("path").cast("bigint").alias("doc"), n.cast("bigint").alias("n"), "kind", "level", "text", "language", "src", "note_id", first.link.alias("link"), first.ruby.alias("ruby"))
 
 
-@query("""SELECT s_nationkey::BIGINT AS doc, count(*) FILTER (s_suppkey % 7 <> 5)::BIGINT AS n_texts, count(DISTINCT CASE WHEN s_suppkey % 7 = 5 THEN s_suppkey % 3 END)::BIGINT AS n_assets, sum(CASE WHEN s_suppkey % 7 <> 5 THEN length(s_name) ELSE 0 END)::BIGINT AS n_chars FROM supplier GROUP BY 1""")
+@query("""SELECT s_nationkey::BIGINT AS doc, count(*) FILTER (s_suppkey % 7 <> 5)::BIGINT AS n_texts, count(DISTINCT s_suppkey % 3)::BIGINT AS n_assets, sum(CASE WHEN s_suppkey % 7 <> 5 THEN length(s_name) ELSE 0 END)::BIGINT AS n_chars FROM supplier GROUP BY 1""")
 def block_statistics(spark, sf_dir):
-    blocks = _book(spark, sf_dir)[0]
-    out = nodes.statistics(nodes.number_lists(blocks, ["path"], same_kind=False), ["path"])
+    blocks, _, pictures = _book(spark, sf_dir)
+    out = nodes.statistics(nodes.number_lists(blocks, ["path"], same_kind=False), ["path"], pictures)
     texts = blocks.groupBy("path").agg(F.count("text").alias("n_texts"))
     return out.join(texts, "path").select(F.col("path").cast("bigint").alias("doc"), "n_texts", "n_assets", "n_chars")
 
@@ -696,3 +697,137 @@ def check_files(spark, sf_dir):
     files = good.unionByName(sealed).unionByName(other).withColumn("kind", kind)
     out = convert.blocks(files)["documents"]
     return out.select(F.col("path").cast("bigint").alias("s_suppkey"), "error", "recovered")
+
+
+# --- blocks within blocks ---------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc, o_orderkey AS o, o_orderpriority AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+l AS (SELECT doc, o, l_returnflag AS f, l_linestatus AS s, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem JOIN o ON l_orderkey = o),
+r AS (SELECT doc, o, 0 AS k, 0 AS part, 'item' AS kind, 0 AS depth, (doc % 9 + i)::INTEGER AS number, t AS text FROM o
+  UNION ALL SELECT doc, o, k, 1, 'item', 1, k, 'line ' || f || ' *' FROM l
+  UNION ALL SELECT doc, o, k, 2, 'paragraph', 0, NULL, 'about ' || s FROM l WHERE f = 'R'
+  UNION ALL SELECT doc, o, k, 3, 'code', 0, NULL, 'part' || chr(10) || chr(10) || '- ' || p FROM l WHERE f = 'A'
+  UNION ALL SELECT doc, o, k, 4, 'item', 2, 1, 'part ' || p FROM l)
+SELECT doc::BIGINT AS doc, (row_number() OVER (PARTITION BY doc ORDER BY o, k, part) - 1)::BIGINT AS n, kind, depth::INTEGER AS depth, number::INTEGER AS number, text FROM r""")
+def md_tree_roundtrip(spark, sf_dir):
+    """A list of orders, in each a list of lines, in each a paragraph or code and a list of parts: to Markdown and back."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("o"), "o_orderpriority")
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(line)).join(o, F.col("l_orderkey") == F.col("o"))
+
+    def part(d, number, k, kind, t, depth=0):
+        return d.select("doc", "o", k.alias("k"), F.lit(number).alias("part"), F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), t.alias("text"))
+
+    d = part(o, 0, F.lit(0), "item", F.col("o_orderpriority")).unionByName(part(li, 1, F.col("k"), "item", F.concat(F.lit("line "), "l_returnflag", F.lit(" *")), 1))
+    d = d.unionByName(part(li.where("l_returnflag = 'R'"), 2, F.col("k"), "paragraph", F.concat(F.lit("about "), "l_linestatus")))
+    d = d.unionByName(part(li.where("l_returnflag = 'A'"), 3, F.col("k"), "code", F.concat(F.lit("part\n\n- "), _part("l_partkey"))))
+    d = d.unionByName(part(li, 4, F.col("k"), "item", F.concat(F.lit("part "), _part("l_partkey")), 2))
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("o", "k", "part")) - 1)
+    above = F.when(F.col("part") == 0, None).when(F.col("part") == 1, F.min("n").over(Window.partitionBy("doc", "o"))).otherwise(F.min("n").over(Window.partitionBy("doc", "o", "k")))
+    is_item = F.col("kind") == "item"
+    nest = F.least(F.col("part"), F.lit(2))
+    rows = d.select("doc", *nodes.block(ord=F.col("n"), parent=above, nest=nest, via=F.when(nest > 0, "blocks"), kind=F.col("kind"), depth=F.col("depth"), ordered=F.when(is_item, nest == 0), start=F.when(is_item & (nest == 0), F.col("doc") % 9 + 1), text=F.col("text"), runs=F.when(F.col("kind") != "code", nodes.plain_runs(F.col("text")))))
+    rows = rows.withColumn("via", F.when(is_item, "blocks").otherwise(F.col("via")))
+    md = store.kept(render.markdown(nodes.number_lists(rows, ["doc"], same_kind=False), ["doc"], nest=2))
+    out = markdown.nodes(md, "doc", "markdown")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
+    return out.select(F.col("doc_id").cast("bigint").alias("doc"), n.cast("bigint").alias("n"), "kind", "depth", "number", "text")
+
+
+@query("""SELECT p_partkey::BIGINT AS p_partkey, p_name || '|*' AS plain, p_brand AS bold, p_type AS label, 'http://h/' || p_partkey AS link FROM part""")
+def md_cell_inline_roundtrip(spark, sf_dir):
+    """Tables whose cells hold signs, emphasis and links: to Markdown and back."""
+    d = table(spark, sf_dir, "part").withColumn("row", (F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))).cast("int"))
+    key = lambda col: nodes.cell_key(F.col("row"), F.lit(col))
+    plain = F.concat("p_name", F.lit("|*"))
+    runs = F.array(nodes.run(text=F.col("p_brand"), bold=F.lit(True)), nodes.run(text=F.lit(" and ")), nodes.run(text=F.col("p_type"), link=F.concat(F.lit("http://h/"), _part("p_partkey"))))
+    cells = F.array(nodes.cell(F.col("row"), F.lit(0), plain), nodes.cell(F.col("row"), F.lit(1), nodes.runs_text(runs), owned=F.lit(True)), nodes.cell(F.col("row"), F.lit(2), _part("p_partkey")))
+    head = F.array(*(nodes.cell(F.lit(0), F.lit(i), F.lit(t)) for i, t in enumerate(("a", "b", "key"))))
+    whole = d.groupBy("p_size").agg(F.concat(head, F.array_sort(F.flatten(F.collect_list(cells)))).alias("cells"))
+    tables = whole.select("p_size", *nodes.block(ord=F.lit(0), kind=F.lit("table"), cells=F.col("cells")))
+    inside = d.select("p_size", *nodes.block(ord=F.col("row"), parent=F.lit(0), cell=key(1), nest=F.lit(1), via=F.lit("blocks"), kind=F.lit("paragraph"), runs=runs, text=nodes.runs_text(runs)))
+    out = store.kept(markdown.nodes(store.kept(render.markdown(tables.unionByName(inside), ["p_size"], nest=1)), "p_size", "markdown"))
+    at = F.shiftright("cell", 16).cast("int")
+    owned = out.where("parent is not null and cell % 65536 = 1").select("doc_id", at.alias("row"), F.get("runs", F.lit(0)).alias("x"), F.get("runs", F.lit(2)).alias("y"))
+    text = lambda i: F.max(F.when(F.col("c.col") == i, F.col("c.text")))
+    grid = out.where("kind = 'table'").select("doc_id", F.explode("cells").alias("c")).where("c.row > 0").groupBy("doc_id", F.col("c.row").alias("row")).agg(text(0).alias("plain"), text(2).cast("bigint").alias("p_partkey"))
+    return grid.join(owned, ["doc_id", "row"]).select("p_partkey", "plain", F.when(F.col("x.bold"), F.col("x.text")).alias("bold"), F.col("y.text").alias("label"), F.col("y.link").alias("link"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS doc, s_suppkey, s_name, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INTEGER AS row FROM supplier)
+SELECT doc::BIGINT AS doc, row, 1 AS part, 1 AS nest, 'paragraph' AS kind, s_name || ' bold' AS text, NULL AS src FROM s
+UNION ALL SELECT doc, row, 2, 1, 'image', NULL, 'p.png' FROM s UNION ALL SELECT doc, row, 3, 1, 'math', 'x^' || s_suppkey, NULL FROM s
+UNION ALL SELECT doc, row, 4, 1, 'table', NULL, NULL FROM s UNION ALL SELECT doc, row, 5, 2, 'paragraph', 'in ' || s_suppkey, NULL FROM s
+UNION ALL SELECT doc, row, 6, 1, 'footnote', 'said', NULL FROM s UNION ALL SELECT doc, row, 7, 1, 'paragraph', '', NULL FROM s""")
+def package_cell_blocks(spark, sf_dir):
+    """Cells with formatted text, a picture, a formula, a table, a note and a paragraph that is only its reference: to packages and back."""
+    d = table(spark, sf_dir, "supplier").withColumn("row", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("int"))
+    path = _part("s_nationkey").alias("path")
+    key, at, bold = nodes.cell_key(F.col("row"), F.lit(0)), F.col("row") * 8 + 1, {"bold": F.lit(True)}
+    name, deep = F.array(nodes.run(text=F.col("s_name")), nodes.run(text=F.lit(" bold"), **bold)), F.array(nodes.run(text=F.concat(F.lit("in "), _part("s_suppkey")), **bold))
+    note = F.concat(F.lit("n"), _part("s_suppkey"))
+
+    def own(n, nest=1, parent=None, cell=None, **columns):
+        return d.select(path, *nodes.block(ord=at + n, parent=F.lit(0) if parent is None else parent, cell=key if cell is None else cell, nest=F.lit(nest), via=F.lit("blocks"), **columns))
+
+    rows = own(0, kind=F.lit("paragraph"), runs=name, text=nodes.runs_text(name)).unionByName(own(1, kind=F.lit("image"), src=F.lit("p.png"), alt=F.lit("x")))
+    rows = rows.unionByName(own(2, kind=F.lit("math"), text=F.concat(F.lit("x^"), _part("s_suppkey"))))
+    rows = rows.unionByName(own(3, kind=F.lit("table"), cells=F.array(nodes.cell(F.lit(0), F.lit(0), nodes.runs_text(deep), owned=F.lit(True)))))
+    rows = rows.unionByName(own(4, nest=2, parent=at + 3, cell=F.lit(0), kind=F.lit("paragraph"), runs=deep, text=nodes.runs_text(deep)))
+    rows = rows.unionByName(own(5, kind=F.lit("footnote"), note_id=note, runs=nodes.plain_runs(F.lit("said")), text=F.lit("said")))
+    rows = rows.unionByName(own(6, kind=F.lit("paragraph"), runs=F.array(nodes.run(text=F.lit(""), note=note)), text=F.lit("")))
+    whole = d.groupBy(path).agg(F.array_sort(F.collect_list(nodes.cell(F.col("row"), F.lit(0), F.col("s_name"), owned=F.lit(True)))).alias("cells"))
+    rows = rows.unionByName(whole.select("path", *nodes.block(ord=F.lit(0), kind=F.lit("table"), cells=F.col("cells"))))
+    documents = whole.select("path", F.lit("T").alias("title"), F.lit(None).cast("string").alias("author"))
+    pictures = whole.select("path", F.lit(0).alias("ord"), F.lit("p.png").alias("name"), F.lit(b"\x89PNG").alias("data"))
+    out = store.kept(package_documents.read(package_xml.write(rows, documents, pictures, nest=2))["blocks"])
+    inner = out.where("nest = 2").select("path", F.col("parent").alias("ord"), "nest", "kind", "text", "src", F.lit(5).alias("part"))
+    one = out.where("nest = 1").withColumn("row", F.shiftright("cell", 16).cast("int"))
+    part = F.when(F.col("kind") == "image", 2).when(F.col("kind") == "math", 3).when(F.col("kind") == "table", 4).when(F.col("kind") == "footnote", 6).when(F.col("text") == "", 7).otherwise(1)
+    below = inner.join(one.select("path", "ord", "row"), ["path", "ord"]).select("path", "row", "part", "nest", "kind", "text", "src")
+    every = one.select("path", "row", part.alias("part"), "nest", "kind", "text", "src").unionByName(below)
+    return every.select(F.col("path").cast("bigint").alias("doc"), "row", "part", "nest", "kind", "text", "src")
+
+
+@query("""SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN 'NoSections' END AS error, CASE WHEN n_nationkey % 4 <> 3 THEN ['second ' || n_name, 'first ' || n_name] ELSE [] END AS texts,
+CASE WHEN n_nationkey % 4 IN (2, 3) THEN 1 ELSE 0 END::BIGINT AS lost FROM nation""")
+def package_manifest_forms(spark, sf_dir):
+    """Manifests with quotes of either kind, prefixes, numeric entities, and sections that aren't there."""
+    n, key = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 4
+    forms = (
+        "<p><item href='section7.xml'/><item href='Contents/section&#51;.xml'/></p>", '<opf:p xmlns:opf="o"><opf:item opf:href="/Contents/section7.xml"></opf:item><opf:item id="x" opf:href="section3.xml"/></opf:p>',
+        '<p><item href="section7.xml"/><item href="section9.xml"/><item href="section3.xml"/></p>', "<p><item href='section9.xml'/></p>",
+    )
+    manifest = F.element_at(F.array(*map(F.lit, forms)), (key + 1).cast("int"))
+    text = lambda t: package.section_xml(package.paragraph_xml(package.run_xml(F.concat(F.lit(t), "n_name"))))
+    entry = lambda i, name, data: F.struct(F.lit(i).alias("ord"), F.lit(f"Contents/{name}").alias("name"), data.alias("data"))
+    parts = n.select(_part("n_nationkey").alias("path"), F.inline(F.array(entry(0, "content.hpf", manifest.cast("binary")), entry(1, "section3.xml", text("first ")), entry(2, "section7.xml", text("second ")))))
+    out = package_documents.read(package.packages(parts))
+    texts = out["blocks"].groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x.text).alias("texts"))
+    lost = out["diagnostics"].groupBy("path").agg(F.count("*").alias("lost"))
+    d = out["documents"].join(texts, "path", "left").join(lost, "path", "left")
+    return d.select(F.col("path").cast("bigint").alias("n_nationkey"), "error", F.coalesce("texts", F.array().cast("array<string>")).alias("texts"), F.coalesce("lost", F.lit(0)).alias("lost"))
+
+
+@query("""WITH n AS (SELECT n_regionkey::BIGINT AS doc, n_nationkey AS k, n_name AS t, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row FROM nation)
+SELECT doc, row, 0 AS part, 'paragraph' AS kind, t AS text, NULL AS src FROM n UNION ALL SELECT doc, row, 1, 'paragraph', 'more ' || k, NULL FROM n
+UNION ALL SELECT doc, row, 2, 'math', k || ' \\pi r', NULL FROM n UNION ALL SELECT doc, row, 3, 'image', NULL, 'image_' || (k + 1) || '.bin' FROM n
+UNION ALL SELECT doc, row, 4, 'footnote', 'aside ' || k, NULL FROM n""")
+def binary_cell_blocks(spark, sf_dir):
+    """Cells of binary tables with two paragraphs, a formula, a picture and a note."""
+    r = records.record_bytes
+    key = _part("n_nationkey")
+    n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    said = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    head = r(F.lit(records.LIST_HEADER), F.lit(2), F.concat(_short(F.lit(2), 2), _short(F.lit(0), 2), _short(F.col("row"), 2), _short(F.lit(1), 2), _short(F.lit(1), 2)))
+    formula = r(F.lit(records.EQUATION), F.lit(4), F.concat(F.lit(bytes(2)), _counted(said(key, " pi r"))))
+    picture = F.concat(r(F.lit(records.CTRL_HEADER), F.lit(4), F.lit(b"gso ")), r(F.lit(records.SHAPE_PICTURE), F.lit(5), F.concat(F.lit(bytes(4)), _short(F.col("n_nationkey") + 1, 2))))
+    note = F.concat(r(F.lit(records.CTRL_HEADER), F.lit(4), F.lit(b"fn  ")), r(F.lit(records.LIST_HEADER), F.lit(5), F.lit(bytes(6))), _paragraph(said("aside ", key), None, 5))
+    cell = F.concat(head, _paragraph(F.col("n_name"), None, 3), formula, picture, note, _paragraph(said("more ", key), None, 3))
+    body = n.groupBy(_part("n_regionkey").alias("path")).agg(_bytes_in_order(F.col("row"), cell).alias("cells"))
+    whole = F.concat(_paragraph(F.lit("before")), r(F.lit(records.CTRL_HEADER), F.lit(1), F.lit(b"tbl ")), r(F.lit(records.TABLE), F.lit(2), F.lit(bytes(8))), F.col("cells"))
+    _, made = _binary_files(body.select("path", whole.alias("body")), F.lit(b""), 1)
+    out = binary_documents.read(made(F.col("body")))["blocks"].where("nest = 1")
+    part = F.when(F.col("kind") == "math", 2).when(F.col("kind") == "image", 3).when(F.col("kind") == "footnote", 4).when(F.startswith("text", F.lit("more ")), 1).otherwise(0)
+    return out.select(F.col("path").cast("bigint").alias("doc"), F.shiftright("cell", 16).cast("int").alias("row"), part.alias("part"), "kind", "text", "src")

@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.classify import CODE_HINT, PAGE_BREAKS, reader_mime
 from quire.functions.text import escape_xml
+from quire.operators.group import unused
 
 MAX_ENTRY = 256 << 20
 
@@ -71,46 +72,120 @@ def packages(parts: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, "path string, content binary")
 
 
+#: Elements of the manifest and of the head that readers look at.
+HEAD_ELEMENTS = ("title", "creator", "author", "subject", "description", "fontface", "font", "paraPr", "breakSetting")
+MANIFEST_ELEMENTS = ("item",)
+ELEMENT_SCHEMA = "path string, name string, ord int, up int, tag string, attributes map<string,string>, text string, error boolean"
+
+
+def _elements(xml: bytes, tags: tuple[str, ...]) -> list[tuple]:
+    """(ord, up, tag, attributes, text, error) of the elements of these local names, as far as the XML is well-formed.
+
+    ``up`` is the nearest one around it that has such a name too; ``text`` what
+    stands before its first child or its end.
+    """
+    rows: list[list] = []
+    stack: list[int | None] = []  # of each open element: its row, or None
+    said: int | None = None  # the row whose text goes on
+
+    def start(tag: str, attributes: dict) -> None:
+        nonlocal said
+        name, said = tag.rpartition(":")[2], None
+        if name in tags:
+            up = next((i for i in reversed(stack) if i is not None), None)
+            said = len(rows)
+            rows.append([said, up, name, [(k.rpartition(":")[2], v) for k, v in {k.rpartition(":")[2]: (k, v) for k, v in attributes.items()}.values()], "", False])
+        stack.append(said)
+
+    def end(tag: str) -> None:
+        nonlocal said
+        stack.pop()
+        said = None
+
+    def text(t: str) -> None:
+        if said is not None:
+            rows[said][4] += t
+
+    p = expat.ParserCreate()
+    p.buffer_text = True
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, text
+    try:
+        p.Parse(xml, True)
+    except expat.ExpatError:
+        rows.append([len(rows), None, "", [], "", True])
+    return rows
+
+
+def elements(parts: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """The elements with these local names of XML entries (path, name, data), a row each; XML that isn't well-formed ends in a row with ``error``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_())
+        for b in batches:
+            for path, name, data in zip(*(b.column(c).to_pylist() for c in ("path", "name", "data")), strict=True):
+                rows = _elements(data or b"", tags)
+                columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["path", "name", "ord", "up", "tag", "attributes", "text", "error"])
+
+    return parts.select("path", "name", "data").mapInArrow(run, ELEMENT_SCHEMA)
+
+
 def section_numbers(parts: DataFrame) -> DataFrame:
-    """The sections among entries, with ``section`` from 0 as far as numbers go without a gap."""
-    n = F.regexp_extract("name", r"^Contents/section(\d{1,3})\.xml$", 1).try_cast("int")
+    """The sections among entries, with ``section`` from 0 as far as numbers go without a gap; names may begin in a capital."""
+    n = F.regexp_extract("name", r"^Contents/[sS]ection(\d{1,2})\.xml$", 1).try_cast("int")
     found = parts.withColumn("section", n).where("section is not null")
-    known = found.groupBy("path").agg(F.array_sort(F.collect_set("section")).alias("_all"))
-    return found.join(known, "path").where(F.size(F.filter("_all", lambda x: x < F.col("section"))) == F.col("section")).drop("_all")
+    small = F.row_number().over(Window.partitionBy("path", "section").orderBy(F.col("name").desc(), "ord"))
+    rank, known = unused(found, "rank"), unused(found, "known")
+    found = found.withColumn(rank, small).where(F.col(rank) == 1).drop(rank)
+    every = found.groupBy("path").agg(F.array_sort(F.collect_set("section")).alias(known))
+    # a package may begin at section 1
+    least = lambda c: F.when(F.array_contains(c, 0), 0).otherwise(1)
+    whole = F.size(F.filter(known, lambda x: x < F.col("section"))) == F.col("section") - least(F.col(known))
+    return found.join(every, "path").where(whole).withColumn("section", F.col("section") - least(F.col(known))).drop(known)
 
 
 def manifest_sections(parts: DataFrame) -> DataFrame:
-    """The sections among entries in the order of the manifest; of packages whose manifest names none, those numbered without a gap."""
-    manifest = parts.where("name = 'Contents/content.hpf'").select("path", F.regexp_extract_all(F.make_valid_utf8(F.col("data").cast("string")), F.lit(r"<(?:\w+:)?item\b[^>]*?\bhref=\"([^\"]*)\""), 1).alias("hrefs"))
-    named = manifest.select("path", F.filter("hrefs", lambda h: h.rlike("[sS]ection")).alias("hrefs")).where(F.size("hrefs") > 0)
-    named = named.select("path", F.posexplode("hrefs").alias("section", "href"))
-    at = F.when(F.startswith("href", F.lit("Contents/")), F.col("href")).otherwise(F.concat(F.lit("Contents/"), F.col("href")))
-    listed = parts.join(named.select("path", "section", at.alias("name")), ["path", "name"])
+    """The sections among entries in the order of the manifest; of packages whose manifest names none, those numbered without a gap.
+
+    A section that the manifest names and the package doesn't have is a row with ``data`` null.
+    """
+    manifest = parts.where("name in ('Contents/content.hpf', 'content.hpf') and data is not null")
+    first = manifest.groupBy("path").agg(F.min("name").alias("name"), F.min_by("data", "name").alias("data"))
+    href = F.col("attributes")["href"]
+    named = elements(first, MANIFEST_ELEMENTS).where((F.col("tag") == "item") & href.rlike("[sS]ection"))
+    at = F.when(F.startswith(href, F.lit("Contents/")) | F.startswith(href, F.lit("/")), F.regexp_replace(href, "^/+", "")).otherwise(F.concat(F.lit("Contents/"), href))
+    named = named.select("path", at.alias("name"), (F.row_number().over(Window.partitionBy("path").orderBy("ord")) - 1).alias("section"))
+    listed = named.join(parts, ["path", "name"], "left")
     found = section_numbers(parts).join(named.select("path").distinct(), "path", "left_anti")
     return listed.select(*parts.columns, "section").unionByName(found.select(*parts.columns, "section"))
 
 
-def unescape_xml(t: Column) -> Column:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    return t
-
-
 def header_parts(parts: DataFrame) -> DataFrame:
     """``path`` and, from the header entry, title, author, subject, description, faces and break settings.
 
     Of several titles the last one counts; faces are those of the first list; break
-    settings are those of the paragraph property with the number 0.
+    settings are those of the first paragraph property with the number 0. A header
+    counts as far as it is well-formed.
     """
-    x = F.make_valid_utf8(F.col("data").cast("string"))
-    last = lambda tags: F.nullif(unescape_xml(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(x, F.lit(rf"<(?:\w+:)?(?:{tags})\b[^>]*>([^<]+)<"), 1)), -1)), F.lit(""))
-    first_faces = F.regexp_extract(x, r"(?s)<(?:\w+:)?fontface\b.*?(?:</(?:\w+:)?fontface>|$)", 0)
-    faces = F.transform(F.regexp_extract_all(first_faces, F.lit(r"<(?:\w+:)?font\b[^>]*?\bface=\"([^\"]*)\""), 1), unescape_xml)
-    plain = F.regexp_extract(x, r"(?s)<(?:\w+:)?paraPr\b[^>]*?\bid=\"0\"[^>/]*>(.*?)</(?:\w+:)?paraPr>", 1)
-    breaks = F.regexp_extract(plain, r"<(?:\w+:)?breakSetting\b([^>]*)>", 1)
-    flag = lambda k: F.regexp_extract(breaks, rf"\b{k}=\"([^\"]*)\"", 1).isin("1", "true")
-    setting = F.struct(flag("widowOrphan").alias("widow_orphan"), flag("keepWithNext").alias("keep_with_next"), flag("keepLines").alias("keep_lines"), flag("pageBreakBefore").alias("page_break_before"))
-    return parts.where("name = 'Contents/header.xml'").select("path", last("title").alias("title"), last("creator|author").alias("author"), last("subject").alias("subject"), last("description").alias("description"), faces.alias("faces"), setting.alias("breaks"))
+    e = elements(parts.where("name = 'Contents/header.xml'"), HEAD_ELEMENTS).where("not error")
+    a, tag = F.col("attributes"), F.col("tag")
+    last = lambda *tags: F.max_by("text", F.when(tag.isin(*tags) & (F.col("text") != ""), F.col("ord")))
+    at = lambda c: F.min(F.when(c, F.col("ord")))
+    face = F.when((tag == "font") & (F.coalesce(a["face"], F.lit("")) != ""), F.struct("ord", "up", a["face"].alias("face")))
+    setting = F.when(tag == "breakSetting", F.struct("ord", "up", "attributes"))
+    h = e.groupBy("path").agg(
+        last("title").alias("title"), last("creator", "author").alias("author"), last("subject").alias("subject"), last("description").alias("description"),
+        at(tag == "fontface").alias("list"), at((tag == "paraPr") & (a["id"] == "0")).alias("plain"),
+        F.array_sort(F.collect_list(face)).alias("fonts"), F.collect_list(setting).alias("settings"),
+    )
+    faces = F.transform(F.filter("fonts", lambda f: f.up == F.col("list")), lambda f: f.face)
+    own = F.get(F.filter("settings", lambda s: s.up == F.col("plain")), F.lit(0)).attributes
+    flag = lambda k: F.coalesce(own[k].isin("1", "true"), F.lit(False))
+    breaks = F.struct(flag("widowOrphan").alias("widow_orphan"), flag("keepWithNext").alias("keep_with_next"), flag("keepLines").alias("keep_lines"), flag("pageBreakBefore").alias("page_break_before"))
+    held = parts.where("name = 'Contents/header.xml'").select("path").distinct()
+    out = held.join(h.select("path", "title", "author", "subject", "description", faces.alias("faces"), breaks.alias("breaks")), "path", "left")
+    none = F.struct(*(F.lit(False).alias(k) for k in ("widow_orphan", "keep_with_next", "keep_lines", "page_break_before")))
+    return out.withColumn("faces", F.coalesce("faces", F.array().cast("array<string>"))).withColumn("breaks", F.coalesce("breaks", none))
 
 
 def binaries(parts: DataFrame) -> DataFrame:
@@ -121,12 +196,12 @@ def binaries(parts: DataFrame) -> DataFrame:
 
 
 _FIELDS = [
-    ("kind", pa.string()), ("para", pa.int32()), ("region", pa.string()), ("note", pa.string()), ("tbl", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("lst", pa.int32()), ("item", pa.int32()), ("ordered", pa.bool_()),
+    ("kind", pa.string()), ("para", pa.int32()), ("region", pa.string()), ("parent", pa.int32()), ("cell", pa.int64()), ("nest", pa.int32()), ("via", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("lst", pa.int32()), ("ordered", pa.bool_()), ("depth", pa.int32()),
     ("text", pa.string()), ("style", pa.string()), ("property", pa.int32()), ("numbering", pa.int32()), ("language", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("underline", pa.bool_()), ("strike", pa.bool_()), ("script", pa.string()), ("height", pa.int32()), ("colour", pa.string()), ("font", pa.int32()),
     ("link", pa.string()), ("ruby", pa.string()), ("ref", pa.string()), ("extra", pa.map_(pa.string(), pa.string())),
 ]
 EVENT_SCHEMA = (
-    "kind string, para int, region string, note string, tbl int, row int, col int, colspan int, rowspan int, lst int, item int, ordered boolean, "
+    "kind string, para int, region string, parent int, cell bigint, nest int, via string, row int, col int, colspan int, rowspan int, lst int, ordered boolean, depth int, "
     "text string, style string, property int, numbering int, language string, bold boolean, italic boolean, underline boolean, strike boolean, script string, height int, colour string, font int, "
     "link string, ruby string, ref string, extra map<string,string>"
 )
@@ -140,28 +215,42 @@ def _number(v: str | None) -> int | None:
 
 
 class _Section:
-    """What is known while a section's elements go by. Events are dictionaries in ``out``."""
+    """What is known while a section's elements go by. Events are dictionaries in ``out``.
+
+    Each event has its owner: ``parent`` is the event of the innermost open item,
+    note or table (with ``cell``, row and column) that it is in, ``nest`` how many are open.
+    """
 
     def __init__(self) -> None:
         self.out: list[dict] = []
-        self.para, self.paras, self.tables, self.lists = -1, 0, 0, 0
+        self.para, self.paras, self.lists = -1, 0, 0
         self.outer: list[tuple] = []  # open paragraphs
         self.paragraph: dict = {"style": None, "property": None, "numbering": None}
         self.run = dict(_RUN)
-        self.in_run = self.in_text = self.equation = False
+        self.in_run = self.equation = False
         self.buffer: list[str] | None = None
-        self.link = self.language = self.note = self.ruby_part = None
+        self.link = self.language = self.ruby_part = None
         self.ruby: dict | None = None
         self.region, self.header_footer = "body", False
         self.grid: list[dict] = []  # open tables
         self.open_lists: list[dict] = []
+        self.owners: list[dict] = []
 
     def put(self, kind: str, **more) -> None:
-        g, x = self.grid[-1] if self.grid else {}, self.open_lists[-1] if self.open_lists else {}
-        inside = g if g.get("in_cell") else {}
-        self.out.append(
-            {"kind": kind, "para": self.para, "region": self.region, "note": self.note, "tbl": g.get("tbl"), "row": inside.get("row"), "col": inside.get("col"), "colspan": inside.get("colspan", 1), "rowspan": inside.get("rowspan", 1), "lst": x.get("lst"), "item": x.get("item"), "ordered": x.get("ordered"), **self.paragraph, "link": self.link} | more
-        )
+        o = self.owners[-1] if self.owners else {}
+        self.out.append({"kind": kind, "para": self.para, "region": self.region, "parent": o.get("event"), "cell": o.get("cell"), "nest": len(self.owners), "via": o.get("via"), **self.paragraph, "link": self.link} | more)
+
+    def own(self, what: str, event: int, cell: int | None = None) -> None:
+        """Open an owner; what is in an item that is in an item's list hangs there as a child."""
+        below = self.owners[-1]["via"] if self.owners else None
+        child = what == "item" and any(o["what"] == "item" for o in self.owners)
+        self.owners.append({"what": what, "event": event, "cell": cell, "via": "children" if child or below == "children" else "blocks"})
+
+    def leave(self, what: str) -> None:
+        """Close the innermost owner of this kind and what is open in it."""
+        at = next((i for i in reversed(range(len(self.owners))) if self.owners[i]["what"] == what), None)
+        if at is not None:
+            del self.owners[at:]
 
     def text(self, t: str) -> None:
         if self.ruby is not None:
@@ -182,7 +271,8 @@ class _Section:
         if handler:
             handler(a)
         elif name in _NOTES:
-            self.note = a.get("id") or a.get("noteId") or ""
+            self.put("note", ref=a.get("id") or a.get("noteId") or "")
+            self.own("note", len(self.out) - 1)
 
     def end(self, tag: str) -> None:
         name = tag.rpartition(":")[2]
@@ -190,7 +280,7 @@ class _Section:
         if handler:
             handler()
         elif name in _NOTES:
-            self.note = None
+            self.leave("note")
 
     def start_p(self, a: dict) -> None:
         self.outer.append((self.para, self.paragraph, self.run, self.in_run))
@@ -240,17 +330,17 @@ class _Section:
             self.buffer.append("\n")
 
     def start_tbl(self, a: dict) -> None:
-        self.tables += 1
-        self.grid.append({"tbl": self.tables, "row": -1, "col": -1, "in_cell": False})
         self.put("table", extra={k: v for k, v in a.items() if k in ("rowCnt", "colCnt")})
+        self.grid.append({"event": len(self.out) - 1, "row": -1, "col": -1, "cell": None})
 
     def end_tbl(self) -> None:
         if self.grid:
+            self.end_tc()
             self.grid.pop()
 
     def start_inMargin(self, a: dict) -> None:  # noqa: N802
         if self.grid:
-            self.put("margin", extra={k: a.get(k, "141") for k in ("left", "right", "top", "bottom")})
+            self.put("margin", extra={k: a.get(k, "141") for k in ("left", "right", "top", "bottom")}, parent=self.grid[-1]["event"])
 
     def start_tr(self, a: dict) -> None:
         if self.grid:
@@ -258,24 +348,31 @@ class _Section:
 
     def start_tc(self, a: dict) -> None:
         if self.grid:
-            self.grid[-1].update(col=self.grid[-1]["col"] + 1, colspan=1, rowspan=1, in_cell=True)
+            self.end_tc()
+            g = self.grid[-1]
+            g["row"] = max(g["row"], 0)
+            g["col"] += 1
+            key = g["row"] << 16 | g["col"]
+            self.put("cell", parent=g["event"], cell=key, row=g["row"], col=g["col"], colspan=1, rowspan=1)
+            g["cell"] = self.out[-1]
+            self.own("cell", g["event"], key)
 
     def end_tc(self) -> None:
-        if self.grid:
-            self.put("cell")
-            self.grid[-1]["in_cell"] = False
+        if self.grid and self.grid[-1]["cell"]:
+            self.grid[-1]["cell"] = None
+            self.leave("cell")
 
     def start_cellSpan(self, a: dict) -> None:  # noqa: N802
-        if self.grid:
+        if self.grid and self.grid[-1]["cell"]:
             for k, to in (("colSpan", "colspan"), ("rowSpan", "rowspan")):
                 if (_number(a.get(k)) or 0) >= 1:
-                    self.grid[-1][to] = _number(a[k])
+                    self.grid[-1]["cell"][to] = _number(a[k])
 
     start_cellAddr = start_cellSpan  # noqa: N815
 
     def start_ol(self, a: dict, ordered: bool = True) -> None:
         self.lists += 1
-        self.open_lists.append({"lst": self.lists, "item": -1, "ordered": ordered})
+        self.open_lists.append({"lst": self.lists, "ordered": ordered})
 
     def start_ul(self, a: dict) -> None:
         self.start_ol(a, False)
@@ -288,7 +385,14 @@ class _Section:
 
     def start_li(self, a: dict) -> None:
         if self.open_lists:
-            self.open_lists[-1]["item"] += 1
+            items = sum(o["what"] == "item" for o in self.owners)
+            self.put("item", **self.open_lists[-1], depth=items)
+            if items:
+                self.out[-1]["via"] = "children"
+            self.own("item", len(self.out) - 1)
+
+    def end_li(self) -> None:
+        self.leave("item")
 
     def start_equation(self, a: dict) -> None:
         self.buffer = []

@@ -143,7 +143,9 @@ def test_package_sections_and_scopes(spark):
     b = [r for r in out["blocks"].orderBy("path", "section", "ord").collect()]
     assert [(r.section, r.text) for r in b if r.path == "b"] == [(0, "t")] and [(r.path, r.section) for r in out["diagnostics"].collect()] == [("b", 1)]
     assert [r.text for r in b if r.path == "a" and r.section == 0] == ["listed first"]
-    got = [r for r in b if r.path == "a" and r.section == 1]
+    inside = [r for r in b if r.path == "a" and r.section == 1 and r.parent is not None]
+    got = [r for r in b if r.path == "a" and r.section == 1 and r.parent is None]
+    assert [(r.kind, r.text, r.cell) for r in inside] == [("paragraph", "a", 0), ("paragraph", "b", 0)]
     assert [(r.region, r.kind, r.level, r.text) for r in got[:9]] == [
         ("header", "paragraph", None, "top"), ("footer", "paragraph", None, "foot"), ("body", "heading", 2, "head"), ("body", "heading", 1, "tall"), ("body", "heading", 2, "제3조 rule"), ("body", "paragraph", None, "before"), ("body", "page_break", None, None), ("body", "heading", 1, "after"), ("body", "code", None, "code"),
     ]
