@@ -42,19 +42,20 @@ def blocks(files: DataFrame) -> dict[str, DataFrame]:
     return {name: reduce(DataFrame.unionByName, (f[name] for f in found)) for name in ("blocks", "documents", "assets")}
 
 
-_ASSETS = "path string, ord int, name string, mime string, data binary"
+#: ``name`` is what a picture is called, ``ref`` what blocks call it (``src``), ``resolved`` its name with the extension of its content.
+_ASSETS = "path string, ord int, name string, ref string, resolved string, mime string, data binary"
 
 
 def _binary(files: DataFrame) -> dict[str, DataFrame]:
     b = binary_documents.read(files.select("path", "content"))
     documents = b["documents"].select("path", "title", "author", "subject", F.lit(None).cast("string").alias("description"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "recovered", "error")
-    return {"blocks": b["blocks"], "documents": documents, "assets": b["assets"].select("path", F.col("id").alias("ord"), "name", "mime", "data")}
+    return {"blocks": b["blocks"], "documents": documents, "assets": b["assets"].select("path", F.col("id").alias("ord"), "name", F.col("name").alias("ref"), "resolved", "mime", "data")}
 
 
 def _packed(files: DataFrame) -> dict[str, DataFrame]:
     p = package_documents.read(files.select("path", "content"))
     documents = p["documents"].select("path", *_META, F.array().cast("array<string>").alias("keywords"), F.lit(False).alias("recovered"), "error")
-    return {"blocks": p["blocks"], "documents": documents, "assets": p["assets"].select("path", "ord", "name", "mime", "data")}
+    return {"blocks": p["blocks"], "documents": documents, "assets": p["assets"].select("path", "ord", "name", F.col("entry").alias("ref"), F.col("name").alias("resolved"), "mime", "data")}
 
 
 def _marked(files: DataFrame) -> dict[str, DataFrame]:
@@ -68,21 +69,25 @@ def _marked(files: DataFrame) -> dict[str, DataFrame]:
     return {"blocks": blocks, "documents": documents, "assets": files.sparkSession.createDataFrame([], _ASSETS)}
 
 
-def to_markdown(files: DataFrame, front_matter: bool = False) -> DataFrame:
-    """``path, markdown, error`` of (path, kind, content) files; with ``front_matter``, that of their properties comes first."""
-    parts = blocks(files)
-    text = render.markdown(kept(parts["blocks"]), ["path"])
-    out = parts["documents"].join(text, "path", "left").withColumn("markdown", F.when(F.col("error").isNull(), F.coalesce("markdown", F.lit(""))))
+def _with_text(documents: DataFrame, nodes: DataFrame, front_matter: bool) -> DataFrame:
+    text = render.markdown(nodes, ["path"])
+    out = documents.join(text, "path", "left").withColumn("markdown", F.when(F.col("error").isNull(), F.coalesce("markdown", F.lit(""))))
     if front_matter:
         head = render.front_matter(F.col("title"), F.col("author"), F.lit(None).cast("string"), F.col("subject"), F.col("description"), F.col("keywords"))
         out = out.withColumn("markdown", F.concat(F.when(F.coalesce("title", "author", "subject", "description").isNotNull() | (F.size("keywords") > 0), head).otherwise(""), "markdown"))
     return out.select("path", "markdown", "error")
 
 
+def to_markdown(files: DataFrame, front_matter: bool = False) -> DataFrame:
+    """``path, markdown, error`` of (path, kind, content) files; with ``front_matter``, that of their properties comes first."""
+    parts = blocks(files)
+    return _with_text(parts["documents"], parts["blocks"], front_matter)
+
+
 def to_packages(files: DataFrame) -> DataFrame:
     """``path, content`` of packages made of Markdown (path, content) files."""
     parts = blocks(files.withColumn("kind", F.lit("markdown")))
-    return package_xml.write(kept(parts["blocks"]), parts["documents"].where("error is null"))
+    return package_xml.write(parts["blocks"], parts["documents"].where("error is null"))
 
 
 def check(files: DataFrame) -> DataFrame:
@@ -131,3 +136,61 @@ def asset_files(assets: DataFrame, by: list[str]) -> DataFrame:
     """``by..., name, content`` of pictures under safe names, numbered where these collide."""
     safe = assets.withColumn("safe", asset_name(F.col("name")))
     return distinct_names(safe, by, ["ord"], "safe", "unique").select(*by, F.col("unique").alias("name"), F.col("data").alias("content"))
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, target, status, error, bytes, n_assets`` of the files that earlier batches into ``folder`` went through."""
+    path = f"{folder}/_outcomes"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.read.schema(_OUTCOME).parquet(path)
+    return spark.createDataFrame([], _OUTCOME)
+
+
+_OUTCOME = "path string, target string, status string, error string, bytes bigint, n_assets bigint"
+
+
+def run_batch(files: DataFrame, folder: str, force: bool = False, front_matter: bool = True) -> DataFrame:
+    """Convert (path, kind, content) files into ``folder`` and return :func:`outcomes` of this batch.
+
+    Binary and packaged files become Markdown, with their pictures under
+    ``NAME.assets`` and links to them there; Markdown becomes packages. A file whose
+    target an earlier batch wrote, or another file of this one has, is ``skipped``
+    unless ``force``; a file that can't be read is ``failed`` with its error and
+    leaves nothing. Files appear under their names when they are whole, so a task
+    that runs again leaves one. What became of each file is added to the folder's
+    outcomes when all are written; a batch that breaks off is done again.
+    """
+    spark = files.sparkSession
+    base = F.regexp_extract("path", "([^/]+)$", 1)
+    done = outcomes(spark, folder).where("status = 'converted'").select(F.col("target").alias("path"))
+    names = files.select(base.alias("path"), F.col("path").alias("source"), "kind")
+    plan = targets(names, done, force).withColumnRenamed("path", "base").join(names.select(F.col("path").alias("base"), F.col("source").alias("path")), "base")
+    plan = kept(plan.select("path", "target", F.when(F.col("status") == "convert", "converted").otherwise(F.col("status")).alias("status")))
+    work = files.join(plan.where("status = 'converted'").select("path", "target"), "path")
+    parts = blocks(work)
+    is_text = F.endswith("target", F.lit(".hwpx"))
+    chosen = plan.where("status = 'converted'").select("path", "target")
+    documents = kept(parts["documents"].join(chosen, "path"))
+    rows = kept(parts["blocks"])
+    stem = F.regexp_replace("target", r"[.][^.]+$", "")
+
+    pictures = parts["assets"].join(documents.where("error is null").select("path", stem.alias("stem")), "path")
+    pictures = distinct_names(pictures.withColumn("safe", asset_name(F.col("resolved"))), ["path"], ["ord"], "safe", "unique")
+    pictures = kept(pictures.select("path", "ref", F.concat("stem", F.lit(".assets/"), "unique").alias("name"), F.col("data").alias("content")))
+    named = pictures.groupBy("path", F.col("ref").alias("src")).agg(F.min("name").alias("at"))
+    linked = rows.join(named, ["path", "src"], "left").withColumn("src", F.coalesce("at", "src")).select(rows.columns)
+    read = documents.where(~is_text & F.col("error").isNull())
+    texts = _with_text(read, linked.join(read.select("path"), "path", "left_semi"), front_matter).select("path", F.encode("markdown", "UTF-8").alias("content"))
+    marked = documents.where(is_text & F.col("error").isNull())
+    packed = package_xml.write(rows.join(marked.select("path"), "path", "left_semi"), marked)
+    made = texts.unionByName(packed).join(chosen, "path").select(F.col("target").alias("name"), "content")
+    written = kept(write_files(made.unionByName(pictures.select("name", "content")), folder))
+
+    count = pictures.groupBy("path").agg(F.count("*").alias("n_assets"))
+    out = plan.join(documents.select("path", "error"), "path", "left").join(written.select(F.col("name").alias("target"), "bytes"), "target", "left").join(count, "path", "left")
+    status = F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))
+    own = F.col("status") == "converted"
+    out = kept(out.select("path", "target", status.alias("status"), "error", F.when(own, F.col("bytes")).alias("bytes"), F.when(own, F.coalesce("n_assets", F.lit(0))).cast("bigint").alias("n_assets")))
+    out.write.mode("append").parquet(f"{folder}/_outcomes")
+    return out

@@ -532,16 +532,16 @@ def package_metadata(spark, sf_dir):
     return out.select(F.col("path").cast("bigint").alias("doc_id"), "title", "author", "subject", F.col("breaks.keep_with_next").alias("keep_with_next"), "faces")
 
 
-@query("""SELECT conv_id, role, count(*) AS n FROM (SELECT conv_id, CASE role WHEN 'user' THEN 'header' WHEN 'system' THEN 'footer' ELSE 'body' END AS role FROM conversations WHERE text IS NOT NULL AND trim(text) <> '') GROUP BY ALL""")
+@query("""SELECT conv_id, role, count(*) AS n, list_sort(list(md5(text))) AS said FROM (SELECT conv_id, CASE role WHEN 'user' THEN 'header' WHEN 'system' THEN 'footer' ELSE 'body' END AS role, text FROM conversations WHERE text IS NOT NULL AND trim(text) <> '') GROUP BY ALL""")
 def package_regions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null and trim(text) <> ''")
     region = F.when(F.col("role") == "user", "header").when(F.col("role") == "system", "footer").otherwise("body")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    blocks = c.select(_part("conv_id").alias("path"), *nodes.block(region=region, ord=F.row_number().over(order), kind=F.lit("paragraph"), text=F.lit("said"), runs=nodes.plain_runs(F.lit("said"))))
+    blocks = c.select(_part("conv_id").alias("path"), *nodes.block(region=region, ord=F.row_number().over(order), kind=F.lit("paragraph"), text=F.col("text"), runs=nodes.plain_runs(F.col("text"))))
     none = F.lit(None).cast("string")
-    files = package_xml.write(blocks, c.select(_part("conv_id").alias("path")).distinct().select("path", none.alias("title"), none.alias("author")))
+    files = package_xml.write(blocks, c.select(_part("conv_id").alias("path")).distinct().select("path", none.alias("title"), none.alias("author")), nest=0)
     out = package_documents.read(files)["blocks"]
-    return out.groupBy(F.col("path").cast("bigint").alias("conv_id"), F.col("region").alias("role")).agg(F.count("*").alias("n"))
+    return out.groupBy(F.col("path").cast("bigint").alias("conv_id"), F.col("region").alias("role")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.md5("text"))).alias("said"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN n = 1 THEN 'pic' || (s_suppkey % 5) || '.png' ELSE 'pic' || (s_suppkey % 5) || '_' || n || '.png' END AS entry FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 ORDER BY s_suppkey) AS n FROM supplier)""")
@@ -592,12 +592,11 @@ def _binary_files(sections, info, flags: int):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::BIGINT AS ord, CASE WHEN n % 3 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN n % 3 = 0 THEN 2 END::INTEGER AS level, md5(text) AS text
-FROM l WHERE trim(text, ' ') <> '' AND (n % 3 = 0 OR NOT regexp_matches(trim(text, ' '), '^( *([0-9]{1,3}|[A-Za-z])[.)]|[●■▶▷◆◇•·*-])([ \t]|$)'))""")
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::BIGINT AS ord, CASE WHEN n % 3 = 0 THEN 'heading' WHEN regexp_matches(trim(text, ' '), '^( *([0-9]{1,3}|[A-Za-z])[.)]|[●■▶▷◆◇•·*-])([ \t]|$)') THEN 'item' ELSE 'paragraph' END AS kind, CASE WHEN n % 3 = 0 THEN 2 END::INTEGER AS level, md5(text) AS text
+FROM l WHERE trim(text, ' ') <> ''""")
 def binary_document_roundtrip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "t"))
-    is_item = (F.col("n") % 3 != 0) & classify.list_kind(F.trim("t")).isNotNull()
-    d = d.where((F.trim("t") != "") & ~is_item)
+    d = d.where(F.trim("t") != "")
     r = records.record_bytes
     style = lambda name: r(F.lit(records.STYLE), F.lit(0), F.concat(_counted(F.lit("local")), _counted(F.lit(name))))
     info = F.concat(r(F.lit(records.CHAR_SHAPE), F.lit(0), F.lit(bytes(58))), r(F.lit(records.PARA_SHAPE), F.lit(0), F.lit(bytes(30))), style("Normal"), style("Outline 2"))
@@ -831,3 +830,45 @@ def binary_cell_blocks(spark, sf_dir):
     out = binary_documents.read(made(F.col("body")))["blocks"].where("nest = 1")
     part = F.when(F.col("kind") == "math", 2).when(F.col("kind") == "image", 3).when(F.col("kind") == "footnote", 4).when(F.startswith("text", F.lit("more ")), 1).otherwise(0)
     return out.select(F.col("path").cast("bigint").alias("doc"), F.shiftright("cell", 16).cast("int").alias("row"), part.alias("part"), "kind", "text", "src")
+
+
+@query("""SELECT s_suppkey::BIGINT AS s_suppkey, s_nationkey::VARCHAR || ': ' || s_name AS title, s_name AS author, ['image_1.bin', 'image_' || (s_suppkey + 2) || '.bin'] AS names,
+['image_1.' || CASE s_suppkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' ELSE 'bin' END, 'image_' || (s_suppkey + 2) || '.gif'] AS resolved FROM supplier""")
+def binary_summaries_and_pictures(spark, sf_dir):
+    """Properties and pictures of binary files, pictures named by their content too."""
+    d, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 3
+    title = F.encode(F.concat(_part("s_nationkey"), F.lit(": "), "s_name"), "UTF-8")
+    held = lambda t: F.concat(_short(F.lit(30), 4), _short(F.octet_length(t) + 1, 4), t, F.lit(b"\0"))
+    author = F.encode("s_name", "UTF-8")
+    at = F.concat(_short(F.lit(2), 4), _short(F.lit(24), 4), _short(F.lit(4), 4), _short(F.lit(24) + F.octet_length(held(title)), 4))
+    summary = F.concat(F.lit(b"\xfe\xff".ljust(44, b"\0")), _short(F.lit(48), 4), _short(F.lit(0), 4), _short(F.lit(2), 4), at, held(title), held(author))
+    magic = F.when(k == 0, F.lit(b"\x89PNG....")).when(k == 1, F.lit(b"\xff\xd8\xff....")).otherwise(F.lit(b"none of these"))
+    stream = lambda n, c: F.struct((F.lit(n) if isinstance(n, str) else n).alias("name"), c.alias("data"))
+    second = F.concat(F.lit("BinData/BIN"), F.lpad(F.hex(F.col("s_suppkey") + 2), 4, "0"), F.lit(".xyz"))
+    streams = F.array(stream("FileHeader", F.lit(records.header_bytes(0))), stream("DocInfo", F.lit(b"")), stream("BodyText/Section0", F.lit(b"")), stream("\x05SummaryInformation", summary), stream("BinData/BIN0001.xyz", magic), stream(second, F.lit(b"GIF89a....")))
+    out = binary_documents.read(compound.files(d.select(_part("s_suppkey").alias("path"), streams.alias("streams"))))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("id", c))), lambda x: x[c]).alias(f"{c}s" if c == "name" else c)
+    pictures = out["assets"].groupBy("path").agg(listed("name"), listed("resolved"))
+    return out["documents"].join(pictures, "path").select(F.col("path").cast("bigint").alias("s_suppkey"), "title", "author", "names", "resolved")
+
+
+@query("""SELECT run, status, count(*)::BIGINT AS n, count(DISTINCT target)::BIGINT AS targets, sum(assets)::BIGINT AS assets FROM (
+SELECT 1 AS run, CASE WHEN s_suppkey % 4 = 3 THEN 'failed' ELSE 'converted' END AS status, s_suppkey AS target, CASE WHEN s_suppkey % 4 IN (1, 2) THEN 1 ELSE 0 END AS assets FROM supplier
+UNION ALL SELECT 2, CASE WHEN s_suppkey % 4 = 3 THEN 'failed' ELSE 'skipped' END, s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN 0 END FROM supplier) GROUP BY run, status""")
+def batch_run(spark, sf_dir):
+    """Markdown, packages, binary and broken files converted into a folder, twice: the second time only what failed is tried again."""
+    d = table(spark, sf_dir, "supplier").select("*", (F.col("s_suppkey") % 4).alias("k"), F.concat(F.lit("in/f"), _part("s_suppkey")).alias("path"))
+    text = d.where("k = 0").select("path", F.encode(F.concat(F.lit("# "), "s_name", F.lit("\n\n- a\n\n  b")), "UTF-8").alias("content"), F.lit("markdown").alias("kind"))
+    part = lambda i, name, data: F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), data.alias("data"))
+    body = F.concat(package.paragraph_xml(package.run_xml(F.col("s_name"))), F.lit('<hp:p><hp:run><hp:img binaryItemIDRef="p"/></hp:run></hp:p>'))
+    packed = package.packages(d.where("k = 1").select("path", F.inline(F.array(part(0, "Contents/section0.xml", package.section_xml(body)), part(1, "BinData/p.png", F.lit(b"\x89PNG"))))))
+    stream = lambda n, c: F.struct(F.lit(n).alias("name"), c.alias("data"))
+    sealed = F.array(stream("FileHeader", F.lit(records.header_bytes(0))), stream("DocInfo", F.lit(b"")), stream("BodyText/Section0", _paragraph(F.col("s_name"))), stream("BinData/BIN0001.png", F.lit(b"\x89PNG....")))
+    binary = compound.files(d.where("k = 2").select("path", sealed.alias("streams")))
+    broken = d.where("k = 3").select("path", F.encode("s_name", "UTF-8").alias("content"), F.lit("package").alias("kind"))
+    files = text.unionByName(packed.withColumn("kind", F.lit("package"))).unionByName(binary.withColumn("kind", F.lit("records"))).unionByName(broken)
+    end = F.when(F.col("kind") == "markdown", ".md").when(F.col("kind") == "package", ".hwpx").otherwise(".hwp")
+    files = store.kept(files.withColumn("path", F.concat("path", end)))
+    folder = store.new_folder(spark)
+    runs = [convert.run_batch(files, folder).withColumn("run", F.lit(i)) for i in (1, 2)]
+    return runs[0].unionByName(runs[1]).groupBy("run", "status").agg(F.count("*").alias("n"), F.countDistinct("target").alias("targets"), F.sum("n_assets").alias("assets"))

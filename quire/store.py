@@ -38,10 +38,15 @@ def folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in :func:`folder`."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df``, computed once, written to the shared folder and read from there: lost executors cost nothing, and later plans begin here."""
     if df.isStreaming:
         return df
-    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
