@@ -238,7 +238,8 @@ class _Section:
 
     def put(self, kind: str, **more) -> None:
         o = self.owners[-1] if self.owners else {}
-        self.out.append({"kind": kind, "para": self.para, "region": self.region, "parent": o.get("event"), "cell": o.get("cell"), "nest": len(self.owners), "via": o.get("via"), **self.paragraph, "link": self.link} | more)
+        place = {k: self.grid[-1]["cell"][k] for k in ("row", "col", "colspan", "rowspan")} if o.get("what") == "cell" and self.grid and self.grid[-1]["cell"] else {}
+        self.out.append({"kind": kind, "para": self.para, "region": self.region, "parent": o.get("event"), "cell": o.get("cell"), "nest": len(self.owners), "via": o.get("via"), **place, **self.paragraph, "link": self.link} | more)
 
     def own(self, what: str, event: int, cell: int | None = None) -> None:
         """Open an owner; what is in an item that is in an item's list hangs there as a child."""
