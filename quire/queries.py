@@ -478,7 +478,7 @@ def hwpx_roundtrip_table(spark, sf_dir):
     body = F.array_sort(F.flatten(F.collect_list(F.array(cell(F.col("row"), 0, _part("n_nationkey"), False), cell(F.col("row"), 1, F.col("n_name"), False)))))
     t = n.groupBy(_part("n_regionkey").alias("path")).agg(F.concat(F.array(cell(F.lit(0), 0, F.lit("key <&>"), True), cell(F.lit(0), 1, F.lit("name"), True)), body).alias("cells"))
     blocks = t.select("path", *nodes.block(ord=F.lit(0), kind=F.lit("table"), cells=F.col("cells")))
-    files = package_xml.write(blocks, t.select("path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("author")))
+    files = package_xml.write(blocks, t.select("path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("author")), nest=0)
     out = package_documents.read(files)["blocks"].select("path", F.inline("cells")).where("row > 0")
     text_of = lambda c: F.max(F.when(F.col("col") == c, F.col("text")))
     return out.groupBy(F.col("path").cast("bigint").alias("doc"), "row").agg(text_of(0).alias("key"), text_of(1).alias("name"))
@@ -508,7 +508,7 @@ def _book(spark, sf_dir):
 CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey % 6 + 1 END::INTEGER AS level, CASE WHEN s_suppkey % 7 <> 5 THEN s_name END AS text, CASE WHEN s_suppkey % 7 = 3 THEN 'sql' END AS language, CASE WHEN s_suppkey % 7 = 5 THEN 'p' || (s_suppkey % 3) || '.png' END AS src,
 CASE WHEN s_suppkey % 7 = 4 THEN 'n' || s_suppkey END AS note_id, CASE WHEN s_suppkey % 7 = 1 THEN 'http://x/?a=1&n=' || s_suppkey END AS link, CASE WHEN s_suppkey % 7 = 6 THEN 'above' END AS ruby FROM l""")
 def package_blocks_roundtrip(spark, sf_dir):
-    out = package_documents.read(package_xml.write(*_book(spark, sf_dir)))["blocks"]
+    out = package_documents.read(package_xml.write(*_book(spark, sf_dir), nest=0))["blocks"]
     n = F.row_number().over(Window.partitionBy("path").orderBy("ord")) - 1
     first = F.get("runs", F.lit(0))
     return out.select(F.col("path").cast("bigint").alias("doc"), n.cast("bigint").alias("n"), "kind", "level", "text", "language", "src", "note_id", first.link.alias("link"), first.ruby.alias("ruby"))
@@ -647,7 +647,7 @@ def md_inline_roundtrip(spark, sf_dir):
     k = F.col("p_partkey")
     run = nodes.run(text=F.concat(F.lit("a*b_"), "p_name"), bold=k % 2 == 0, italic=k % 3 == 0, strike=k % 5 == 0, link=F.when(k % 7 == 0, F.concat(F.lit("http://h/("), k.cast("string"), F.lit(")"))))
     d = table(spark, sf_dir, "part").select(k.alias("doc"), *nodes.block(ord=F.lit(0), kind=F.lit("paragraph"), text=F.col("p_name"), runs=F.array(nodes.run(text=F.lit("see ")), run, nodes.run(text=F.lit(" tail")))))
-    md = store.kept(render.markdown(d, ["doc"]))
+    md = store.kept(render.markdown(d, ["doc"], nest=0))
     first = F.get("runs", F.least(F.size("runs") - 1, F.lit(1)))  # a plain one is joined to those beside it
     shown = F.when(F.size("runs") == 1, F.regexp_replace(first.text, "^see | tail$", "")).otherwise(first.text)
     return markdown.nodes(md, "doc", "markdown").select(F.col("doc_id").cast("bigint").alias("p_partkey"), shown.alias("text"), first.bold.alias("bold"), first.italic.alias("italic"), first.strike.alias("strike"), first.link.alias("link"))
@@ -658,7 +658,7 @@ SELECT o_custkey::BIGINT AS o_custkey, n::BIGINT AS n, (NOT top)::INTEGER AS dep
 def md_nested_list_roundtrip(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
     blocks = o.select(F.col("o_custkey").alias("doc"), *nodes.block(ord=F.col("n"), kind=F.lit("item"), depth=(F.col("n") % 3 > 0).cast("int"), ordered=F.lit(True), text=F.col("o_orderpriority"), runs=nodes.plain_runs(F.col("o_orderpriority"))))
-    md = store.kept(render.markdown(nodes.number_lists(blocks, ["doc"], same_kind=False), ["doc"]))
+    md = store.kept(render.markdown(nodes.number_lists(blocks, ["doc"], same_kind=False), ["doc"], nest=0))
     out = markdown.nodes(md, "doc", "markdown")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     return out.select(F.col("doc_id").cast("bigint").alias("o_custkey"), n.cast("bigint").alias("n"), "depth", "number", "text")
