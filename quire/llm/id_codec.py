@@ -40,7 +40,9 @@ _LOW, _TOP = 32, 48
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a sum of ``2**_F``, each at least 1."""
+    """Counts scaled to a sum of ``2**_F``, each at least 1; more counts than that are an error."""
+    if len(counts) > _S:
+        raise ValueError(f"a chunk has {len(counts)} different ids; {_S} can be coded")
     total = int(counts.sum())
     out = np.maximum(counts * _S // max(1, total), 1)
     excess = int(out.sum()) - _S

@@ -173,3 +173,10 @@ def test_blocks_decode_alone_and_start_alike():
 def test_shares_sum_up(counts):
     got = id_codec.shares(np.sort(np.array(counts))[::-1])
     assert got.sum() == 1 << 18 and got.min() >= 1
+
+
+def test_shares_of_as_many_ids_as_can_be_coded():
+    most = 1 << id_codec._F
+    assert id_codec.shares(np.ones(most, np.int64)).tolist() == [1] * most
+    with pytest.raises(ValueError, match="different ids"):
+        id_codec.shares(np.ones(most + 1, np.int64))
