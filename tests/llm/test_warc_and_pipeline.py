@@ -87,7 +87,7 @@ def test_records_inside_records_are_not_records(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     want = con.sql(queries.SQL[name])
     got = queries.QUERIES[name](spark, sf)
