@@ -5,7 +5,8 @@ does not need an index: a task takes a byte range, looks for the gzip magic in
 it, inflates candidates, and owns the records that start inside its range (it
 reads past the end to finish the last one). A member is a record if its decoded
 header says so: version line, record id, a content length that fits. The next
-member starts where one ends.
+member starts where one ends. Records as crawlers leave them are rows too:
+what can't be understood of one is said in ``error``, and the others go on.
 
 Bytes that look like a record may lie inside one, as when an archive is the
 payload of a record that is stored and not deflated. So ranges are gone through
@@ -34,13 +35,18 @@ from quire.llm.common import lean_batches, new_path, written
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a member that are inflated at first, to see whether a version line begins there.
 PROBE = 512
+#: Bytes beyond which a head without a blank line is no head of a record.
+MAX_HEAD = 1 << 20
 READ = 1 << 20
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 
 RECORD_SCHEMA = (
     "archive string, start long, record_id string, record_type string, target_uri string, refers_to string, "
-    "digest string, payload_bytes long, payload binary"
+    "digest string, payload_bytes long, payload binary, error string"
 )
+#: Errors of a record, and of a payload whose digest isn't the one that its header names.
+DAMAGED, LENGTH, HTTP, DIGEST_FORM, DIGEST = "damaged member", "length", "http head", "digest form", "digest"
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -134,32 +140,68 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _headers(block: bytes) -> tuple[dict[str, str], int]:
-    end = block.index(b"\r\n\r\n")
-    lines = block[:end].decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
-
-
-def parse_record(data: bytes) -> dict:
-    """The parts of one inflated record."""
+    """Fields of a head by name in lower case, and where it ends (-1 where no blank line ends it); lines may end in LF alone."""
+    blank = _BLANK_LINE.search(block)
+    lines = block[: blank.start() if blank else len(block)].decode("utf-8", "replace").splitlines()
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, blank.end() if blank else -1
+
+
+def sha1_of(digest: str | None) -> str | None:
+    """The hex form of a ``sha1:`` digest in base32 or hex of either case; null for other algorithms, ValueError for what is no digest."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    raw = bytes.fromhex(value) if len(value) == 40 else b32decode(value.upper())
+    if len(raw) != 20:
+        raise ValueError(f"{digest} is no SHA-1")
+    return raw.hex()
+
+
+def parse_record(data: bytes | None) -> dict:
+    """The parts of one inflated record; ``error`` names what is wrong with it (null: nothing).
+
+    * null data (a member that is cut off or damaged) has that error alone;
+    * a record whose length isn't the one that its head says keeps what there is (``length``);
+    * an HTTP block whose head has no end is all payload (``http head``), unless it
+      is a revisit's or empty; its lines may end in LF, and its ``Content-Length``
+      is believed of revisits alone, if it is a number (else the size is null);
+    * the digest is that of the payload, or of a revisit the one it names. One that
+      isn't of the form said in :func:`sha1_of` is ``digest form``; one that differs from
+      the payload's is ``digest``, unless the record says that it is truncated.
+    """
+    row = dict.fromkeys(("record_id", "record_type", "target_uri", "refers_to", "digest", "payload_bytes", "payload", "error"))
+    if data is None:
+        return row | {"error": DAMAGED}
     head, at = _headers(data)
-    block = data[at : at + int(head.get("content-length", 0))]
-    payload, n_bytes = block, len(block)
-    if head.get("content-type", "").startswith("application/http"):
-        http, body = _headers(block)
-        payload = block[body:]
-        n_bytes = int(http.get("content-length", len(payload)))
-    digest = head.get("warc-payload-digest", "")
-    digest = b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+    length = head.get("content-length", "")
+    whole = at >= 0 and length.isdecimal() and len(data) == at + int(length) + 4
+    block = b"" if at < 0 else data[at : at + int(length)] if length.isdecimal() else data[at:]
+    errors = [] if whole else [LENGTH]
     response = head.get("warc-type") != "revisit"
+    payload, n_bytes = block, len(block) if response else None
+    if head.get("content-type", "").lower().startswith("application/http"):
+        http, body = _headers(block)
+        if body >= 0:
+            payload = block[body:]
+        elif response and block:
+            errors.append(HTTP)
+        size = http.get("content-length", "")
+        n_bytes = int(size) if not response and size.isdecimal() and len(size) < 19 else None
+    try:
+        digest = sha1_of(head.get("warc-payload-digest"))
+    except ValueError:
+        digest = None
+        errors.append(DIGEST_FORM)
     if response:
         n_bytes, actual = len(payload), hashlib.sha1(payload).hexdigest()
-        if digest not in (None, actual):
-            raise ValueError(f"the digest of {head.get('warc-record-id')} differs from its payload's")
+        if digest not in (None, actual) and "warc-truncated" not in head:
+            errors.append(DIGEST)
         digest = actual
-    return {
+    return row | {
         "record_id": head.get("warc-record-id", "").strip("<>"), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"),
         "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
-        "digest": digest, "payload_bytes": n_bytes, "payload": payload if response else None,
+        "digest": digest, "payload_bytes": n_bytes, "payload": payload if response else None, "error": ", ".join(errors) or None,
     }
 
 
@@ -179,12 +221,31 @@ class _Range:
 
 def is_record(data: bytes) -> bool:
     """Whether an inflated member is one whole record: version line, record id, and the length that the header says."""
-    end = data.find(b"\r\n\r\n")
-    if end < 0 or not _VERSION.match(data):
+    if not _VERSION.match(data):
         return False
     head, at = _headers(data)
     length = head.get("content-length", "")
-    return "warc-record-id" in head and length.isdecimal() and len(data) == at + int(length) + 4 and data.endswith(b"\r\n\r\n")
+    return at >= 0 and "warc-record-id" in head and length.isdecimal() and len(data) == at + int(length) + 4 and data.endswith(b"\r\n\r\n")
+
+
+def begins_record(src: _Range, pos: int) -> bool:
+    """Whether a member at ``pos`` has the head of a record: only that is inflated of it."""
+    inflate, head, at = zlib.decompressobj(31), b"", pos
+    while at < src.size and not inflate.eof:
+        piece = src.at(at, min(PROBE, src.size - at))
+        at += len(piece)
+        try:
+            head += inflate.decompress(piece)
+        except zlib.error:
+            return False
+        if not _VERSION.match(head) and (len(head) >= 16 or inflate.eof):
+            return False
+        fields, end = _headers(head)
+        if end >= 0:
+            return "warc-record-id" in fields and fields.get("content-length", "").isdecimal()
+        if len(head) > MAX_HEAD:
+            return False
+    return False
 
 
 def _member(src: _Range, pos: int) -> tuple[bytes | None, int]:
@@ -207,12 +268,14 @@ def _looks_like_record(src: _Range, pos: int) -> bool:
         return False
 
 
-def first_member(src: _Range, start: int, end: int, strict: bool = False) -> int | None:
-    """The first gzip member in [start, end) from which members follow one another up to ``end``, the end of the file, or a damaged one.
+def first_member(src: _Range, start: int, end: int, damaged: list[int] | None = None) -> int | None:
+    """The first record in [start, end) from which members follow one another up to ``end``, the end of the file, or a damaged one.
 
-    With ``strict``, raises ValueError if there is none but a record that is damaged.
+    Candidates begin with the gzip magic and are validated by their decoded heads
+    before any is inflated whole. Those that are cut off or damaged are added to
+    ``damaged``, as far as they come before the one that is found.
     """
-    pos, damaged = start, None
+    pos = start
     while pos < end:
         chunk = src.at(pos, min(READ, src.size - pos))
         hit = chunk.find(MAGIC)
@@ -222,17 +285,18 @@ def first_member(src: _Range, start: int, end: int, strict: bool = False) -> int
         pos += hit
         if pos >= end:
             break
-        data, at = _member(src, pos)
-        if data is not None:
-            while data is not None and at < end and src.at(at, 3) == MAGIC:
-                data, at = _member(src, at)
-            if data is None or at >= src.size or src.at(at, 3) == MAGIC:
-                return pos
-        elif strict and _looks_like_record(src, pos):
-            damaged = pos if damaged is None else damaged
+        if begins_record(src, pos):
+            data, at = _member(src, pos)
+            if data is not None and is_record(data):
+                while data is not None and at < end and src.at(at, 3) == MAGIC:
+                    data, at = _member(src, at)
+                if data is None or at >= src.size or src.at(at, 3) == MAGIC:
+                    return pos
+            elif data is None and damaged is not None:
+                damaged.append(pos)
+        elif damaged is not None and _looks_like_record(src, pos) and _member(src, pos)[0] is None:
+            damaged.append(pos)
         pos += 1
-    if damaged is not None:
-        raise ValueError(f"the record at byte {damaged} is cut off or damaged")
     return None
 
 
@@ -250,30 +314,39 @@ def chain_end(file, size: int, start: int, end: int) -> int:
     return pos
 
 
-def records_of_range(file, size: int, start: int, end: int, entry: int | None = None) -> Iterator[tuple[int, bytes]]:
+def records_of_range(file, size: int, start: int, end: int, entry: int | None = None, damaged: str = "raise") -> Iterator[tuple[int, bytes | None]]:
     """(offset, inflated bytes) of the records whose first byte lies in [start, end).
 
     ``entry`` is where the chain of members of the ranges before ends (0 for the
     first range); without it, or if no member begins there, the first record is
-    searched. Members are validated as records by their decoded headers; what
-    is none is passed over. A member that is cut
-    off or damaged raises ValueError.
+    searched. Members that have no version line are passed over. A record that
+    is cut off or damaged raises ValueError; with ``damaged="row"`` it has no bytes
+    (None), and the next one is searched behind its first byte.
     """
     src = _Range(file, size)
-    pos = max(start, entry or 0)
-    known = (entry is not None and entry >= start) or start == 0
-    if not (known and src.at(pos, 3) == MAGIC):
-        pos = first_member(src, pos, end, strict=True)
+    pos: int | None = max(start, entry or 0)
+    known = ((entry is not None and entry >= start) or start == 0) and src.at(pos, 3) == MAGIC
     while pos is not None and pos < min(end, size):
-        if src.at(pos, 3) != MAGIC:
-            pos = first_member(src, pos, end, strict=True)
+        if not known:
+            bad: list[int] = []
+            begin, pos = pos, first_member(src, pos, end, bad)
+            if bad and damaged == "raise" and pos is None:
+                raise ValueError(f"the record at byte {bad[0]} is cut off or damaged")
+            if damaged == "row":
+                yield from ((at, None) for at in bad if at >= begin)
+            known = True
             continue
         data, at = _member(src, pos)
-        if data is None:
+        if data is not None:
+            if _VERSION.match(data):
+                yield pos, data
+            pos = at
+            known = pos < size and src.at(pos, 3) == MAGIC
+        elif damaged == "raise":
             raise ValueError(f"the record at byte {pos} is cut off or damaged")
-        if is_record(data):
-            yield pos, data
-        pos = at
+        else:
+            yield pos, None
+            pos, known = pos + 1, False
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +359,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("archive", "bytes", "lo", "hi")), pa.array(ends, pa.int64())], names=["archive", "bytes", "lo", "hi", "end"])
 
 
-def _reader(with_payload: bool):
+def _reader(with_payload: bool, damaged: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
         schema = pa.schema([(n, pa.int64() if n in ("start", "payload_bytes") else pa.binary() if n == "payload" else pa.string()) for n in names])
@@ -295,7 +368,7 @@ def _reader(with_payload: bool):
                 store, root = open_store(path)
                 rows, held = [], 0
                 with store.open_input_file(root) as file:
-                    for start, data in records_of_range(file, size, lo, hi, entry):
+                    for start, data in records_of_range(file, size, lo, hi, entry, damaged):
                         rec = parse_record(data) | {"archive": path, "start": start}
                         if not with_payload:
                             rec["payload"] = None
@@ -310,15 +383,17 @@ def _reader(with_payload: bool):
     return read
 
 
-def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20, payload: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20, payload: bool = True, damaged: str = "raise") -> DataFrame:
     """Records of the archives in ``files`` (archive, bytes), a row a record.
 
     Each archive is cut into ranges of ``split_bytes``; a range is a unit of
     work, so one large archive is read by many tasks. The digest of a response
-    is computed from its payload and must agree with its header; a revisit's
-    comes from its header. Archives without records and an empty table give no
-    rows; further columns are ignored. A record of any length is read whole by
-    the task that owns it.
+    is computed from its payload, a revisit's comes from its header. What is
+    wrong with a record is its ``error`` (:func:`parse_record`), and reading goes
+    on; a gzip member that is cut off or damaged stops it, as records may be lost
+    behind it, or with ``damaged="row"`` is a row with that error. Archives without
+    records and an empty table give no rows; further columns are ignored. A
+    record of any length is read whole by the task that owns it.
     """
     ranges = files.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("lo"))
     ranges = ranges.withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("bytes")))
@@ -327,7 +402,7 @@ def read_archives(files: DataFrame, *, split_bytes: int = 8 << 20, payload: bool
     ranges = ranges.repartition(tasks, "archive", "lo").mapInArrow(_ends, "archive string, bytes long, lo long, hi long, end long")
     before = Window.partitionBy("archive").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     ranges = ranges.withColumn("entry", F.coalesce(F.max("end").over(before), F.lit(0))).where("entry < hi")
-    return ranges.repartition(tasks, "archive", "lo").mapInArrow(_reader(payload), RECORD_SCHEMA)
+    return ranges.repartition(tasks, "archive", "lo").mapInArrow(_reader(payload, damaged), RECORD_SCHEMA)
 
 
 def page_records(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -338,10 +413,12 @@ def page_records(pages: DataFrame, folder: str | None = None) -> DataFrame:
       responses, each with its own row;
     * of equal payloads that with the largest id is the response; very long ones
       are read whole;
-    * further columns are ignored; an empty table gives an empty result.
+    * further columns are ignored; an empty table gives an empty result;
+    * a record that doesn't come back as it was written is an error.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").alias("content"))
     records = read_archives(write_archives(rows, folder), payload=False)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d*)$", 1), F.lit("")).cast("long")
-    return records.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "archive", F.col("start").alias("archive_offset"))
+    digest = F.when(F.col("error").isNull(), F.col("digest")).otherwise(F.raise_error(F.concat(F.col("record_id"), F.lit(": "), F.col("error"))))
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "archive", F.col("start").alias("archive_offset"))

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -84,6 +85,56 @@ def test_records_inside_records_are_not_records(spark, tmp_path):
             read(bytes(damaged), "damaged.warc.gz", split)
 
 
+def http_record(i, block, *fields, kind="response"):
+    head = [f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Type: application/http; msgtype=response", *fields, f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    body, ok = b"<p>body</p>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    sha = hashlib.sha1(body)
+    hexed, b32 = sha.hexdigest(), base64.b32encode(sha.digest()).decode()
+    empty = hashlib.sha1(b"").hexdigest()
+    cases = [  # record, and its digest, payload_bytes, payload, error
+        (http_record(0, b"HTTP/1.1 200 OK\r\nno blank line"), (hashlib.sha1(b"HTTP/1.1 200 OK\r\nno blank line").hexdigest(), 30, b"HTTP/1.1 200 OK\r\nno blank line", "http head")),
+        (http_record(1, b"HTTP/1.1 200 OK\nA: b\n\n" + body), (hexed, 11, body, None)),
+        (http_record(2, ok + body, f"WARC-Payload-Digest: sha1:{hexed}"), (hexed, 11, body, None)),
+        (http_record(3, ok + body, f"WARC-Payload-Digest: SHA1:{b32.lower()}"), (hexed, 11, body, None)),
+        (http_record(4, ok + body[:4], f"WARC-Payload-Digest: sha1:{b32}", "WARC-Truncated: length"), (hashlib.sha1(body[:4]).hexdigest(), 4, body[:4], None)),
+        (http_record(5, ok + body[:4], f"WARC-Payload-Digest: sha1:{b32}"), (hashlib.sha1(body[:4]).hexdigest(), 4, body[:4], "digest")),
+        (http_record(6, b"", f"WARC-Payload-Digest: sha1:{b32}", "WARC-Refers-To: <urn:x:2>", kind="revisit"), (hexed, None, None, None)),
+        (http_record(7, b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\n", f"WARC-Payload-Digest: sha1:{b32}", kind="revisit"), (hexed, None, None, None)),
+        (http_record(8, b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\n" + body), (hexed, 11, body, None)),
+        (http_record(9, b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n" + body), (hexed, 11, body, None)),
+        (http_record(10, ok + body, "WARC-Payload-Digest: sha1:nothing"), (hexed, 11, body, "digest form")),
+        (http_record(11, ok + body, "WARC-Payload-Digest: sha256:00ff"), (hexed, 11, body, None)),
+        (http_record(12, b""), (empty, 0, b"", None)),
+        (http_record(13, ok + body)[:-2], (hexed, 11, body, "length")),
+        (b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x:14>\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n", (hashlib.sha1(b"a: b").hexdigest(), 4, b"a: b", None)),
+    ]
+    members = [gzip.compress(r) for r, _ in cases]
+    data = b"".join(members)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), len(data))], "archive string, bytes long")
+    for split in (97, 1000, len(data)):
+        got = warc.read_archives(files, split_bytes=split).orderBy("start").collect()
+        assert [(r.digest, r.payload_bytes, None if r.payload is None else bytes(r.payload), r.error) for r in got] == [want for _, want in cases], split
+        assert [r.record_id for r in got] == [f"urn:x:{i}" for i in range(15)]
+
+
+def test_damaged_members_can_be_rows(spark, tmp_path):
+    members = [gzip.compress(http_record(i, random.Random(i).randbytes(300))) for i in range(6)]
+    at = [sum(map(len, members[:i])) for i in range(6)]
+    data = bytearray(b"".join(members))[:-20]  # the last one is cut off
+    data[at[2] + 150] ^= 255
+    data[at[3] + 150] ^= 255
+    (tmp_path / "y.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "y.warc.gz"), len(data))], "archive string, bytes long")
+    for split in (120, 500, len(data)):
+        got = warc.read_archives(files, split_bytes=split, damaged="row").orderBy("start").collect()
+        assert [(r.start, r.record_id if r.error == "http head" else r.error) for r in got] == list(zip(at, ["urn:x:0", "urn:x:1", "damaged member", "damaged member", "urn:x:4", "damaged member"], strict=True)), split
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
