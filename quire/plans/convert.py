@@ -11,7 +11,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.classify import format_kind
@@ -84,10 +84,14 @@ def to_markdown(files: DataFrame, front_matter: bool = False) -> DataFrame:
     return _with_text(parts["documents"], parts["blocks"], front_matter)
 
 
-def to_packages(files: DataFrame) -> DataFrame:
-    """``path, content`` of packages made of Markdown (path, content) files."""
+def to_packages(files: DataFrame, style: Column | None = None) -> DataFrame:
+    """``path, content`` of packages made of Markdown (path, content) files, in a style (:func:`quire.plans.style.literal`)."""
     parts = blocks(files.withColumn("kind", F.lit("markdown")))
-    return package_xml.write(parts["blocks"], parts["documents"].where("error is null"))
+    return package_xml.write(parts["blocks"], _styled(parts["documents"].where("error is null"), style))
+
+
+def _styled(documents: DataFrame, style: Column | None) -> DataFrame:
+    return documents if style is None else documents.withColumn("style", style)
 
 
 def check(files: DataFrame) -> DataFrame:
@@ -150,11 +154,11 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
 _OUTCOME = "path string, target string, status string, error string, bytes bigint, n_assets bigint"
 
 
-def run_batch(files: DataFrame, folder: str, force: bool = False, front_matter: bool = True) -> DataFrame:
+def run_batch(files: DataFrame, folder: str, force: bool = False, front_matter: bool = True, style: Column | None = None) -> DataFrame:
     """Convert (path, kind, content) files into ``folder`` and return :func:`outcomes` of this batch.
 
     Binary and packaged files become Markdown, with their pictures under
-    ``NAME.assets`` and links to them there; Markdown becomes packages. A file whose
+    ``NAME.assets`` and links to them there; Markdown becomes packages in the ``style``, if there is one. A file whose
     target an earlier batch wrote, or another file of this one has, is ``skipped``
     unless ``force``; a file that can't be read is ``failed`` with its error and
     leaves nothing. Files appear under their names when they are whole, so a task
@@ -183,7 +187,7 @@ def run_batch(files: DataFrame, folder: str, force: bool = False, front_matter:
     read = documents.where(~is_text & F.col("error").isNull())
     texts = _with_text(read, linked.join(read.select("path"), "path", "left_semi"), front_matter).select("path", F.encode("markdown", "UTF-8").alias("content"))
     marked = documents.where(is_text & F.col("error").isNull())
-    packed = package_xml.write(rows.join(marked.select("path"), "path", "left_semi"), marked)
+    packed = package_xml.write(rows.join(marked.select("path"), "path", "left_semi"), _styled(marked, style))
     made = texts.unionByName(packed).join(chosen, "path").select(F.col("target").alias("name"), "content")
     written = kept(write_files(made.unionByName(pictures.select("name", "content")), folder))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import HEADING_HEIGHTS, comment_hint, escape_xml, heading_level, let
 from quire.operators.group import duplicate_entries
+from quire.plans import style as styles_of
 from quire.plans.nodes import FORMAT, adjacent_links, cell_key, fold, is_plain, plain_runs
 from quire.plans.render import in_order
 from quire.sources.package import PARAGRAPH_SPACE, SECTION_SPACE, packages
@@ -22,7 +23,7 @@ MANIFEST_SPACE = "http://www.hancom.co.kr/hwpml/2011/packageInfo"
 LANGUAGES = ("HANGUL", "LATIN", "HANJA", "JAPANESE", "OTHER", "SYMBOL", "USER")
 STYLES = ("Normal", *(f"Heading {i}" for i in range(1, 7)))
 CELL_WIDTH, CELL_HEIGHT = 8000, 1000
-DEFAULT_FONT = "Batang"
+LEFT_MARGINS, LINE_SPACING = (0, 800, 400, 800, 0), 160
 RULE = "─" * 20
 
 def _text(*parts: Column | str) -> Column:
@@ -133,10 +134,9 @@ def paragraph_numbers(blocks: DataFrame, by: list[str]) -> DataFrame:
 
 def page_properties(layout: Column) -> Column:
     """Page properties of a struct of size and margins; the defaults are those of A4."""
-    default = {"width": 59528, "height": 84188, "left": 8504, "right": 8504, "top": 5668, "bottom": 4252}
-    v = lambda k: F.coalesce(layout[k], F.lit(default[k])).cast("string")
+    v = lambda k: styles_of.of(layout, k).cast("string")
     return _text(
-        '<hp:secPr><hp:pagePr landscape="', F.when(F.coalesce(layout["landscape"], F.lit(False)), "1").otherwise("0"), '"><hp:margin left="', v("left"), '" right="', v("right"), '" top="', v("top"), '" bottom="', v("bottom"), '" header="0" footer="0" gutter="0"/>',
+        '<hp:secPr><hp:pagePr landscape="', F.coalesce(layout["landscape"], F.lit(False)).cast("string"), '"><hp:margin left="', v("left"), '" right="', v("right"), '" top="', v("top"), '" bottom="', v("bottom"), '" header="0" footer="0" gutter="0"/>',
         '<hp:pageSize width="', v("width"), '" height="', v("height"), '"/></hp:pagePr></hp:secPr>',
     )
 
@@ -149,8 +149,11 @@ def _owned(pieces: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sections(blocks: DataFrame, by: list[str], refs: DataFrame, layouts: DataFrame | None = None, nest: int | None = None) -> DataFrame:
-    """``by..., section, data``: the XML of each section. ``layouts`` may give page sizes and margins by section, and the type of headers."""
-    b = paragraph_numbers(blocks, by).join(refs, by, "left")
+    """``by..., section, data``: the XML of each section. ``layouts`` may give page sizes and margins by section, and the type of headers.
+
+    Where ``refs`` has a ``style``, its page holds for sections without page properties of their own.
+    """
+    b = paragraph_numbers(blocks, by).join(refs.select(*by, "formats", "fonts"), by, "left")
     for c in ("formats", "fonts"):
         b = b.withColumn(c, F.coalesce(c, F.array().cast(refs.schema[c].dataType)))
     b = b if "entry" in b.columns else b.withColumn("entry", F.lit(None).cast("string"))
@@ -161,6 +164,10 @@ def sections(blocks: DataFrame, by: list[str], refs: DataFrame, layouts: DataFra
         s = s.join(layouts, [*by, "section"], "left")
     for c, t in (("width", "int"), ("height", "int"), ("left", "int"), ("right", "int"), ("top", "int"), ("bottom", "int"), ("landscape", "boolean"), ("header_footer_type", "string")):
         s = s if c in s.columns else s.withColumn(c, F.lit(None).cast(t))
+    if "style" in refs.columns:
+        s = s.join(refs.select(*by, "style"), by, "left")
+        own = F.coalesce(*styles_of.PAGE[:-1], F.col("landscape").cast("int")).isNotNull()
+        s = s.withColumns({c: F.when(own, F.col(c)).otherwise(F.col("style")[c]) for c in styles_of.PAGE})
     region = lambda n: F.when(F.col(n) != "", _text(f"<hp:{n}>", F.col(n), f"</hp:{n}>")).otherwise("")
     kind = F.coalesce(_text(' type="', escape_xml(F.col("header_footer_type")), '"'), F.lit(""))
     both = F.when((F.col("header") != "") | (F.col("footer") != ""), _text("<hp:headerFooter", kind, ">", region("header"), region("footer"), "</hp:headerFooter>")).otherwise("")
@@ -169,24 +176,33 @@ def sections(blocks: DataFrame, by: list[str], refs: DataFrame, layouts: DataFra
     return s.select(*by, "section", _text(head, both, page, F.col("body"), "</hs:sec>").cast("binary").alias("data"))
 
 
-def header_xml(formats: Column, fonts: Column, n_sections: Column) -> Column:
-    """The reference tables: fonts in seven languages, border fills, character formats (plain, those of runs, headings, code), paragraph properties, styles and a numbering."""
-    faces = F.when(F.size(fonts) > 0, fonts).otherwise(F.array(F.lit(DEFAULT_FONT)))
+def header_xml(formats: Column, faces: Column, n_sections: Column, style: Column) -> Column:
+    """The reference tables: fonts in seven languages, border fills, character formats (plain, those of runs, headings, code), paragraph properties, styles and a numbering.
+
+    ``faces`` begins with the font of texts; code has that of the ``style``.
+    """
     font = F.array_join(F.transform(faces, lambda f, i: _text('<hh:font id="', i.cast("string"), '" face="', escape_xml(f), '" type="TTF" isEmbedded="0"/>')), "")
     lists = F.concat(*(_text(f'<hh:fontface lang="{name}" fontCnt="', F.size(faces).cast("string"), '">', font, "</hh:fontface>") for name in LANGUAGES))
 
-    def shape(number: Column, height: int, f: Column | None = None, bold: bool = False) -> Column:
+    code_font = styles_of.of(style, "code_font")
+
+    def shape(number: Column, height: int, f: Column | None = None, bold: bool = False, font: Column | None = None) -> Column:
         on = lambda k: F.lit(bold and k == "bold") if f is None else F.coalesce(f[k], F.lit(False))
         element = lambda k, x: F.when(on(k), F.lit(x)).otherwise("")
-        face = F.lit("0") if f is None else F.greatest(F.coalesce(F.array_position(fonts, f.font) - 1, F.lit(0)), F.lit(0)).cast("string")
+        font = F.when(f.code, code_font).otherwise(f.font) if f is not None else font
+        face = F.lit("0") if font is None else F.greatest(F.coalesce(F.array_position(faces, font) - 1, F.lit(0)), F.lit(0)).cast("string")
         colour = F.lit("#000000") if f is None else F.coalesce(f.colour, F.lit("#000000"))
         return _text('<hh:charPr id="', number.cast("string"), f'" height="{height}" textColor="', colour, '" borderFillIDRef="1"><hh:fontRef', *(x for n in LANGUAGES for x in (f' {n.lower()}="', face, '"')), "/>", element("bold", "<hh:bold/>"), element("italic", "<hh:italic/>"), element("underline", '<hh:underline type="BOTTOM"/>'), element("strike", '<hh:strikeout shape="SOLID"/>'), element("superscript", "<hh:supscript/>"), element("subscript", "<hh:subscript/>"), "</hh:charPr>")
 
     n = F.size(formats)
-    shapes = F.concat(shape(F.lit(0), 1000), F.array_join(F.transform(formats, lambda f, i: shape(i + 1, 1000, f)), ""), *(shape(n + 1 + i, h, None, True) for i, h in enumerate(HEADING_HEIGHTS)), shape(n + 7, 1000))
+    shapes = F.concat(shape(F.lit(0), 1000), F.array_join(F.transform(formats, lambda f, i: shape(i + 1, 1000, f)), ""), *(shape(n + 1 + i, h, None, True) for i, h in enumerate(HEADING_HEIGHTS)), shape(n + 7, 1000, font=code_font))
     fills = '<hh:borderFills itemCnt="2"><hh:borderFill id="1"/><hh:borderFill id="2">' + "".join(f'<hh:{s}Border type="SOLID" width="0.12 mm" color="#000000"/>' for s in ("left", "right", "top", "bottom")) + "</hh:borderFill></hh:borderFills>"
-    breaks = '<hh:breakSetting widowOrphan="false" keepWithNext="false" keepLines="false" pageBreakBefore="false"/>'
-    paragraphs = '<hh:paraProperties itemCnt="5">' + "".join(f'<hh:paraPr id="{i}"><hh:margin left="{m}" right="0"/>{breaks}</hh:paraPr>' for i, m in enumerate((0, 800, 400, 800, 0))) + "</hh:paraProperties>"
+    breaks = '<hh:breakSetting breakLatinWord="KEEP_WORD" breakNonLatinWord="KEEP_WORD" widowOrphan="false" keepWithNext="false" keepLines="false" pageBreakBefore="false" lineWrap="BREAK"/>'
+    margin = lambda left: "<hh:margin>" + "".join(f'<hh:{k} value="{left if k == "left" else 0}"/>' for k in ("intent", "left", "right", "prev", "next")) + "</hh:margin>"
+    before = '<hh:align horizontal="JUSTIFY" vertical="BASELINE"/><hh:heading type="NONE" idRef="0" level="0"/>' + breaks + '<hh:lineSpacing type="PERCENT" value="'
+    behind = '<hh:border borderFillIDRef="1"/><hh:autoSpacing eAsianEng="false" eAsianNum="false"/></hh:paraPr>'
+    spacing = lambda i: styles_of.of(style, "line_spacing").cast("string") if i == 4 else F.lit(str(LINE_SPACING))
+    paragraphs = _text('<hh:paraProperties itemCnt="5">', *(x for i, left in enumerate(LEFT_MARGINS) for x in (f'<hh:paraPr id="{i}">{before}', spacing(i), f'"/>{margin(left)}{behind}')), "</hh:paraProperties>")
     styles = _text('<hh:styles itemCnt="7">', *(x for i, s in enumerate(STYLES) for x in (f'<hh:style id="{i}" type="PARA" name="{s}" engName="{s}" paraPrIDRef="{4 if i else 0}" charPrIDRef="', F.lit("0") if not i else (n + i).cast("string"), '"/>')), "</hh:styles>")
     numbering = '<hh:numberings itemCnt="1"><hh:numbering id="1" start="1"><hh:paraHead level="1" start="1" numFormat="DIGIT">^1.</hh:paraHead></hh:numbering></hh:numberings>'
     return _text(f'<?xml version="1.0" encoding="UTF-8"?><hh:head xmlns:hh="{HEAD_SPACE}" version="1.1" secCnt="', n_sections.cast("string"), '"><hh:refList><hh:fontfaces itemCnt="7">', lists, "</hh:fontfaces>", fills, '<hh:charProperties itemCnt="', (n + 8).cast("string"), '">', shapes, "</hh:charProperties>", paragraphs, styles, numbering, "</hh:refList></hh:head>")
@@ -203,32 +219,39 @@ def manifest_xml(n_sections: Column, title: Column, author: Column, entries: Col
 
 
 def write(blocks: DataFrame, documents: DataFrame, assets: DataFrame | None = None, layouts: DataFrame | None = None, nest: int | None = None) -> DataFrame:
-    """``path, content`` of a package for each row of ``documents`` (path, title, author).
+    """``path, content`` of a package for each row of ``documents`` (path, title, author, and a ``style`` if there are templates).
 
     ``blocks`` are theirs (path and the columns of :mod:`quire.plans.nodes`),
     ``assets`` (path, ord, name, data) their pictures, ``layouts`` (path, section, ...)
-    their page properties; ``nest`` is how deep blocks are (null: looked up). Pictures are entries by base name, numbered where these
-    collide; a document without blocks has one empty section.
+    their page properties, which hold as a whole before those of the style; ``nest`` is how deep blocks are (null: looked up). Pictures are entries by base name, numbered where these
+    collide; sections are numbered without gaps, and a document without blocks has an empty one.
     """
     by = ["path"]
-    refs = references(blocks, by)
-    b = blocks
+    refs, b = references(blocks, by), blocks
+    given = [c for c in ("style",) if c in documents.columns]
+    if given:
+        refs = documents.select(*by, "style").dropDuplicates(by).join(refs, by, "left")
+    none = F.lit(None).cast(styles_of.TEMPLATE)
+    style = F.col("style") if given else none
+    refs = refs.withColumn("fonts", styles_of.faces(style, F.col("fonts")))
     if assets is not None:
         base = assets.select(*by, "ord", "name", "data").withColumn("base", F.regexp_extract("name", "([^/]+)$", 1))
         placed = base.join(duplicate_entries(base, by, "ord", "base"), [*by, "ord"])
         first = placed.groupBy(*by, F.col("name").alias("src")).agg(F.min_by("entry", "ord").alias("entry"))
         b = b.join(first, [*by, "src"], "left")
     s = sections(b, by, refs, layouts, nest)
+    s = s.withColumn("section", F.row_number().over(Window.partitionBy(*by).orderBy("section")) - 1)  # readers stop at a gap
     parts = s.select("path", (F.col("section") + 2).alias("ord"), _text("Contents/section", F.col("section").cast("string"), ".xml").alias("name"), "data")
     count = s.groupBy("path").agg(F.count("*").cast("int").alias("n_sections"))
-    d = documents.select("path", "title", "author").join(count, by, "left").join(refs, by, "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
+    d = documents.select("path", "title", "author", *given).join(count, by, "left").join(refs.drop("style"), by, "left").withColumn("n_sections", F.coalesce("n_sections", F.lit(0)))
     if assets is not None:
         d = d.join(placed.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entry"))), lambda x: x.entry).alias("entries")), by, "left")
         parts = parts.unionByName(placed.select("path", (F.lit(1_000_000) + F.dense_rank().over(Window.partitionBy("path").orderBy("ord"))).alias("ord"), F.concat(F.lit("BinData/"), "entry").alias("name"), "data"))
     else:
         d = d.withColumn("entries", F.array().cast("array<string>"))
-    formats, fonts, entries = (F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType)) for c in ("formats", "fonts", "entries"))
+    formats, entries = (F.coalesce(F.col(c), F.array().cast(d.schema[c].dataType)) for c in ("formats", "entries"))
+    faces = F.coalesce("fonts", styles_of.faces(style, F.lit(None).cast("array<string>")))
     lone = d.where("n_sections = 0").select("path", F.lit(2).alias("ord"), F.lit("Contents/section0.xml").alias("name"), F.lit(f'<hs:sec xmlns:hs="{SECTION_SPACE}"/>').cast("binary").alias("data"))
-    head = d.select("path", F.lit(0).alias("ord"), F.lit("Contents/header.xml").alias("name"), header_xml(formats, fonts, F.greatest("n_sections", F.lit(1))).cast("binary").alias("data"))
+    head = d.select("path", F.lit(0).alias("ord"), F.lit("Contents/header.xml").alias("name"), header_xml(formats, faces, F.greatest("n_sections", F.lit(1)), style).cast("binary").alias("data"))
     listed = d.select("path", F.lit(1).alias("ord"), F.lit("Contents/content.hpf").alias("name"), manifest_xml(F.col("n_sections"), F.col("title"), F.col("author"), entries).cast("binary").alias("data"))
     return packages(parts.unionByName(lone).unionByName(head).unionByName(listed))

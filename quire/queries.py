@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire import store
 from quire.functions import classify, equation, text
 from quire.operators import group, lookups, stats
-from quire.plans import binary_documents, convert, nodes, package_documents, package_xml, render
+from quire.plans import binary_documents, convert, nodes, package_documents, package_xml, render, style
 from quire.sources import compound, html_table, markdown, package, records
 
 QUERIES: dict = {}
@@ -872,3 +872,37 @@ def batch_run(spark, sf_dir):
     folder = store.new_folder(spark)
     runs = [convert.run_batch(files, folder).withColumn("run", F.lit(i)) for i in (1, 2)]
     return runs[0].unionByName(runs[1]).groupBy("run", "status").agg(F.count("*").alias("n"), F.countDistinct("target").alias("targets"), F.sum("n_assets").alias("assets"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'StyleLoad: invalid style YAML' WHEN p_partkey % 6 = 0 THEN 'StyleLoad: page.width must be > 0' WHEN p_partkey % 13 = 0 THEN 'StyleLoad: page.margin.left has the wrong type' WHEN p_size % 5 = 0 THEN 'StyleLoad: heading.line_spacing must be > 0' END AS error,
+CASE WHEN ok THEN (p_partkey % 6 * 1000)::BIGINT END AS width, CASE WHEN ok THEN p_partkey % 2 = 0 END AS landscape, CASE WHEN ok AND p_partkey % 3 = 0 THEN p_size::BIGINT END AS "left", CASE WHEN ok THEN p_name END AS font, CASE WHEN ok THEN (p_size % 5 * 40)::BIGINT END AS line_spacing
+FROM (SELECT *, p_partkey % 11 <> 0 AND p_partkey % 6 <> 0 AND p_partkey % 13 <> 0 AND p_size % 5 <> 0 AS ok FROM part)""")
+def style_templates(spark, sf_dir):
+    """A template a part: fields left out, of a wrong type, or 0, and texts that are no YAML."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    s = lambda c: c.cast("string")
+    left = F.when(k % 13 == 0, F.lit("    left: '3'\n")).when(k % 3 == 0, F.concat(F.lit("    left: "), s(size), F.lit("\n"))).otherwise("")
+    page = F.concat(F.lit("page:\n  width: "), s(k % 6 * 1000), F.lit("\n  landscape: "), s(k % 2 == 0), F.lit("\n  margin:\n"), left)
+    more = F.concat(F.lit('font:\n  default: "'), "p_name", F.lit('"\nheading:\n  line_spacing: '), s(size % 5 * 40), F.when(k % 11 == 0, "\nnot: [valid: yaml:").otherwise(""))
+    out = style.templates(table(spark, sf_dir, "part").select(s(k).alias("path"), F.concat(page, more).alias("content")))
+    return out.select(F.col("path").cast("bigint").alias("p_partkey"), "error", *(F.col("style")[c].alias(c) for c in ("width", "landscape", "left", "font", "line_spacing")))
+
+
+@query("""SELECT n_nationkey::BIGINT AS doc, (row_number() OVER (PARTITION BY n_nationkey ORDER BY s) - 1)::INTEGER AS section, CASE WHEN own THEN 7000 WHEN n_nationkey % 3 = 0 THEN 59528 ELSE 1000 + n_nationkey END::INTEGER AS width, 84188::INTEGER AS height,
+CASE WHEN own THEN 5670 WHEN n_nationkey % 3 = 0 THEN 5670 ELSE n_nationkey END::INTEGER AS "left", NOT own AND n_nationkey % 3 <> 0 AS landscape, CASE WHEN n_nationkey % 3 = 0 THEN '바탕' ELSE n_name END AS face, m AS n_texts
+FROM (SELECT n_nationkey, n_name, s_suppkey % 2 AS s, s_suppkey % 2 = 1 AND n_nationkey % 2 = 1 AS own, count(*) AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)""")
+def package_styles(spark, sf_dir):
+    """A package a nation, two in three in a style of their own; section 1 of every other one has its own page, also where it is the only one."""
+    rows = table(spark, sf_dir, "supplier").withColumn("section", (F.col("s_suppkey") % 2).cast("int")).select(_part("s_nationkey").alias("path"), *nodes.block(section=F.col("section"), ord=F.col("s_suppkey"), kind=F.lit("paragraph"), text=F.col("s_name"), runs=nodes.plain_runs(F.col("s_name"))))
+    n, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    nations = table(spark, sf_dir, "nation").join(rows.select(F.col("path").cast("bigint").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    content = F.concat(F.lit("page:\n  width: "), (1000 + n).cast("string"), F.lit("\n  landscape: true\n  margin:\n    left: "), n.cast("string"), F.lit("\nfont:\n  default: "), "n_name")
+    styles = style.templates(nations.where(n % 3 != 0).select(_part("n_nationkey").alias("path"), content.alias("content"))).select("path", "style")
+    documents = nations.select(_part("n_nationkey").alias("path"), none.alias("title"), none.alias("author")).join(styles, "path", "left")
+    layouts = nations.where(n % 2 == 1).select(_part("n_nationkey").alias("path"), F.lit(1).alias("section"), F.lit(7000).alias("width"))
+    files = store.kept(package_xml.write(rows, documents, layouts=layouts, nest=0))
+    parts = package_documents.read(files)
+    faces = package.header_parts(package.entries(files).where("error is null")).select("path", F.get("faces", F.lit(0)).alias("face"))
+    texts = parts["blocks"].groupBy("path", "section").agg(F.count("*").alias("n_texts"))
+    out = parts["sections"].join(texts, ["path", "section"]).join(faces, "path")
+    return out.select(F.col("path").cast("bigint").alias("doc"), "section", "width", "height", "left", "landscape", "face", "n_texts")
