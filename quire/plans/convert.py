@@ -26,9 +26,15 @@ _META = ("title", "author", "subject", "description")
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, content, kind`` of a folder's files of a known format; files in its folders aren't taken."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select("path", "length", "content", format_kind(F.col("path")).alias("kind")).where("kind is not null")
+    """``path, length, content, kind`` of a folder's files of a known format; files in its folders aren't taken.
+
+    Markdown of more than ``MAX_MARKDOWN`` bytes isn't read: its content is null.
+    """
+    read = lambda names: spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "length", "content")
+    texts = read("*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}")
+    short = F.col("length") <= MAX_MARKDOWN  # the source tests lengths before it reads contents
+    files = read("*.[hH][wW][pP]{,[xX]}").unionByName(texts.where(short)).unionByName(texts.where(~short).withColumn("content", F.lit(None).cast("binary")))
+    return files.withColumn("kind", format_kind(F.col("path")))
 
 
 def blocks(files: DataFrame) -> dict[str, DataFrame]:
@@ -59,7 +65,8 @@ def _packed(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def _marked(files: DataFrame) -> dict[str, DataFrame]:
-    texts = files.select("path", F.octet_length("content").alias("n"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    size = F.col("length") if "length" in files.columns else F.lit(None)
+    texts = files.select("path", F.coalesce(size, F.octet_length("content")).alias("n"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     front = markdown.front_matter(F.col("text"))
     body = F.regexp_replace("text", r"(?s)^---\n.*?\n---(\n|$)", "")
     short = F.col("n") <= MAX_MARKDOWN

@@ -84,7 +84,15 @@ def read(files: DataFrame) -> dict[str, DataFrame]:
     doesn't have, is left out and named in ``diagnostics``. What isn't an archive,
     and a package without a readable section, has its error in ``documents``.
     """
-    parts = kept(package.entries(files))
+    return of_entries(package.entries(files))
+
+
+def of_entries(entries: DataFrame) -> dict[str, DataFrame]:
+    """The same of (path, ord, name, data, error) entries, as :mod:`quire.sources.parts` scans them.
+
+    Where pictures were filtered out there, there are no assets, and the texts are the same.
+    """
+    parts = kept(entries.select("path", "ord", "name", "data", "error"))
     good = parts.where("error is null")
     listed = kept(package.manifest_sections(good))
     events = kept(package.events(listed.where("data is not null")))

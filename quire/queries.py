@@ -9,7 +9,7 @@ from quire import store
 from quire.functions import classify, equation, text
 from quire.operators import group, lookups, stats
 from quire.plans import binary_documents, convert, nodes, package_documents, package_xml, render, style
-from quire.sources import compound, html_table, markdown, package, records
+from quire.sources import compound, html_table, markdown, package, parts, records
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -906,3 +906,20 @@ def package_styles(spark, sf_dir):
     texts = parts["blocks"].groupBy("path", "section").agg(F.count("*").alias("n_texts"))
     out = parts["sections"].join(texts, ["path", "section"]).join(faces, "path")
     return out.select(F.col("path").cast("bigint").alias("doc"), "section", "width", "height", "left", "landscape", "face", "n_texts")
+
+
+@query("""SELECT k::BIGINT AS book, count(*)::BIGINT AS sections, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, sum(length(coalesce(text, '')))::BIGINT AS n_chars, md5(string_agg(md5(coalesce(text, '')), '' ORDER BY doc_id)) AS said
+FROM (SELECT *, doc_id // 20 AS k FROM documents) WHERE k % 3 <> 1 GROUP BY k""")
+def package_parts(spark, sf_dir):
+    """Packages of twenty documents each written as files, with a picture of zeros as long as the text beside each; the texts of two in three read again by the source, which opens neither the other packages nor the pictures."""
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("k"), (F.col("doc_id") % 20).cast("int").alias("n"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    name = lambda head, end: F.concat(F.lit(head), F.col("n").cast("string"), F.lit(end))
+    both = F.array(F.struct((F.col("n") * 2).alias("ord"), name("Contents/section", ".xml").alias("name"), F.col("data")), F.struct((F.col("n") * 2 + 1).alias("ord"), name("BinData/p", ".png").alias("name"), F.encode(F.repeat(F.lit("0"), F.octet_length("data")), "UTF-8").alias("data")))
+    path = F.concat(F.when(F.col("k") % 3 == 1, "other").otherwise("book"), F.lit("_"), F.col("k").cast("string"), F.lit(".hwpx"))
+    folder = store.new_folder(spark)
+    store.kept(convert.write_files(package.packages(d.select(path.alias("path"), F.inline(both))).select(F.col("path").alias("name"), "content"), folder))
+    found = parts.scan(spark, folder).where(F.col("path").contains("/book_") & F.col("name").startswith("Contents/section"))
+    book = F.regexp_extract("path", r"_(\d+)[.]hwpx$", 1).cast("bigint")
+    texts = found.select(book.alias("book"), F.regexp_extract("name", r"(\d+)[.]xml$", 1).cast("int").alias("n"), "size", F.md5("data").alias("digest"), F.length(F.col("data").cast("string")).alias("n_chars"))
+    said = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "digest"))), lambda x: x.digest), ""))
+    return texts.groupBy("book").agg(F.count("*").alias("sections"), F.sum("size").alias("bytes"), F.sum("n_chars").cast("bigint").alias("n_chars"), said.alias("said"))
