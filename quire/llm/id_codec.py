@@ -14,7 +14,9 @@ probability of that id. The range coder codes the id in one step: the two
 predicted ids have the first intervals, the others follow in rank order.
 
 Blocks are coded side by side: step ``t`` codes id ``t`` of every block, so one
-numpy operation serves all of them.
+numpy operation serves all of them. The encoder knows all ids: it finds what
+followed each context by sorting a block's contexts, and the sizes of intervals
+many steps at a time, so that only the range coder itself goes step by step.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-#: Blocks that are coded side by side.
-LANES = 2048
+#: Blocks that are coded side by side, about: see :func:`_width`.
+LANES = 4096
 #: Contexts that a block keeps of each order.
 _SLOTS = 1 << 11
 #: Bits of a weight, and of a share of order 0.
@@ -37,6 +39,8 @@ _TURN = 32
 #: Ids after which a state's evidence counts half.
 _MEMORY = 256.0
 _LOW, _TOP = 32, 48
+#: Blocks whose slots are sorted at a time.
+_ROWS = 32
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -59,130 +63,159 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_weights() -> tuple[np.ndarray, np.ndarray]:
-    """Weights of order 2 and 1 by state: 16 * (same id) + 4 * (confidence of order 2) + confidence of order 1."""
-    same, rest = np.divmod(np.arange(_STATES), 16)
+def _first_weights() -> np.ndarray:
+    """Weights of order 2 and 1 by state: 16 * (different ids) + 4 * (confidence of order 2) + confidence of order 1."""
+    differ, rest = np.divmod(np.arange(_STATES), 16)
     c2, c1 = np.divmod(rest, 4)
     w2 = np.array([0.0, 0.3, 0.6, 0.8])[c2]
     w1 = np.array([0.0, 0.1, 0.25, 0.4])[c1] * (1 - w2)
-    return np.where(same == 1, w2 + w1, w2), np.where(same == 1, 0.0, w1)
+    return np.stack([np.where(differ, w2, w2 + w1), np.where(differ, w1, 0.0)])
+
+
+#: What a slot holds beside 16 * (the id that came last): the confidence, in bits of its own for orders 2 and 1.
+_CONFIDENCE, _ONE = np.array([[12], [3]], np.int32), np.array([[4], [1]], np.int32)
+
+
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hash of the id before and the one before that."""
+    return one * 2531 + two * 709 >> 2
 
 
 class _Model:
-    """State of the blocks that are coded side by side."""
+    """What the blocks that are coded side by side know; of arrays in two rows one is order 2's, one order 1's.
+
+    Evidence of a state lies side by side for all blocks, as most use the same few states.
+    """
 
     def __init__(self, lanes: int, share: np.ndarray) -> None:
+        self.lanes, self.lane = lanes, np.arange(lanes, dtype=np.int32)
         self.none = len(share)  # stands for "no prediction"; has no share
         self.share = np.append(share, 0).astype(np.int32)
-        self.below = np.concatenate([np.zeros(1, np.int64), np.cumsum(share)]).astype(np.int32)  # [none]: all
-        # by slot: 16 * the id that came last + 4 * confidence
-        self.t1, self.t2 = (np.full(lanes * _SLOTS, self.none << 4, np.int32) for _ in range(2))
-        self.base, self.state = np.arange(lanes) * _SLOTS, np.arange(lanes) * _STATES
-        w2, w1 = _first_weights()
+        self.below = np.append(0, np.cumsum(share)).astype(np.int32)  # [none]: all
         # evidence: ids seen, and the orders' part in them
         self.seen = np.full(lanes * _STATES, 4.0)
-        self.part2, self.part1 = np.tile(4 * w2, lanes), np.tile(4 * w1, lanes)
-        self.kept_at = np.zeros((_TURN, lanes), np.int64)
-        self.kept2, self.kept1 = (np.zeros((_TURN, lanes), bool) for _ in range(2))
-        self.kept_size = np.zeros((_TURN, lanes), np.int32)
-        self.turn = 0
+        self.part = 4 * np.repeat(_first_weights(), lanes, 1)
         self._weigh()
 
     def _weigh(self) -> None:
         top = (1 << _W) - 64  # order 0 keeps a weight of 1/64
-        i2, i1 = (self.part2 / self.seen * top).astype(np.int32), (self.part1 / self.seen * top).astype(np.int32)
-        self.i2, self.i1, self.i0 = i2 << _F, i1 << _F, (1 << _W) - i2 - i1
-
-    def slots(self, one: np.ndarray, two: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return base + (one & (_SLOTS - 1)), base + ((one * 2531 + two * 709 >> 2) & (_SLOTS - 1))
-
-    def predict(self, s1: np.ndarray, s2: np.ndarray) -> None:
-        self.s1, self.s2 = s1, s2
-        n = len(s1)
-        v1, v2 = self.t1[s1], self.t2[s2]
-        c1, c2 = (v1 >> 4).astype(np.int64), (v2 >> 4).astype(np.int64)
-        same = c1 == c2
-        at = np.add(self.state[:n], (v2 & 12) + (v1 >> 2 & 3) + (same.view(np.int8) << 4), out=self.kept_at[self.turn, :n])
-        i0 = self.i0[at]
-        f2, f1 = self.share[c2], self.share[c1] * ~same
-        # the two predicted ids' intervals; the others' begin at e1
-        e2, d1 = self.i2[at] + i0 * f2, self.i1[at] + i0 * f1
-        self.v1, self.v2, self.c1, self.c2, self.i, self.f2, self.f1, self.e2, self.d1, self.e1 = v1, v2, c1, c2, i0, f2, f1, e2, d1, e2 + d1
-
-    def interval(self, x: np.ndarray, f: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(low end, size) of ids with the shares ``f`` and the sums of shares ``below``; notes which order named them."""
-        n = len(x)
-        is2 = np.equal(self.c2, x, out=self.kept2[self.turn, :n])
-        is1 = self.c1 == x
-        before = below - (self.c2 < x) * self.f2 - (self.c1 < x) * self.f1
-        lo = np.where(is2, 0, np.where(is1, self.e2, self.e1 + self.i * before))
-        size = np.where(is2, self.e2, np.where(is1, self.d1, self.i * f))
-        self.is1, self.is2 = is1, is2
-        np.greater(is1, is2, out=self.kept1[self.turn, :n])
-        self.kept_size[self.turn, :n] = size
-        return lo, size
-
-    def learn(self, x: np.ndarray) -> None:
-        n = len(x)
-        new = (x.astype(np.int32) << 4) + 4
-        most = new + 8
-        self.t1[self.s1] = np.where(self.is1, np.minimum(self.v1 + 4, most), new)
-        self.t2[self.s2] = np.where(self.is2, np.minimum(self.v2 + 4, most), new)
-        self.turn += 1
-        if self.turn == _TURN:  # a shorter last block that is done has no use for its evidence
-            at = self.kept_at[: self.turn, :n].reshape(-1)
-            inv = 1.0 / np.maximum(self.kept_size[: self.turn, :n].reshape(-1), 1)
-            k = len(self.seen)
-            self.seen += np.bincount(at, minlength=k)
-            self.part2 += np.bincount(at, self.i2.take(at) * self.kept2[: self.turn, :n].reshape(-1) * inv, k)
-            self.part1 += np.bincount(at, self.i1.take(at) * self.kept1[: self.turn, :n].reshape(-1) * inv, k)
-            full = self.seen > _MEMORY
-            for x in (self.seen, self.part2, self.part1):
-                x[full] *= 0.5
-            self._weigh()
-            self.turn = 0
+        weights = (self.part / self.seen * top).astype(np.int32)
+        self.i = (1 << _W) - weights[0] - weights[1]
+        self.weights = weights << _F
+
+    def predict(self, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The two ids that slots hold, their shares, the sums of shares before them and the sizes of their intervals; order 0's weight, and where the other ids' intervals begin. ``at`` gets the states."""
+        c = (v >> 4).astype(np.int64)
+        f, b = self.share[c], self.below[c]
+        differ = (b[0] != b[1]).astype(np.int32)
+        f[1] *= differ
+        state = v[0] & 12
+        state += v[1] & 3
+        differ <<= 4
+        state += differ
+        state *= self.lanes
+        state += self.lane[: v.shape[-1]]
+        at[...] = state
+        i = self.i[at]
+        e = self.weights.take(at, 1, mode="clip")
+        e += i * f
+        return c, f, b, e, i, e[0] + e[1]
+
+    def learn(self, at: np.ndarray, hit: np.ndarray, size: np.ndarray) -> None:
+        """Evidence of some steps: states, whether order 2 or 1 named the id, and sizes of the ids' intervals."""
+        k, at, size = len(self.seen), at.reshape(-1), size.reshape(-1)
+        self.seen += np.bincount(at, minlength=k)
+        for part, weight, named in zip(self.part, self.weights, hit, strict=True):
+            who = np.flatnonzero(named)
+            state = at[who]
+            part += np.bincount(state, weight[state] * (1.0 / np.maximum(size[who], 1)), k)
+        full = np.flatnonzero(self.seen > _MEMORY)
+        self.seen[full] *= 0.5
+        self.part[:, full] *= 0.5
+        self._weigh()
+
+
+def _found(slot: np.ndarray, x: np.ndarray, none: int, one: int) -> np.ndarray:
+    """What each id of a block (a row) finds in its slot: 16 * the id that came last + ``one`` * confidence."""
+    rows, n = x.shape
+    bits = n.bit_length()
+    key = (slot & (_SLOTS - 1)).astype(np.int64 if bits > 20 else np.int32) << bits
+    key |= np.arange(n, dtype=key.dtype)
+    key.sort(axis=1)  # by slot, then step
+    at = (key & ((1 << bits) - 1)) + (np.arange(rows) * n)[:, None]
+    key >>= bits
+    sorted_x = x.take(at)
+    again = key[:, 1:] == key[:, :-1]
+    last = np.full((rows, n), none, np.int32)
+    np.copyto(last[:, 1:], sorted_x[:, :-1], where=again)
+    hit = (last == sorted_x).view(np.int8)
+    sure = again.astype(np.int32)
+    sure[:, :] += hit[:, :-1]
+    sure[:, 1:] += hit[:, 1:-1] & hit[:, :-2]
+    last <<= 4
+    last[:, 1:] += sure * again * one
+    out = np.empty(rows * n, np.int32)
+    out[at] = last
+    return out.reshape(rows, n)
 
 
 def _encode(grid: np.ndarray, last: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of the blocks in turn, words a block) of the ranks in ``grid`` (step, block); the last block has ``last`` ids."""
-    block, lanes = grid.shape
+    """(words of the blocks in turn, words a block) of the ranks in ``grid`` (block, step); the last block has ``last`` ids."""
+    lanes, block = grid.shape
     m = _Model(lanes, share)
+    xs, found = np.empty((block, lanes), np.int32), np.empty((2, block, lanes), np.int32)
+    for a in range(0, lanes, _ROWS):
+        x = grid[a : a + _ROWS]
+        before = np.pad(x, ((0, 0), (2, 0)))
+        slot = _pair(before[:, 1:-1], before[:, :-2]), before[:, 1:-1]
+        xs[:, a : a + _ROWS] = x.T
+        for j in range(2):
+            found[j, :, a : a + _ROWS] = _found(slot[j], x, m.none, int(_ONE[j, 0])).T
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, 1 << _TOP, np.int64)
-    at = np.arange(lanes)  # where each block's next word goes
+    pos = np.arange(lanes)  # where each block's next word goes
     out = np.zeros((block * 2 + 8, lanes), np.uint32)
     flat = out.reshape(-1)
-    share_of, below = m.share.take(grid), m.below.take(grid)
-    before = np.zeros((2, lanes), np.int64)
-    slots1, slots2 = m.slots(np.vstack([before[:1], grid[:-1]]), np.vstack([before, grid[:-2]])[:block], m.base)
-    for t in range(block):
-        n = lanes if t < last else lanes - 1
-        if not n:
-            break
-        if n < len(low):
-            done = low[n:], at[n:]
-            low, rng, at = low[:n], rng[:n], at[:n]
-        x = grid[t, :n]
-        m.predict(slots1[t, :n], slots2[t, :n])
-        lo, size = m.interval(x, share_of[t, :n], below[t, :n])
-        r = rng >> (_W + _F)
-        low += r * lo
-        rng = r * size
-        who = np.flatnonzero(rng < 1 << _LOW)
-        while len(who):
-            head, place = low[who], at[who]
-            flat[place] = head >> _LOW
-            low[who] = (head & ((1 << _LOW) - 1)) << 16
-            at[who] = place + lanes
-            rng[who] <<= 16
-            who = who[rng[who] < 1 << _LOW]
-        m.learn(x)
+    for turn in range(0, block, _TURN):
+        x, v = xs[turn : turn + _TURN], found[:, turn : turn + _TURN]
+        at = np.empty(x.shape, np.int64)
+        _, f, b, e, i, e1 = m.predict(v, at)
+        below = m.below[x]
+        hit = b == below
+        hit[1] &= ~hit[0]
+        before = (b < below) * f
+        lo = (below - before[0] - before[1]) * i + e1
+        size = m.share[x] * i
+        np.copyto(lo, e[0], where=hit[1])
+        np.copyto(lo, 0, where=hit[0])
+        for j in range(2):
+            np.copyto(size, e[j], where=hit[j])
+        for t in range(len(x)):
+            n = lanes if turn + t < last else lanes - 1
+            if not n:
+                break
+            if n < len(low):
+                done = low[n:], pos[n:]
+                low, rng, pos = low[:n], rng[:n], pos[:n]
+            r = rng >> (_W + _F)
+            low += r * lo[t, :n]
+            np.multiply(r, size[t, :n], out=rng)
+            who = np.flatnonzero(rng < 1 << _LOW)
+            while len(who):
+                head, place = low[who], pos[who]
+                flat[place] = head >> _LOW
+                low[who] = (head & ((1 << _LOW) - 1)) << 16
+                pos[who] = place + lanes
+                wide = rng[who] << 16
+                rng[who] = wide
+                who = who[wide < 1 << _LOW]
+        m.learn(at, hit, size)  # what a block learns after its end has no use
     if len(low) < lanes:
-        low, at = np.concatenate([low, done[0]]), np.concatenate([at, done[1]])
+        low, pos = np.concatenate([low, done[0]]), np.concatenate([pos, done[1]])
     for _ in range(3):
-        flat[at] = low >> _LOW
+        flat[pos] = low >> _LOW
         low = (low & ((1 << _LOW) - 1)) << 16
-        at = at + lanes
-    pos = at // lanes
+        pos = pos + lanes
+    pos //= lanes
     for p in range(int(pos.max()) - 1, 0, -1):  # carries, from the last word to the first
         out[p - 1] += out[p] >> 16
     words = out[: int(pos.max())].astype("<u2").T
@@ -194,46 +227,80 @@ def _decode(stream: np.ndarray, words: np.ndarray, block: int, last: int, share:
     lanes = len(words)
     m = _Model(lanes, share)
     rank_at = np.repeat(np.arange(m.none), share)  # by place on the line of order 0
-    end = len(stream) - 1
+    table = np.full(2 * _SLOTS * lanes, m.none << 4, np.int32)  # by order, slot and block, as in _found
+    base = m.lane + np.array([[0], [_SLOTS * lanes]])
     pos = np.cumsum(words) - words
     code = np.zeros(lanes, np.int64)
     for _ in range(3):
         code = (code << 16) | stream.take(pos, mode="clip")
         pos += 1
     rng = np.full(lanes, 1 << _TOP, np.int64)
-    grid = np.zeros((block, lanes), np.int64)
-    before = np.zeros(lanes, np.int64)
+    grid = np.zeros((block, lanes), np.int32)
+    slot, two = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64)
+    kept_at, kept_hit, kept_size = np.zeros((_TURN, lanes), np.int64), np.zeros((2, _TURN, lanes), bool), np.zeros((_TURN, lanes), np.int32)
     for t in range(block):
-        n = lanes if t < last else lanes - 1
+        n, k = lanes if t < last else lanes - 1, t % _TURN
         if not n:
             break
-        code, rng, pos = code[:n], rng[:n], pos[:n]
-        one, two = (grid[t - k, :n] if t >= k else before[:n] for k in (1, 2))
-        m.predict(*m.slots(one, two, m.base[:n]))
+        if n < len(code):
+            code, rng, pos, base, slot, two = code[:n], rng[:n], pos[:n], base[:, :n], slot[:, :n], two[:n]
+        slot &= _SLOTS - 1
+        slot *= lanes
+        slot += base
+        v = table[slot]
+        c, f, b, e, i, e1 = m.predict(v, kept_at[k, :n])
         r = rng >> (_W + _F)
-        v = (code / r).astype(np.int32)  # below 2**48 and 2**30: the quotient's floor is exact
-        # the place on the line of order 0, with the predicted ids' shares put back, the lower one's first
-        u = (np.maximum(v - m.e1, 0) / m.i).astype(np.int32)
-        swap = m.c1 < m.c2
-        a, b = np.where(swap, m.c1, m.c2), np.where(swap, m.c2, m.c1)
-        u += (u >= m.below[a]) * np.where(swap, m.f1, m.f2)
-        u += (u >= m.below[b]) * np.where(swap, m.f2, m.f1)
-        x = np.where(v < m.e2, m.c2, np.where(v < m.e1, m.c1, rank_at.take(u, mode="clip")))
-        lo, size = m.interval(x, m.share[x], m.below[x])
+        w = (code / r).astype(np.int32)  # below 2**48 and 2**30: the quotient's floor is exact
+        hit, named = kept_hit[:, k, :n], w < e1
+        np.less(w, e[0], out=hit[0])
+        np.greater(named, hit[0], out=hit[1])
+        # the place on the line of order 0, with the predicted ids' shares put back
+        w -= e1
+        u = (w / i).astype(np.int32)
+        put = (u >= b - (b[::-1] < b) * f[::-1]) * f
+        put = put[0] + put[1]
+        u += put
+        x = rank_at.take(u, mode="clip")
+        for j in range(2):
+            np.copyto(x, c[j], where=hit[j])
+        size, lo = kept_size[k, :n], m.below[x]
+        lo -= put
+        lo *= i
+        lo += e1
+        np.multiply(m.share[x], i, out=size)
+        np.copyto(lo, e[0], where=hit[1])
+        np.copyto(lo, 0, where=hit[0])
+        for j in range(2):
+            np.copyto(size, e[j], where=hit[j])
         code -= r * lo
-        rng = r * size
+        np.multiply(r, size, out=rng)
         who = np.flatnonzero(rng < 1 << _LOW)
         while len(who):
             place = pos[who]
             code[who] = (code[who] << 16 | stream.take(place, mode="clip")) & ((1 << 50) - 1)
-            pos[who] = place + 1
-            rng[who] = np.maximum(rng[who] << 16, 1)  # 0 only if damaged
-            who = who[rng[who] < 1 << _LOW]
-        m.learn(x)
+            place += 1
+            pos[who] = place
+            wide = np.maximum(rng[who] << 16, 1)  # 0 only if damaged
+            rng[who] = wide
+            who = who[wide < 1 << _LOW]
         grid[t, :n] = x
+        sure = np.minimum(v & _CONFIDENCE, 2 * _ONE)
+        sure *= c == x
+        sure += grid[t, :n] << 4
+        sure += _ONE
+        table[slot] = sure
+        slot[0], slot[1] = _pair(x, two), x
+        two = x
+        if k == _TURN - 1:  # a shorter last block that is done has no use for its evidence
+            m.learn(kept_at[:, :n], kept_hit[:, :, :n], kept_size[:, :n])
     return grid
 
 
+def _width(blocks: int) -> int:
+    """Blocks to code side by side. A step costs nearly as much for a few blocks as for many, so none are left over."""
+    return -(-blocks // max(1, round(blocks / LANES)))
+
+
 def _checksum(ids: np.ndarray, coded: bytes) -> int:
     """CRC-32 of a block's ids and of its coded words."""
     return zlib.crc32(coded, zlib.crc32(ids.tobytes()))
@@ -241,29 +308,29 @@ def _checksum(ids: np.ndarray, coded: bytes) -> int:
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> dict:
     """The coded blocks of ``ids`` and what decoding needs: ids by rank, their shares, blocks' sizes and checksums."""
-    ids = np.ascontiguousarray(ids, np.int64)
     total = len(ids)
     none = np.zeros(0, np.uint32)
     if not total:
         return {"total": 0, "block": block, "ids": none, "shares": none, "words": none, "crc": none, "data": b""}
-    seen = np.bincount(ids)
+    seen = np.bincount(np.asarray(ids, np.int64))
+    ids = np.ascontiguousarray(ids, "<u4")
     order = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
-    rank_of = np.zeros(len(seen), np.int64)
+    rank_of = np.zeros(len(seen), np.int32)
     rank_of[order] = np.arange(len(order))
-    share, ranks = shares(seen[order]), rank_of[ids]
+    share = shares(seen[order])
     words, sizes = [], []
-    for at in range(0, total, block * LANES):
-        part = ranks[at : at + block * LANES]
+    step = block * _width(-(-total // block))
+    for at in range(0, total, step):
+        part = ids[at : at + step]
         lanes = -(-len(part) // block)
-        grid = np.zeros(lanes * block, np.int64)
-        grid[: len(part)] = part
-        steps = min(block, len(part))
-        w, n = _encode(np.ascontiguousarray(grid.reshape(lanes, block).T)[:steps], len(part) - (lanes - 1) * block, share)
+        grid = np.zeros(lanes * block, np.int32)
+        rank_of.take(part, out=grid[: len(part)], mode="clip")
+        w, n = _encode(grid.reshape(lanes, block)[:, : min(block, len(part))], len(part) - (lanes - 1) * block, share)
         words.append(w)
         sizes.append(n)
-    raw, data, sizes = ids.astype("<u4"), np.concatenate(words).tobytes(), np.concatenate(sizes)
+    data, sizes = np.concatenate(words).tobytes(), np.concatenate(sizes)
     end = (2 * np.cumsum(sizes)).tolist()
-    crc = [_checksum(raw[k * block : (k + 1) * block], data[b - 2 * n : b]) for k, (b, n) in enumerate(zip(end, sizes.tolist(), strict=True))]
+    crc = [_checksum(ids[k * block : (k + 1) * block], data[b - 2 * n : b]) for k, (b, n) in enumerate(zip(end, sizes.tolist(), strict=True))]
     return {"total": total, "block": block, "ids": order.astype(np.uint32), "shares": share.astype(np.uint32), "words": sizes.astype(np.uint32), "crc": np.array(crc, np.uint32), "data": data}
 
 
@@ -278,11 +345,12 @@ def decode(c: dict, first: int = 0, count: int | None = None) -> np.ndarray:
     if len(share) != len(c["ids"]) or int(share.sum()) != _S:
         raise ValueError("shares of the ids")
     skip, out = int(words_all[:first].sum()), []
-    for a in range(first, first + count, LANES):
-        b = min(first + count, a + LANES)
+    width = _width(count)
+    for a in range(first, first + count, width):
+        b = min(first + count, a + width)
         words = words_all[a:b]
         n_ids = min(total, b * block) - a * block
-        stream = np.append(np.frombuffer(c["data"], "<u2", int(words.sum()), 2 * skip), 0).astype(np.int64)
+        stream = np.append(np.frombuffer(c["data"], "<u2", int(words.sum()), 2 * skip), np.uint16(0))
         end = 2 * (skip + np.cumsum(words))
         skip += int(words.sum())
         grid = _decode(stream, words, min(block, n_ids), n_ids - (b - a - 1) * block, share)

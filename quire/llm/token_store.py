@@ -24,7 +24,7 @@ from quire.llm.tokens import word_tokenizer
 from quire.llm.warc import open_store
 
 MAGIC = b"QTC2"
-CHUNK_IDS = 1 << 22
+CHUNK_IDS = 1 << 23
 #: Rows that a file holds at most, on average.
 ROWS_A_FILE = 50_000
 _NULL_ID = -(1 << 63)

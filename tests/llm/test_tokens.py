@@ -180,3 +180,42 @@ def test_shares_of_as_many_ids_as_can_be_coded():
     assert id_codec.shares(np.ones(most, np.int64)).tolist() == [1] * most
     with pytest.raises(ValueError, match="different ids"):
         id_codec.shares(np.ones(most + 1, np.int64))
+
+
+def stepped(slots, ids, none, one):
+    """What _found gives for a block, step by step."""
+    held, out = {}, []
+    for slot, x in zip(slots, ids, strict=True):
+        last, sure = held.get(slot, (none, 0))
+        out.append(16 * last + one * sure)
+        held[slot] = (x, min(sure + 1, 3) if x == last else 1)
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(0, 4000), st.integers(0, 2)), min_size=1, max_size=80), st.sampled_from([1, 4]), st.integers(1, 3))
+@settings(deadline=None, max_examples=60)
+def test_sorted_contexts_find_what_slots_would_hold(pairs, one, times):
+    pairs = pairs * times
+    slots, ids = (np.array([c, c[::-1]], np.int32) for c in zip(*pairs, strict=True))
+    got = id_codec._found(slots, ids, 7, one)
+    assert got.tolist() == [stepped((s & (id_codec._SLOTS - 1)).tolist(), x.tolist(), 7, one) for s, x in zip(slots, ids, strict=True)]
+
+
+@pytest.mark.parametrize(("blocks", "calls"), [(1, 1), (4, 1), (5, 1), (8, 2), (9, 2)])
+def test_a_few_blocks_more_are_coded_beside_the_others(monkeypatch, blocks, calls):
+    seen = []
+    for name in ("_encode", "_decode"):
+        inner = getattr(id_codec, name)
+        monkeypatch.setattr(id_codec, name, lambda *a, f=inner, k=name: seen.append(k) or f(*a))
+    monkeypatch.setattr(id_codec, "LANES", 4)
+    ids = np.arange(16 * blocks - 3) % 11
+    assert id_codec.decode(id_codec.encode(ids, 16)).tolist() == ids.tolist()
+    assert seen == ["_encode"] * calls + ["_decode"] * calls
+
+
+def test_coded_bytes_stay_as_they_are():
+    """Chunks that were written before are read."""
+    ids = (np.arange(20_000) ** 2 // 700 * 31) % 997
+    ids[5_000:9_000] = ids[:4_000]
+    c = id_codec.encode(ids, 1_000)
+    assert (len(c["data"]), zlib.crc32(c["data"]), zlib.crc32(c["words"].tobytes()), zlib.crc32(c["crc"].tobytes())) == (23114, 2924549017, 153650656, 3242880323)
