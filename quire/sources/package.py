@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quire.functions.classify import CODE_HINT, PAGE_BREAKS, reader_mime
 from quire.functions.text import escape_xml
 from quire.operators.group import unused
+from quire.sources.batches import batches as in_batches
 
 MAX_ENTRY = 256 << 20
 
@@ -38,7 +39,9 @@ def entries(files: DataFrame) -> DataFrame:
     ``MAX_ENTRY`` gives its name and an error.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ("path", "ord", "name", "data", "error"), (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 rows = []
@@ -49,7 +52,11 @@ def entries(files: DataFrame) -> DataFrame:
                             rows.append((path, i, info.filename, None if big else z.read(info), "FileTooLarge" if big else None))
                 except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
                     rows = [(path, None, None, None, "Zip")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()), strict=True)], names=["path", "ord", "name", "data", "error"]) if rows else pa.RecordBatch.from_pydict({"path": pa.array([], pa.string()), "ord": pa.array([], pa.int32()), "name": pa.array([], pa.string()), "data": pa.array([], pa.binary()), "error": pa.array([], pa.string())})
+                if rows:
+                    yield list(zip(*rows, strict=True)), sum(len(r[3] or b"") for r in rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(found(batches), names, kinds)
 
     return files.select("path", "content").mapInArrow(run, "path string, ord int, name string, data binary, error string")
 
@@ -57,7 +64,7 @@ def entries(files: DataFrame) -> DataFrame:
 def packages(parts: DataFrame) -> DataFrame:
     """``path, content`` of archives made of ``parts`` (path, ord, name, data); the mimetype is stored first, pictures are stored."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for path, held in zip(b.column("path").to_pylist(), b.column("parts").to_pylist(), strict=True):
                 out = io.BytesIO()
@@ -66,7 +73,11 @@ def packages(parts: DataFrame) -> DataFrame:
                         info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
                         info.compress_type = zipfile.ZIP_STORED if name == "mimetype" or name.startswith("BinData/") else zipfile.ZIP_DEFLATED
                         z.writestr(info, data or b"")
-                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["path", "content"])
+                content = out.getvalue()
+                yield ([path], [content]), len(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(found(batches), ("path", "content"), (pa.string(), pa.binary()))
 
     whole = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "data"))).alias("parts"))
     return whole.mapInArrow(run, "path string, content binary")
@@ -136,12 +147,12 @@ def section_numbers(parts: DataFrame) -> DataFrame:
     found = parts.withColumn("section", n).where("section is not null")
     small = F.row_number().over(Window.partitionBy("path", "section").orderBy(F.col("name").desc(), "ord"))
     rank, known = unused(found, "rank"), unused(found, "known")
+    found = found.withColumn(known, F.collect_set("section").over(Window.partitionBy("path")))
     found = found.withColumn(rank, small).where(F.col(rank) == 1).drop(rank)
-    every = found.groupBy("path").agg(F.array_sort(F.collect_set("section")).alias(known))
     # a package may begin at section 1
     least = lambda c: F.when(F.array_contains(c, 0), 0).otherwise(1)
     whole = F.size(F.filter(known, lambda x: x < F.col("section"))) == F.col("section") - least(F.col(known))
-    return found.join(every, "path").where(whole).withColumn("section", F.col("section") - least(F.col(known))).drop(known)
+    return found.where(whole).withColumn("section", F.col("section") - least(F.col(known))).drop(known)
 
 
 def manifest_sections(parts: DataFrame) -> DataFrame:
@@ -206,6 +217,9 @@ EVENT_SCHEMA = (
     "link string, ruby string, ref string, extra map<string,string>"
 )
 _RUN = {"bold": False, "italic": False, "underline": False, "strike": False, "script": None, "height": None, "colour": None, "font": None}
+#: The target of instructions that stand for characters that XML can't hold, and these.
+CHARACTER = "quire-character"
+_NO_XML = frozenset(map(chr, (*range(9), 0x0B, 0x0C, *range(0x0E, 0x20), 0xFFFE, 0xFFFF)))
 _NOTES = ("fn", "footnote", "en", "endnote")
 _HINT = re.compile(CODE_HINT)
 
@@ -260,6 +274,11 @@ class _Section:
         elif self.buffer is not None:
             self.buffer.append(t)
 
+    def instruction(self, target: str, data: str) -> None:
+        """A character that XML can't hold, as :func:`run_xml` writes it."""
+        if target == CHARACTER and data.isascii() and data.isdecimal() and len(data) < 6 and chr(int(data)) in _NO_XML:
+            self.text(chr(int(data)))
+
     def comment(self, t: str) -> None:
         hint = _HINT.match(t)
         if hint:
@@ -322,8 +341,8 @@ class _Section:
 
     def end_t(self) -> None:
         if self.ruby is None and self.buffer is not None:
-            if "".join(self.buffer):
-                self.put("run", text="".join(self.buffer), **self.run)
+            t = "".join(self.buffer)
+            self.put("run" if t else "blank", text=t, **self.run)
             self.buffer = None
 
     def start_lineBreak(self, a: dict) -> None:  # noqa: N802
@@ -482,11 +501,11 @@ class _Section:
 
 
 def section_events(xml: bytes) -> list[dict]:
-    """Paragraphs, runs, pictures, breaks, tables, cells, notes and layout of a section in document order, with where they stand."""
+    """Paragraphs, runs (those without a text as ``blank``), pictures, breaks, tables, cells, notes and layout of a section in document order, with where they stand."""
     s = _Section()
     p = expat.ParserCreate()
     p.buffer_text = True
-    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler, p.CommentHandler = s.start, s.end, s.text, s.comment
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler, p.CommentHandler, p.ProcessingInstructionHandler = s.start, s.end, s.text, s.comment, s.instruction
     p.Parse(xml, True)
     return s.out
 
@@ -497,7 +516,9 @@ def events(sections: DataFrame) -> DataFrame:
     A section that isn't well-formed gives one row of kind ``error``.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ("path", "section", "ord", *(k for k, _ in _FIELDS)), (pa.string(), pa.int32(), pa.int32(), *(t for _, t in _FIELDS))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for path, section, data in zip(*(b.column(c).to_pylist() for c in ("path", "section", "data")), strict=True):
                 try:
@@ -505,7 +526,10 @@ def events(sections: DataFrame) -> DataFrame:
                 except expat.ExpatError:
                     rows = [{"kind": "error"}]
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([section] * n, pa.int32()), pa.array(range(n), pa.int32()), *(pa.array([r.get(k) for r in rows], t) for k, t in _FIELDS)], names=["path", "section", "ord", *(k for k, _ in _FIELDS)])
+                yield ([path] * n, [section] * n, range(n), *([r.get(k) for r in rows] for k, _ in _FIELDS)), len(data or b"")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(found(batches), names, kinds)
 
     return sections.select("path", "section", "data").mapInArrow(run, "path string, section int, ord int, " + EVENT_SCHEMA)
 
@@ -517,10 +541,13 @@ def paragraph_xml(runs: Column, style: Column | None = None, para_property: Colu
 
 
 def run_xml(text: Column, bold: Column | None = None, italic: Column | None = None, height: Column | None = None) -> Column:
-    """A run; line feeds become line breaks, and what XML can't hold goes."""
+    """A run; line feeds become line breaks, and characters that XML can't hold instructions with their numbers, which other readers pass over."""
     flag = lambda k, v: F.lit("") if v is None else F.coalesce(F.concat(F.lit(f' {k}="'), v.cast("int").cast("string"), F.lit('"')), F.lit(""))
-    clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
-    body = F.replace(F.replace(escape_xml(clean), F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("<hp:lineBreak/>"))
+    odd = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
+    told = lambda x: F.when(x.rlike(odd), F.concat(F.lit(f"<?{CHARACTER} "), F.ascii(x).cast("string"), F.lit("?>"))).otherwise(x)
+    safe = escape_xml(text)
+    clean = F.when(text.rlike(odd), F.array_join(F.transform(F.split(safe, f"(?<={odd})|(?={odd})", -1), told), "")).otherwise(safe)
+    body = F.replace(F.replace(clean, F.lit("\r"), F.lit("&#13;")), F.lit("\n"), F.lit("<hp:lineBreak/>"))
     return F.concat(F.lit("<hp:run><hp:charPr"), flag("bold", bold), flag("italic", italic), flag("height", height), F.lit("/><hp:t>"), body, F.lit("</hp:t></hp:run>"))
 
 
