@@ -157,18 +157,31 @@ def enclosing(rows: DataFrame, by: list[str], order: str, level: str) -> DataFra
 def duplicate_entries(names: DataFrame, by: list[str], order: str, name: str, out: str = "entry") -> DataFrame:
     """Names of a package's entries that collide get ``_N`` before their extension, N from 2, until they are free.
 
-    A document's names are gone through in order, as each may take a name that a later one has.
+    A document's names are gone through in order, as each may take a name that a later one has: one pass over
+    sorted partitions, which holds a document's names. A name's N only grows, so none is tried twice. Null stays null.
     """
-    kinds = names.select(*by, F.struct(order, name).alias("n"))
-    g = kinds.groupBy(*by).agg(F.array_sort(F.collect_list("n")).alias("n"))
-
-    def free(found: Column, x: Column) -> Column:
-        stem, ext = F.regexp_extract(x[name], r"^(.*?)([.][^.]*)?$", 1), F.regexp_extract(x[name], r"^.*?([.][^.]*)?$", 1)
-        taken = F.transform(found, lambda y: y.entry)
-        tries = F.transform(F.sequence(F.lit(2), F.size(found) + 2), lambda i: F.concat(stem, F.lit("_"), i.cast("string"), ext))
-        entry = F.when(~F.array_contains(taken, x[name]), x[name]).otherwise(F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0)))
-        return F.concat(found, F.array(F.struct(x[order].alias("at"), entry.alias("entry"))))
-
-    at = names.schema[order].dataType.simpleString()
-    filled = F.aggregate("n", F.array().cast(f"array<struct<at:{at},entry:string>>"), free)
-    return g.select(*by, F.inline(filled)).withColumnsRenamed({"at": order, "entry": out})
+    d = names.select(*by, order, name)
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, taken, after = None, set(), {}
+        for b in batches:
+            entries = []
+            for *key, _, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != here:
+                    here, taken, after = key, set(), {}
+                entry = x
+                if x in taken:
+                    stem, dot, ext = x.rpartition(".")
+                    stem, ext = (stem, dot + ext) if dot else (x, "")
+                    k = after.get(x, 2)
+                    while (entry := f"{stem}_{k}{ext}") in taken:
+                        k += 1
+                    after[x] = k + 1
+                if x is not None:
+                    taken.add(entry)
+                entries.append(entry)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n + 1)), pa.array(entries, pa.string())], names=[*b.schema.names[: n + 1], out])
+
+    schema = d.select(*by, order, F.col(name).cast("string").alias(out)).schema
+    return d.repartition(*by).sortWithinPartitions(*by, order, name).mapInArrow(run, schema)

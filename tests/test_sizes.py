@@ -5,6 +5,7 @@ import os
 import duckdb
 
 from quire import queries
+from quire.operators import group
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,13 @@ def test_paragraphs_of_packages_keep_empty_lines_and_what_xml_cannot_hold(spark,
     documents = spark.createDataFrame(ODD, "doc_id long, text string")
     got, want = compared(spark, "package_paragraph_roundtrip", tmp_path, documents=documents)
     assert got == want
+
+
+def test_names_of_a_large_package_are_tried_once_each(spark):
+    names = [(1, i, n) for i, n in enumerate(["b.png", "b_3.png", ".env", "a", None, ".env", "a", "a_2", None, "c.d.e", "c.d.e"])]
+    got = group.duplicate_entries(spark.createDataFrame(names, "doc long, ord int, name string"), ["doc"], "ord", "name").orderBy("ord").collect()
+    assert [r.entry for r in got] == ["b.png", "b_3.png", ".env", "a", None, "_2.env", "a_2", "a_2_2", None, "c.d.e", "c.d_2.e"]
+    many = spark.range(40_000).selectExpr("id % 2 as doc", "id as ord", "'b' || if(id = 7, '_3', '') || '.png' as name")
+    got = {r.ord: r.entry for r in group.duplicate_entries(many, ["doc"], "ord", "name").collect()}  # 20,000 names took hours when each was tried against all
+    assert got[0] == got[1] == "b.png" and got[7] == "b_3_2.png" and got[9] == "b_4.png" and got[3] == "b_2.png" and got[39_998] == "b_20000.png"
+    assert len({(k % 2, v) for k, v in got.items()}) == 40_000
