@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import pytest
 
 from quire import queries
 from quire.operators import group
+from quire.plans import style
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +43,23 @@ def test_names_of_a_large_package_are_tried_once_each(spark):
     got = {r.ord: r.entry for r in group.duplicate_entries(many, ["doc"], "ord", "name").collect()}  # 20,000 names took hours when each was tried against all
     assert got[0] == got[1] == "b.png" and got[7] == "b_3_2.png" and got[9] == "b_4.png" and got[3] == "b_2.png" and got[39_998] == "b_20000.png"
     assert len({(k % 2, v) for k, v in got.items()}) == 40_000
+
+
+def parsed(text, known):
+    try:
+        return style.parse(text, known)
+    except style.StyleError as e:
+        return str(e)
+
+
+@pytest.mark.parametrize("text", ["page: {width: 010, height: 0x1F}", "font: {default: yes, code: 'a\n\n  b'}", "page:\n  landscape: True", "page:\t{width: 1}", "x: " + "[" * 900 + "]" * 900, "[" * 90, "a: &x [*x]", "a: \x01", "<<: {font: {code: c}}", "%YAML 1.2\n---\nfont: {code: c}", "# c\n", "a: 1\n---\nb: 2", "page: {width: 1:30}", "a: *b", "a: !!python/name:os.system 1"])
+def test_templates_are_read_alike_by_both_loaders(text):
+    slow = (style.loaders()[0],) * 2
+    assert parsed(text, style.loaders()) == parsed(text, slow)
+
+
+def test_templates_are_dealt_to_all_tasks(spark):
+    one = spark.range(100).selectExpr("cast(id as string) as path", "concat('page: {width: ', id, '}') as content").coalesce(1)
+    out = style.templates(one)
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().toString()  # one task had all of a small file's 1,200,000 templates
+    assert sorted((int(r.path), r.style and r.style.width) for r in out.collect()) == [(0, None), *((i, i) for i in range(1, 100))]
