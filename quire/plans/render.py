@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.classify import has_spans
 from quire.functions.text import cell_text, escape_html, escape_inline, escape_line_starts, escape_yaml, let, run_markdown
-from quire.plans.nodes import cell_key, fold
+from quire.plans.nodes import CELL, cell_key, fold
 
 _JOIN = "\n\n"
 
@@ -21,11 +21,14 @@ def in_order(by: Column | str, value: Column | str, separator: str) -> Column:
 
 def table_markdown(rows: Column) -> Column:
     """A pipe table of an array of rows of cell texts, the first one the header. Short rows are filled up."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    full = F.transform(rows, lambda r: line(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(cell_text(F.get(r, i)), F.lit("")))))
-    dashes = line(F.array_repeat(F.lit("---"), width))
-    return F.array_join(F.concat(F.slice(full, 1, 1), F.array(dashes), F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0)))), "\n")
+
+    def made(rows: Column, width: Column) -> Column:
+        full = F.transform(rows, lambda r: line(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(cell_text(F.get(r, i)), F.lit("")))))
+        dashes = line(F.array_repeat(F.lit("---"), width))
+        return let(full, lambda f: F.array_join(F.concat(F.slice(f, 1, 1), F.array(dashes), F.slice(f, F.lit(2), F.greatest(F.size(f) - 1, F.lit(0)))), "\n"))
+
+    return let(rows, lambda rows: let(F.array_max(F.transform(rows, lambda r: F.size(r))), lambda width: made(rows, width)))
 
 
 def tables(cells: DataFrame, by: list[str], row: str, col: str, text: str) -> DataFrame:
@@ -75,12 +78,31 @@ def cells_markdown(cells: Column, inner: Column) -> Column:
 
     ``inner`` is the Markdown of the blocks of cells that own some, by cell.
     """
-    rows = F.array_sort(F.array_distinct(F.transform(cells, lambda c: c.row)))
-    row = lambda n: F.filter(cells, lambda c: c.row == n)
-    shown = lambda c, plain: F.coalesce(F.try_element_at(inner, cell_key(c.row, c.col)), plain)
-    texts = F.transform(rows, lambda n: F.transform(row(n), lambda c: shown(c, escape_inline(c.text))))
-    tagged = F.transform(rows, lambda n: F.transform(row(n), lambda c: c.withField("text", F.regexp_replace(shown(c, c.text), r"\n+", " "))))
-    return F.when(has_spans(cells), html_table(tagged)).otherwise(table_markdown(texts))
+    texts = lambda rows: F.transform(rows, lambda r: F.transform(r, lambda x: F.coalesce(x.inner, escape_inline(x.cell.text))))
+    tagged = lambda rows: F.transform(rows, lambda r: F.transform(r, lambda x: x.cell.withField("text", F.regexp_replace(F.coalesce(x.inner, x.cell.text), r"\n+", " "))))
+    return F.when(has_spans(cells), html_table(tagged(_cell_rows(cells, inner)))).otherwise(table_markdown(texts(_cell_rows(cells, inner))))
+
+
+def _stretches(values: Column, key) -> Column:
+    """An array cut into runs of equal keys."""
+
+    def cut(a: Column) -> Column:
+        n = F.size(a)
+        edge = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (key(F.get(a, i)) != key(F.get(a, i - 1))))
+        runs = let(edge, lambda e: F.transform(e, lambda i, k: F.slice(a, i + 1, F.coalesce(F.get(e, k + 1), n) - i)))
+        return F.when(n > 0, runs).otherwise(F.transform(a, lambda _: a))
+
+    return let(values, cut)
+
+
+def _cell_rows(cells: Column, inner: Column) -> Column:
+    """The rows of a table: arrays of ``cell`` and, where ``inner`` has its blocks' Markdown, ``inner``, each cell met with its own by sorting."""
+    kind = f"struct<key:bigint,at:int,cell:{CELL},inner:string>"
+    held = F.transform(F.coalesce(F.map_entries(inner), F.array().cast("array<struct<key:bigint,value:string>>")), lambda e: F.struct(e.key.alias("key"), F.lit(-1).alias("at"), F.lit(None).alias("cell"), e.value.alias("inner")).cast(kind))
+    own = F.transform(cells, lambda c, i: F.struct(cell_key(c.row, c.col).alias("key"), i.alias("at"), c.alias("cell"), F.lit(None).alias("inner")).cast(kind))
+    alike = _stretches(F.sort_array(F.concat(held, own)), lambda x: x.key)
+    met = F.flatten(F.transform(alike, lambda g: F.transform(F.filter(g, lambda x: x.at >= 0), lambda x: F.struct(x.cell.row.alias("row"), x["at"].alias("at"), x.cell.alias("cell"), F.get(g, F.lit(0)).inner.alias("inner")))))
+    return _stretches(F.sort_array(met), lambda x: x.row)
 
 
 def indented(t: Column, spaces: Column) -> Column:

@@ -1,13 +1,15 @@
 """Queries on odd rows, and operators whose work must grow with their input alone."""
 
 import os
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire import queries
 from quire.operators import group
-from quire.plans import style
+from quire.plans import nodes, render, style
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +65,22 @@ def test_templates_are_dealt_to_all_tasks(spark):
     out = style.templates(one)
     assert "REPARTITION_BY_COL" in out._jdf.queryExecution().toString()  # one task had all of a small file's 1,200,000 templates
     assert sorted((int(r.path), r.style and r.style.width) for r in out.collect()) == [(0, None), *((i, i) for i in range(1, 100))]
+
+
+def test_cells_of_a_table_meet_their_blocks(spark):
+    cells = [(1, 1, "d"), (0, 0, "a*"), (0, 1, "b|"), (1, 1, "e"), (2, 0, "f")]  # in no order, one place twice, a short row
+    d = spark.createDataFrame([([(*c, 1, 1, c[0] == 0, False) for c in cells], {65537: "**x**", 99: "none"}), ([], None)], f"cells array<{nodes.CELL}>, inner map<bigint,string>")
+    got = d.select(render.cells_markdown(F.col("cells"), F.col("inner")).alias("md"), render.cells_markdown(F.transform("cells", lambda c: c.withField("colspan", F.lit(2))), F.col("inner")).alias("html")).collect()
+    assert got[0].md == "| a\\* | b\\| |\n| --- | --- |\n| **x** | **x** |\n| f |  |"
+    assert got[0].html.count("<tr>") == 3 and got[0].html.count(">**x**</td>") == 2
+    assert not got[1].md
+
+
+def test_a_long_table_is_rendered_in_time(spark):
+    began = time.time()
+    cells = F.expr("transform(sequence(0, 7999), i -> struct(i div 2 as row, i % 2 as col, cast(i as string) as text, 1 as colspan, 1 as rowspan, i < 2 as is_header, true as owned))")
+    inner = F.expr("map_from_arrays(transform(sequence(0, 3999), i -> shiftleft(cast(i as bigint), 16)), transform(sequence(0, 3999), i -> concat('*', i, '*')))")
+    d = spark.range(1).select(cells.cast(f"array<{nodes.CELL}>").alias("cells"), inner.alias("inner"))
+    md = d.select(render.cells_markdown(F.col("cells"), F.col("inner")).alias("md")).first().md.split("\n")
+    assert len(md) == 4001 and md[0] == "| *0* | 1 |" and md[-1] == "| *3999* | 7999 |"
+    assert time.time() - began < 60  # the work was in the cube of a table's rows
