@@ -4,12 +4,14 @@ import os
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quire import queries
 from quire.operators import group
-from quire.plans import nodes, render, style
+from quire.plans import binary_documents, nodes, render, style
+from quire.sources import batches, compound, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +86,43 @@ def test_a_long_table_is_rendered_in_time(spark):
     md = d.select(render.cells_markdown(F.col("cells"), F.col("inner")).alias("md")).first().md.split("\n")
     assert len(md) == 4001 and md[0] == "| *0* | 1 |" and md[-1] == "| *3999* | 7999 |"
     assert time.time() - began < 60  # the work was in the cube of a table's rows
+
+
+def binary(*sections, flags=0):
+    body = [(f"BodyText/Section{n}", data) for n, data in sections]
+    return compound.make_file([("FileHeader", records.header_bytes(flags)), ("DocInfo", b""), *body])
+
+
+def test_rows_of_many_documents_are_a_batch():
+    one = lambda i: (([str(i)], [b"x" * i]), i)
+    sizes = [b.num_rows for b in batches.batches(map(one, range(25_000)), ("path", "content"), (pa.string(), pa.binary()))]
+    assert sum(sizes) == 25_000 and max(sizes) <= batches.MOST_ROWS and len(sizes) < 100  # each file was a batch
+    assert not list(batches.batches(iter([(([], []), 0)]), ("path", "content"), (pa.string(), pa.binary())))
+
+
+def test_streams_of_binary_documents_are_opened_without_a_shuffle(spark):
+    p = lambda t: b"\x42\x00\x60\x01" + bytes(22) + (len(t) * 2 << 20 | 1 << 10 | 67).to_bytes(4, "little") + t.encode("utf-16-le")
+    files = [("a", binary((0, p("one")), (1, p("two")), (3, p("behind a gap")))), ("b", b"damaged"), ("c", compound.make_file([("BodyText/Section0", p("no header"))])), ("d", binary((1, p("no first")))), ("e", binary((0, p("hidden")), flags=2))]
+    d = spark.createDataFrame(files, "path string, content binary")
+    opened = binary_documents.contents(binary_documents.opened(d))
+    assert "Exchange" not in opened._jdf.queryExecution().toString()  # all streams were joined to their headers and gone through by document
+    assert sorted((r.path, r.section) for r in opened.collect()) == [("a", -1), ("a", 0), ("a", 1), ("d", -1)]
+    out = binary_documents.read(d)
+    assert [(r.path, r.section, r.text) for r in out["blocks"].orderBy("path", "ord").collect()] == [("a", 0, "one"), ("a", 1, "two"), ("c", 0, "no header")]  # which is searched for
+    assert {r.path: (r.recovered, r.error) for r in out["documents"].collect()} == {"a": (False, None), "b": (True, None), "c": (True, None), "d": (False, None), "e": (False, "DrmProtected")}
+
+
+def test_records_know_their_paragraph(spark):
+    r = lambda tag, level: (tag | level << 10).to_bytes(4, "little")
+    content = r(67, 0) + r(66, 0) + r(71, 1) + r(67, 2) + r(66, 2) + r(67, 3) + r(68, 1) + r(66, 0) + r(67, 1)
+    got = records.records(spark.createDataFrame([("a", content)], "path string, content binary")).orderBy("rec").collect()
+    assert [x.para for x in got] == [None, 1, 1, None, 4, 4, 1, 7, 7]
+
+
+def test_a_single_runs_text_is_kept_once(spark):
+    run = lambda t, **k: nodes.run(text=F.lit(t), **k)
+    d = spark.range(1).select(F.lit("ab").alias("text"), F.array(run("ab", bold=F.lit(True))).alias("one"), F.array(run("a"), run("b")).alias("two"), F.array(run("a")).alias("other"), F.lit(None).cast(f"array<{nodes.RUN}>").alias("none"))
+    cols = ("one", "two", "other", "none")
+    short = d.select("text", *(nodes.without_text(F.col(c), F.col("text")).alias(c) for c in cols))
+    assert short.first().one[0].text is None and short.first().one[0].bold
+    assert short.select("text", *(nodes.with_text(F.col(c), F.col("text")).alias(c) for c in cols)).first() == d.first()
