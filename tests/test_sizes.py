@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire import queries
 from quire.operators import group
 from quire.plans import binary_documents, nodes, render, style
-from quire.sources import batches, compound, records
+from quire.sources import batches, compound, containers, markdown, records
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +126,22 @@ def test_a_single_runs_text_is_kept_once(spark):
     short = d.select("text", *(nodes.without_text(F.col(c), F.col("text")).alias(c) for c in cols))
     assert short.first().one[0].text is None and short.first().one[0].bold
     assert short.select("text", *(nodes.with_text(F.col(c), F.col("text")).alias(c) for c in cols)).first() == d.first()
+
+
+def test_lines_and_containers_are_rows_in_the_order_of_fields(spark):
+    none = [None] * 7
+    assert containers.container_rows("1. a\n\n   b\n") == [  # they were dictionaries, and each text a batch
+        [0, 0, 0, None, None, None, None, "item", 1, 0, True, 1, None, None, ".", None],
+        [0, 1, 1, 1, "a", None, None, None, None, *none[:6], 0], [1, 1, 1, 1, "", None, None, None, None, *none[:6], 0], [2, 1, 1, 1, "b", None, None, None, None, *none[:6], 0], [3, 1, 1, 1, "", None, None, None, None, *none[:6], 0],
+    ]
+    d = spark.range(3000).selectExpr("id as doc", "concat('a ', id, '\n\n- b') as text").coalesce(1)
+    rows = containers.rows(d, F.col("doc"), F.col("text"))
+    sizes = rows.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(r.n for r in sizes) == 3000 * 4 and max(r.n for r in sizes) > 1000
+
+
+@pytest.mark.parametrize("text", ["Abc\n===", "a|b\n-|-\nc|d", "   x\n-", "a\n    b", "A. x\n1. y", "a\tb\n\tc", "b\n<!-- header -->\nc", "a\n$$\nx\n$$", "h1> a\n<h1>\na\n\nb"])
+def test_lines_that_begin_with_a_letter_are_as_before(spark, text):
+    got = markdown.blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block").collect()
+    want = {"Abc\n===": ["heading"], "a|b\n-|-\nc|d": ["table"], "   x\n-": ["heading"], "A. x\n1. y": ["paragraph", "item"], "b\n<!-- header -->\nc": ["paragraph", "marker", "paragraph"], "a\n$$\nx\n$$": ["paragraph", "math"], "h1> a\n<h1>\na\n\nb": ["paragraph", "html", "paragraph", "paragraph"]}
+    assert [r.kind for r in got] == want.get(text, ["paragraph"])
