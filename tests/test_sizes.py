@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire import queries
+from quire import queries, store
 from quire.operators import group
 from quire.plans import binary_documents, nodes, render, style
 from quire.sources import batches, compound, containers, markdown, records
@@ -145,3 +145,19 @@ def test_lines_that_begin_with_a_letter_are_as_before(spark, text):
     got = markdown.blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block").collect()
     want = {"Abc\n===": ["heading"], "a|b\n-|-\nc|d": ["table"], "   x\n-": ["heading"], "A. x\n1. y": ["paragraph", "item"], "b\n<!-- header -->\nc": ["paragraph", "marker", "paragraph"], "a\n$$\nx\n$$": ["paragraph", "math"], "h1> a\n<h1>\na\n\nb": ["paragraph", "html", "paragraph", "paragraph"]}
     assert [r.kind for r in got] == want.get(text, ["paragraph"])
+
+
+def test_shuffles_of_kept_tables_are_cleared_and_the_setting_stays(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    d = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    before = spark.conf.get(key, None)
+    assert sorted(r["count"] for r in store.kept(d).collect()) == sorted(r["count"] for r in d.collect())
+    assert spark.conf.get(key, None) == before
+    seen = []
+    real = type(d.write).parquet
+    try:
+        type(d.write).parquet = lambda self, *a, **k: (seen.append(spark.conf.get(key)), real(self, *a, **k))[1]
+        store.kept(d)
+    finally:
+        type(d.write).parquet = real
+    assert seen == ["true"]
